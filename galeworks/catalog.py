@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from galeworks.plans import events  # noqa: F401  each registers its queries
+from galeworks.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
