@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -81,45 +83,54 @@ class PieceEncoder:
         self.apart = proto.trainer_spec.byte_fallback and spec.escape_whitespaces and not proto.trainer_spec.treat_whitespace_as_suffix and all(p.type in (1, 2, 3, 6) for p in proto.pieces) and not any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in pieces)
         self.runs = re.compile("\n| +[^ \n]*|[^ \n]+")
         self.width = [1 if p.type == 6 else len(p.piece.encode()) for p in proto.pieces]
+        self.narrow = [w if p.type == 6 else w - 2 * p.piece.count(SPACE) for w, p in zip(self.width, proto.pieces, strict=True)]
         # A processor for text that is normalised already.
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces = b"", False, False
         self.plain = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
         self.known: dict[str, tuple[bytes, bytes]] = {}
 
-    def run(self, text: str) -> tuple[bytes, bytes]:
-        """Ids of a normalised run and the bytes that each covers, with a space mark counted as the one byte it stands for."""
-        ids = self.plain.encode(text)
-        widths = [self.width[i] for i in ids]
-        if SPACE in text:  # marks that the text itself holds are three bytes there too
-            places = np.concatenate([[0], np.cumsum([w for c in text for w in ([0, 0, 1] if c == " " else [1] * len(c.encode()))])])
-            widths = np.diff(places[np.concatenate([[0], np.cumsum(widths, dtype=np.int64)])])
-        elif " " in text:
-            widths = [w - 2 * self.plain.id_to_piece(i).count(SPACE) if w > 1 else w for i, w in zip(ids, widths, strict=True)]
-        found = np.asarray(ids, "<i4").tobytes(), np.asarray(widths, "<i4").tobytes()
-        if len(self.known) >= MEMORY:
+    def learn(self, runs: set[str]) -> None:
+        """Remembers ids and covered bytes of runs not met yet; a space mark counts as the one byte it stands for."""
+        if len(self.known) + len(runs) > MEMORY:
             self.known.clear()
-        self.known[text] = found
-        return found
+        new = [r for r in runs if r not in self.known]
+        for run, ids in zip(new, self.plain.encode(new, num_threads=1) if new else (), strict=True):
+            if SPACE in run:  # marks that the text itself holds are three bytes there too
+                places = [0, *accumulate(w for c in run for w in ((0, 0, 1) if c == " " else (1,) * len(c.encode())))]
+                ends = [places[e] for e in accumulate(self.width[i] for i in ids)]
+                widths = [b - a for a, b in zip([0, *ends], ends, strict=False)]
+            else:
+                table = self.narrow if " " in run else self.width
+                widths = [table[i] for i in ids]
+            self.known[run] = array("i", ids).tobytes(), array("i", widths).tobytes()
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, first byte, end byte) of every piece; spans lie in the UTF-8 bytes of the text as it was given."""
-        none = np.zeros(0, np.int32)
-        if not text:
-            return none, none, none
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, first byte, end byte) of every piece of each text; spans lie in the UTF-8 bytes of the text as it was given."""
+        prepared = [self.prepare(text) for text in texts]
+        self.learn(set().union(*(runs for runs, _ in prepared)))
+        return [self.project(runs, places) for runs, places in prepared]
+
+    def prepare(self, text: str) -> tuple[list[str], np.ndarray | None]:
+        """Runs of the normalised text, and the original place of each of its bytes where normalising moved any."""
         places = None
-        if self.map.units or self.squeeze:
+        if text and (self.map.units or self.squeeze):
             norm, places = self.map.apply(text.encode())
             if self.squeeze:
                 norm, places = _squeezed(norm, places)
             text = norm.decode("utf-8", "replace")
-            if not text:
-                return none, none, none
+        if not text:
+            return [], None
         text = " " + text if self.prefix else text
-        known = self.known
-        parts = [known.get(x) or self.run(x) for x in (self.runs.findall(text) if self.apart else [text])]
+        return (self.runs.findall(text) if self.apart else [text]), places
+
+    def project(self, runs: list[str], places: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = [self.known[r] for r in runs]
         ids = np.frombuffer(b"".join([p[0] for p in parts]), "<i4")
         ends = np.cumsum(np.frombuffer(b"".join([p[1] for p in parts]), "<i4"), dtype=np.int64) - int(self.prefix)
-        begins = np.maximum(np.concatenate([[0], ends[:-1]]), 0)
+        begins = np.maximum(np.concatenate([[0], ends[:-1]]), 0)[: len(ids)]
         ends = np.maximum(ends, 0)
         if places is not None:
             begins, ends = places[begins], places[ends]
@@ -153,7 +164,7 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = [encoder.encode(text.as_py() or "") for text in part.column(1)]
+                found = encoder.encode_all([text or "" for text in part.column(1).to_pylist()])
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([f[k] for f in found]).astype(np.int32))) for k in range(3)]
                 decoded = pa.array([encoder.library.decode(f[0].tolist()) if len(f[0]) else "" for f in found], pa.string())
