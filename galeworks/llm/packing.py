@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from galeworks.llm.common import written
 
 #: Distinct words whose ids a task remembers; the store is emptied when full.
-MEMORY = 400_000
+MEMORY = 500_000
 
 # Letters and numbers below U+0250, and the white space there, as the vocabulary's word pattern reads them.
 LETTERS, NUMBERS, SPACES = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
@@ -24,15 +26,23 @@ BEYOND = re.compile("[^\x00-ɏ]|<\\|")
 
 
 class WordIds(dict):
-    """Word -> its ids as little-endian unsigned 32-bit bytes, asked of the tokenizer once."""
+    """Word -> its ids as little-endian unsigned 32-bit bytes, worked out once.
+
+    The file's own vocabulary, read as byte ranks, encodes single words several times faster than the whole tokenizer. That
+    gives the same ids where each merge's rank follows its id, which is looked up in the file; else the tokenizer is asked.
+    """
+
+    def __init__(self, tokenizer_path: str):
+        from tokenizers import Tokenizer
 
-    def __init__(self, tokenizer):
+        tokenizer = Tokenizer.from_file(tokenizer_path)
         self.ask = lambda text: np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.word = _by_ranks(tokenizer_path) or self.ask
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMORY:
             self.clear()
-        self[word] = ids = self.ask(word)
+        self[word] = ids = self.word(word)
         return ids
 
     def text(self, text: str) -> bytes:
@@ -41,6 +51,24 @@ class WordIds(dict):
         return self.ask(text) if BEYOND.search(text) else b"".join(map(self.__getitem__, WORDS.findall(text)))
 
 
+def _by_ranks(tokenizer_path: str):
+    """A function from a word to its ids' bytes, or None if the file's merges are not in the order of their ids."""
+    import tiktoken
+
+    with open(tokenizer_path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    signs = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+    merged = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+    ids = [model["vocab"][m.replace(" ", "")] for m in merged]
+    if ids != sorted(ids):
+        return None
+    ranks = {bytes(signs[c] for c in piece): i for piece, i in model["vocab"].items() if all(c in signs for c in piece) and (len(piece) == 1 or i >= ids[0])}
+    ranks = {k: v for k, v in ranks.items() if v <= ids[-1]}
+    encoding = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    return lambda word: array("I", encoding.encode_ordinary(word)).tobytes()
+
+
 def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): the pieces of every document of docs (doc_id, text).
 
@@ -52,9 +80,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, w
     fields += [("ids", pa.list_(pa.int64()))] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        words, end = WordIds(Tokenizer.from_file(tokenizer_path)), np.asarray([end_id], "<u4").tobytes()
+        words, end = WordIds(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows: list[tuple] = []
