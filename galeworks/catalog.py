@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galeworks.plans import events  # noqa: F401  each registers its queries
+from galeworks.plans import events, space  # noqa: F401  each registers its queries
 from galeworks.plans.registry import QUERIES, SQL
 
 
