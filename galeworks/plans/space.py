@@ -139,7 +139,7 @@ def lightning_sum(spark, sf_dir):
 _TR = ctes("tracks")
 
 
-@query(_TR + """ SELECT scan, round(speed * sin(radians(angle)), 6) AS u, round(speed * cos(radians(angle)), 6) AS v, CASE
+@query(_TR + """ SELECT scan, round(speed * sin(radians(angle)), 6) + 0.0 AS u, round(speed * cos(radians(angle)), 6) + 0.0 AS v, CASE
  WHEN max_alt >= 7 AND azi_shear > 4 AND major_axis_length >= 100 THEN 'Embedded supercell' WHEN max_alt >= 7 AND azi_shear > 4 THEN 'Supercellular'
  WHEN local_max >= 2 AND major_axis_length < 100 THEN 'Cell cluster' WHEN local_max = 1 THEN 'Cellular' WHEN major_axis_length / minor_axis_length < 3 THEN 'Non-linear' ELSE 'Linear' END AS class,
  CASE WHEN max_alt < 8 AND conv_pct < 0.5 THEN 'Shallow' WHEN major_axis_length < 100 AND major_axis_length / minor_axis_length < 3 AND azi_shear >= 4.5 THEN 'Supercellular'
@@ -148,7 +148,7 @@ _TR = ctes("tracks")
 def storm_classes(spark, sf_dir):
     u, v = X.storm_motion_uv(F.col("speed"), F.col("angle"))
     shallow = (F.col("max_alt") < 8) & (F.col("conv_pct") < 0.5)
-    return rounded(view(spark, sf_dir, "tracks").select("scan", u.alias("u"), v.alias("v"), X.storm_class().alias("class"), X.storm_class_v0(shallow=shallow).alias("class_v0"), X.ratio(F.col("major_axis_length"), F.col("minor_axis_length")).alias("aspect"), ((F.col("speed_rnge") < 4) & (F.col("speed") < 30)).alias("reliable")))
+    return rounded(view(spark, sf_dir, "tracks").select("scan", (F.round(u, 6) + 0.0).alias("u"), (F.round(v, 6) + 0.0).alias("v"), X.storm_class().alias("class"), X.storm_class_v0(shallow=shallow).alias("class_v0"), X.ratio(F.col("major_axis_length"), F.col("minor_axis_length")).alias("aspect"), ((F.col("speed_rnge") < 4) & (F.col("speed") < 30)).alias("reliable")))
 
 
 @query(_TR + " SELECT uid, round(avg(max_alt), 6) AS max_alt, round(avg(azi_shear), 6) AS azi_shear, min(time) AS first_time, median(speed) AS speed_mid, max(local_max) AS cells, count(*) AS scans FROM tracks GROUP BY uid")
