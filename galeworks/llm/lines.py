@@ -18,13 +18,18 @@ WILD = "<*>"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _masked(line: Column) -> Column:
-    """Tokens of a line, those with a digit made wild."""
-    return F.transform(F.regexp_extract_all(line, F.lit(_WORD), F.lit(0)), lambda t: F.when(t.rlike("[0-9]"), F.lit(WILD)).otherwise(t))
+def _masked(tokens: Column) -> Column:
+    """Tokens with a digit made wild."""
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(WILD)).otherwise(t))
+
+
+def _tokens(line: Column) -> Column:
+    return F.regexp_extract_all(line, F.lit(_WORD), F.lit(0))
 
 
 def _leaf(tokens: Column) -> Column:
-    return F.concat_ws("\x1f", F.size(tokens).cast("string"), F.slice(tokens, 1, LEADING))
+    """128-bit name of a leaf: token count and leading tokens."""
+    return F.unhex(F.md5(F.concat_ws("\x1f", F.size(tokens).cast("string"), _masked(F.slice(tokens, 1, LEADING)))))
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
@@ -37,24 +42,30 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant
     dropped. Null texts have no line and stay null; empty texts have one. Rows that repeat both id and text count as one.
     """
     own = docs.select("doc_id", "text").withColumn("mark", F.xxhash64("text"))
-    tree = own.where("text is not null").select("doc_id", "mark", F.transform(F.split("text", "\n", -1), _masked).alias("lines"))
-    leaves = tree.select(F.explode(F.array_distinct(F.transform(F.filter("lines", lambda t: F.size(t) > LEADING), _leaf))).alias("leaf"))
+    lined = own.where("text is not null")
+    each = F.filter(F.transform(F.split("text", "\n", -1), _tokens), lambda t: F.size(t) > LEADING)
+    leaves = lined.select(F.explode(F.array_distinct(F.transform(each, _leaf))).alias("leaf"))
     hot = written(leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
-    lines = tree.select("doc_id", "mark", F.posexplode("lines").alias("at", "tokens")).where(F.size("tokens") > LEADING)
-    lines = written(lines.withColumn("leaf", _leaf(F.col("tokens"))).join(hot, "leaf"), "lines")
-    once = lines.groupBy("doc_id", "mark", "leaf", "tokens").agg(F.lit(1).alias("one"))
-    fields = once.select("leaf", F.posexplode("tokens").alias("place", "token")).where(F.col("place") >= LEADING).where(F.col("token") != WILD)
-    fixed = written(fields.groupBy("leaf", "place", "token").count().where(F.col("count") >= min_docs).select("leaf", "place", "token"), "fields")
-    # The kept places of each distinct line: only constant tokens are joined back, wild ones stay away.
-    shapes = once.select("leaf", "tokens").distinct()
-    spots = shapes.select("leaf", "tokens", F.posexplode("tokens").alias("place", "token")).where((F.col("place") >= LEADING) & (F.col("token") != WILD))
-    spots = spots.join(fixed, ["leaf", "place", "token"]).groupBy("leaf", "tokens").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    known = shapes.join(spots, ["leaf", "tokens"], "left").withColumn("places", F.coalesce("places", F.array().cast("array<int>")))
+    lines = lined.select("doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("raw", _tokens(F.col("line"))).where(F.size("raw") > LEADING)
+    lines = lines.select("doc_id", "mark", "at", "raw", _leaf(F.col("raw")).alias("leaf")).join(hot, "leaf")
+    tokens = lines.select("doc_id", "mark", "at", "leaf", _masked(F.col("raw")).alias("tokens"))
+    # From here on a line is the name of its masked tokens, and a token a hash: rows stay short whatever the line's length.
+    name = F.unhex(F.md5(F.concat_ws("\x1f", "tokens")))
     lead = F.size(F.filter(F.slice("tokens", 1, LEADING), lambda t: t != WILD))
-    share = (lead + F.size("places")) / F.size("tokens")
-    template = F.concat_ws("\x1f", "leaf", F.transform("places", lambda p: F.concat_ws("\x1e", p.cast("string"), F.get("tokens", p))))
-    known = known.where(share >= min_constant).select("leaf", "tokens", F.sha2(template, 256).alias("template"))
-    shaped = written(lines.join(known, ["leaf", "tokens"]).select("doc_id", "mark", "at", "template"), "templates")
+    later = F.transform(F.slice("tokens", LEADING + 1, F.greatest(F.size("tokens") - LEADING, F.lit(1))), lambda t: F.when(t != WILD, F.xxhash64(t)))
+    lines = written(tokens.select("doc_id", "mark", "at", "leaf", name.alias("shape"), F.size("tokens").alias("n"), lead.alias("lead"), later.alias("later")), "lines")
+    once = lines.groupBy("doc_id", "mark", "leaf", "shape").agg(F.lit(1).alias("one"))
+    shapes = written(lines.groupBy("leaf", "shape").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("later").alias("later")), "shapes")
+    spread = once.groupBy("leaf", "shape").count().join(shapes, ["leaf", "shape"])
+    fields = spread.select("leaf", "count", F.posexplode("later").alias("place", "token")).where("token is not null")
+    fixed = written(fields.groupBy("leaf", "place", "token").agg(F.sum("count").alias("count")).where(F.col("count") >= min_docs).select("leaf", "place", "token"), "fields")
+    spots = shapes.select("leaf", "shape", F.posexplode("later").alias("place", "token")).where("token is not null").join(fixed, ["leaf", "place", "token"])
+    spots = spots.groupBy("leaf", "shape").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("spots"))
+    known = shapes.select("leaf", "shape", "n", "lead").join(spots, ["leaf", "shape"], "left")
+    share = (F.col("lead") + F.coalesce(F.size("spots"), F.lit(0))) / F.col("n")
+    template = F.xxhash64("leaf", F.coalesce(F.to_json("spots"), F.lit("[]")))
+    known = known.where(share >= min_constant).select("leaf", "shape", template.alias("template"))
+    shaped = written(lines.select("doc_id", "mark", "at", "leaf", "shape").join(known, ["leaf", "shape"]).select("doc_id", "mark", "at", F.struct("leaf", "template").alias("template")), "templates")
     recurring = shaped.select("doc_id", "mark", "template").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
     gone = shaped.join(recurring, "template", "left_semi").groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("its")).agg(F.collect_set("at").alias("gone"))
     out = own.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("mark").eqNullSafe(F.col("its")), "left").drop("of", "its")
