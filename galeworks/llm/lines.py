@@ -68,7 +68,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant
     shaped = written(lines.select("doc_id", "mark", "at", "leaf", "shape").join(known, ["leaf", "shape"]).select("doc_id", "mark", "at", F.struct("leaf", "template").alias("template")), "templates")
     recurring = shaped.select("doc_id", "mark", "template").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
     gone = shaped.join(recurring, "template", "left_semi").groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("its")).agg(F.collect_set("at").alias("gone"))
-    out = own.join(gone, F.col("doc_id").eqNullSafe(F.col("of")) & F.col("mark").eqNullSafe(F.col("its")), "left").drop("of", "its")
+    # One kind of join whatever the size, and no sort of whole texts.
+    out = own.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")) & F.col("mark").eqNullSafe(F.col("its")), "left").drop("of", "its")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("gone", i)), "\n")
     return out.select(
         "doc_id",
