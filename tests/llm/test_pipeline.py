@@ -1,0 +1,61 @@
+"""Every stage of the corpus pipeline against a brute-force version, each on what its predecessor kept."""
+
+import re
+
+import corpus_pipeline as P
+from galeworks.llm.common import table
+from galeworks.llm.quality import fit_quality, score_quality
+from test_llm_ops import brute_spans, components
+
+DIR = "/root/testdata/sf0.001"
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
+
+
+def test_stages(spark):
+    docs = table(spark, DIR, "documents")
+    read = lambda df: {r["doc_id"]: r for r in df.collect()}
+    stages = dict(P.STAGES)
+    assert list(stages) == ["quality classifier", "exact dedup", "near dedup", "secret scan", "packing"]
+
+    good = P.written(stages["quality classifier"](spark, docs, DIR), "a")
+    scored = score_quality(docs, fit_quality(docs, table(spark, DIR, "labels"))).collect()
+    rows = read(good)
+    assert good.columns == docs.columns and set(rows) == {r["doc_id"] for r in scored if r["predicted"]}
+
+    once = P.written(stages["exact dedup"](spark, good, DIR), "b")
+    last = {}
+    for i, r in rows.items():
+        last[lower(r["text"])] = max(i, last.get(lower(r["text"]), i))
+    rows = read(once)
+    assert set(rows) == set(last.values())
+
+    apart = P.written(stages["near dedup"](spark, once, DIR), "c")
+    sets = {}
+    for i, r in rows.items():
+        w = re.findall("[^\x20\x09-\x0d]+", lower(r["text"]))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    rows = read(apart)
+    assert set(rows) == set(components(sets, links).values())
+
+    clean = P.written(stages["secret scan"](spark, apart, DIR), "d")
+    kept = read(clean)
+    assert clean.columns == docs.columns and set(kept) == set(rows)
+    for i, r in rows.items():
+        out, at = "", 0
+        for s, e in sorted(x for _, x in brute_spans(r["text"])[3]):
+            if s > at or not out:
+                out += r["text"][at:s] + "[secret]"
+            at = max(at, e)
+        assert kept[i]["text"] == (out + r["text"][at:] if r["text"] is not None else None)
+        assert kept[i]["n_chars"] == len(kept[i]["text"])
+
+    packed = stages["packing"](spark, clean, DIR).collect()
+    assert {r["doc_id"] for r in packed} == set(kept)
+    filled = {}
+    for r in packed:
+        filled[r["sequence_id"]] = filled.get(r["sequence_id"], 0) + r["length"]
+    assert max(filled.values()) <= 1024 and P.ORACLE_SQL is None
