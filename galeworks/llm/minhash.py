@@ -16,7 +16,10 @@ from galeworks.llm.common import connected_components, written
 HASHES, TREES, DEPTH = 128, 32, 4
 #: Regions (documents with DEPTH values in common) up to this size give all their pairs; in larger ones each document is
 #: paired with its next NEAREST neighbours in the order of the further values, that is, at a depth that fits the region.
+#: Pairs that this leaves out come from `crowded_pairs`, which is exact.
 REGION, NEAREST = 16, 3
+#: Slots of the table of shingle counts that orders the shingles of crowded documents; fixed, whatever the input.
+SLOTS = 1 << 20
 #: Distinct words whose hash a task remembers.
 MEMORY = 400_000
 #: Standard deviations of the signature's estimate that a pair may lie below the threshold and still be compared in full.
@@ -106,8 +109,9 @@ def forest_rows(reps: DataFrame) -> DataFrame:
     return reps.select("rep", "sig").mapInArrow(run, "tree int, key long, more long, rep long")
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (a < b) of documents next to each other in the trees' sorted orders.
+def neighbours(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a < b) of documents next to each other in the trees' sorted orders; and the rows (tree, key, rep)
+    of regions above REGION documents, where not all pairs are candidates.
 
     Rows are dealt by ranges of the whole sort key, so a region as large as a third of all rows is spread over many
     tasks. Rows near a task's first and last place are handed on and paired across the cut by a window over these few.
@@ -116,7 +120,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = [np.zeros(0, np.int64)] * 4
-        held, head = empty, True
+        held, head, known = empty, True, None
 
         def out(a, b, edge):
             cut = [np.full(len(a), -1, np.int64)] * 3 if edge is None else edge
@@ -133,6 +137,11 @@ def neighbours(rows: DataFrame) -> DataFrame:
                 i = np.flatnonzero(near & ((size[o:] <= REGION) | (o <= NEAREST)))
                 low, high = np.minimum(d[i], d[i + o]), np.maximum(d[i], d[i + o])
                 yield out(low[low < high], high[low < high], None)
+            crowd = size > REGION
+            if known is not None:  # a part of a region that began in an earlier batch
+                crowd |= (t == known[0]) & (k == known[1])
+            if crowd.any():
+                yield out(d[crowd], np.full(int(crowd.sum()), -2, np.int64), [t[crowd], k[crowd], m[crowd]])
 
         def edges(t, k, m, d):
             none = np.full(len(d), -1, np.int64)
@@ -152,7 +161,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
             last = int(np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])]))[-1])
             if len(t) - last > 4 * REGION:  # a large region goes on: pair what is here, keep its last rows for what follows
                 yield from pairs(*cols)
-                held = [c[-NEAREST:] for c in cols]
+                held, known = [c[-NEAREST:] for c in cols], (t[-1], k[-1])
             else:
                 yield from pairs(*(c[:last] for c in cols)) if last else ()
                 held = [c[last:] for c in cols]
@@ -167,7 +176,9 @@ def neighbours(rows: DataFrame) -> DataFrame:
     cut = found.where("b = -1").select("tree", "key", "more", F.col("a").alias("rep")).distinct()
     nexts = F.array(*[F.expr(f"lead(rep, {k}) over (partition by tree, key order by more, rep)") for k in range(1, REGION)])
     across = cut.select("rep", nexts.alias("nexts")).select("rep", F.explode(F.array_compact("nexts")).alias("next")).select(F.least("rep", "next").alias("a"), F.greatest("rep", "next").alias("b")).where("a <> b")
-    return found.where("b >= 0").select("a", "b").unionByName(across).distinct()
+    split = cut.withColumn("size", F.expr("count(*) over (partition by tree, key)")).where(f"size > {REGION}").select("tree", "key", "rep")
+    crowded = found.where("b = -2").select("tree", "key", F.col("a").alias("rep")).unionByName(split).distinct()
+    return found.where("b >= 0").select("a", "b").unionByName(across).distinct(), crowded
 
 
 def likely_pairs(candidates: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
@@ -223,18 +234,72 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return texts.join(wanted.hint("shuffle_hash"), "rep", "left_semi").mapInArrow(run, "rep long, shingles binary")
 
 
+def crowded_pairs(crowded: DataFrame, groups: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """Candidate pairs (a < b) of documents of crowded regions that lie in different components: no pair at the threshold is left out.
+
+    A region whose documents all lie in one component is settled. Those of the others are joined by prefixes: with the
+    shingles of every document in one common order, two documents at the threshold share one among the first
+    n - ceil(n * num / den) + 1 of each. Rare shingles come first, by a table of counts of SLOTS slots, so that what a
+    whole region shares stays out of the prefixes; the order decides the cost only.
+    """
+    at = crowded.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("tree", "key", "rep", F.coalesce("component", "rep").alias("component"))
+    at = written(at, "crowded")
+    unsettled = at.groupBy("tree", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("tree", "key")
+    reps = written(at.join(unsettled, ["tree", "key"], "left_semi").select("rep", "component").distinct(), "unsettled")
+    sets = written(full_sets(docs, reps.select("rep"), shingle).join(reps, "rep"), "unsettled_sets")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for one in batch.column(0):
+                np.add.at(seen, (np.frombuffer(one.as_py(), np.uint64) % np.uint64(SLOTS)).astype(np.int64), 1)
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], names=["slot", "n"])
+
+    counts = sets.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    weight = np.zeros(SLOTS, np.int64)
+    for row in counts.toLocalIterator():  # at most SLOTS rows
+        weight[row.slot] = row.n
+    shared = docs.sparkSession.sparkContext.broadcast(weight)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                token, place, size = [], [], []
+                for one in part.column("shingles"):
+                    own = np.frombuffer(one.as_py(), np.uint64)
+                    first = len(own) + num * -len(own) // den + 1
+                    order = np.lexsort((own, shared.value[(own % np.uint64(SLOTS)).astype(np.int64)]))
+                    token.append(own[order[:first]].view(np.int64))
+                    place.append(np.arange(first, dtype=np.int64))
+                    size.append(first)
+                n = np.array([len(one.as_py()) // 8 for one in part.column("shingles")], np.int64)
+                cols = [np.concatenate(token), np.concatenate(place), *(np.repeat(c, size) for c in (part.column("rep").to_numpy(), part.column("component").to_numpy(), n))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols)], names=["token", "place", "rep", "component", "n"])
+
+    posts = written(sets.mapInArrow(prefix, "token long, place long, rep long, component long, n long"), "prefixes")
+    useful = posts.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    posts = written(posts.join(useful, "token", "left_semi"), "postings")
+    x, y = posts.alias("x"), posts.alias("y")
+    left = F.least(F.expr("x.n - x.place"), F.expr("y.n - y.place"))  # the most that the pair can share from this place on
+    fits = F.expr(f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)") & ((num + den) * left >= num * F.expr("x.n + y.n"))
+    met = x.join(y.hint("merge"), F.expr("x.token = y.token and x.component < y.component") & fits)
+    return met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text).
 
     Documents are linked when den * intersection >= num * union of their sets of `shingle`-word shingles; component_id is the
     smallest doc_id reachable. Equal sets form a class that takes part once. Candidates come from the forest; links
     are confirmed on full sets: first each document's best candidate, then, of the other pairs, those that still lie in
-    different components. Documents without words (null, empty, white space) are linked with nothing. Null ids are
+    different components; last, pairs of crowded regions that the forest leaves out, by an exact join. Documents without words (null, empty, white space) are linked with nothing. Null ids are
     linked with nothing and have no component (kept is true); rows that repeat an id must repeat its text, and share its result.
     """
     own = written(sketches(docs, shingle).withColumn("digest", F.when(F.col("doc_id").isNotNull(), F.col("digest"))), "sketches")
     reps = written(own.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig")).alias("x")).select("digest", F.col("x.doc_id").alias("rep"), F.col("x.n_shingles").alias("n_shingles"), F.col("x.sig").alias("sig")), "classes")
-    candidates = neighbours(written(forest_rows(reps), "forest"))
+    candidates, crowded = neighbours(written(forest_rows(reps), "forest"))
     likely = likely_pairs(candidates, reps, num, den)
     wanted = likely.select(F.col("a").alias("rep")).unionByName(likely.select(F.col("b").alias("rep"))).distinct()
     sets = written(full_sets(docs, wanted, shingle), "sets")
@@ -246,6 +311,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     rest = rest.where("coalesce(in_a, a) <> coalesce(in_b, b)").select("a", "b")
     links = written(links.unionByName(confirmed(rest, sets, num, den)), "links")
     groups = connected_components(links)
+    more = likely_pairs(crowded_pairs(crowded, groups, docs, shingle, num, den), reps, num, den)
+    ends = more.select(F.col("a").alias("rep")).unionByName(more.select(F.col("b").alias("rep"))).distinct()
+    more = written(confirmed(more, full_sets(docs, ends, shingle), num, den), "more")
+    groups = connected_components(links.unionByName(more))
     classes = reps.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = own.drop("sig").join(classes, "digest", "left")
     component = F.coalesce("component_id", "doc_id")

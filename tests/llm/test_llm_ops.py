@@ -389,3 +389,35 @@ def test_shards(spark, tmp_path):
     assert assign_shards(frame(spark, []), 40).count() == 0
     write_shards(frame(spark, rows), f"{tmp_path}/out", 4)
     assert spark.read.parquet(f"{tmp_path}/out").count() == len(rows)
+
+
+def test_crowded_regions_lose_no_link(spark, monkeypatch):
+    """Many documents with most shingles in common, few of them linked: the exact join finds what the orders leave out."""
+    from galeworks.llm import minhash
+
+    monkeypatch.setattr(minhash, "REGION", 4)
+    monkeypatch.setattr(minhash, "NEAREST", 0)
+    r = np.random.default_rng(12)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(90):
+        own = list(base)
+        for at in r.choice(110, int(r.integers(1, 5)), replace=False):
+            own[at] = f"x{r.integers(0, 400)}"
+        rows.append((i * 3 + 1, " ".join(own)))
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(frame(spark, rows), 4).collect()}
+    assert got == {i: top(i) for i in sets}
+    assert 3 < len(set(got.values())) < 85
