@@ -39,8 +39,9 @@ VIEWS = {
     "mask": """SELECT scan, uid, (scan * 17) % 180 + di + 5 AS i, (scan * 29) % 180 + dj + 5 AS j FROM
  (SELECT o_orderkey AS scan, o_custkey % 500 AS uid FROM {orders}) AS s
  CROSS JOIN range(-2, 3) AS a(di) CROSS JOIN range(-2, 3) AS b(dj) WHERE di * di + dj * dj <= 1 + (scan % 4)""",
-    "levels": """SELECT l_orderkey AS profile_id, l_partkey % 3 AS cluster, l_linenumber AS level, 1000.0 - 90 * l_linenumber AS p, 250.0 * l_linenumber + l_partkey % 50 AS z,
- 20.0 - 5 * l_linenumber + l_tax * 50 AS t, l_quantity AS u, l_discount * 100 AS v FROM {lineitem}""",
+    "levels": """SELECT l_orderkey AS profile_id, min(l_partkey) % 3 AS cluster, l_linenumber AS level, CAST(1000 - 90 * l_linenumber AS DOUBLE) AS p,
+ CAST(250 * l_linenumber + min(l_partkey) % 50 AS DOUBLE) AS z, CAST(20 - 5 * l_linenumber AS DOUBLE) + max(l_tax) * 50 AS t, CAST(max(l_quantity) AS DOUBLE) AS u,
+ CAST(max(l_discount) AS DOUBLE) * 100 AS v FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
 }
 
 

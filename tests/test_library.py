@@ -8,9 +8,12 @@ import numpy as np
 import pytest
 
 from galeworks import catalog
+from galeworks.operators import grid as G
+from galeworks.operators import models as M
 from galeworks.operators import skill as K
 from galeworks.operators import spatial as S
 from galeworks.operators.events import decluster_forward
+from galeworks.sources import readers as R
 
 DIR = "/root/testdata/sf0.001"
 TABLES = ["nation", "customer", "orders", "lineitem", "events"]
@@ -66,7 +69,11 @@ def test_radius_join_far_from_the_equator(spark):
     assert got == sorted((x[0], y[0]) for x in pts for y in pts if km(x, y) < 400)
 
 
-@pytest.mark.parametrize("name", ["severe_events", "gust_ratios", "asof_gust_to_scan", "decluster_group", "storm_classes", "bootstrap_scores"])
+NEWER = {f"galeworks.plans.{m}" for m in ("climate", "grid", "files", "models")}
+OLDER = ["severe_events", "gust_ratios", "asof_gust_to_scan", "decluster_group", "storm_classes", "bootstrap_scores"]
+
+
+@pytest.mark.parametrize("name", OLDER + [n for n, q in catalog.queries().items() if q.__module__ in NEWER and n in catalog.oracle_sql()])
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -77,3 +84,43 @@ def test_query_against_sql(spark, name):
     want = sorted(([row[i] for i in order] for row in found.fetchall()), key=str)
     got = sorted((list(r) for r in catalog.queries()[name](spark, DIR).select(columns).collect()), key=str)
     assert got == want
+
+
+def test_readers_take_bad_text(spark, tmp_path):
+    one, two = tmp_path / "one.csv", tmp_path / "two.csv"
+    one.write_text("hd, 1234,202401010059,202401010100, 12.5,Y,#\nhd,1234,x,2024,none,N,#\n")
+    two.write_text("hd,1234,2024,1,1,0,5,2023,12,31,14,5,36.0,Y,#\n")
+    got = R.read_raw_gusts(spark, str(one)).orderBy(*["dt_utc"]).collect()
+    assert [tuple(r) for r in got] == [(None, 1234, None, None, "N"), (dt.datetime(2024, 1, 1, 1), 1234, dt.datetime(2024, 1, 1, 0, 59), 12.5, "Y")]
+    assert [tuple(r) for r in R.read_raw_gusts(spark, str(two), layout=2).collect()] == [(dt.datetime(2023, 12, 31, 14, 5), 1234, dt.datetime(2024, 1, 1, 0, 5), 10.0, "Y")]
+    (tmp_path / "strokes.csv").write_text("2024-01-01,10:00:30,-30.5,140.25,1,2,3,4,5\nbad,x,1,y,,,,,\n")
+    strokes = sorted(map(tuple, R.read_strokes(spark, [], [str(tmp_path / "strokes.csv")]).collect()), key=str)
+    assert strokes == [(None, 1.0, None), (dt.datetime(2024, 1, 1, 10, 0, 30), -30.5, 140.25)]
+    for name in ("50_20240101_0000.zip", "50_20240103_0000.zip", "other.zip"):
+        (tmp_path / "scans").mkdir(exist_ok=True)
+        (tmp_path / "scans" / name).write_bytes(b"x")
+    import pyspark.sql.functions as F
+
+    found = R.discover_by_filename(spark, str(tmp_path / "scans"), r"_(\d{8}_\d{4})", "yyyyMMdd_HHmm", F.lit(dt.datetime(2024, 1, 1)), F.lit(dt.datetime(2024, 1, 2)))
+    assert [r["path"].rpartition("/")[2] for r in found.collect()] == ["50_20240101_0000.zip"]
+
+
+def test_gradient_of_a_plane(spark):
+    rows = [(0, i, j, -30.0 + i, 140.0 + j, 2.0 * math.radians(-30.0 + i) * 6373.0) for i in range(5) for j in range(5)]
+    df = spark.createDataFrame(rows, "h int, i int, j int, lat double, lon double, x double")
+    assert all(math.isclose(r["g"], 2.0) for r in G.gradient_magnitude(df, "h", "x", "g").collect())
+
+
+def test_models(spark):
+    r = np.random.default_rng(3)
+    rows = [(int(k % 3), float(10 * (k % 3) + r.normal()), float(r.normal()), int(10 * (k % 3) + r.normal() > 5)) for k in range(150)]
+    df = spark.createDataFrame(rows + [(0, None, 0.0, 0)], "own int, a double, b double, event int")
+    found = df.withColumn("group", M.kmeans_assign(["a", "b"], M.kmeans_fit(df, ["a", "b"], 3)))
+    assert M.adjusted_rand(found.where("a is not null"), "own", "group").first()["ari"] > 0.95
+    assert [x["group"] for x in found.where("a is null").collect()] == [None]
+    terms = M.logit_fit(df, ["a", "b"], "event")
+    assert K.auc(df.where("a is not null").withColumn("p", M.score(terms)), [], "event", "p").first()["auc"] > 0.98
+    loadings = M.pca(df, ["a", "b"], 2)
+    assert math.isclose(sum({x["component"]: x["variance"] for x in loadings.collect()}.values()), 1.0)
+    importances, scored = M.balanced_forest(df, ["a", "b"], "event")
+    assert importances.orderBy("importance", ascending=False).first()["predictor"] == "a" and scored.count() == 150
