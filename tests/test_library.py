@@ -124,3 +124,19 @@ def test_models(spark):
     assert math.isclose(sum({x["component"]: x["variance"] for x in loadings.collect()}.values()), 1.0)
     importances, scored = M.balanced_forest(df, ["a", "b"], "event")
     assert importances.orderBy("importance", ascending=False).first()["predictor"] == "a" and scored.count() == 150
+
+
+def test_stream_and_batch_agree(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from galeworks.streaming import gusts as T
+
+    events = spark.read.parquet(f"{DIR}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    events.repartitionByRange(3, "ts").write.parquet(str(tmp_path / "in"))
+    stream = T.gust_stream(spark, str(tmp_path / "in"), "user_id long, ts timestamp, value double")
+    for name, f in (("peaks", lambda d: T.hourly_peaks(d, ["user_id"], "ts", "value")), ("spells", lambda d: T.severe_spells(d, ["user_id"], "ts", "value", 50.0, "12 hours"))):
+        run = f(stream).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        run.awaitTermination(120)
+        assert run.exception() is None
+        got, want = (sorted(map(str, d.collect())) for d in (spark.table(name), f(events)))
+        assert got == want and got
