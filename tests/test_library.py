@@ -69,7 +69,7 @@ def test_radius_join_far_from_the_equator(spark):
     assert got == sorted((x[0], y[0]) for x in pts for y in pts if km(x, y) < 400)
 
 
-NEWER = {f"galeworks.plans.{m}" for m in ("climate", "grid", "files", "models")}
+NEWER = {f"galeworks.plans.{m}" for m in ("climate", "grid", "files", "models", "more")}
 OLDER = ["severe_events", "gust_ratios", "asof_gust_to_scan", "decluster_group", "storm_classes", "bootstrap_scores"]
 
 
