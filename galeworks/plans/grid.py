@@ -13,9 +13,9 @@ from galeworks.plans.views import ctes, rounded, view
 ENV, LEVELS = ctes("env"), ctes("levels")
 
 
-@query(ENV + " SELECT h, i // 4 AS bi, j // 4 AS bj, round(avg(s06), 6) AS s06, round(avg(lr13), 6) AS lr13 FROM env GROUP BY ALL")
+@query(ENV + " SELECT h, i // 4 AS bi, j // 4 AS bj, round(avg(s06), 10) AS s06, round(avg(lr13), 10) AS lr13 FROM env GROUP BY ALL")
 def coarsen(spark, sf_dir):
-    return rounded(G.coarsen(view(spark, sf_dir, "env"), ["h"], 4, ["s06", "lr13"]))
+    return rounded(G.coarsen(view(spark, sf_dir, "env"), ["h"], 4, ["s06", "lr13"]), 10)
 
 
 def _slope(v, x, keys, order):
