@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from galeworks import catalog
+from galeworks.operators import cases as C
 from galeworks.operators import grid as G
 from galeworks.operators import models as M
 from galeworks.operators import skill as K
@@ -69,7 +70,7 @@ def test_radius_join_far_from_the_equator(spark):
     assert got == sorted((x[0], y[0]) for x in pts for y in pts if km(x, y) < 400)
 
 
-NEWER = {f"galeworks.plans.{m}" for m in ("climate", "grid", "files", "models", "more")}
+NEWER = {f"galeworks.plans.{m}" for m in ("cases", "climate", "grid", "files", "models", "more")}
 OLDER = ["severe_events", "gust_ratios", "asof_gust_to_scan", "decluster_group", "storm_classes", "bootstrap_scores"]
 
 
@@ -140,3 +141,36 @@ def test_stream_and_batch_agree(spark, tmp_path):
         assert run.exception() is None
         got, want = (sorted(map(str, d.collect())) for d in (spark.table(name), f(events)))
         assert got == want and got
+
+
+def test_stratified_splits_keep_shares(spark):
+    df = spark.range(4000).selectExpr("id", "cast(id % 5 = 0 as int) as event")
+    got = C.stratified_splits(df, "id", "event", 2, 0.25).groupBy("split", "event", "test").count().collect()
+    assert len(got) == 8
+    for r in got:
+        assert abs(r["count"] / (800 if r["event"] else 3200) - (0.25 if r["test"] else 0.75)) < 0.01
+    both = C.stratified_splits(df, "id", "event", 2, 0.25).where("test").groupBy("id").count().where("count = 2").count()
+    assert 100 < both < 500
+    assert C.stratified_splits(df.where("false"), "id", "event", 2, 0.25).count() == 0
+
+
+def test_backfill_and_motion(spark):
+    df = C.backfill_columns(spark.createDataFrame([(1, 2.0)], "uid long, bbox double"), {"bbox": "double", "eccentricity": "double", "num_of_scans": "long"})
+    assert [tuple(r) for r in df.collect()] == [(1, 2.0, None, 0)]
+    gusts = spark.createDataFrame([("a", 1, 2), ("b", None, 2), ("c", -1, 9), ("d", 7, 2)], "g string, x long, y long")
+    tracks = spark.createDataFrame([(1, 5.0, 90.0), (2, 3.0, 90.0), (2, 4.0, 90.0), (-1, 9.0, 90.0)], "uid long, speed double, angle double")
+    got = {r["g"]: round(r["u"], 9) for r in C.storm_motion_of_gust(gusts, tracks, [], ["x", "y"]).collect()}
+    assert got == {"a": 5.0, "b": 4.0, "d": 4.0}
+    assert C.storm_motion_of_gust(gusts.union(gusts), tracks, [], ["x", "y"]).count() == 6
+
+
+def test_forward_selection_leaves_noise_out(spark):
+    from pyspark.sql import functions as F
+
+    r = np.random.default_rng(5)
+    rows = [(k, float(a), float(b), float(c), int(a + b + r.normal() / 3 > 0.3)) for k, (a, b, c) in enumerate(r.normal(size=(600, 3)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, noise double, event int")
+    draws = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda k: F.pmod(F.xxhash64("id", k), F.lit(1000)) < 632)
+    assert [x["predictor"] for x in M.forward_selection(df, ["noise", "a", "b"], "event", draws).collect()] in (["a", "b"], ["b", "a"])
+    a, noise = M.logit_p_values(df, ["a", "noise"], "event")
+    assert a < 1e-6 < 0.01 < noise
