@@ -32,21 +32,30 @@ def _leaf(tokens: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\x1f", F.size(tokens).cast("string"), _masked(F.slice(tokens, 1, LEADING)))))
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT) -> DataFrame:
+def _counted(tokens: Column, short: bool) -> Column:
+    """Whether a line has a leaf: more than LEADING tokens or, with `short`, a token without a digit."""
+    long = F.size(tokens) > LEADING
+    return long | F.exists(tokens, lambda t: ~t.rlike("[0-9]")) if short else long
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, short: bool = False) -> DataFrame:
     """doc_id, text without recurring lines, n_lines and n_dropped for every row of docs (doc_id, text).
 
     Lines are what stands between line ends. A line's leaf is its token count and its first LEADING tokens, tokens with a
     digit being wild. In leaves that `min_docs` rows hold, a later token is constant if `min_docs` of the rows' distinct
     lines have it at its place, else wild. Lines whose template has a constant share of `min_constant` and stands in
-    `min_docs` rows are dropped from all of them, whole; the others stay as they are. Lines of up to LEADING tokens are never
-    dropped. Null texts have no line and stay null; empty texts have one. Rows that repeat both id and text count as one.
+    `min_docs` rows are dropped from all of them, whole; the others stay as they are. Null texts have no
+    line and stay null; empty texts have one. Rows that repeat both id and text count as one.
+
+    Lines of up to LEADING tokens are never dropped unless `short` is set: then all of a short line's tokens are levels of the
+    tree, and it is a template of its own if one of them is constant, whatever the share. Lines without a token always stay.
     """
     own = docs.select("doc_id", "text").withColumn("mark", F.xxhash64("text"))
     lined = own.where("text is not null")
-    each = F.filter(F.transform(F.split("text", "\n", -1), _tokens), lambda t: F.size(t) > LEADING)
+    each = F.filter(F.transform(F.split("text", "\n", -1), _tokens), lambda t: _counted(t, short))
     leaves = lined.select(F.explode(F.array_distinct(F.transform(each, _leaf))).alias("leaf"))
     hot = written(leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
-    lines = lined.select("doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("raw", _tokens(F.col("line"))).where(F.size("raw") > LEADING)
+    lines = lined.select("doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("raw", _tokens(F.col("line"))).where(_counted(F.col("raw"), short))
     lines = lines.select("doc_id", "mark", "at", "raw", _leaf(F.col("raw")).alias("leaf")).join(hot, "leaf")
     tokens = lines.select("doc_id", "mark", "at", "leaf", _masked(F.col("raw")).alias("tokens"))
     # From here on a line is the name of its masked tokens, and a token a hash: rows stay short whatever the line's length.
@@ -64,7 +73,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant
     known = shapes.select("leaf", "shape", "n", "lead").join(spots, ["leaf", "shape"], "left")
     share = (F.col("lead") + F.coalesce(F.size("spots"), F.lit(0))) / F.col("n")
     template = F.xxhash64("leaf", F.coalesce(F.to_json("spots"), F.lit("[]")))
-    known = known.where(share >= min_constant).select("leaf", "shape", template.alias("template"))
+    known = known.where((share >= min_constant) | (F.col("n") <= LEADING)).select("leaf", "shape", template.alias("template"))
     shaped = written(lines.select("doc_id", "mark", "at", "leaf", "shape").join(known, ["leaf", "shape"]).select("doc_id", "mark", "at", F.struct("leaf", "template").alias("template")), "templates")
     recurring = shaped.select("doc_id", "mark", "template").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
     gone = shaped.join(recurring, "template", "left_semi").groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("its")).agg(F.collect_set("at").alias("gone"))

@@ -358,6 +358,17 @@ def test_lines(spark):
     assert drop_recurring_lines(frame(spark, [])).count() == 0
 
 
+def test_short_lines(spark):
+    """With `short`, lines of one to three words that five rows hold go; the others, and those without a word, stay."""
+    rows = [(i, f"All rights reserved.\nPage {i} of\nPage {i}\nsite: {i}\n{i} {i}\n\nSingle{'abcdefg'[i]}\n" + ("few rows" if i < 4 else "Next")) for i in range(7)]
+    rows += [(7, "Next\nall rights reserved.\nNext"), (8, "Next"), (None, "All rights reserved. More"), (6, rows[6][1])]
+    got = {r["doc_id"]: r for r in drop_recurring_lines(clashing(frame(spark, rows)), short=True).collect()}
+    for i in range(7):
+        assert got[i]["text"] == f"{i} {i}\n\nSingle{'abcdefg'[i]}" + ("\nfew rows" if i < 4 else "") and got[i]["n_dropped"] == (4 if i < 4 else 5)
+    assert got[7]["text"] == "all rights reserved." and got[8]["text"] == "" and got[None]["n_dropped"] == 0
+    assert {r["n_dropped"] for r in drop_recurring_lines(frame(spark, rows)).collect()} == {0}
+
+
 def jump(key, n):
     key &= 2**64 - 1
     b, j = -1, 0
