@@ -214,6 +214,25 @@ def test_secrets(spark, tmp_path):
     assert scan_secrets(frame(spark, [])).count() == 0
 
 
+def test_digit_and_letter_secrets(spark):
+    """Keys of digits alone and of mixed-case letters alone, by spans written by hand; words joined by marks stay."""
+    texts = {
+        0: ("pin 83920571648302957164 end", [(4, 24)]),
+        1: ("x 7391846205573910284617 y 11111111111111111122", [(2, 24)]),
+        2: ("key qZrTnLxVbWmKdYsPjHgFcQaB.", [(4, 28)]),
+        3: ("qZrTnLxVbW-mKdYsPjHgFcQaB", [(0, 25)]),
+        4: ("Well-Known-Words_joined=BY/marks== internationalization INTERNATIONALIZATION Internationalisierungen", []),
+    }
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["added"]] for r in scan_secrets(frame(spark, [(i, t) for i, (t, _) in texts.items()])).collect()}
+    assert got == {i: spans for i, (_, spans) in texts.items()}
+    clean = {r["doc_id"]: r["text"] for r in redact(frame(spark, [(i, t) for i, (t, _) in texts.items()])).collect()}
+    assert clean[0] == "pin [secret] end" and clean[2] == "key [secret]." and clean[3] == "[secret]" and clean[4] == texts[4][0]
+
+
+def test_long_joined_words(spark):
+    assert scan_secrets(frame(spark, [(0, "a-" * 20000 + "a")])).first()["added"] == []
+
+
 def test_redact(spark):
     rows = [*enumerate(SECRET_TEXTS)]
     got = {r["doc_id"]: r["text"] for r in redact(frame(spark, rows)).collect()}
