@@ -11,6 +11,8 @@ from galeworks.llm.common import written
 LEADING = 3
 #: A template recurs when this many rows hold it.
 MIN_DOCS = 5
+#: Tokens from which on a line is long.
+LONG = 50
 #: Share of a template's tokens that must be constant for it to count.
 MIN_CONSTANT = 0.7
 
@@ -38,7 +40,16 @@ def _counted(tokens: Column, short: bool) -> Column:
     return long | F.exists(tokens, lambda t: ~t.rlike("[0-9]")) if short else long
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, short: bool = False) -> DataFrame:
+def _long_lines(lined: DataFrame, least: int) -> DataFrame:
+    """doc_id, mark and place of the lines of LONG tokens or more whose tokens, as they are, stand in `least` rows."""
+    lines = lined.select("doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.length("line") >= 2 * LONG - 1)
+    tokens = lines.select("doc_id", "mark", "at", _tokens(F.col("line")).alias("raw")).where(F.size("raw") >= LONG)
+    lines = written(tokens.select("doc_id", "mark", "at", F.unhex(F.md5(F.concat_ws("\x1f", "raw"))).alias("whole")), "long")
+    shared = lines.select("doc_id", "mark", "whole").distinct().groupBy("whole").count().where(F.col("count") >= least)
+    return lines.join(shared, "whole", "left_semi").select("doc_id", "mark", "at")
+
+
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, short: bool = False, long_docs: int | None = None) -> DataFrame:
     """doc_id, text without recurring lines, n_lines and n_dropped for every row of docs (doc_id, text).
 
     Lines are what stands between line ends. A line's leaf is its token count and its first LEADING tokens, tokens with a
@@ -49,6 +60,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant
 
     Lines of up to LEADING tokens are never dropped unless `short` is set: then all of a short line's tokens are levels of the
     tree, and it is a template of its own if one of them is constant, whatever the share. Lines without a token always stay.
+    With `long_docs`, lines of LONG tokens or more are also dropped where that many rows hold the same tokens, digits included.
     """
     own = docs.select("doc_id", "text").withColumn("mark", F.xxhash64("text"))
     lined = own.where("text is not null")
@@ -76,7 +88,10 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant
     known = known.where((share >= min_constant) | (F.col("n") <= LEADING)).select("leaf", "shape", template.alias("template"))
     shaped = written(lines.select("doc_id", "mark", "at", "leaf", "shape").join(known, ["leaf", "shape"]).select("doc_id", "mark", "at", F.struct("leaf", "template").alias("template")), "templates")
     recurring = shaped.select("doc_id", "mark", "template").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
-    gone = shaped.join(recurring, "template", "left_semi").groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("its")).agg(F.collect_set("at").alias("gone"))
+    bad = shaped.join(recurring, "template", "left_semi").select("doc_id", "mark", "at")
+    if long_docs is not None:
+        bad = bad.unionByName(_long_lines(lined, long_docs))
+    gone = bad.groupBy(F.col("doc_id").alias("of"), F.col("mark").alias("its")).agg(F.collect_set("at").alias("gone"))
     # One kind of join whatever the size, and no sort of whole texts.
     out = own.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("of")) & F.col("mark").eqNullSafe(F.col("its")), "left").drop("of", "its")
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("gone", i)), "\n")

@@ -388,6 +388,16 @@ def test_short_lines(spark):
     assert {r["n_dropped"] for r in drop_recurring_lines(frame(spark, rows)).collect()} == {0}
 
 
+def test_long_lines(spark):
+    """With `long_docs`, a line of 50 words that two rows hold goes, digits and all; one of 49, or in one row alone, stays."""
+    words = lambda n, tag: " ".join(f"{tag}{'abcdefghij'[k % 10]}" for k in range(n))
+    two, digits, less, own = words(50, "x"), words(60, "y") + " 1999", words(49, "z"), words(70, "o")
+    rows = [(1, f"a\n{two}\n{digits}\n{less}"), (2, f"{two}  \nb"), (3, f"{digits}\n{less}\n{own}\n{own}"), (4, digits.replace("1999", "2000")), (4, digits.replace("1999", "2000")), (None, two)]
+    got = sorted(((r["doc_id"] or 0, r["text"], r["n_dropped"]) for r in drop_recurring_lines(clashing(frame(spark, rows)), long_docs=2).collect()), key=str)
+    assert got == [(0, "", 1), (1, f"a\n{less}", 2), (2, "b", 1), (3, f"{less}\n{own}\n{own}", 1), (4, rows[3][1], 0), (4, rows[3][1], 0)]
+    assert {r["n_dropped"] for r in drop_recurring_lines(frame(spark, rows)).collect()} == {0}
+
+
 def jump(key, n):
     key &= 2**64 - 1
     b, j = -1, 0
