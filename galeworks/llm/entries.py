@@ -87,8 +87,9 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_pieces(table(spark, sf_dir, "documents"), vocabulary(PIECE_BPE))
-    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    spans = F.concat_ws(";", joined("begins"), joined("ends"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined("ids"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2(spans, 256).alias("spans_sha256"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

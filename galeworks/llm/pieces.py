@@ -81,7 +81,8 @@ class PieceEncoder:
         pieces = [p.piece for p in proto.pieces]
         # Runs can be encoded apart where no piece joins a space mark to what stands before it, and none has a line end.
         self.apart = proto.trainer_spec.byte_fallback and spec.escape_whitespaces and not proto.trainer_spec.treat_whitespace_as_suffix and all(p.type in (1, 2, 3, 6) for p in proto.pieces) and not any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in pieces)
-        self.runs = re.compile("\n| +[^ \n]*|[^ \n]+")
+        # A mark that the text itself holds is the same sign as a space then, so a row of either is never cut.
+        self.runs = re.compile(f"\n|[ {SPACE}]+[^ {SPACE}\n]*|[^ {SPACE}\n]+")
         self.width = [1 if p.type == 6 else len(p.piece.encode()) for p in proto.pieces]
         self.narrow = [w if p.type == 6 else w - 2 * p.piece.count(SPACE) for w, p in zip(self.width, proto.pieces, strict=True)]
         # A processor for text that is normalised already.
@@ -155,12 +156,14 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     ids are those of the library without begin or end marks; piece i covers bytes begins[i] to ends[i] of the original
     text, and the spans follow each other; decoded is the library's decoding of ids. Null and empty texts give empty lists
     and an empty text. Ids of documents are passed through, null or repeated. Whole texts are read whatever their length.
+    The driver alone reads the model's file, some 500 kB; its bytes travel with the tasks.
     """
     schema = "doc_id long, ids array<int>, begins array<int>, ends array<int>, decoded string"
+    with open(model_path, "rb") as file:
+        model = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(model_path, "rb") as file:
-            encoder = PieceEncoder(file.read())
+        encoder = PieceEncoder(model.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

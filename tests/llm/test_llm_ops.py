@@ -305,6 +305,31 @@ def test_pieces(spark):
     assert encode_pieces(frame(spark, []), vocabulary(PIECE_BPE)).count() == 0
 
 
+def test_pieces_fuzz():
+    """5000 seeded texts over marks, spaces, controls, byte-fallback signs and words, against the library."""
+    import sentencepiece
+
+    with open(vocabulary(PIECE_BPE), "rb") as file:
+        model = file.read()
+    library, own = sentencepiece.SentencePieceProcessor(model_proto=model), PieceEncoder(model)
+    r = np.random.default_rng(77)
+    signs = ["▁", "▁▁", " ", "  ", "\n", "\t", "\r", "\x00", "\x01", "日", "本", "ȇ", "😀", "é", "\u0301", "\u3000", "\xa0", "t", "the", "ing", "<s>", "<0x0A>", "1", "23", ".", "''", "Ab"]
+    texts = ["▁ 日", "t▁ ȇ", "▁", " ▁ ", "\n▁\n", *("".join(signs[k] for k in r.integers(0, len(signs), int(r.integers(1, 14)))) for _ in range(5000))]
+    wrong = [t for t, (ids, begins, ends) in zip(texts, own.encode_all(texts), strict=True) if ids.tolist() != library.encode(t) or (begins[0], ends[-1]) != (0, len(t.encode())) or (begins[1:] != ends[:-1]).any()]
+    assert wrong == []
+
+
+def test_pieces_query_digests_spans(spark, tmp_path):
+    from galeworks.llm.entries import op9_sentencepiece
+
+    frame(spark, [(1, "two words"), (2, None)]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["spans_sha256"] for r in op9_sentencepiece(spark, str(tmp_path)).collect()}
+    with open(vocabulary(PIECE_BPE), "rb") as file:
+        _, begins, ends = PieceEncoder(file.read()).encode("two words")
+    said = ",".join(map(str, begins)) + ";" + ",".join(map(str, ends))
+    assert got == {1: hashlib.sha256(said.encode()).hexdigest(), 2: hashlib.sha256(b";").hexdigest()}
+
+
 def test_character_map():
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2
