@@ -99,12 +99,32 @@ def test_exact(spark):
 
 
 def test_index_takes_batches(spark):
-    index = DigestIndex(spark)
-    digests = lambda rows: spark.createDataFrame([(bytearray(d), i) for d, i in rows], "digest binary, doc_id long")
-    index.add(digests([(b"a", 3), (b"b", 2)]))
-    index.add(digests([(b"a", 1), (b"c", 9)]))
-    assert {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in index.compact("smallest").collect()} == {b"a": (1, 2), b"b": (2, 1), b"c": (9, 1)}
-    assert [r["keep_id"] for r in index.find(digests([(b"a", 5)])).collect()] == [1]
+    """Memtables, levels and ranges: a later batch rewrites only the ranges it falls into, and lookups read theirs alone."""
+    index = DigestIndex(spark, keep="smallest", memtable=2)
+    digests = lambda rows: spark.createDataFrame([(bytearray(d), i) for d, i in rows], "digest binary, doc_id long").coalesce(1)
+    read = lambda df: {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in df.collect()}
+    first = index.add(digests([(b"\x00a", 3), (b"\x00b", 2), (b"\xf0c", 7), (b"\x00a", 8), (b"\xf0c", 1)]))
+    assert len(first.inputFiles()) == 3  # memtables of two rows
+    assert read(index.compact()) == {b"\x00a": (3, 2), b"\x00b": (2, 1), b"\xf0c": (1, 2)} and index.ranges == {0: 1, 60: 1}
+    index.add(digests([(b"\x00a", 1), (b"\x00d", 9)]))
+    index.add(digests([(b"\x00d", 4)]))
+    assert read(index.compact()) == {b"\x00a": (1, 3), b"\x00b": (2, 1), b"\x00d": (4, 2), b"\xf0c": (1, 2)} and index.ranges == {0: 3, 60: 1}
+    found = index.find(digests([(b"\xf0c", 5), (b"\xf0x", 6)]))
+    assert {bytes(r["digest"]): r["keep_id"] for r in found.collect()} == {b"\xf0c": 1, b"\xf0x": None}
+    assert all("range=60" in f for f in index.level1([60]).inputFiles())
+    assert "PushedFilters: [Or(EqualTo(digest" in found._jdf.queryExecution().toString()
+    many = index.find(digests([(b"\x00" + bytes([k]), k) for k in range(100)] + [(b"\x00d", 0)]))
+    assert sum(r["keep_id"] is not None for r in many.collect()) == 3
+    assert read(index.compact()) == read(index.level1()) and index.find(digests([])).count() == 0
+
+
+def test_slot_filter_keeps_all_keys(spark):
+    from galeworks.llm.common import marked_slots, slot_filter
+
+    keys = spark.range(0, 3000, 3)
+    got = {r["id"] for r in slot_filter(spark.range(0, 30000), marked_slots(keys, "id"), "id").collect()}
+    assert set(range(0, 3000, 3)) <= got and len(got) < 3000
+    assert slot_filter(keys, marked_slots(keys.where("false"), "id"), "id").count() == 0
 
 
 @pytest.mark.parametrize("size", [4, 5])
