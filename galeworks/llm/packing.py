@@ -29,15 +29,16 @@ class WordIds(dict):
     """Word -> its ids as little-endian unsigned 32-bit bytes, worked out once.
 
     The file's own vocabulary, read as byte ranks, encodes single words several times faster than the whole tokenizer. That
-    gives the same ids where each merge's rank follows its id, which is looked up in the file; else the tokenizer is asked.
+    gives the same ids where the file cuts and merges as WORDS and ranks do, which `_by_ranks` looks up in it; else the
+    tokenizer is asked for whole texts.
     """
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, file: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+        tokenizer = Tokenizer.from_str(file)
         self.ask = lambda text: np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        self.word = _by_ranks(tokenizer_path) or self.ask
+        self.word = _by_ranks(file)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMORY:
@@ -48,15 +49,21 @@ class WordIds(dict):
     def text(self, text: str) -> bytes:
         """Ids never cross the words of the tokenizer's own pattern, so words are looked up one by one; texts with
         characters beyond those that WORDS is exact for, or with a special token's mark, are encoded whole."""
-        return self.ask(text) if BEYOND.search(text) else b"".join(map(self.__getitem__, WORDS.findall(text)))
+        return self.ask(text) if self.word is None or BEYOND.search(text) else b"".join(map(self.__getitem__, WORDS.findall(text)))
 
 
-def _by_ranks(tokenizer_path: str):
-    """A function from a word to its ids' bytes, or None if the file's merges are not in the order of their ids."""
+def _by_ranks(file: str):
+    """A function from a word to its ids' bytes; None unless the file cuts words as WORDS does (byte level, by its own
+    pattern, without a prefix), normalises nothing, marks its added tokens as BEYOND expects, and merges in the order of ids."""
     import tiktoken
 
-    with open(tokenizer_path, encoding="utf-8") as file:
-        model = json.load(file)["model"]
+    spec = json.loads(file)
+    model, cut = spec["model"], spec["pre_tokenizer"] or {}
+    plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space") and spec["normalizer"] is None
+    plain &= all(BEYOND.search(t["content"]) and not (t["lstrip"] or t["rstrip"]) for t in spec["added_tokens"])
+    plain &= model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+    if not plain:
+        return None
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     signs = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
     merged = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
@@ -73,14 +80,16 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int, w
     """doc_id, piece, start, length, ids_crc32 (and ids): the pieces of every document of docs (doc_id, text).
 
     A document's ids are followed by end_id; null and empty texts are end_id alone. Longer documents are cut so that
-    all pieces but the first have `size` ids.
+    all pieces but the first have `size` ids. The driver alone reads the tokenizer's file, a few MB; it travels with the tasks.
     """
+    with open(tokenizer_path, encoding="utf-8") as opened:
+        shipped = docs.sparkSession.sparkContext.broadcast(opened.read())
     fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     fields += [("ids", pa.list_(pa.int64()))] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, end = WordIds(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        words, end = WordIds(shipped.value), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 rows: list[tuple] = []
@@ -109,12 +118,47 @@ def plan_sequences(counts: dict[int, int], size: int) -> list[tuple[tuple[int, .
     return min(plans, key=lambda plan: sum(n for _, n in plan))
 
 
+class SumIndex:
+    """The sums of one, two and three lengths, and how many pieces of each length are still there.
+
+    pairs[s] lists the pairs (a, b), a >= b, of lengths with a + b = s, longest a first; a triple is a length c and a pair
+    of lengths up to c whose sum is s - c. The pairs are hashed by their sum once; pairs that have run out are skipped.
+    """
+
+    def __init__(self, counts: dict[int, int], size: int):
+        self.left = np.zeros(size + 1, np.int64)
+        for length, n in counts.items():
+            self.left[length] = n
+        self.lengths = np.flatnonzero(self.left)[::-1]
+        self.pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for k, a in enumerate(self.lengths.tolist()):
+            for b in self.lengths[k:].tolist():
+                if a + b < size:
+                    self.pairs[a + b].append((a, b))
+
+    def single(self, total: int, most: int) -> Iterator[tuple[int, ...]]:
+        if total <= most and self.left[total]:
+            yield (total,)
+
+    def pair(self, total: int, most: int) -> Iterator[tuple[int, ...]]:
+        """Pairs of the sum `total`, of lengths up to `most`, that are there."""
+        for a, b in self.pairs.get(total, ()):
+            if a <= most and self.left[a] and self.left[b]:
+                yield a, b
+
+    def triple(self, total: int, most: int) -> Iterator[tuple[int, ...]]:
+        for c in self.lengths.tolist():
+            if c <= most and c < total and self.left[c] and 3 * c >= total:
+                for pair in self.pair(total - c, c):
+                    yield c, *pair
+
+
 def _plan(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """Full lengths alone, then gaps that one, two ... `most` lengths fill exactly, consumed as often as all their
-    lengths are still there, longest first; the rest goes, longest first, into the fullest open sequence with room."""
-    left = np.zeros(size + 1, np.int64)
-    for length, n in counts.items():
-        left[length] = n
+    """Full lengths alone; then, longest first, the gap beside each length is looked up among the sums of one, two ...
+    `most` lengths, and what fills it exactly is consumed as often as all its lengths are still there. The rest goes,
+    longest first, into the fullest open sequence with room."""
+    index = SumIndex(counts, size)
+    left = index.left
     plan: list[tuple[tuple[int, ...], int]] = []
 
     def use(*lengths: int) -> None:
@@ -125,26 +169,13 @@ def _plan(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int,
                 left[x] -= times
 
     use(size)
-    for a in range(size - 1, 0, -1):
-        if left[a] and a >= size - a:
-            use(a, size - a)
-    for a in range(size - 2, 0, -1) if most > 1 else ():
-        for b in range(min(a, size - a - 1), 0, -1):
-            if not left[a]:
-                break
-            if left[b] and 1 <= size - a - b <= b:
-                use(a, b, size - a - b)
-    for a in range(size - 3, 0, -1) if most > 2 else ():
-        for b in np.flatnonzero(left[: min(a, size - a - 2) + 1])[::-1].tolist():
-            if not left[a]:
-                break
-            c = np.arange(1, min(b, size - a - b - 1) + 1)
-            d = size - a - b - c
-            fits = (d >= 1) & (d <= c)
-            c, d = c[fits], d[fits]
-            there = (left[c] > 0) & (left[d] > 0)
-            for x, y in zip(c[there].tolist(), d[there].tolist(), strict=True):
-                use(a, b, x, y)
+    for sums in (index.single, index.pair, index.triple)[:most]:
+        for a in index.lengths.tolist():
+            if left[a] and a < size:
+                for fill in sums(size - a, a):
+                    use(a, *fill)
+                    if not left[a]:
+                        break
     open_: dict[int, Counter] = defaultdict(Counter)  # room left -> contents -> how many
     for length in range(size, 0, -1):
         n = int(left[length])
@@ -166,14 +197,15 @@ def _plan(counts: dict[int, int], size: int, most: int) -> list[tuple[tuple[int,
     return plan + [(contents, n) for bins in open_.values() for contents, n in bins.items() if n]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 1024, buckets: int = 64, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 1024, buckets: int | None = None, with_ids: bool = False) -> DataFrame:
     """The pieces of token_pieces with sequence_id and offset: every piece lies in one sequence of at most `size` ids.
 
     Pieces are tokenised once and written. The driver sees the count of each length (at most `size` rows) and plans from
-    these alone; pieces are numbered within their length in parallel, by ranges of a hash bucket, and look their place up in
-    the plan, whose size is bounded too. Offsets in a sequence are gapless. Repeated rows and null ids are packed
+    these alone; pieces are numbered within their length in parallel, by hash bucket (as many as the session has
+    shuffle partitions, if not given), and look their place up in the plan, whose size is bounded too. Offsets in a sequence are gapless. Repeated rows and null ids are packed
     like any other; an empty table gives no rows.
     """
+    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pieces = written(token_pieces(docs, tokenizer_path, end_id, size, with_ids), "pieces")
     bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets))
     counts = written(pieces.groupBy("length", bucket.alias("bucket")).count(), "lengths")

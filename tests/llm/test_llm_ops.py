@@ -326,6 +326,32 @@ def test_plan():
         assert sum(n for _, n in plan) <= max(math.ceil(total / 100), sum(n for k, n in counts.items() if k > 50)) * 11 / 9 + 1
 
 
+def test_exact_complements():
+    """Gaps that one, two or three lengths fill exactly are filled; a plan with fewer sequences is taken over an exact one."""
+    from galeworks.llm.packing import SumIndex
+
+    index = SumIndex({5: 1, 3: 2, 2: 1, 1: 1}, 10)
+    assert list(index.single(5, 9)) == [(5,)] and list(index.pair(6, 9)) == [(5, 1), (3, 3)] and list(index.pair(6, 4)) == [(3, 3)]
+    assert list(index.triple(8, 5)) == [(5, 2, 1), (3, 3, 2)]
+    assert sum(n for _, n in plan_sequences({7: 2, 2: 2, 1: 2}, 10)) == 2
+    assert sum(n for _, n in plan_sequences({4: 1, 3: 1, 2: 1, 1: 1, 10: 3}, 10)) == 4
+    assert plan_sequences({}, 10) == []
+
+
+def test_unknown_tokenizer_is_asked_whole():
+    """A file that cuts words in another way never takes the fast path."""
+    import json
+
+    from galeworks.llm.packing import WordIds
+
+    with open(vocabulary(BYTE_BPE), encoding="utf-8") as file:
+        spec = json.load(file)
+    assert WordIds(json.dumps(spec)).word is not None
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}):
+        words = WordIds(json.dumps(spec | change))
+        assert words.word is None and words.text("Some words") == words.ask("Some words")
+
+
 def test_pieces(spark):
     import sentencepiece
 
