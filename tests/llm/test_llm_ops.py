@@ -145,6 +145,28 @@ def test_near(spark, size):
     assert near_duplicates(frame(spark, []), size).count() == 0
 
 
+def test_depth_follows_the_region():
+    """Common prefixes of a sorted order; a region too large at one depth is split by further values, and the rest is not named."""
+    from galeworks.llm.minhash import DEPTH, common_prefixes, regions
+
+    more = lambda *v: int(np.array(sum(x << (16 * (3 - k)) for k, x in enumerate(v)), np.uint64).view(np.int64))
+    rows = [(0, 1, more(1, 1, 1, 1))] * 2 + [(0, 1, more(1, 1, 2, 1)), (0, 1, more(1, 2, 0, 0)), (0, 2, more(0, 0, 0, 0)), (0, 2, more(9, 0, 0, 0)), (1, 2, more(9, 0, 0, 0))] + [(1, 5, more(7, 7, 7, 7))] * 4
+    t, k, m = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+    same = common_prefixes(t, k, m)
+    assert same.tolist() == [0, DEPTH + 4, DEPTH + 2, DEPTH + 1, 0, DEPTH, 0, 0, DEPTH + 4, DEPTH + 4, DEPTH + 4]
+    size, name, found = regions(same, 3)
+    assert size.tolist() == [4, 4, 4, 4, 2, 2, 1, 4, 4, 4, 4] and found.tolist() == [True] * 7 + [False] * 4
+    assert name[0] == name[1] == name[2] != name[3] and name[4] == name[5] != name[6]  # 0-2 share six values, 3 shares five with them
+
+
+def test_near_hot_shingle_in_blocks(spark, monkeypatch):
+    """A shingle of more rows than a block holds is joined in blocks, and no link of a crowded region is lost."""
+    from galeworks.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    test_crowded_regions_lose_no_link(spark, monkeypatch)
+
+
 def test_near_large_region(spark):
     r = np.random.default_rng(9)
     base = prose(120, r)
