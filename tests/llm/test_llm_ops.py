@@ -201,6 +201,60 @@ def test_vectors(spark):
     assert near_vectors(df.where("false")).count() == 0
 
 
+def test_vector_blocks_and_repeated_ids(spark, monkeypatch):
+    """A bucket of several blocks counts every link once; rows of one id have their own vectors' results."""
+    from galeworks.llm import embeddings
+
+    monkeypatch.setattr(embeddings, "BLOCK", 16)
+    r = np.random.default_rng(4)
+    base = r.standard_normal(64)
+    rows = [(i, (base + (0.02 + i / 900) * r.standard_normal(64)).astype("f4").tolist()) for i in range(150)]
+    rows += [(500, r.standard_normal(64).astype("f4").tolist()), (500, rows[0][1]), (501, [1.0, 0.0]), (502, [1.0, 1.0])]
+    x = np.array([v for _, v in rows[:150]], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    got = {(i, k): (n, c) for k, (i, n, c, _) in enumerate(sorted(map(tuple, near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())))}
+    want = near.sum(axis=1) - 1 + near[0]  # row 0's vector stands twice
+    assert [got[i, i][0] for i in range(150)] == want.tolist()
+    assert sorted(v[1] for (i, _), v in got.items() if i == 500) == [0, 500]
+
+
+def test_vector_recall(spark):
+    """Links of the rows whose id 50 divides, against all rows of the given table with two noisy copies of each: none is lost."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.array([r["embedding"] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r = np.random.default_rng(14)
+    noise = r.standard_normal((2, *x.shape)) * r.uniform(0.1, 0.4, (2, len(x), 1)) / math.sqrt(x.shape[1])
+    ids = [k * 1_000_000 + row["vec_id"] for k in range(3) for row in rows]
+    x = np.concatenate([x, *(x + noise)]).astype("f4")
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")
+    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {i: int((x @ x[k] >= 0.95).sum()) - 1 for k, i in enumerate(ids) if i % 50 == 0}
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(docs).collect()}
+    assert len(got) == len(ids) and sum(want.values()) > 100
+    assert {i: got[i] for i in want} == want
+
+
+def test_confidence_bound():
+    """The estimate is unbiased, and lies beyond its bound no more often than stated."""
+    from galeworks.llm.embeddings import MISS, confidence, rotations
+
+    r, dim, least = np.random.default_rng(6), 64, 0.95
+    x, y = r.standard_normal((2, 2000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y = least * x + math.sqrt(1 - least**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    errors = []
+    for mat in rotations(dim, 20, 5):
+        o, q = x @ mat.T, y @ mat.T
+        c = np.sign(o) / math.sqrt(dim)
+        f = (o * c).sum(axis=1)
+        errors.append(((q * c).sum(axis=1) / f - least) / (math.sqrt(1 - least**2) * np.sqrt(1 - f * f) / f))
+    errors = np.concatenate(errors)
+    assert abs(errors.mean()) < 0.005 and (np.abs(errors) > confidence(dim)).mean() <= 10 * MISS and confidence(dim) < 0.7
+
+
 def test_urls(spark):
     urls = ["https://www.example.com/en/1", "http://example.com/en/", "http://Example.COM/en/x?y#z", "http://a.net/fr/", "http://net/es/1", "ftp://x.org", "nothing", None, "", "://", "http://com", "http://b.com/en", "http://m.example.com/en/?q=://x", "http://a.net#/fr/", "http://.com/"]
     rows = [(i, u, "h", "p") for i, u in enumerate([*urls, *urls[:3]])]
