@@ -41,11 +41,11 @@ def _counted(tokens: Column, short: bool) -> Column:
 
 
 def _long_lines(lined: DataFrame, least: int) -> DataFrame:
-    """doc_id, mark and place of the lines of LONG tokens or more whose tokens, as they are, stand in `least` rows."""
+    """doc_id, mark and place of the lines of LONG tokens or more whose tokens, as they are, stand in `least` different texts."""
     lines = lined.select("doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.length("line") >= 2 * LONG - 1)
     tokens = lines.select("doc_id", "mark", "at", _tokens(F.col("line")).alias("raw")).where(F.size("raw") >= LONG)
     lines = written(tokens.select("doc_id", "mark", "at", F.unhex(F.md5(F.concat_ws("\x1f", "raw"))).alias("whole")), "long")
-    shared = lines.select("doc_id", "mark", "whole").distinct().groupBy("whole").count().where(F.col("count") >= least)
+    shared = lines.select("mark", "whole").distinct().groupBy("whole").count().where(F.col("count") >= least)
     return lines.join(shared, "whole", "left_semi").select("doc_id", "mark", "at")
 
 
@@ -60,7 +60,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant
 
     Lines of up to LEADING tokens are never dropped unless `short` is set: then all of a short line's tokens are levels of the
     tree, and it is a template of its own if one of them is constant, whatever the share. Lines without a token always stay.
-    With `long_docs`, lines of LONG tokens or more are also dropped where that many rows hold the same tokens, digits included.
+    With `long_docs`, lines of LONG tokens or more are also dropped where that many different texts hold the same tokens, digits
+    included; equal texts count as one there, so a document and its copies alone keep their long lines up to `min_docs` rows.
     """
     own = docs.select("doc_id", "text").withColumn("mark", F.xxhash64("text"))
     lined = own.where("text is not null")
