@@ -12,6 +12,9 @@ EARTH_KM = 6373.0
 # The logistic diagnostic of severe-wind environments.
 BDSD = {"ebwd": 6.1e-02, "Umean800_600": 1.5e-01, "lr13": 9.4e-01, "rhmin13": 3.9e-02, "srhe_left": 1.7e-02, "q_melting": 3.8e-01, "eff_lcl": 4.7e-04, "const": -1.3e01}
 
+# Which terms of it the stand-in grid has fields for.
+BDSD_STAND_IN = {"ebwd": "s06", "Umean800_600": "umean06", "lr13": "lr13", "q_melting": "qmean01"}
+
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance on a sphere of EARTH_KM."""
@@ -108,6 +111,11 @@ def scw_flag(gust: Column, gust_ratio: Column, near: Column, least_gust: float =
     return F.coalesce((gust >= least_gust) & (gust_ratio >= least_ratio) & (near == 1), F.lit(False))
 
 
+def lightning_qualified(scw: Column, strokes: Column, least: int = 2) -> Column:
+    """Severe with as many strokes around."""
+    return F.coalesce((scw == 1) & (strokes >= least), F.lit(False))
+
+
 def potential_temp(t_kelvin: Column, p_hpa: Column) -> Column:
     return t_kelvin * F.pow(1000.0 / p_hpa, F.lit(0.2854))
 

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galeworks.operators.ordered import exact_quantiles, running_totals
+
 
 def days_per_month(df: DataFrame, keys: Sequence[str], day: Column, flags: Mapping[str, Column]) -> DataFrame:
     """Days of each month on which a flag holds at any step, for each flag."""
@@ -27,12 +29,11 @@ def share_of_all(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
 
 
 def box_summary(df: DataFrame, keys: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:
-    """Quartiles of each group, and its last values within `reach` times their distance."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
-    q = q.select(*keys, *[F.col("__q")[k].alias(n) for k, n in enumerate(("q25", "q50", "q75"))])
+    """Quartiles of each group, its last values within `reach` times their distance, and its full range (least, most)."""
+    q = exact_quantiles(df, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
     over = reach * (F.col("q75") - F.col("q25"))
     inside = F.when(F.col(value).between(F.col("q25") - over, F.col("q75") + over), F.col(value))
-    return df.join(q, list(keys)).groupBy(*keys, "q25", "q50", "q75").agg(F.min(inside).alias("low"), F.max(inside).alias("high"))
+    return df.join(q, list(keys)).groupBy(*keys, "q25", "q50", "q75").agg(F.min(inside).alias("low"), F.max(inside).alias("high"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
 def bins(value: Column, low: float, high: float, n: int) -> Column:
@@ -51,8 +52,8 @@ def hist2d(df: DataFrame, x: Column, y: Column, nx: int, ny: int) -> DataFrame:
 def mid_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Ranks with ties at their middle; rows meet by value first, so only distinct values are ordered."""
     by = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy(value)) - F.col("__n")
-    return df.join(by.select(*keys, value, (before + (F.col("__n") + 1) / 2).alias(name)), [*keys, value])
+    ran = running_totals(by, keys, [value], ["__n"])
+    return df.join(ran.select(*keys, value, (F.col("before___n") + (F.col("__n") + 1) / 2).alias(name)), [*keys, value])
 
 
 def ensemble_share_change(df: DataFrame, model: str, period: str, point: str, condition: Column, flag: Column) -> DataFrame:

@@ -84,18 +84,36 @@ def surface_prepend(levels: DataFrame, surface: DataFrame, key: str, pressure: s
     return levels.join(bound, key).where(F.col(pressure) <= F.col("__ps")).drop("__ps").unionByName(surface)
 
 
-def interp_profile(df: DataFrame, keys: Sequence[str], height: str, values: Sequence[str], targets: Sequence[float]) -> DataFrame:
-    """Values at fixed heights between the levels that bracket them; heights outside a profile give no row."""
-    w = Window.partitionBy(*keys).orderBy(height)
-    at = df.select(*keys, height, *values, F.lead(height).over(w).alias("__z"), *[F.lead(v).over(w).alias(f"__{v}") for v in values])
-    fits = F.filter(F.array(*[F.lit(float(t)) for t in targets]), lambda t: (t == F.col(height)) | ((t > F.col(height)) & (t < F.col("__z"))))
-    part = (F.col("target") - F.col(height)) / (F.col("__z") - F.col(height))
-    out = at.withColumn("target", F.explode(fits))
-    return out.select(*keys, "target", *[F.when(F.col("target") == F.col(height), F.col(v)).otherwise(F.col(v) + part * (F.col(f"__{v}") - F.col(v))).alias(v) for v in values])
-
-
-def layer_mean(df: DataFrame, keys: Sequence[str], pressure: str, values: Sequence[str]) -> DataFrame:
-    """Means weighted by pressure thickness (trapezoids); a single level gives its value."""
+def interp_profile(df: DataFrame, keys: Sequence[str], axis: str, values: Sequence[str], targets: Sequence[float] | Column) -> DataFrame:
+    """Values of each profile at every target between the levels that bracket it, along an axis of heights or pressures; null outside.
+
+    Targets are the same for all profiles, or a column with an array of them.
+    """
+    asked = targets if isinstance(targets, Column) else F.array(*[F.lit(float(t)) for t in targets])
+    w = Window.partitionBy(*keys).orderBy(axis)
+    at = df.withColumn("__targets", asked).select(*keys, axis, "__targets", *values, F.lead(axis).over(w).alias("__next"), F.row_number().over(w).alias("__first"), *[F.lead(v).over(w).alias(f"__next_{v}") for v in values])
+    inside = lambda t: (t == F.col(axis)) | ((t > F.col(axis)) & (t < F.col("__next")))
+    part = (F.col("target") - F.col(axis)) / (F.col("__next") - F.col(axis))
+    # The first level lists all targets, so that those outside the profile have a row; of a target's rows, the one with a value counts.
+    out = at.withColumn("target", F.explode(F.filter("__targets", lambda t: inside(t) | (F.col("__first") == 1)))).withColumn("__in", inside(F.col("target")))
+    found = [F.when(F.col("__in"), F.when(F.col("target") == F.col(axis), F.col(v)).otherwise(F.col(v) + part * (F.col(f"__next_{v}") - F.col(v)))).alias(v) for v in values]
+    return out.select(*keys, "target", "__in", *found).groupBy(*keys, "target").agg(F.max_by(F.struct(*values), F.coalesce("__in", F.lit(False))).alias("__found")).select(*keys, "target", *[F.col(f"__found.{v}").alias(v) for v in values])
+
+
+def composite_profile(df: DataFrame, keys: Sequence[str], cluster: str, height: str, pressure: str, values: Sequence[str], targets: Sequence[float]) -> DataFrame:
+    """(cluster, target, pressure, values): mean profiles at fixed heights. A height's pressure is the mean of the cluster's profiles there,
+    and the other values are taken at that pressure and averaged; nulls are left out. A cluster's pressures are as many as targets."""
+    mean = interp_profile(df, [*keys, cluster], height, [pressure], targets).groupBy(cluster, "target").agg(F.avg(pressure).alias(pressure)).where(F.col(pressure).isNotNull())
+    asked = mean.groupBy(cluster).agg(F.collect_set(pressure).alias("__p"))
+    at = interp_profile(df.join(asked, cluster), [*keys, cluster], pressure, values, F.col("__p"))
+    own = at.groupBy(cluster, F.col("target").alias(pressure)).agg(*[F.avg(v).alias(v) for v in values])
+    return mean.join(own, [cluster, pressure]).select(cluster, "target", pressure, *values)
+
+
+def layer_mean(df: DataFrame, keys: Sequence[str], pressure: str, values: Sequence[str], weighted: bool = True) -> DataFrame:
+    """Means weighted by pressure thickness (trapezoids), or plain ones; a single level gives its value."""
+    if not weighted:
+        return df.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in values])
     w = Window.partitionBy(*keys).orderBy(F.desc(pressure))
     at = df.select(*keys, pressure, *values, (F.col(pressure) - F.lead(pressure).over(w)).alias("__d"), *[((F.col(v) + F.lead(v).over(w)) / 2).alias(f"__{v}") for v in values])
     return at.groupBy(*keys).agg(*[F.when(F.count("*") == 1, F.max(v)).otherwise(ratio(F.sum(F.col(f"__{v}") * F.col("__d")), F.sum("__d"))).alias(v) for v in values])

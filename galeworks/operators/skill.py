@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galeworks.operators.ordered import running_totals
+
 
 def contingency(df: DataFrame, keys: Sequence[str], event: str, forecast: Column) -> DataFrame:
     hit = F.col(event) == 1
@@ -24,41 +26,72 @@ def scores(table: DataFrame, least_hit_rate: float = 0.66) -> DataFrame:
     return table.withColumns({"pod": pod, "far": over(f, h + f), "bias": over(h + f, h + m), "csi": over(h, h + m + f), "tss": pod - over(f, f + c), "hss": F.when(pod > least_hit_rate, hss).otherwise(0.0)})
 
 
-def auc(df: DataFrame, keys: Sequence[str], event: str, value: str, weight: str | None = None) -> DataFrame:
-    """Area under the ROC curve by mid-ranks: rows meet by value first, so only distinct values are ordered. Nulls go."""
+def auc(df: DataFrame, keys: Sequence[str], event: str, value: str, weight: str | None = None, orient: str | None = None) -> DataFrame:
+    """Area under the ROC curve by mid-ranks: rows meet by value first, so only distinct values are ordered. Nulls go.
+
+    orient "mean" turns a predictor round whose mean is lower in events than in non-events; "max" takes the larger area.
+    """
     w = F.col(weight) if weight else F.lit(1)
     by = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.when(F.col(event) == 1, w).otherwise(0)).alias("__p"), F.sum(F.when(F.col(event) == 0, w).otherwise(0)).alias("__n"))
-    below = F.sum("__n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = by.withColumn("__u", F.col("__p") * (F.coalesce(below, F.lit(0)) + F.col("__n") / 2))
-    p, n = F.sum("__p"), F.sum("__n")
-    return ranked.groupBy(*keys).agg(F.when((p > 0) & (n > 0), F.sum("__u") / (p * n)).alias("auc"), p.alias("events"), n.alias("nulls"))
+    ranked = running_totals(by, keys, [value], ["__n"]).withColumn("__u", F.col("__p") * (F.col("before___n") + F.col("__n") / 2))
+    p, n, x = F.sum("__p"), F.sum("__n"), F.col(value)
+    area = F.when((p > 0) & (n > 0), F.sum("__u") / (p * n))
+    if orient == "mean":
+        area = F.when(F.sum(x * F.col("__p")) / F.nullif(p, F.lit(0)) < F.sum(x * F.col("__n")) / F.nullif(n, F.lit(0)), 1 - area).otherwise(area)
+    elif orient == "max":
+        area = F.greatest(area, 1 - area)
+    return ranked.groupBy(*keys).agg(area.alias("auc"), p.alias("events"), n.alias("nulls"))
 
 
-def threshold_sweep(df: DataFrame, keys: Sequence[str], event: str, value: str, steps: int, top: float) -> DataFrame:
-    """Contingency at `steps` even thresholds 0 ... top for '>': each row is binned once, then counts run downwards."""
-    width = top / (steps - 1)
-    slot = F.least(F.greatest(F.ceil(F.col(value) / width) - 1, F.lit(-1)), F.lit(steps - 1)).cast("int")
+def threshold_sweep(df: DataFrame, keys: Sequence[str], event: str, value: str, steps: int, top: float | None = None) -> DataFrame:
+    """Contingency at `steps` even thresholds 0 ... top for '>': each row is binned once, then counts run downwards.
+
+    Without a top, it is the events' largest value, for each key; keys without events go. A top of 0 makes all thresholds 0.
+    """
+    if top is None:
+        tops = df.where(F.col(event) == 1).groupBy(*keys).agg(F.max(value).cast("double").alias("__top"))
+        df = df.join(tops, list(keys)) if keys else df.join(F.broadcast(tops))  # one row without keys
+        keys = [*keys, "__top"]
+    else:
+        df, keys = df.withColumn("__top", F.lit(float(top))), [*keys, "__top"]
+    x, limit = F.col(value), F.col("__top")
+    slot = F.when(limit > 0, F.least(F.greatest(F.ceil(x * (steps - 1) / F.nullif(limit, F.lit(0.0))) - 1, F.lit(-1)), F.lit(steps - 1))).otherwise(F.when(x > 0, steps - 1).otherwise(-1)).cast("int")
     binned = df.groupBy(*keys, slot.alias("__slot")).agg(F.count_if(F.col(event) == 1).alias("__p"), F.count_if(F.col(event) == 0).alias("__n"))
     spine = binned.select(*keys).distinct().withColumn("__slot", F.explode(F.sequence(F.lit(-1), F.lit(steps - 1))))
     full = spine.join(binned, [*keys, "__slot"], "left").fillna(0, ["__p", "__n"])
     down = Window.partitionBy(*keys).orderBy(F.desc("__slot")).rowsBetween(Window.unboundedPreceding, 0)
     every = Window.partitionBy(*keys)
     out = full.withColumns({"hits": F.sum("__p").over(down), "false_alarms": F.sum("__n").over(down), "__ap": F.sum("__p").over(every), "__an": F.sum("__n").over(every)}).where("__slot >= 0")
-    return out.select(*keys, (F.col("__slot") * width).alias("threshold"), F.col("__slot").alias("step"), "hits", (F.col("__ap") - F.col("hits")).alias("misses"), "false_alarms", (F.col("__an") - F.col("false_alarms")).alias("correct_nulls"))
+    return out.select(*keys[:-1], (F.col("__slot") * limit / (steps - 1)).alias("threshold"), F.col("__slot").alias("step"), "hits", (F.col("__ap") - F.col("hits")).alias("misses"), "false_alarms", (F.col("__an") - F.col("false_alarms")).alias("correct_nulls"))
+
+
+def best_threshold(swept: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """(keys, score, best, step, threshold): each score's best value over a sweep, and the first threshold that attains it (to ten digits)."""
+    tall = swept.unpivot([*keys, "step", "threshold"], list(names), "score", "best").where("best is not null")
+    first = tall.groupBy(*keys, "score").agg(F.max(F.struct(F.round("best", 10).alias("best"), (-F.col("step")).alias("back"), "threshold")).alias("x"))
+    return first.select(*keys, "score", F.col("x.best").alias("best"), (-F.col("x.back")).alias("step"), F.col("x.threshold").alias("threshold"))
 
 
 def bootstrap_rows(df: DataFrame, row: str, replicates: int) -> DataFrame:
-    """df once per replicate with a weight of 0 to 3 (Poisson-like, mean 1) from integer arithmetic on row and replicate; weight 0 goes at once."""
+    """df once per replicate with a weight of 0 to 6 (Poisson-like, mean 0.999) from integer arithmetic on row and replicate; weight 0 goes at once."""
     spread = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     draw = F.pmod((F.pmod(F.col(row), F.lit(1_000_003)) * 7919 + F.col("replicate") * 104_729) * 31 + F.pmod(F.col(row), F.lit(977)) * F.col("replicate"), F.lit(1000))
-    weight = F.when(draw < 368, 0).when(draw < 736, 1).when(draw < 920, 2).otherwise(3)
+    weight = F.when(draw < 368, 0).when(draw < 736, 1).when(draw < 920, 2).when(draw < 981, 3).when(draw < 996, 4).when(draw < 999, 5).otherwise(6)
     return spread.withColumn("weight", weight).where("weight > 0")
 
 
 def ks_two_sample(df: DataFrame, keys: Sequence[str], group: Column, value: str) -> DataFrame:
-    """Largest difference of the two groups' distribution functions; rows meet by value first."""
+    """Largest difference of the two groups' distribution functions, and its asymptotic p; rows meet by value first."""
     by = df.groupBy(*keys, value).agg(F.count_if(group).alias("__a"), F.count_if(~group).alias("__b"))
-    run = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*keys)
-    gap = F.abs(F.sum("__a").over(run) / F.sum("__a").over(every) - F.sum("__b").over(run) / F.sum("__b").over(every))
-    return by.withColumn("__gap", gap).groupBy(*keys).agg(F.max("__gap").alias("distance"))
+    share = lambda c: (F.col(f"before_{c}") + F.col(c)) / F.nullif(F.col(f"all_{c}"), F.lit(0))
+    ran = running_totals(by.where(F.col(value).isNotNull()), keys, [value], ["__a", "__b"])
+    found = ran.groupBy(*keys, "all___a", "all___b").agg(F.max(F.abs(share("__a") - share("__b"))).alias("distance"))
+    a, b = F.col("all___a"), F.col("all___b")
+    return found.select(*keys, "distance", kolmogorov_p(F.col("distance"), a * b / F.nullif(a + b, F.lit(0))).alias("p"))
+
+
+def kolmogorov_p(distance: Column, size: Column, terms: int = 100) -> Column:
+    """Chance of a larger distance by the limiting distribution, for an effective number of rows; the series is 1 for small arguments."""
+    z = distance * F.sqrt(size)
+    total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, k: s + 2 * F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * z * z))
+    return F.when(z < 0.2, 1.0).otherwise(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))

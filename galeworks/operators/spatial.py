@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeworks.functions.exprs import haversine_km
 
 #: Least length of a degree of latitude on the sphere used, in km.
 DEGREE_KM = 111.2
+#: Side of the bins, in cells, in which points meet the boxes of storms.
+BIN = 16
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: float, inclusive: bool = False, left_at=("lat", "lon"), right_at=("lat", "lon"), name: str = "distance") -> DataFrame:
@@ -44,20 +46,76 @@ def nearest(pairs: DataFrame, keys: Sequence[str], order: Sequence[str], fields:
     return best.select(*keys, *[F.col(f"best.{f}").alias(f) for f in fields])
 
 
+#: Most values that an axis of a grid may have.
+MAX_AXIS = 100_000
+
+
 def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, name: str) -> DataFrame:
-    """Points with the axis value closest to theirs (ties: the lower); the axis is collapsed to one sorted array of distinct values."""
-    values = axis.agg(F.array_sort(F.collect_set(name)).alias("__axis"))
-    joined = points.join(values)
-    pick = F.reduce("__axis", F.lit(None).cast("double"), lambda s, x: F.when(s.isNull() | (F.abs(x - F.col(value)) < F.abs(s - F.col(value))), x).otherwise(s))
-    return joined.withColumn(name, pick).drop("__axis")
+    """Points with the axis value closest to theirs (ties: the lower). Null or missing axes give null.
+
+    An axis is the side of a grid, up to MAX_AXIS values, which is checked; each value stands for the interval between the
+    middles to its neighbours, intervals are listed in even bins, and a point looks into its own bin alone.
+    """
+    found = axis.agg(F.count_distinct(name).alias("n"), F.min(name).alias("lo"), F.max(name).alias("hi")).first()
+    if not found.n:
+        return points.withColumn(name, F.lit(None).cast("double"))
+    if found.n > MAX_AXIS:
+        raise ValueError(f"an axis has up to {MAX_AXIS} values, not {found.n}")
+    lo, step = float(found.lo), (float(found.hi) - float(found.lo)) / found.n or 1.0
+    bin_of = lambda x: F.least(F.greatest(F.floor((x - lo) / step), F.lit(-1)), F.lit(found.n)).cast("int")
+    order = Window.orderBy(name)  # at most MAX_AXIS rows
+    middle = lambda other: (F.col(name) + other) / 2
+    sides = axis.select(name).where(F.col(name).isNotNull()).distinct().select(name, middle(F.lag(name).over(order)).alias("__from"), middle(F.lead(name).over(order)).alias("__to"))
+    first, last = F.when(F.col("__from").isNull(), -1).otherwise(bin_of(F.col("__from"))), F.when(F.col("__to").isNull(), found.n).otherwise(bin_of(F.col("__to")))
+    listed = sides.withColumn("__bin", F.explode(F.sequence(first, last)))
+    inside = (F.col("__from").isNull() | (F.col(value) > F.col("__from"))) & (F.col("__to").isNull() | (F.col(value) <= F.col("__to")))
+    return points.withColumn("__bin", bin_of(F.col(value))).join(listed.withColumnRenamed("__bin", "__b"), (F.col("__bin") == F.col("__b")) & inside, "left").drop("__bin", "__b", "__from", "__to")
+
+
+def nearest_in_box(points: DataFrame, cells: DataFrame, key: str, at: tuple[str, str], order: Sequence[str], radius: float, box: tuple[float, float, float, float]) -> DataFrame:
+    """key and the `order` fields of the nearest cell for each point inside the box (south, west, north, east); ties by `order`.
+
+    Points without a cell within `radius` km look again with twice that, until all have one or the whole sphere is
+    searched; each round is a radius join of the points that are left.
+    """
+    left = points.where(F.col(at[0]).between(box[0], box[2]) & F.col(at[1]).between(box[1], box[3])).select(key, *at)
+    found = None
+    while True:
+        near = nearest(radius_join(left, cells, radius, left_at=at), [key], ["distance", *order], list(order))
+        found = near if found is None else found.unionByName(near)
+        if radius > 20_100 or left.join(found.select(key), key, "left_anti").isEmpty():
+            return found
+        left, radius = left.join(found.select(key), key, "left_anti"), 2 * radius
+
+
+def radius_summary(df: DataFrame, keys: Sequence[str], how: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Max, mean, min or sum of variables, as {variable: names of summaries}, for each key; an unknown name is an error."""
+    known = {"max": F.max, "mean": F.avg, "min": F.min, "sum": F.sum}
+    wrong = [n for names in how.values() for n in names if n not in known] + [v for v in how if v not in df.columns]
+    if wrong:
+        raise ValueError(f"no such variable or summary: {wrong}")
+    return df.groupBy(*keys).agg(*[known[n](v).alias(f"{v}_{n}") for v, names in how.items() for n in names])
 
 
 def storm_within(cells: DataFrame, points: DataFrame, radii: Sequence[int], keys: Sequence[str] = ("scan", "uid"), point: str = "stn_no") -> DataFrame:
-    """(keys, point, near, in<r>...) for points within the largest radius (in cells) of a mask: the distance to its nearest cell."""
+    """(keys, point, near, in<r>...) for points within the largest radius (in cells) of a mask: the distance to its nearest cell.
+
+    A storm is one row, with its box and the array of its cells: points meet the boxes they may lie near to by bins of
+    BIN cells, and only what lies in a widened box looks for its least distance in the array. A storm is a radar object, whose
+    cells are those of one scan.
+    """
     most = max(radii)
-    bins = lambda c: F.floor(F.col(c) / most)
-    around = points.withColumn("__a", F.explode(F.sequence(bins("pi") - 1, bins("pi") + 1))).withColumn("__b", F.explode(F.sequence(bins("pj") - 1, bins("pj") + 1)))
-    joined = cells.withColumns({"__a": bins("i"), "__b": bins("j")}).join(around, ["__a", "__b"])
-    squared = (F.col("i") - F.col("pi")) * (F.col("i") - F.col("pi")) + (F.col("j") - F.col("pj")) * (F.col("j") - F.col("pj"))
-    near = joined.withColumn("__d", squared).where(F.col("__d") <= most * most).groupBy(*keys, point).agg(F.min("__d").alias("__d"))
+    storms = cells.groupBy(*keys).agg(*[f(c).alias(f"__{c}{k}") for c in "ij" for k, f in ((0, F.min), (1, F.max))], F.collect_list(F.struct("i", "j")).alias("__cells"))
+    bins = lambda c, more=0: F.floor((F.col(c) + more) / BIN)
+    reach = storms.withColumn("__a", F.explode(F.sequence(bins("__i0", -most), bins("__i1", most)))).withColumn("__b", F.explode(F.sequence(bins("__j0", -most), bins("__j1", most))))
+    in_box = F.col("pi").between(F.col("__i0") - most, F.col("__i1") + most) & F.col("pj").between(F.col("__j0") - most, F.col("__j1") + most)
+    met = reach.join(points.select(point, "pi", "pj", bins("pi").alias("__a"), bins("pj").alias("__b")), ["__a", "__b"]).where(in_box)
+    squared = F.array_min(F.transform("__cells", lambda c: (c["i"] - F.col("pi")) * (c["i"] - F.col("pi")) + (c["j"] - F.col("pj")) * (c["j"] - F.col("pj"))))
+    near = met.select(*keys, point, squared.alias("__d")).where(F.col("__d") <= most * most)
     return near.select(*keys, point, F.sqrt("__d").alias("near"), *[(F.col("__d") <= r * r).cast("int").alias(f"in{r}") for r in radii])
+
+
+def storm_distance(cells: DataFrame, points: DataFrame, keys: Sequence[str], point: str, radius: float) -> DataFrame:
+    """(keys, point, distance): km from a point to the nearest cell (lat, lon) of a storm less than `radius` away, to three digits."""
+    near = radius_join(points.select(point, F.col("lat").alias("__plat"), F.col("lon").alias("__plon")), cells.select(*keys, "lat", "lon"), radius, left_at=("__plat", "__plon"))
+    return near.groupBy(*keys, point).agg(F.round(F.min("distance"), 3).alias("distance"))

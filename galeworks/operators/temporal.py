@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,19 +97,45 @@ def shift_hour(df: DataFrame, keys: Sequence[str], hour: str, value: str) -> Dat
     return df.join(ahead, [*keys, hour], "left").withColumn(value, F.last("__next", ignorenulls=True).over(w)).drop("__next")
 
 
-def window_sums(events: DataFrame, series: DataFrame, keys: Sequence[str], event_time: str, series_time: str, value: str, before: float, after: float) -> DataFrame:
-    """Per event (all its columns): count, sum and mean of the series of its keys from `before` to `after` seconds around.
+def windows_sums(events: DataFrame, series: DataFrame, keys: Sequence[str], row: str, event_time: str, series_time: str, value: str, windows: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """Every event with, for each window {name: (before, after)} in seconds around it, both ends closed: n_, missing_, total_ and mean_<name> of
+    the series of its keys (values that are there, nulls, their sum and mean). `row` is a column that names each event.
 
-    A band join on whole windows: both sides carry the number of the window-long slot, and an event looks into its
-    own and the adjacent slots only.
+    One band join for all windows: both sides carry the number of the slot as long as the widest window, and an event looks
+    into its own and the adjacent slots only. Events without series stay, with counts of 0; events alike in all but `row` stay apart.
     """
-    width = int((before + after) * SECOND)
+    width = max(int((b + a) * SECOND) for b, a in windows.values())
     slot = lambda t: F.floor(micros(F.col(t)) / width)
-    e = events.withColumn("__slot", F.explode(F.array(slot(event_time) - 1, slot(event_time), slot(event_time) + 1)))
-    s = series.select(*keys, slot(series_time).alias("__slot"), F.col(series_time).alias("__st"), F.col(value).alias("__v"))
-    gap = micros(F.col("__st")) - micros(F.col(event_time))
-    joined = e.join(s, [*keys, "__slot"]).where((gap >= int(-before * SECOND)) & (gap <= int(after * SECOND)))
-    return joined.groupBy(*events.columns).agg(F.count("__v").alias("n"), F.sum("__v").alias("total"), F.avg("__v").alias("mean"))
+    e = events.select(row, *keys, micros(F.col(event_time)).alias("__at"), F.explode(F.array(slot(event_time) - 1, slot(event_time), slot(event_time) + 1)).alias("__slot"))
+    s = series.select(*keys, slot(series_time).alias("__slot"), micros(F.col(series_time)).alias("__st"), F.col(value).alias("__v"))
+    gap = F.col("__st") - F.col("__at")
+    widest = max(b for b, _ in windows.values()), max(a for _, a in windows.values())
+    joined = e.join(s, [*keys, "__slot"]).where((gap >= int(-widest[0] * SECOND)) & (gap <= int(widest[1] * SECOND)))
+    sums = []
+    for name, (before, after) in windows.items():
+        inside = (gap >= int(-before * SECOND)) & (gap <= int(after * SECOND))
+        v = F.when(inside, F.col("__v"))
+        sums += [F.count(v).alias(f"n_{name}"), F.count_if(inside & F.col("__v").isNull()).alias(f"missing_{name}"), F.sum(v).alias(f"total_{name}"), F.avg(v).alias(f"mean_{name}")]
+    found = events.join(joined.groupBy(row).agg(*sums), row, "left")
+    return found.fillna(0, [f"{c}_{name}" for name in windows for c in ("n", "missing")])
+
+
+def window_sums(events: DataFrame, series: DataFrame, keys: Sequence[str], row: str, event_time: str, series_time: str, value: str, before: float, after: float) -> DataFrame:
+    """windows_sums of one window, with columns n, missing, total and mean."""
+    found = windows_sums(events, series, keys, row, event_time, series_time, value, {"w": (before, after)})
+    return found.withColumnsRenamed({f"{c}_w": c for c in ("n", "missing", "total", "mean")})
+
+
+def lookup_with_gap(left: DataFrame, right: DataFrame, keys: Sequence[str], row: str, left_time: str, right_time: str, field: str, step: float) -> DataFrame:
+    """Left rows with `field` of the right row of their keys in the same step (a minute, say), else in the step before; others go.
+
+    Of several right rows in a step the latest counts. `row` is a column that names each left row.
+    """
+    slot = lambda t: F.floor(micros(F.col(t)) / int(step * SECOND))
+    r = right.groupBy(*keys, slot(right_time).alias("__slot")).agg(F.max(F.struct(right_time, field)).alias("__r"))
+    l = left.withColumn("__own", slot(left_time)).withColumn("__slot", F.explode(F.array(F.col("__own"), F.col("__own") - 1)))
+    best = l.join(r, [*keys, "__slot"]).groupBy(row).agg(F.max_by(F.col(f"__r.{field}"), "__slot").alias(field))
+    return left.join(best, row)
 
 
 def completeness(df: DataFrame, keys: Sequence[str], time: str, before: float, after: float, expected: int) -> Column:

@@ -6,16 +6,21 @@ from pyspark.sql import functions as F
 
 from galeworks.functions import exprs as X
 from galeworks.operators import climate as C
+from galeworks.operators.ordered import exact_quantiles
 from galeworks.plans.registry import query
 from galeworks.plans.views import ctes, rounded, view
 
 TRACKS, SKILL, ENSEMBLE = ctes("tracks"), ctes("skill"), ctes("ensemble")
 
 
-@query("WITH d AS (SELECT l_partkey % 50 AS point, date_trunc('day', l_shipdate) AS day, bool_or(l_quantity > 45) AS strong, bool_or(l_discount > 0.08) AS moist FROM lineitem GROUP BY ALL) SELECT point, year(day)::INTEGER AS yr, month(day)::INTEGER AS mon, count_if(strong)::BIGINT AS strong, count_if(moist)::BIGINT AS moist FROM d GROUP BY ALL")
+_FLAGS = {"strong": "l_quantity > 45", "moist": "l_discount > 0.08", "dear": "l_extendedprice > 40000", "taxed": "l_tax >= 0.08", "returned": "l_returnflag = 'R'", "open": "l_linestatus = 'O'", "mixed": "l_quantity > 30 AND l_discount > 0.05"}
+
+
+@query("WITH d AS (SELECT l_partkey % 50 AS point, date_trunc('day', l_shipdate) AS day, " + ", ".join(f"bool_or({c}) AS {n}" for n, c in _FLAGS.items()) + " FROM lineitem GROUP BY ALL) SELECT point, year(day)::INTEGER AS yr, month(day)::INTEGER AS mon, " + ", ".join(f"count_if({n})::BIGINT AS {n}" for n in _FLAGS) + " FROM d GROUP BY ALL")
 def days_per_month(spark, sf_dir):
+    """Days of a month on which each of seven flags holds at any step."""
     li = view(spark, sf_dir, "lineitem").withColumn("point", F.col("l_partkey") % 50)
-    return C.days_per_month(li, ["point"], F.col("l_shipdate"), {"strong": F.col("l_quantity") > 45, "moist": F.col("l_discount") > 0.08})
+    return C.days_per_month(li, ["point"], F.col("l_shipdate"), {n: F.expr(c) for n, c in _FLAGS.items()})
 
 
 @query(SKILL + " SELECT cluster, yr::INTEGER AS yr, mon::INTEGER AS mon, round(avg(CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END), 6) AS share FROM skill GROUP BY ALL")
@@ -57,6 +62,14 @@ def cycle_histogram(spark, sf_dir):
     return rounded(C.share_of_all(s, ["scw", "cluster", "mon"], "frequency"), 8)
 
 
+@query(ctes("obs") + ", c AS (SELECT CASE WHEN gust >= 100 THEN 1 ELSE 0 END AS scw, stn_id % 3 AS cluster, hour(dt_utc + CASE WHEN rid % 2 = 0 THEN INTERVAL 10 HOUR ELSE INTERVAL 8 HOUR END) AS hr, count(*) AS n FROM obs GROUP BY ALL) SELECT scw::INTEGER AS scw, cluster, hr::INTEGER AS hr, n::BIGINT AS n, round(n / sum(n) OVER (), 8) AS frequency FROM c")
+def local_hour_histogram(spark, sf_dir):
+    """Events and background of each cluster by the radar's local hour, as shares of all rows."""
+    local = X.local_time(F.col("dt_utc").cast("timestamp"), F.when(F.col("rid") % 2 == 0, "+10:00").otherwise("+08:00"))
+    s = view(spark, sf_dir, "obs").select((F.col("gust") >= 100).cast("int").alias("scw"), (F.col("stn_id") % 3).alias("cluster"), F.hour(local).alias("hr"))
+    return rounded(C.share_of_all(s, ["scw", "cluster", "hr"], "frequency"), 8)
+
+
 _CLASS = "CASE WHEN max_alt >= 7 AND azi_shear > 4 AND major_axis_length >= 100 THEN 'Embedded supercell' WHEN max_alt >= 7 AND azi_shear > 4 AND major_axis_length < 100 THEN 'Supercellular' WHEN major_axis_length < 100 AND local_max >= 2 THEN 'Cell cluster' WHEN local_max = 1 THEN 'Cellular' WHEN major_axis_length >= 100 AND major_axis_length / minor_axis_length < 3 THEN 'Non-linear' WHEN major_axis_length >= 100 AND major_axis_length / minor_axis_length >= 3 THEN 'Linear' END"
 _TYPED = TRACKS + f", typed AS (SELECT *, {_CLASS} AS class, CASE WHEN speed > 25 THEN 1 ELSE 0 END AS scw, uid % 3 AS cluster FROM tracks)"
 
@@ -65,11 +78,13 @@ def typed(spark, sf_dir):
     return view(spark, sf_dir, "tracks").withColumns({"class": X.storm_class(), "scw": (F.col("speed") > 25).cast("int"), "cluster": F.col("uid") % 3})
 
 
-@query(_TYPED + ", c AS (SELECT class, sum(scw)::BIGINT AS events, count(*) AS n FROM typed GROUP BY class) SELECT class, events, round(events / sum(events) OVER (), 6) AS share, round(100.0 * events / n, 6) AS rate, round(events / nullif(n - events, 0), 6) AS odds FROM c")
+@query(_TYPED + ", c AS (SELECT cluster, class, sum(scw)::BIGINT AS events, count(*) AS n FROM typed GROUP BY GROUPING SETS ((class), (cluster, class))) SELECT cluster, class, events, round(events / nullif(sum(events) OVER (PARTITION BY cluster), 0), 6) AS share, round(100.0 * events / n, 6) AS rate, round(events / nullif(n - events, 0), 6) AS odds FROM c")
 def class_frequency(spark, sf_dir):
-    c = typed(spark, sf_dir).groupBy("class").agg(F.sum("scw").alias("events"), F.count("*").alias("n"))
+    """Of each storm class, over all rows (cluster null) and in each cluster: its share of the events, its event rate, and events over non-events."""
+    c = typed(spark, sf_dir).groupingSets([["class"], ["cluster", "class"]], "cluster", "class").agg(F.sum("scw").alias("events"), F.count("*").alias("n"))
     e, n = F.col("events"), F.col("n")
-    return rounded(c.select("class", "events", (e / F.expr("sum(events) over ()")).alias("share"), (100.0 * e / n).alias("rate"), (e / F.nullif(n - e, F.lit(0))).alias("odds")))
+    share = e / F.nullif(F.expr("sum(events) over (partition by cluster)"), F.lit(0))
+    return rounded(c.select("cluster", "class", "events", share.alias("share"), (100.0 * e / n).alias("rate"), (e / F.nullif(n - e, F.lit(0))).alias("odds")))
 
 
 NAMES = ["Embedded supercell", "Supercellular", "Cell cluster", "Cellular", "Non-linear", "Linear"]
@@ -80,7 +95,7 @@ def crosstab(spark, sf_dir):
     return typed(spark, sf_dir).groupBy("cluster").pivot("class", NAMES).count()
 
 
-@query(SKILL + ", q AS (SELECT cluster, quantile_cont(l_extendedprice, 0.25) AS q25, quantile_cont(l_extendedprice, 0.5) AS q50, quantile_cont(l_extendedprice, 0.75) AS q75 FROM skill GROUP BY cluster) SELECT cluster, round(q25, 4) AS q25, round(q50, 4) AS q50, round(q75, 4) AS q75, round(min(x), 4) AS low, round(max(x), 4) AS high FROM (SELECT q.*, CASE WHEN l_extendedprice BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25) THEN l_extendedprice END AS x FROM skill JOIN q USING (cluster)) GROUP BY ALL")
+@query(SKILL + ", q AS (SELECT cluster, quantile_cont(l_extendedprice, 0.25) AS q25, quantile_cont(l_extendedprice, 0.5) AS q50, quantile_cont(l_extendedprice, 0.75) AS q75 FROM skill GROUP BY cluster) SELECT cluster, round(q25, 4) AS q25, round(q50, 4) AS q50, round(q75, 4) AS q75, round(min(x), 4) AS low, round(max(x), 4) AS high, min(v) AS least, max(v) AS most FROM (SELECT q.*, l_extendedprice AS v, CASE WHEN l_extendedprice BETWEEN q25 - 1.5 * (q75 - q25) AND q75 + 1.5 * (q75 - q25) THEN l_extendedprice END AS x FROM skill JOIN q USING (cluster)) GROUP BY ALL")
 def box_summary(spark, sf_dir):
     return rounded(C.box_summary(view(spark, sf_dir, "skill"), ["cluster"], "l_extendedprice"), 4)
 
@@ -99,10 +114,11 @@ def station_years(spark, sf_dir):
     return rounded(both.where(last >= first).groupBy("rid").agg(F.sum((last - first + 1) * F.col("qc_pct") / 100).alias("years")))
 
 
-@query(TRACKS + " SELECT uid % 3 AS cluster, round(100.0 * count_if(nullif(azi_shear, 0) IS NULL) / count(*), 6) AS missing FROM tracks GROUP BY 1")
+@query(_TYPED + " SELECT cluster, scw::INTEGER AS scw, round(100.0 * count_if(nullif(azi_shear, 0) IS NULL) / count(*), 6) AS missing FROM typed GROUP BY cluster, scw")
 def missing_share(spark, sf_dir):
+    """Percent of the events and of the non-events of each cluster that have no shear."""
     none = F.nullif(F.col("azi_shear"), F.lit(0.0)).isNull()
-    return rounded(view(spark, sf_dir, "tracks").groupBy((F.col("uid") % 3).alias("cluster")).agg((100.0 * F.count_if(none) / F.count("*")).alias("missing")))
+    return rounded(typed(spark, sf_dir).groupBy("cluster", "scw").agg((100.0 * F.count_if(none) / F.count("*")).alias("missing")))
 
 
 _RANK = "rank() OVER (PARTITION BY cluster ORDER BY {0}) + (count(*) OVER (PARTITION BY cluster, {0}) - 1) / 2"
@@ -142,9 +158,20 @@ def filter_small_objects(spark, sf_dir):
 
 @query(_CELLS + " SELECT scan, label, z::INTEGER AS z, max(v) AS v_max, round(quantile_cont(abs(v), 0.995), 6) AS v_high FROM cells GROUP BY scan, label, z")
 def object_height_profile(spark, sf_dir):
-    li = view(spark, sf_dir, "lineitem")
-    by = li.groupBy((F.col("l_suppkey") % 10).alias("scan"), (F.col("l_partkey") % 40).alias("label"), F.col("l_linenumber").cast("int").alias("z"))
-    return rounded(by.agg(F.max("l_quantity").alias("v_max"), F.percentile(F.abs("l_quantity"), 0.995).alias("v_high")))
+    """Of each object and height, the maximum and the 99.5th percentile of the size."""
+    return _object_profile(spark, sf_dir, ["scan", "label", "z"], "true")
+
+
+@query(_CELLS + " SELECT scan, label, max(v) AS v_max, round(quantile_cont(abs(v), 0.995), 6) AS v_high FROM cells WHERE z BETWEEN 2 AND 6 GROUP BY scan, label")
+def object_layer_profile(spark, sf_dir):
+    """The same over the layer from 2 to 6."""
+    return _object_profile(spark, sf_dir, ["scan", "label"], "z between 2 and 6")
+
+
+def _object_profile(spark, sf_dir, keys, layer):
+    cells = view(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("scan"), (F.col("l_partkey") % 40).alias("label"), F.col("l_linenumber").cast("int").alias("z"), F.col("l_quantity").alias("v")).where(layer)
+    high = exact_quantiles(cells, keys, F.abs("v"), {"v_high": 0.995})
+    return rounded(cells.groupBy(*keys).agg(F.max("v").alias("v_max")).join(high, keys))
 
 
 @query(SKILL + " SELECT row_id, predictor, x FROM (SELECT row_id, l_quantity, l_discount, l_tax FROM skill) UNPIVOT (x FOR predictor IN (l_quantity, l_discount, l_tax))")

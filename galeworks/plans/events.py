@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from galeworks.functions import exprs as X
 from galeworks.operators import events as E
+from galeworks.operators import ordered as O
 from galeworks.operators import temporal as T
+from galeworks.operators.skill import bootstrap_rows
 from galeworks.plans.registry import query
 from galeworks.plans.views import ctes, rounded, view
 
@@ -18,16 +20,18 @@ STRONG = 100.0
 
 _RANGE = "PARTITION BY stn_id ORDER BY dt_utc RANGE BETWEEN"
 _RATIOS = ctes("obs", recursive=True) + f""", good AS (SELECT * FROM obs WHERE q = 'Y'), m AS (SELECT *,
- CASE WHEN count(gust) OVER w4 >= 3 THEN avg(gust) OVER w4 END AS rolling4, CASE WHEN count(gust) OVER wa >= 3 THEN avg(gust) OVER wa END AS rolling2a
- FROM good WINDOW w4 AS ({_RANGE} INTERVAL 2 DAY PRECEDING AND INTERVAL 2 DAY FOLLOWING), wa AS ({_RANGE} INTERVAL 2 DAY PRECEDING AND CURRENT ROW)),
+ CASE WHEN count(gust) OVER w4 >= 3 THEN avg(gust) OVER w4 END AS rolling4, CASE WHEN count(gust) OVER wb >= 3 THEN avg(gust) OVER wb END AS rolling2b,
+ CASE WHEN count(gust) OVER wa >= 3 THEN avg(gust) OVER wa END AS rolling2a FROM good WHERE gust IS NOT NULL
+ WINDOW w4 AS ({_RANGE} INTERVAL 2 DAY PRECEDING AND INTERVAL 2 DAY FOLLOWING), wb AS ({_RANGE} INTERVAL 2 DAY PRECEDING AND CURRENT ROW), wa AS ({_RANGE} CURRENT ROW AND INTERVAL 2 DAY FOLLOWING)),
  scw AS (SELECT * FROM m WHERE gust >= 100 AND gust / rolling4 >= 2)"""
 
 
 def ratios(spark, sf_dir) -> DataFrame:
     good = view(spark, sf_dir, "obs").where("q = 'Y'")
     out = T.rolling_mean(good, ["stn_id"], "dt_utc", "gust", AROUND, AROUND, LEAST, "rolling4")
-    out = T.rolling_mean(out, ["stn_id"], "dt_utc", "gust", AROUND, 0, LEAST, "rolling2a")
-    return out.withColumns({"wgr_4": F.col("gust") / F.col("rolling4"), "wgr_2a": F.col("gust") / F.col("rolling2a")})
+    out = T.rolling_mean(out, ["stn_id"], "dt_utc", "gust", AROUND, 0, LEAST, "rolling2b")
+    out = T.rolling_mean(out, ["stn_id"], "dt_utc", "gust", 0, AROUND, LEAST, "rolling2a")
+    return out.where("gust is not null").withColumns({f"wgr_{w}": F.col("gust") / F.col(f"rolling{w}") for w in ("4", "2b", "2a")})
 
 
 def severe(spark, sf_dir) -> DataFrame:
@@ -48,9 +52,10 @@ def severe_events(spark, sf_dir):
     return rounded(kept.groupBy("rid", F.month("dt_utc").alias("month")).agg(F.count("*").alias("n_events"), F.max("gust").alias("max_gust")))
 
 
-@query(_RATIOS + " SELECT event_id, round(rolling4, 6) AS rolling4, round(rolling2a, 6) AS rolling2a, round(gust / rolling4, 6) AS wgr_4, round(gust / rolling2a, 6) AS wgr_2a FROM m")
+@query(_RATIOS + " SELECT event_id, round(rolling4, 6) AS rolling4, round(rolling2b, 6) AS rolling2b, round(rolling2a, 6) AS rolling2a, round(gust / rolling4, 6) AS wgr_4, round(gust / rolling2b, 6) AS wgr_2b, round(gust / rolling2a, 6) AS wgr_2a FROM m")
 def gust_ratios(spark, sf_dir):
-    return rounded(ratios(spark, sf_dir).select("event_id", "rolling4", "rolling2a", "wgr_4", "wgr_2a"))
+    """Gusts over the means around, before and after them; rows without a gust go."""
+    return rounded(ratios(spark, sf_dir).select("event_id", *[f"{c}{w}" for c in ("rolling", "wgr_") for w in ("4", "2b", "2a")]))
 
 
 @query(ctes("obs") + f", m AS (SELECT *, CASE WHEN count(gust) OVER w >= 3 THEN avg(gust) OVER w END AS ahead, count(gust) OVER w AS n FROM obs WINDOW w AS ({_RANGE} CURRENT ROW AND INTERVAL 2 DAY FOLLOWING)) SELECT event_id, round(ahead, 6) AS ahead, n AS in_window FROM m")
@@ -60,6 +65,15 @@ def leading_mean(spark, sf_dir):
     return rounded(out.select("event_id", "ahead", F.count("gust").over(T.frame(["stn_id"], "dt_utc", 0, AROUND)).alias("in_window")))
 
 
+@query(ctes("obs") + """, d AS (SELECT stn_id, date_trunc('day', dt_utc)::TIMESTAMP AS day, max(gust) AS gust FROM obs GROUP BY ALL), m AS (SELECT *, CASE WHEN count(gust) OVER w >= 2 AND max(day) OVER w = day + INTERVAL 2 DAY THEN avg(gust) OVER w END AS ahead
+ FROM d WINDOW w AS (PARTITION BY stn_id ORDER BY day RANGE BETWEEN CURRENT ROW AND INTERVAL 2 DAY FOLLOWING)) SELECT stn_id, day, round(ahead, 6) AS ahead, round(gust / ahead, 6) AS ratio FROM m""")
+def leading_mean_to_end(spark, sf_dir):
+    """The mean of two days ahead of each day's gust, only where a row lies exactly at their end."""
+    days = view(spark, sf_dir, "obs").groupBy("stn_id", F.date_trunc("day", "dt_utc").cast("timestamp_ntz").alias("day")).agg(F.max("gust").alias("gust"))
+    out = T.rolling_mean(days, ["stn_id"], "day", "gust", 0, AROUND, 2, "ahead", require_end=True)
+    return rounded(out.select("stn_id", "day", "ahead", (F.col("gust") / F.col("ahead")).alias("ratio")))
+
+
 @query(ctes("obs") + " SELECT event_id, CASE WHEN count(*) OVER w >= 2 THEN round(median(gust) OVER w, 6) END AS mid FROM obs WINDOW w AS (PARTITION BY stn_id ORDER BY dt_utc RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND INTERVAL 1 DAY FOLLOWING)")
 def centered_median(spark, sf_dir):
     return rounded(T.rolling_median(view(spark, sf_dir, "obs"), ["stn_id"], "dt_utc", "gust", DAY, DAY, 2, "mid").select("event_id", "mid"))
@@ -77,27 +91,45 @@ def window_completeness(spark, sf_dir):
     return rounded(view(spark, sf_dir, "obs").select("event_id", T.completeness(None, ["stn_id"], "dt_utc", AROUND, AROUND, 8).alias("share")))
 
 
-@query(ctes("obs") + """, e AS (SELECT * FROM obs WHERE gust >= 100), j AS (SELECT e.event_id, e.gust, o.gust AS g, o.dt_utc - e.dt_utc AS d FROM e JOIN obs o ON o.stn_id = e.stn_id
- AND o.dt_utc BETWEEN e.dt_utc - INTERVAL 2 DAY AND e.dt_utc + INTERVAL 2 DAY)
-SELECT event_id, count(*) AS n, round(sum(g), 6) AS total, round(any_value(gust) / avg(g), 6) AS peak_ratio FROM j GROUP BY event_id""")
+_HOLES = ctes("obs") + ", s AS (SELECT stn_id, rid, dt_utc, CASE WHEN event_id % 4 <> 0 THEN gust END AS g FROM obs), e AS (SELECT * FROM obs WHERE gust >= 100)"
+WINDOWS = {"before": (AROUND, 0), "after": (0, AROUND), "around": (AROUND, AROUND), "narrow": (DAY / 2, DAY / 2)}
+
+
+def series(spark, sf_dir) -> DataFrame:
+    """The gusts as a series with missing values."""
+    return view(spark, sf_dir, "obs").select("stn_id", "rid", "dt_utc", F.when(F.col("event_id") % 4 != 0, F.col("gust")).alias("g"))
+
+
+def strong(spark, sf_dir) -> DataFrame:
+    return view(spark, sf_dir, "obs").where("gust >= 100").select("event_id", "stn_id", "rid", "dt_utc", "gust")
+
+
+def _inside(before, after):
+    return f"s.dt_utc BETWEEN e.dt_utc - INTERVAL {int(before)} SECOND AND e.dt_utc + INTERVAL {int(after)} SECOND"
+
+
+@query(_HOLES + ", j AS (SELECT e.event_id, any_value(e.gust) AS gust, " + ", ".join(f"count(g) FILTER (WHERE {_inside(*w)}) AS n_{k}, count(*) FILTER (WHERE {_inside(*w)} AND s.stn_id IS NOT NULL AND g IS NULL) AS miss_{k}, avg(g) FILTER (WHERE {_inside(*w)}) AS m_{k}" for k, w in WINDOWS.items()) + f""" FROM e LEFT JOIN s ON s.stn_id = e.stn_id AND {_inside(AROUND, AROUND)} GROUP BY e.event_id)
+SELECT event_id, n_around AS n, round(CASE WHEN miss_before < 2 THEN gust / m_before END, 6) AS before_ratio, round(CASE WHEN miss_after < 2 THEN gust / m_after END, 6) AS after_ratio, round(gust / m_around, 6) AS around_ratio, round(gust / m_narrow, 6) AS narrow_ratio FROM j""")
 def event_window_ratios(spark, sf_dir):
-    obs = view(spark, sf_dir, "obs")
-    found = T.window_sums(obs.where("gust >= 100").select("event_id", "stn_id", "dt_utc", "gust"), obs, ["stn_id"], "dt_utc", "dt_utc", "gust", AROUND, AROUND)
-    return rounded(found.select("event_id", "n", "total", (F.col("gust") / F.col("mean")).alias("peak_ratio")))
+    """Peak over the means before, after, around and close around an event; those to one side are null where two values or more are missing."""
+    found = T.windows_sums(strong(spark, sf_dir), series(spark, sf_dir), ["stn_id"], "event_id", "dt_utc", "dt_utc", "g", WINDOWS)
+    over = lambda k: F.col("gust") / F.col(f"mean_{k}")
+    sides = [F.when(F.col(f"missing_{k}") < 2, over(k)).alias(f"{k}_ratio") for k in ("before", "after")]
+    return rounded(found.select("event_id", F.col("n_around").alias("n"), *sides, over("around").alias("around_ratio"), over("narrow").alias("narrow_ratio")))
 
 
-@query(ctes("obs") + """, e AS (SELECT * FROM obs WHERE gust >= 100) SELECT e.event_id, count(o.event_id) AS n, round(sum(o.gust), 6) AS total FROM e JOIN obs o ON o.stn_id = e.stn_id
- AND o.dt_utc BETWEEN e.dt_utc AND e.dt_utc + INTERVAL 1 DAY GROUP BY e.event_id""")
+@query(_HOLES + f" SELECT e.event_id, count(g) AS n, round(CASE WHEN count(*) FILTER (WHERE s.stn_id IS NOT NULL AND g IS NULL) < 2 THEN sum(g) END, 6) AS total FROM e LEFT JOIN s ON s.stn_id = e.stn_id AND {_inside(0, DAY)} GROUP BY e.event_id")
 def precip_after(spark, sf_dir):
-    obs = view(spark, sf_dir, "obs")
-    return rounded(T.window_sums(obs.where("gust >= 100").select("event_id", "stn_id", "dt_utc"), obs, ["stn_id"], "dt_utc", "dt_utc", "gust", 0, DAY).select("event_id", "n", "total"))
+    """The total of the day after an event, null where two values or more are missing."""
+    found = T.window_sums(strong(spark, sf_dir), series(spark, sf_dir), ["stn_id"], "event_id", "dt_utc", "dt_utc", "g", 0, DAY)
+    return rounded(found.select("event_id", "n", F.when(F.col("missing") < 2, F.col("total")).alias("total")))
 
 
-@query(ctes("obs") + """, e AS (SELECT * FROM obs WHERE gust >= 100) SELECT e.event_id, count(o.event_id) AS strokes FROM e JOIN obs o ON o.rid = e.rid
- AND o.dt_utc BETWEEN e.dt_utc - INTERVAL 30 MINUTE AND e.dt_utc + INTERVAL 30 MINUTE GROUP BY e.event_id""")
+@query(_HOLES + f" SELECT e.event_id, count(g) AS n, round(coalesce(sum(g), 0), 6) AS strokes FROM e LEFT JOIN s ON s.rid = e.rid AND {_inside(1800, 1800)} GROUP BY e.event_id")
 def strokes_around(spark, sf_dir):
-    obs = view(spark, sf_dir, "obs")
-    return T.window_sums(obs.where("gust >= 100").select("event_id", "rid", "dt_utc"), obs, ["rid"], "dt_utc", "dt_utc", "gust", 1800, 1800).select("event_id", F.col("n").alias("strokes"))
+    """The sum of half an hour before and after an event; 0 where there is none."""
+    found = T.window_sums(strong(spark, sf_dir), series(spark, sf_dir), ["rid"], "event_id", "dt_utc", "dt_utc", "g", 1800, 1800)
+    return rounded(found.select("event_id", "n", F.coalesce("total", F.lit(0.0)).alias("strokes")))
 
 
 _GOOD = ctes("obs", "scan_at_station")
@@ -165,8 +197,14 @@ def resample_count_distinct(spark, sf_dir):
 
 @query(ctes("obs") + " SELECT event_id, row_number() OVER (PARTITION BY rid ORDER BY gust DESC, event_id) AS rank_desc, round(row_number() OVER (PARTITION BY rid ORDER BY gust, event_id) / (count(*) OVER (PARTITION BY rid) + 1), 6) AS p FROM obs")
 def rank_nonexceed(spark, sf_dir):
-    by = Window.partitionBy("rid")
-    return rounded(view(spark, sf_dir, "obs").select("event_id", F.row_number().over(by.orderBy(F.desc("gust"), "event_id")).cast("long").alias("rank_desc"), (F.row_number().over(by.orderBy("gust", "event_id")) / (F.count("*").over(by) + 1)).alias("p")))
+    """Ranks within radars, by running counts over ranges of gusts; equal gusts are ranked by id."""
+    obs = view(spark, sf_dir, "obs").select("event_id", "rid", "gust", F.lit(1).cast("long").alias("n"))
+    by = obs.groupBy("rid", "gust").agg(F.sum("n").alias("n"))
+    ran = O.running_totals(by, ["rid"], ["gust"], ["n"]).withColumnRenamed("n", "same")
+    place = F.row_number().over(Window.partitionBy("rid", "gust").orderBy("event_id")).cast("long")
+    at = obs.withColumn("place", place).join(ran, ["rid", "gust"])
+    down = F.col("all_n") - F.col("before_n") - F.col("same") + F.col("place")
+    return rounded(at.select("event_id", down.alias("rank_desc"), ((F.col("before_n") + F.col("place")) / (F.col("all_n") + 1)).alias("p")))
 
 
 _FLAG = ctes("obs") + ", f AS (SELECT *, CASE WHEN gust >= 100 THEN 1 ELSE 0 END AS scw FROM obs)"
@@ -210,14 +248,28 @@ def top_n_gusts(spark, sf_dir):
     return view(spark, sf_dir, "obs").orderBy(F.desc("gust"), "event_id").limit(20).select("event_id", "gust")
 
 
-@query(ctes("obs") + """, k AS (SELECT *, event_id % 5 = 0 AS stormless, event_id % 7 = 0 AS radarless, row_number() OVER (PARTITION BY stn_id, event_id % 5 = 0, event_id % 7 = 0 ORDER BY gust DESC, event_id) AS n FROM obs)
-SELECT event_id, CASE WHEN radarless THEN 4 WHEN stormless THEN 3 WHEN n <= 9 THEN 1 ELSE 2 END AS label FROM k""")
+@query(ctes("obs") + """, c AS (SELECT event_id, gust, CASE WHEN event_id % 5 = 0 THEN 'no storm' ELSE 'class ' || event_id % 6 END AS list FROM obs),
+k AS (SELECT *, row_number() OVER (PARTITION BY list ORDER BY gust DESC, event_id) AS place FROM c) SELECT list, place, event_id, gust FROM k WHERE place <= 5""")
+def top_n_gusts_by_class(spark, sf_dir):
+    """The strongest gusts of each storm class and of those without a storm."""
+    named = F.when(F.col("event_id") % 5 == 0, "no storm").otherwise(F.concat(F.lit("class "), (F.col("event_id") % 6).cast("string")))
+    c = view(spark, sf_dir, "obs").select("event_id", "gust", named.alias("list"))
+    return E.top_n(c, ["list"], F.struct((-F.col("gust")).alias("g"), "event_id"), ["event_id", "gust"], 5).select("list", "place", "event_id", "gust")
+
+
+_CASES = ctes("obs") + """, c AS (SELECT event_id, stn_id, gust, event_id % 5 = 0 AS stormless, event_id % 7 = 0 AS radarless FROM obs),
+k AS (SELECT *, row_number() OVER (PARTITION BY stn_id, stormless, radarless ORDER BY gust DESC, event_id) AS n FROM c),
+own AS (SELECT stn_id, count(*) FILTER (WHERE NOT stormless AND NOT radarless AND n <= 9) AS have FROM k GROUP BY stn_id),
+filled AS (SELECT k.event_id FROM own o JOIN k ON k.stn_id = o.stn_id + 1 WHERE NOT stormless AND NOT radarless AND n <= 9 - o.have)"""
+
+
+@query(_CASES + """ SELECT event_id, stn_id AS location, CASE WHEN radarless THEN 4 WHEN stormless THEN 3 WHEN n <= 9 THEN 1 ELSE 2 END AS label FROM k
+UNION ALL SELECT event_id, stn_id - 1, 5 FROM k SEMI JOIN filled USING (event_id)""")
 def pick_cases(spark, sf_dir):
-    """Cases per station: 1 chosen (the nine strongest with storm data), 2 others, 3 without storm, 4 without radar."""
-    stormless, radarless = F.col("event_id") % 5 == 0, F.col("event_id") % 7 == 0
-    df = view(spark, sf_dir, "obs").withColumns({"stormless": stormless, "radarless": radarless})
-    n = F.row_number().over(Window.partitionBy("stn_id", "stormless", "radarless").orderBy(F.desc("gust"), "event_id"))
-    return df.select("event_id", F.when(F.col("radarless"), 4).when(F.col("stormless"), 3).when(n <= 9, 1).otherwise(2).alias("label"))
+    """Cases per station: 1 chosen (the nine strongest with storm data), 2 others, 3 without storm, 4 without radar; 5 fills up a
+    station with fewer than nine from its fallback station, the next one, strongest first."""
+    df = view(spark, sf_dir, "obs").select("event_id", F.col("stn_id").alias("location"), "gust", (F.col("event_id") % 5 == 0).alias("stormless"), (F.col("event_id") % 7 == 0).alias("radarless"))
+    return E.pick_cases(df, "location", F.col("location") - 1, [F.desc("gust"), F.asc("event_id")], 9).select("event_id", "location", "label")
 
 
 @query(ctes("obs") + """ SELECT event_id, date_trunc('hour', dt_utc) AS hour, date_trunc('day', dt_utc) AS day, year(dt_utc) AS yr, month(dt_utc) AS mon, hour(dt_utc) AS hr,
@@ -251,19 +303,31 @@ def load_gusts(spark, sf_dir):
 
 @query(ctes("obs") + ", e AS (SELECT DISTINCT stn_id FROM obs WHERE gust >= 200) SELECT count(*) FILTER (WHERE stn_id IN (SELECT stn_id FROM e)) AS near_events, count(*) FILTER (WHERE stn_id NOT IN (SELECT stn_id FROM e)) AS near_none FROM obs")
 def semi_anti(spark, sf_dir):
-    obs = view(spark, sf_dir, "obs")
-    keys = obs.where("gust >= 200").select("stn_id").distinct()
-    one = obs.join(keys, "stn_id", "left_semi").agg(F.count("*").alias("near_events"))
-    return one.join(obs.join(keys, "stn_id", "left_anti").agg(F.count("*").alias("near_none")))
+    by = view(spark, sf_dir, "obs").groupBy("stn_id").agg(F.count("*").alias("n"), F.bool_or(F.col("gust") >= 200).alias("hit"))
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    return by.agg(total(F.col("hit")).alias("near_events"), total(~F.coalesce("hit", F.lit(False))).alias("near_none"))
 
 
-@query(ctes("obs") + ", h AS (SELECT rid, date_trunc('hour', dt_utc) AS hour, count(DISTINCT stn_id) AS stations FROM obs GROUP BY ALL) SELECT event_id, stations FROM obs JOIN h ON h.rid = obs.rid AND h.hour = date_trunc('hour', dt_utc)")
+@query(ctes("obs") + ", o AS (SELECT *, event_id % 97 AS uid FROM obs), h AS (SELECT rid, date_trunc('hour', dt_utc) AS hour, count(DISTINCT stn_id) AS stations FROM o GROUP BY ALL), u AS (SELECT uid, count(DISTINCT stn_id) AS of_storm FROM o GROUP BY uid) SELECT event_id, stations, of_storm FROM o JOIN h ON h.rid = o.rid AND h.hour = date_trunc('hour', dt_utc) JOIN u ON u.uid = o.uid")
 def stations_per_event(spark, sf_dir):
-    obs = view(spark, sf_dir, "obs").withColumn("hour", F.date_trunc("hour", "dt_utc"))
-    return obs.join(obs.groupBy("rid", "hour").agg(F.count_distinct("stn_id").alias("stations")), ["rid", "hour"]).select("event_id", "stations")
+    """Stations that measured something in the event's hour and radar, and in the event's storm."""
+    obs = view(spark, sf_dir, "obs").withColumns({"hour": F.date_trunc("hour", "dt_utc"), "uid": F.col("event_id") % 97})
+    own = lambda keys, name: obs.groupBy(*keys).agg(F.count_distinct("stn_id").alias(name))
+    return obs.join(own(["rid", "hour"], "stations"), ["rid", "hour"]).join(own(["uid"], "of_storm"), "uid").select("event_id", "stations", "of_storm")
+
 
+_WEIGHT = "CASE WHEN draw < 368 THEN 0 WHEN draw < 736 THEN 1 WHEN draw < 920 THEN 2 WHEN draw < 981 THEN 3 WHEN draw < 996 THEN 4 WHEN draw < 999 THEN 5 ELSE 6 END"
 
-@query(ctes("obs") + " SELECT rid, round(min(gust), 6) AS loc, round(avg(gust) - min(gust), 6) AS scale, round(min(gust) - (avg(gust) - min(gust)) * ln(0.01), 6) AS level_100 FROM obs GROUP BY rid")
+
+@query(ctes("obs") + f""", w AS (SELECT rid, gust, replicate, (((event_id % 1000003) * 7919 + replicate * 104729) * 31 + (event_id % 977) * replicate) % 1000 AS draw FROM obs, range(50) AS r(replicate)),
+b AS (SELECT rid, replicate, min(gust) AS loc, sum(gust * wt) / sum(wt) - min(gust) AS scale FROM (SELECT *, {_WEIGHT} AS wt FROM w) WHERE wt > 0 GROUP BY ALL),
+q AS (SELECT rid, round(quantile_cont(loc - scale * ln(0.01), 0.05), 6) AS low, round(quantile_cont(loc - scale * ln(0.01), 0.95), 6) AS high FROM b GROUP BY rid),
+f AS (SELECT rid, round(min(gust), 6) AS loc, round(avg(gust) - min(gust), 6) AS scale, round(min(gust) - (avg(gust) - min(gust)) * ln(0.01), 6) AS level_100 FROM obs GROUP BY rid) SELECT * FROM f JOIN q USING (rid)""")
 def expon_fit(spark, sf_dir):
-    fit = view(spark, sf_dir, "obs").groupBy("rid").agg(F.min("gust").alias("loc"), (F.avg("gust") - F.min("gust")).alias("scale"))
-    return rounded(fit.withColumn("level_100", F.col("loc") - F.col("scale") * F.log(F.lit(0.01))))
+    """Exponential fits of each radar's gusts, their level of one in a hundred, and its 5 and 95 % over fifty bootstrap replicates."""
+    obs = view(spark, sf_dir, "obs")
+    level = (F.col("loc") - F.col("scale") * F.log(F.lit(0.01))).alias("level_100")
+    fit = obs.groupBy("rid").agg(F.min("gust").alias("loc"), (F.avg("gust") - F.min("gust")).alias("scale"))
+    drawn = bootstrap_rows(obs, "event_id", 50).groupBy("rid", "replicate").agg(F.min("gust").alias("loc"), (F.sum(F.col("gust") * F.col("weight")) / F.sum("weight") - F.min("gust")).alias("scale"))
+    band = drawn.select("rid", level).groupBy("rid").agg(F.percentile("level_100", 0.05).alias("low"), F.percentile("level_100", 0.95).alias("high"))
+    return rounded(fit.select("*", level).join(band, "rid"))

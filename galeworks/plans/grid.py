@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galeworks.functions import exprs as X
+from galeworks.operators import climate as C
 from galeworks.operators import grid as G
 from galeworks.operators.models import kmeans_assign
 from galeworks.plans.registry import query
 from galeworks.plans.views import ctes, rounded, view
+from galeworks.sources import readers as R
 
 ENV, LEVELS = ctes("env"), ctes("levels")
 
@@ -65,32 +67,44 @@ def surface_prepend(spark, sf_dir):
     return rounded(G.surface_prepend(levels, surface, "profile_id", "p"))
 
 
-_INTERP = LEVELS + """, n AS (SELECT *, lead(z) OVER w AS z2, lead(t) OVER w AS t2, lead(u) OVER w AS u2 FROM levels WINDOW w AS (PARTITION BY profile_id ORDER BY z)),
- fx AS (SELECT profile_id, cluster, g AS target, CASE WHEN g = z THEN t ELSE t + (g - z) / (z2 - z) * (t2 - t) END AS t, CASE WHEN g = z THEN u ELSE u + (g - z) / (z2 - z) * (u2 - u) END AS u
+HEIGHTS = [300, 600, 900, 1200, 1500]
+_BY_Z = """n AS (SELECT *, lead(z) OVER w AS z2, lead(t) OVER w AS t2, lead(u) OVER w AS u2, lead(p) OVER w AS p2 FROM levels WINDOW w AS (PARTITION BY profile_id ORDER BY z)),
+ fx AS (SELECT profile_id, g AS target, t + (g - z) / coalesce(z2 - z, 1) * coalesce(t2 - t, 0) AS t, u + (g - z) / coalesce(z2 - z, 1) * coalesce(u2 - u, 0) AS u, p + (g - z) / coalesce(z2 - z, 1) * coalesce(p2 - p, 0) AS p
  FROM n JOIN (SELECT unnest([300.0, 600.0, 900.0, 1200.0, 1500.0])::DOUBLE AS g) ON g = z OR (g > z AND g < z2))"""
+_INTERP = LEVELS + ", " + _BY_Z + ", every AS (SELECT profile_id, unnest([300.0, 600.0, 900.0, 1200.0, 1500.0])::DOUBLE AS target FROM (SELECT DISTINCT profile_id FROM levels))"
 
 
-def heights(spark, sf_dir):
-    levels = view(spark, sf_dir, "levels")
-    return G.interp_profile(levels, ["profile_id"], "z", ["cluster", "t", "u"], [300, 600, 900, 1200, 1500])
+@query(_INTERP + " SELECT profile_id, target, round(t, 6) AS t, round(u, 6) AS u FROM every LEFT JOIN fx USING (profile_id, target)")
+def interp_profile(spark, sf_dir):
+    """Every profile at fixed heights; null outside."""
+    return rounded(G.interp_profile(view(spark, sf_dir, "levels"), ["profile_id"], "z", ["t", "u"], HEIGHTS))
 
 
-@query(_INTERP + " SELECT profile_id, target, round(t, 6) AS t, round(u, 6) AS u FROM fx")
-def interp_profile(spark, sf_dir):
-    return rounded(heights(spark, sf_dir).select("profile_id", "target", "t", "u"))
+_OWN = """own AS (SELECT profile_id, min(cluster) OVER w AS cluster, z, p, t, u * cos(atan2(avg(v) OVER w, avg(u) OVER w)) + v * sin(atan2(avg(v) OVER w, avg(u) OVER w)) AS along, v * cos(atan2(avg(v) OVER w, avg(u) OVER w)) - u * sin(atan2(avg(v) OVER w, avg(u) OVER w)) AS across
+ FROM levels WINDOW w AS (PARTITION BY profile_id))"""
 
 
-@query(_INTERP + ", c AS (SELECT profile_id, min(cluster) AS c FROM levels GROUP BY profile_id) SELECT c AS cluster, target, round(avg(t), 6) AS t, round(avg(u), 6) AS u FROM fx JOIN c USING (profile_id) GROUP BY c, target")
+@query(LEVELS + f""", {_OWN}, {_BY_Z}, c AS (SELECT DISTINCT profile_id, cluster FROM own), m AS (SELECT cluster, target, avg(p) AS p FROM fx JOIN c USING (profile_id) GROUP BY cluster, target),
+q AS (SELECT *, lead(p) OVER w AS p2, lead(t) OVER w AS t2, lead(along) OVER w AS l2, lead(across) OVER w AS c2 FROM own WINDOW w AS (PARTITION BY profile_id ORDER BY p)),
+a AS (SELECT q.cluster, m.target, m.p, t + (m.p - q.p) / coalesce(p2 - q.p, 1) * coalesce(t2 - t, 0) AS t, along + (m.p - q.p) / coalesce(p2 - q.p, 1) * coalesce(l2 - along, 0) AS along, across + (m.p - q.p) / coalesce(p2 - q.p, 1) * coalesce(c2 - across, 0) AS across
+ FROM q JOIN m ON m.cluster = q.cluster AND (m.p = q.p OR (m.p > q.p AND m.p < p2)))
+SELECT cluster, target, round(p, 6) AS p, round(avg(t), 5) AS t, round(avg(along), 5) AS along, round(avg(across), 5) + 0.0 AS across FROM a GROUP BY cluster, target, p""")
 def composite_profile(spark, sf_dir):
+    """Mean profiles of each cluster: winds along and across each profile's mean wind, all taken at the cluster's mean pressure of a height."""
     levels = view(spark, sf_dir, "levels")
-    own = levels.withColumn("cluster", F.expr("min(cluster) over (partition by profile_id)"))
-    at = G.interp_profile(own, ["profile_id", "cluster"], "z", ["t", "u"], [300, 600, 900, 1200, 1500])
-    return rounded(at.groupBy("cluster", "target").agg(F.avg("t").alias("t"), F.avg("u").alias("u")))
+    mean = {n: F.expr(f"{f}({c}) over (partition by profile_id)") for n, f, c in (("cluster", "min", "cluster"), ("mu", "avg", "u"), ("mv", "avg", "v"))}
+    own = levels.withColumns(mean)
+    along, across = X.rotate_wind(*map(F.col, ("u", "v", "mu", "mv")))
+    found = G.composite_profile(own.withColumns({"along": along, "across": across}), ["profile_id"], "cluster", "z", "p", ["t", "along", "across"], HEIGHTS)
+    return found.select("cluster", "target", F.round("p", 6).alias("p"), F.round("t", 5).alias("t"), F.round("along", 5).alias("along"), (F.round("across", 5) + 0.0).alias("across"))
 
 
-@query(LEVELS + ", n AS (SELECT profile_id, u, v, p - lead(p) OVER w AS d, (u + lead(u) OVER w) / 2 AS um, (v + lead(v) OVER w) / 2 AS vm FROM levels WINDOW w AS (PARTITION BY profile_id ORDER BY p DESC)) SELECT profile_id, round(CASE WHEN count(*) = 1 THEN max(u) ELSE sum(um * d) / sum(d) END, 6) AS u, round(CASE WHEN count(*) = 1 THEN max(v) ELSE sum(vm * d) / sum(d) END, 6) AS v FROM n GROUP BY profile_id")
+@query(LEVELS + ", n AS (SELECT profile_id, u, v, p - lead(p) OVER w AS d, (u + lead(u) OVER w) / 2 AS um, (v + lead(v) OVER w) / 2 AS vm FROM levels WINDOW w AS (PARTITION BY profile_id ORDER BY p DESC)) SELECT profile_id, round(CASE WHEN count(*) = 1 THEN max(u) ELSE sum(um * d) / sum(d) END, 6) AS u, round(CASE WHEN count(*) = 1 THEN max(v) ELSE sum(vm * d) / sum(d) END, 6) AS v, round(avg(u), 6) AS u_plain, round(avg(v), 6) AS v_plain FROM n GROUP BY profile_id")
 def layer_mean(spark, sf_dir):
-    return rounded(G.layer_mean(view(spark, sf_dir, "levels"), ["profile_id"], "p", ["u", "v"]))
+    """Layer means weighted by thickness, and plain ones."""
+    levels = view(spark, sf_dir, "levels")
+    plain = G.layer_mean(levels, ["profile_id"], "p", ["u", "v"], weighted=False).withColumnsRenamed({"u": "u_plain", "v": "v_plain"})
+    return rounded(G.layer_mean(levels, ["profile_id"], "p", ["u", "v"]).join(plain, "profile_id"))
 
 
 _MOTION = LEVELS + """, m AS (SELECT profile_id, avg(u) AS mu, avg(v) AS mv, arg_max(u, z) - arg_min(u, z) AS su, arg_max(v, z) - arg_min(v, z) AS sv FROM levels GROUP BY profile_id),
@@ -126,17 +140,50 @@ _D = ", ".join("(" + " + ".join(f"pow({n} - {x}, 2)" for n, x in zip(BOUNDS, c,
 _ASSIGN = ENV + f", s AS (SELECT h, i, j, {_S} FROM env), d AS (SELECT *, {_D} FROM s), a AS (SELECT *, CASE least(d0, d1, d2) WHEN d0 THEN 0 WHEN d1 THEN 1 ELSE 2 END AS cluster FROM d)"
 
 
-def assigned(spark, sf_dir):
-    scaled = view(spark, sf_dir, "env").withColumns({n: X.minmax_scale(F.col(n), F.lit(a), F.lit(b)) for n, (a, b) in BOUNDS.items()})
-    return scaled.withColumn("cluster", kmeans_assign(list(BOUNDS), CENTRES))
+def scaled(spark, sf_dir):
+    return view(spark, sf_dir, "env").withColumns({n: X.minmax_scale(F.col(n), F.lit(a), F.lit(b)) for n, (a, b) in BOUNDS.items()})
 
 
-@query(_ASSIGN + " SELECT h, i, j, cluster::BIGINT AS cluster FROM a")
+@query(_ASSIGN + " SELECT h, i, j, CASE WHEN (i + j + h) % 9 <> 0 THEN cluster END::BIGINT AS cluster FROM a")
 def kmeans_assign_grid(spark, sf_dir):
-    return assigned(spark, sf_dir).select("h", "i", "j", F.col("cluster").cast("long").alias("cluster"))
+    """The cluster of each grid point; a point that lacks a field has none."""
+    holed = scaled(spark, sf_dir).withColumn("lr13", F.when((F.col("i") + F.col("j") + F.col("h")) % 9 != 0, F.col("lr13")))
+    return holed.select("h", "i", "j", kmeans_assign(list(BOUNDS), CENTRES).cast("long").alias("cluster"))
+
+
+# The grid of the full job: a field a day and place, from the table's rows of that day.
+_DAILY = """WITH d AS (SELECT l_partkey % 16 AS i, l_orderkey % 18 AS j, l_shipdate AS day, avg(l_quantity) AS s06, 100 * avg(l_discount) AS qmean01, 5 + 50 * avg(l_tax) AS lr13, avg(l_extendedprice) / 5000 AS umean06
+ FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 1996 GROUP BY ALL)"""
+_LOGIT = " + ".join(f"{X.BDSD[t]} * {c}" for t, c in X.BDSD_STAND_IN.items())
 
 
-@query(_ASSIGN + " SELECT i, j, count_if(cluster = 0)::BIGINT AS c0, count_if(cluster = 1)::BIGINT AS c1, count_if(cluster = 2 AND s06 > 0.4)::BIGINT AS c2_strong, round(avg(CASE WHEN cluster = 1 THEN 1.0 ELSE 0.0 END), 6) AS share1 FROM a GROUP BY i, j")
+@query(_DAILY + f""", s AS (SELECT i, j, day, 1 / (1 + exp(-({_LOGIT} + {X.BDSD["const"]}))) AS score, {_S} FROM d), k AS (SELECT *, {_D} FROM s), a AS (SELECT *, CASE least(d0, d1, d2) WHEN d0 THEN 0 WHEN d1 THEN 1 ELSE 2 END AS cluster FROM k)
+SELECT i, j, year(day)::INTEGER AS yr, month(day)::INTEGER AS mon, count(DISTINCT day) FILTER (WHERE cluster = 0)::BIGINT AS c0, count(DISTINCT day) FILTER (WHERE cluster = 1)::BIGINT AS c1, count(DISTINCT day) FILTER (WHERE cluster = 2)::BIGINT AS c2, count(DISTINCT day) FILTER (WHERE score > 0.5)::BIGINT AS severe FROM a GROUP BY ALL""")
 def gridded_cluster_climatology(spark, sf_dir):
-    c = F.col("cluster")
-    return rounded(assigned(spark, sf_dir).groupBy("i", "j").agg(F.count_if(c == 0).alias("c0"), F.count_if(c == 1).alias("c1"), F.count_if((c == 2) & (F.col("s06") > 0.4)).alias("c2_strong"), F.avg((c == 1).cast("double")).alias("share1")))
+    """The whole gridded job: a time slice of the grid, the logistic score and scaled fields of each point, its cluster, and the days of
+    each month on which a point lies in each cluster or scores above a half."""
+    grid = view(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 16).alias("i"), (F.col("l_orderkey") % 18).alias("j"), F.col("l_shipdate").alias("time")).agg(
+        F.avg("l_quantity").alias("s06"), (100 * F.avg("l_discount")).alias("qmean01"), (5 + 50 * F.avg("l_tax")).alias("lr13"), (F.avg("l_extendedprice") / 5000).alias("umean06")
+    )
+    cut = R.grid_slice(grid, ["i", "j"], "time", list(BOUNDS), F.make_date(F.lit(1995), F.lit(1), F.lit(1)), F.make_date(F.lit(1996), F.lit(12), F.lit(31)))
+    scored = cut.withColumn("score", X.logit_score({**{c: X.BDSD[t] for t, c in X.BDSD_STAND_IN.items()}, "const": X.BDSD["const"]}))
+    fields = scored.withColumns({n: X.minmax_scale(F.col(n), F.lit(a), F.lit(b)) for n, (a, b) in BOUNDS.items()}).withColumn("cluster", kmeans_assign(list(BOUNDS), CENTRES))
+    flags = {f"c{k}": F.col("cluster") == k for k in range(3)} | {"severe": F.col("score") > 0.5}
+    return C.days_per_month(fields, ["i", "j"], F.col("time"), flags)
+
+
+_SEVEN = {"ebwd": "s06", "Umean800_600": "umean06", "lr13": "lr13", "rhmin13": "50 * lsm", "srhe_left": "-lat", "q_melting": "qmean01", "eff_lcl": "10 * lon"}
+
+
+@query(ENV + " SELECT h, i, j, round(1 / (1 + exp(-(" + " + ".join(f"{X.BDSD[t]} * ({c})" for t, c in _SEVEN.items()) + f" + {X.BDSD['const']}))), 6) AS score FROM env")
+def logit_score_bdsd(spark, sf_dir):
+    """The fixed diagnostic of seven terms, with the stand-in's fields in their place."""
+    terms = view(spark, sf_dir, "env").withColumns({t: F.expr(f"double({c})") for t, c in _SEVEN.items() if t not in ("lr13",)})
+    return rounded(terms.select("h", "i", "j", X.logit_score(X.BDSD).alias("score")))
+
+
+@query(LEVELS + " SELECT profile_id, level::INTEGER AS level, round((t + 273.15) * pow(1000.0 / p, 0.2854), 6) AS theta, round(243.04 * (ln(rh / 100) + 17.625 * t / (243.04 + t)) / (17.625 - (ln(rh / 100) + 17.625 * t / (243.04 + t))), 6) AS dewpoint FROM (SELECT *, 40.0 + u AS rh FROM levels)")
+def thermodynamics(spark, sf_dir):
+    """Potential temperature and dewpoint of each level."""
+    out = view(spark, sf_dir, "levels").withColumn("rh", 40.0 + F.col("u"))
+    return rounded(out.select("profile_id", F.col("level").cast("int").alias("level"), X.potential_temp(F.col("t") + 273.15, F.col("p")).alias("theta"), X.dewpoint_from_rh(F.col("t"), F.col("rh")).alias("dewpoint")))

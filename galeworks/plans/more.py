@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from galeworks.functions import exprs as X
 from galeworks.operators import temporal as T
+from galeworks.operators.ordered import exact_quantiles
 from galeworks.plans.registry import query
 from galeworks.plans.space import _AT, hourly
 from galeworks.plans.views import ctes, rounded, view
@@ -28,10 +29,26 @@ def upsample_nearest(spark, sf_dir):
     return rounded(source.join(env, ["i", "j", "h"]).select("i", "j", "target", "s06"))
 
 
-@query(OBS + ", s AS (SELECT user_id AS stn_id, ts AS seen, value AS other FROM events WHERE event_type = 'click'), j AS (SELECT event_id, gust, seen, other FROM obs ASOF JOIN s ON s.stn_id = obs.stn_id AND s.seen <= obs.dt_utc WHERE obs.dt_utc - seen <= INTERVAL 1 HOUR) SELECT event_id, round(other, 6) AS other FROM j")
+@query(OBS + ", s AS (SELECT user_id % 25 AS rid, date_trunc('hour', ts) AS slot, arg_max(value, struct_pack(t := ts, v := value)) AS other FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT event_id, round(coalesce(a.other, b.other), 6) AS other FROM obs LEFT JOIN s a ON a.rid = obs.rid AND a.slot = date_trunc('hour', dt_utc) LEFT JOIN s b ON b.rid = obs.rid AND b.slot = date_trunc('hour', dt_utc) - INTERVAL 1 HOUR WHERE a.rid IS NOT NULL OR b.rid IS NOT NULL")
 def lookup_with_gap(spark, sf_dir):
-    clicks = view(spark, sf_dir, "events").where("event_type = 'click'").select(F.col("user_id").alias("stn_id"), F.col("ts").alias("seen"), F.col("value").alias("other"))
-    return rounded(T.asof_join(view(spark, sf_dir, "obs"), clicks, ["stn_id"], "dt_utc", "seen", ["other"], 3600).select("event_id", "other"))
+    """The value of a gust's own hour, else of the hour before, and of no other."""
+    clicks = view(spark, sf_dir, "events").where("event_type = 'click'").select((F.col("user_id") % 25).alias("rid"), F.col("ts").alias("seen"), F.col("value").alias("other"))
+    return rounded(T.lookup_with_gap(view(spark, sf_dir, "obs"), clicks, ["rid"], "event_id", "dt_utc", "seen", "other", 3600).select("event_id", "other"))
+
+
+@query(SKILL + " SELECT row_id, scw = 1 AND floor(l_tax * 100 + 0.5) >= 2 AS two, scw = 1 AND floor(l_tax * 100 + 0.5) >= 1 AS one FROM skill")
+def lightning_qualified(spark, sf_dir):
+    """Severe rows with two strokes, or one."""
+    strokes = F.floor(F.col("l_tax") * 100 + 0.5)
+    return view(spark, sf_dir, "skill").select("row_id", *[X.lightning_qualified(F.col("scw"), strokes, n).alias(c) for n, c in ((2, "two"), (1, "one"))])
+
+
+@query(OBS + " SELECT rid, count(*) AS hours, min(h)::TIMESTAMP AS first_hour FROM (SELECT rid, unnest(generate_series(date_trunc('month', min(dt_utc)), date_trunc('month', max(dt_utc)) + INTERVAL 1 MONTH - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS h FROM obs GROUP BY rid) GROUP BY rid")
+def hourly_sequence(spark, sf_dir):
+    """Every hour of the months that a radar has data in."""
+    spans = view(spark, sf_dir, "obs").groupBy("rid").agg(F.date_trunc("month", F.min("dt_utc")).alias("a"), F.date_trunc("month", F.max("dt_utc")).alias("b"))
+    hours = spans.select("rid", F.explode(F.expr("sequence(a, b + interval 1 month - interval 1 hour, interval 1 hour)")).alias("h"))
+    return hours.groupBy("rid").agg(F.count("*").alias("hours"), F.min("h").cast("timestamp_ntz").alias("first_hour"))
 
 
 @query(_AT + ", r AS (SELECT *, row_number() OVER (PARTITION BY stn_no, h ORDER BY s06 DESC, i DESC, j DESC) AS n FROM at_hour) SELECT stn_no, h, round(s06, 6) AS s06, round(lr13, 6) AS lr13, round(qmean01, 6) AS qmean01 FROM r WHERE n = 1")
@@ -66,7 +83,7 @@ def severe_spells(spark, sf_dir):
 def threshold_sweep_v0(spark, sf_dir):
     """Fifty thresholds up to the 97.5th percentile of the non-events, '>=': rows are binned once, by whole steps."""
     s = view(spark, sf_dir, "skill")
-    top = s.where("scw = 0").agg(F.percentile("l_quantity", 0.975)).first()[0]
+    top = exact_quantiles(s.where("scw = 0"), [], "l_quantity", {"top": 0.975}).first()["top"]
     marks = F.array(*[F.lit(k * top / 49) for k in range(50)])
     slot = F.size(F.filter(marks, lambda m: m <= F.col("l_quantity"))) - 1
     binned = s.groupBy(slot.alias("slot")).agg(F.count_if(F.col("scw") == 1).alias("p"), F.count_if(F.col("scw") == 0).alias("n"))

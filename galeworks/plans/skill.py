@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galeworks.operators import skill as K
+from galeworks.operators.ordered import exact_quantiles
 from galeworks.plans.registry import query
 from galeworks.plans.views import ctes, rounded, view
 
@@ -17,14 +18,27 @@ def tall(spark, sf_dir):
     return view(spark, sf_dir, "skill").unpivot(["row_id", "scw", "cluster"], ["l_quantity", "l_extendedprice", "l_discount"], "predictor", "x")
 
 
-@query(_LONG + ", " + _AUC + " SELECT cluster, predictor, round(sum(v) / (sum(p) * sum(n)), 6) AS auc, sum(p)::BIGINT AS events FROM u GROUP BY cluster, predictor")
+@query(ctes("skill") + """, tall AS (SELECT scw, in10km, cluster, mon % 6 AS class, unnest(['l_quantity', 'l_extendedprice', 'l_discount']) AS predictor, unnest([l_quantity, l_extendedprice, l_discount]) AS x FROM skill),
+s AS (SELECT scw, in10km, predictor, x, unnest(['all', 'cluster ' || cluster, 'class ' || class]) AS stratum FROM tall), t AS (SELECT scw, predictor, x, stratum, unnest(CASE WHEN scw = 1 OR in10km = 1 THEN ['all', 'storms'] ELSE ['all'] END) AS null_set FROM s),
+b AS (SELECT stratum, null_set, predictor, x, sum(scw) AS p, sum(1 - scw) AS n FROM t GROUP BY ALL),
+u AS (SELECT *, p * (coalesce(sum(n) OVER (PARTITION BY stratum, null_set, predictor ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) AS v FROM b),
+a AS (SELECT stratum, null_set, predictor, sum(v) / (sum(p) * sum(n)) AS auc, sum(p)::BIGINT AS events, sum(x * p) / sum(p) AS me, sum(x * n) / sum(n) AS mn FROM u GROUP BY ALL)
+SELECT stratum, null_set, predictor, round(CASE WHEN me < mn THEN 1 - auc ELSE auc END, 6) AS auc, events FROM a""")
 def auc_many(spark, sf_dir):
-    return rounded(K.auc(tall(spark, sf_dir), ["cluster", "predictor"], "scw", "x").select("cluster", "predictor", "auc", "events"))
+    """AUC of each predictor over all rows, each cluster and each class, against all non-events and those with a storm near; predictors
+    that are lower in events are turned round. Equal values meet before they are copied to their strata."""
+    s = view(spark, sf_dir, "skill").withColumn("class", F.col("mon") % 6)
+    by = s.unpivot(["scw", "in10km", "cluster", "class"], ["l_quantity", "l_extendedprice", "l_discount"], "predictor", "x").groupBy("scw", "in10km", "cluster", "class", "predictor", "x").agg(F.count("*").alias("n"))
+    strata = F.array(F.lit("all"), F.concat(F.lit("cluster "), F.col("cluster").cast("string")), F.concat(F.lit("class "), F.col("class").cast("string")))
+    nulls = F.when((F.col("scw") == 1) | (F.col("in10km") == 1), F.array(F.lit("all"), F.lit("storms"))).otherwise(F.array(F.lit("all")))
+    each = by.withColumn("stratum", F.explode(strata)).withColumn("null_set", F.explode(nulls))
+    return rounded(K.auc(each, ["stratum", "null_set", "predictor"], "scw", "x", "n", orient="mean").select("stratum", "null_set", "predictor", "auc", "events"))
 
 
-@query(ctes("skill") + ", c AS (SELECT cluster, count_if(scw = 1 AND l_quantity > 25) AS hits, count_if(scw = 1 AND l_quantity <= 25) AS misses, count_if(scw = 0 AND l_quantity > 25) AS false_alarms, count_if(scw = 0 AND l_quantity <= 25) AS correct_nulls FROM skill GROUP BY cluster) SELECT cluster, hits::BIGINT AS hits, misses::BIGINT AS misses, round(hits / (hits + misses), 6) AS pod, round(hits / (hits + misses) - false_alarms / (false_alarms + correct_nulls), 6) AS tss, round(hits / (hits + misses + false_alarms), 6) AS csi FROM c")
+@query(ctes("skill") + ", c AS (SELECT cluster, count_if(scw = 1 AND l_quantity > 25) AS hits, count_if(scw = 1 AND l_quantity <= 25) AS misses, count_if(scw = 0 AND l_quantity > 25) AS false_alarms, count_if(scw = 0 AND l_quantity <= 25) AS correct_nulls FROM skill GROUP BY cluster) SELECT cluster, hits::BIGINT AS hits, misses::BIGINT AS misses, round(hits / (hits + misses), 6) AS pod, round(false_alarms / (hits + false_alarms), 6) AS far, round((hits + false_alarms) / (hits + misses), 6) AS bias, round(hits / (hits + misses) - false_alarms / (false_alarms + correct_nulls), 6) AS tss, round(hits / (hits + misses + false_alarms), 6) AS csi, round(CASE WHEN hits / (hits + misses) > 0.4 THEN 2 * (hits * correct_nulls - misses * false_alarms) / ((hits + misses) * (misses + correct_nulls) + (hits + false_alarms) * (false_alarms + correct_nulls)) ELSE 0 END, 6) AS hss FROM c")
 def contingency_scores(spark, sf_dir):
-    return rounded(K.scores(K.contingency(view(spark, sf_dir, "skill"), ["cluster"], "scw", F.col("l_quantity") > 25)).select("cluster", "hits", "misses", "pod", "tss", "csi"))
+    """All scores of one threshold; HSS counts from a hit rate of 0.4 on, so that it does here."""
+    return rounded(K.scores(K.contingency(view(spark, sf_dir, "skill"), ["cluster"], "scw", F.col("l_quantity") > 25), 0.4).select("cluster", "hits", "misses", "pod", "far", "bias", "tss", "csi", "hss"))
 
 
 @query(ctes("skill") + ", t AS (SELECT unnest(range(50)) AS step) SELECT cluster, step::INTEGER AS step, count_if(scw = 1 AND l_quantity > step)::BIGINT AS hits, count_if(scw = 0 AND l_quantity > step)::BIGINT AS false_alarms FROM skill JOIN t ON true GROUP BY cluster, step")
@@ -32,19 +46,45 @@ def threshold_sweep(spark, sf_dir):
     return K.threshold_sweep(view(spark, sf_dir, "skill"), ["cluster"], "scw", "l_quantity", 50, 49.0).select("cluster", "step", "hits", "false_alarms")
 
 
-@query(ctes("skill") + """, w AS (SELECT s.*, replicate, (((row_id % 1000003) * 7919 + replicate * 104729) * 31 + (row_id % 977) * replicate) % 1000 AS draw FROM skill s, range(10) AS r(replicate)),
-g AS (SELECT *, CASE WHEN draw < 368 THEN 0 WHEN draw < 736 THEN 1 WHEN draw < 920 THEN 2 ELSE 3 END AS weight FROM w),
+@query(ctes("skill") + """, m AS (SELECT cluster, max(l_extendedprice) AS top FROM skill WHERE scw = 1 GROUP BY cluster), t AS (SELECT unnest(range(100)) AS step),
+c AS (SELECT cluster, step, any_value(top) AS top, count_if(scw = 1 AND l_extendedprice * 99 > step * top) AS h, count_if(scw = 1 AND l_extendedprice * 99 <= step * top) AS m, count_if(scw = 0 AND l_extendedprice * 99 > step * top) AS f, count_if(scw = 0 AND l_extendedprice * 99 <= step * top) AS c
+ FROM skill JOIN m USING (cluster) JOIN t ON true GROUP BY cluster, step),
+s AS (SELECT cluster, step, top, unnest(['tss', 'csi', 'hss']) AS score, unnest([h / (h + m) - f / (f + c), h / (h + m + f), CASE WHEN h / (h + m) > 0.66 THEN 2 * (h * c - f * m) / ((h + m) * (m + c) + (h + f) * (f + c)) ELSE 0 END]) AS v FROM c),
+b AS (SELECT cluster, score, max(round(v, 10)) AS best FROM s GROUP BY ALL)
+SELECT cluster, score, round(best, 6) AS best, min(step)::BIGINT AS step, round(min(step) * any_value(top) / 99, 4) AS threshold FROM s JOIN b USING (cluster, score) WHERE round(v, 10) = best GROUP BY cluster, score, best""")
+def best_threshold(spark, sf_dir):
+    """The best TSS, CSI and HSS over a hundred thresholds up to the events' largest value, and the first threshold that attains each."""
+    swept = K.scores(K.threshold_sweep(view(spark, sf_dir, "skill"), ["cluster"], "scw", "l_extendedprice", 100))
+    best = K.best_threshold(swept, ["cluster"], ["tss", "csi", "hss"])
+    return best.select("cluster", "score", F.round("best", 6).alias("best"), F.col("step").cast("long").alias("step"), F.round("threshold", 4).alias("threshold"))
+
+
+@query(ctes("skill") + """, w AS (SELECT s.*, replicate, (((row_id % 1000003) * 7919 + replicate * 104729) * 31 + (row_id % 977) * replicate) % 1000 AS draw FROM skill s, range(100) AS r(replicate)),
+g AS (SELECT *, CASE WHEN draw < 368 THEN 0 WHEN draw < 736 THEN 1 WHEN draw < 920 THEN 2 WHEN draw < 981 THEN 3 WHEN draw < 996 THEN 4 WHEN draw < 999 THEN 5 ELSE 6 END AS weight FROM w),
 b AS (SELECT replicate, l_discount AS x, sum(scw * weight) AS p, sum((1 - scw) * weight) AS n FROM g WHERE weight > 0 GROUP BY ALL),
 u AS (SELECT *, p * (coalesce(sum(n) OVER (PARTITION BY replicate ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) AS v FROM b)
 SELECT replicate::INTEGER AS replicate, round(sum(v) / (sum(p) * sum(n)), 6) AS auc FROM u GROUP BY replicate""")
 def bootstrap_scores(spark, sf_dir):
-    drawn = K.bootstrap_rows(view(spark, sf_dir, "skill"), "row_id", 10)
+    drawn = K.bootstrap_rows(view(spark, sf_dir, "skill"), "row_id", 100)
     return rounded(K.auc(drawn, ["replicate"], "scw", "l_discount", "weight").select("replicate", "auc"))
 
 
-@query(ctes("skill") + ", b AS (SELECT cluster, l_quantity AS x, sum(scw) AS a, sum(1 - scw) AS c FROM skill GROUP BY ALL), g AS (SELECT cluster, abs(sum(a) OVER w / sum(a) OVER e - sum(c) OVER w / sum(c) OVER e) AS d FROM b WINDOW w AS (PARTITION BY cluster ORDER BY x), e AS (PARTITION BY cluster)) SELECT cluster, round(max(d), 6) AS distance FROM g GROUP BY cluster")
+_KS = "sum(a) OVER w / sum(a) OVER e - sum(c) OVER w / sum(c) OVER e"
+_P = "CASE WHEN z < 0.2 THEN 1.0 ELSE least(greatest(list_sum(list_transform(range(1, 101), lambda k: 2 * (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * z * z))), 0.0), 1.0) END"
+
+
+@query(ctes("skill") + f""", r AS (SELECT 'events ' || cluster AS pair, l_quantity AS x, scw AS a, 1 - scw AS c FROM skill UNION ALL
+ SELECT 'clusters ' || a || ' ' || b, l_quantity, CASE WHEN cluster = a THEN 1 ELSE 0 END, CASE WHEN cluster = b THEN 1 ELSE 0 END FROM skill JOIN (VALUES (0, 1), (0, 2), (1, 2)) AS t(a, b) ON cluster = a OR cluster = b),
+v AS (SELECT pair, x, sum(a) AS a, sum(c) AS c FROM r GROUP BY ALL), g AS (SELECT pair, a, c, abs({_KS}) AS d FROM v WINDOW w AS (PARTITION BY pair ORDER BY x), e AS (PARTITION BY pair)),
+z AS (SELECT pair, max(d) AS d, max(d) * sqrt(sum(a) * sum(c) / (sum(a) + sum(c))) AS z FROM g GROUP BY pair) SELECT pair, round(d, 6) AS distance, round({_P}, 6) AS p FROM z""")
 def ks_two_sample(spark, sf_dir):
-    return rounded(K.ks_two_sample(view(spark, sf_dir, "skill"), ["cluster"], F.col("scw") == 1, "l_quantity"))
+    """Events against non-events in each cluster, and each two clusters against each other."""
+    s = view(spark, sf_dir, "skill")
+    name = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    events = s.select(name("events ", F.col("cluster")).alias("pair"), "l_quantity", (F.col("scw") == 1).alias("first"))
+    pairs = F.filter(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (0, 2), (1, 2))]), lambda p: (p["a"] == F.col("cluster")) | (p["b"] == F.col("cluster")))
+    each = s.select("cluster", "l_quantity", F.explode(pairs).alias("p")).select(name("clusters ", F.col("p.a"), " ", F.col("p.b")).alias("pair"), "l_quantity", (F.col("cluster") == F.col("p.a")).alias("first"))
+    return rounded(K.ks_two_sample(events.unionByName(each), ["pair"], F.col("first"), "l_quantity"))
 
 
 @query(ctes("skill") + " SELECT cluster, mon, round(100.0 * count_if(scw = 1) / count(*), 6) AS event_share, round(100.0 * count_if(scw = 1 AND in10km = 1) / count_if(in10km = 1), 6) AS near_share FROM skill GROUP BY GROUPING SETS ((), (cluster), (cluster, mon))")
@@ -55,19 +95,22 @@ def event_probability(spark, sf_dir):
     return rounded(skill.agg((100.0 * F.count_if(hit) / F.count("*")).alias("event_share"), near_share.alias("near_share")))
 
 
-@query(ctes("skill") + " SELECT cluster, quantile_cont(l_extendedprice, 0.25) AS q25, quantile_cont(l_extendedprice, 0.5) AS q50, quantile_cont(l_extendedprice, 0.75) AS q75, round(corr(l_quantity, l_extendedprice), 6) AS pearson, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM skill GROUP BY cluster".replace("quantile_cont(l_extendedprice, 0.25)", "round(quantile_cont(l_extendedprice, 0.25), 4)").replace("quantile_cont(l_extendedprice, 0.5)", "round(quantile_cont(l_extendedprice, 0.5), 4)").replace("quantile_cont(l_extendedprice, 0.75)", "round(quantile_cont(l_extendedprice, 0.75), 4)"))
+@query(ctes("skill") + " SELECT cluster, round(quantile_cont(l_extendedprice, 0.25), 4) AS q25, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50, round(quantile_cont(l_extendedprice, 0.75), 4) AS q75, round(corr(l_quantity, l_extendedprice), 6) AS pearson, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM skill GROUP BY cluster")
 def quantiles_and_fits(spark, sf_dir):
-    x = F.col("l_extendedprice")
-    out = view(spark, sf_dir, "skill").groupBy("cluster").agg(*[F.round(F.percentile(x, p), 4).alias(n) for p, n in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))], F.round(F.corr("l_quantity", x), 6).alias("pearson"), F.round(F.regr_slope(x, F.col("l_quantity")), 4).alias("slope"))
-    return out
+    """Quartiles, correlation and the least-squares line of each cluster."""
+    s, x, q = view(spark, sf_dir, "skill"), F.col("l_extendedprice"), F.col("l_quantity")
+    quartiles = rounded(exact_quantiles(s, ["cluster"], "l_extendedprice", {"q25": 0.25, "q50": 0.5, "q75": 0.75}), 4)
+    fits = s.groupBy("cluster").agg(F.round(F.corr(q, x), 6).alias("pearson"), F.round(F.regr_slope(x, q), 4).alias("slope"), F.round(F.regr_intercept(x, q), 3).alias("intercept"), F.round(F.regr_r2(x, q), 6).alias("r2"))
+    return quartiles.join(fits, "cluster")
 
 
-@query(ctes("ensemble") + ", s AS (SELECT model, experiment, point, sum(days) / count(DISTINCT yr) AS d FROM ensemble GROUP BY ALL), c AS (SELECT p.point, p.d AS past, f.d - p.d AS diff FROM s p JOIN s f ON f.model = p.model AND f.point = p.point AND p.experiment = 'past' AND f.experiment = 'future') SELECT point, round(median(diff), 6) AS change, greatest(count_if(diff > 0), count_if(diff < 0))::BIGINT AS same_sign, round(avg(past), 6) AS past_mean FROM c GROUP BY point")
+@query(ctes("ensemble") + ", s AS (SELECT model, experiment, point, sum(days) / count(DISTINCT yr) AS d FROM ensemble GROUP BY ALL), c AS (SELECT p.point, p.d AS past, f.d - p.d AS diff FROM s p JOIN s f ON f.model = p.model AND f.point = p.point AND p.experiment = 'past' AND f.experiment = 'future') SELECT point, round(median(diff), 6) AS change, greatest(count_if(diff > 0), count_if(diff < 0))::BIGINT AS same_sign, round(avg(past), 6) AS past_mean, greatest(count_if(diff > 0), count_if(diff < 0)) >= 10 AND avg(past) >= 1 AS agreed FROM c GROUP BY point")
 def ensemble_change(spark, sf_dir):
     s = view(spark, sf_dir, "ensemble").groupBy("model", "experiment", "point").agg((F.sum("days") / F.count_distinct("yr")).alias("d"))
     past = s.where("experiment = 'past'").select("model", "point", F.col("d").alias("past"))
     both = past.join(s.where("experiment = 'future'").select("model", "point", F.col("d").alias("future")), ["model", "point"]).withColumn("diff", F.col("future") - F.col("past"))
-    return rounded(both.groupBy("point").agg(F.median("diff").alias("change"), F.greatest(F.count_if(F.col("diff") > 0), F.count_if(F.col("diff") < 0)).alias("same_sign"), F.avg("past").alias("past_mean")))
+    out = both.groupBy("point").agg(F.median("diff").alias("change"), F.greatest(F.count_if(F.col("diff") > 0), F.count_if(F.col("diff") < 0)).alias("same_sign"), F.avg("past").alias("past_mean"))
+    return rounded(out.withColumn("agreed", (F.col("same_sign") >= 10) & (F.col("past_mean") >= 1)))
 
 
 @query(ctes("ensemble") + ", m AS (SELECT mon, sum(days) AS d FROM ensemble GROUP BY mon) SELECT a.mon, round(avg(b.d), 6) AS smooth FROM m a JOIN m b ON b.mon IN (a.mon, a.mon % 12 + 1, (a.mon + 10) % 12 + 1) GROUP BY a.mon")

@@ -30,14 +30,25 @@ def radius_join(spark, sf_dir):
     return rounded(near_cells(spark, sf_dir).select("stn_no", "i", "j", "distance"), 4)
 
 
-@query(_NEAR + ", k AS (SELECT *, row_number() OVER (PARTITION BY stn_no ORDER BY d, i, j) AS n FROM near) SELECT stn_no, i, j FROM k WHERE n = 1")
+BOX = (-44.0, 113.0, -14.0, 147.0)
+_BOXED = ctes("stations", "env") + f""", cells AS (SELECT DISTINCT i, j, lat, lon, lsm FROM env), k AS (SELECT s.stn_no, c.i, c.j, lsm, {hav('s.lat', 's.lon', 'c.lat', 'c.lon')} AS d FROM stations s JOIN cells c ON true
+ WHERE s.lat BETWEEN {BOX[0]} AND {BOX[2]} AND s.lon BETWEEN {BOX[1]} AND {BOX[3]})"""
+
+
+def boxed(spark, sf_dir, cells):
+    """The nearest of some cells for each station inside the grid's box, whatever its distance."""
+    stations = view(spark, sf_dir, "stations").select("stn_no", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
+    return S.nearest_in_box(stations, cells.select("i", "j", "lat", "lon"), "stn_no", ("slat", "slon"), ["i", "j"], 170, BOX).select("stn_no", "i", "j")
+
+
+@query(_BOXED + " SELECT stn_no, (min(struct_pack(d := d, i := i, j := j))).i AS i, (min(struct_pack(d := d, i := i, j := j))).j AS j FROM k GROUP BY stn_no")
 def nearest_cell(spark, sf_dir):
-    return S.nearest(near_cells(spark, sf_dir), ["stn_no"], ["distance", "i", "j"], ["i", "j"])
+    return boxed(spark, sf_dir, view(spark, sf_dir, "env").select("i", "j", "lat", "lon").distinct())
 
 
-@query(_NEAR + ", k AS (SELECT *, row_number() OVER (PARTITION BY stn_no ORDER BY d, i, j) AS n FROM near WHERE lsm >= 0.5) SELECT stn_no, i, j FROM k WHERE n = 1")
+@query(_BOXED + " SELECT stn_no, (min(struct_pack(d := d, i := i, j := j))).i AS i, (min(struct_pack(d := d, i := i, j := j))).j AS j FROM k WHERE lsm >= 0.5 GROUP BY stn_no")
 def nearest_land_cell(spark, sf_dir):
-    return S.nearest(near_cells(spark, sf_dir).where("lsm >= 0.5"), ["stn_no"], ["distance", "i", "j"], ["i", "j"])
+    return boxed(spark, sf_dir, view(spark, sf_dir, "env").where("lsm >= 0.5").select("i", "j", "lat", "lon").distinct())
 
 
 @query(ctes("stations", "env") + ", la AS (SELECT DISTINCT lat AS a FROM env), lo AS (SELECT DISTINCT lon AS b FROM env) SELECT stn_no, (SELECT min(struct_pack(d := abs(a - lat), a := a)).a FROM la) AS near_lat, (SELECT min(struct_pack(d := abs(b - lon), b := b)).b FROM lo) AS near_lon FROM stations")
@@ -54,27 +65,47 @@ def hourly(spark, sf_dir):
     return near_cells(spark, sf_dir).select("stn_no", "i", "j").join(view(spark, sf_dir, "env"), ["i", "j"])
 
 
-@query(_AT + " SELECT stn_no, h, round(max(s06), 6) AS s06_max, round(avg(qmean01), 6) AS qmean01_mean, round(min(lr13), 6) AS lr13_min, round(sum(umean06), 6) AS umean06_sum FROM at_hour WHERE lsm >= 0.5 GROUP BY stn_no, h")
+FIELDS, HOW = ["s06", "qmean01", "lr13", "umean06"], {"max": "max", "mean": "avg", "min": "min", "sum": "sum"}
+
+
+@query(_AT + " SELECT stn_no, h, " + ", ".join(f"round({f}({v}), 6) AS {v}_{n}" for v in FIELDS for n, f in HOW.items()) + " FROM at_hour WHERE lsm >= 0.5 GROUP BY stn_no, h")
 def radius_summary(spark, sf_dir):
-    land = hourly(spark, sf_dir).where("lsm >= 0.5")
-    return rounded(land.groupBy("stn_no", "h").agg(F.max("s06").alias("s06_max"), F.avg("qmean01").alias("qmean01_mean"), F.min("lr13").alias("lr13_min"), F.sum("umean06").alias("umean06_sum")))
+    """Every summary of every field over the land cells around a station, by hour."""
+    return rounded(S.radius_summary(hourly(spark, sf_dir).where("lsm >= 0.5"), ["stn_no", "h"], {v: list(HOW) for v in FIELDS}))
 
 
-@query(_AT + ", k AS (SELECT stn_no, h, s06 - 20 AS a, qmean01, lr13, row_number() OVER (PARTITION BY stn_no, h ORDER BY abs(s06 - 20) DESC, i, j) AS n, row_number() OVER (PARTITION BY stn_no, h ORDER BY s06 DESC, i, j) AS m FROM at_hour) SELECT stn_no, h, round(max(CASE WHEN n = 1 THEN a END), 6) AS extreme, round(max(CASE WHEN m = 1 THEN qmean01 END), 6) AS q_there, round(max(CASE WHEN m = 1 THEN lr13 END), 6) AS lr_there FROM k GROUP BY stn_no, h")
+@query(_AT + ", k AS (SELECT stn_no, h, s06 - 20 AS a, qmean01, lr13, row_number() OVER (PARTITION BY stn_no, h ORDER BY abs(s06 - 20) DESC, i, j) AS n, row_number() OVER (PARTITION BY stn_no, h ORDER BY s06 DESC, i, j) AS m FROM at_hour WHERE lsm >= 0.5) SELECT stn_no, h, round(max(CASE WHEN n = 1 THEN a END), 6) AS extreme, round(max(CASE WHEN m = 1 THEN qmean01 END), 6) AS q_there, round(max(CASE WHEN m = 1 THEN lr13 END), 6) AS lr_there FROM k GROUP BY stn_no, h")
 def extreme_point(spark, sf_dir):
     a = F.col("s06") - 20
     tie = [(-F.col("i")).alias("ti"), (-F.col("j")).alias("tj")]
-    best = hourly(spark, sf_dir).groupBy("stn_no", "h").agg(F.max(F.struct(F.abs(a).alias("x"), *tie, a.alias("a"))).alias("e"), F.max(F.struct("s06", *tie, "qmean01", "lr13")).alias("m"))
+    best = hourly(spark, sf_dir).where("lsm >= 0.5").groupBy("stn_no", "h").agg(F.max(F.struct(F.abs(a).alias("x"), *tie, a.alias("a"))).alias("e"), F.max(F.struct("s06", *tie, "qmean01", "lr13")).alias("m"))
     return rounded(best.select("stn_no", "h", F.col("e.a").alias("extreme"), F.col("m.qmean01").alias("q_there"), F.col("m.lr13").alias("lr_there")))
 
 
-@query(ctes("stations", "obs") + """, p AS (SELECT rid, dt_utc, lat, lon FROM obs JOIN stations ON stn_no = stn_id WHERE gust >= 60), s AS (SELECT stn_no, lat, lon FROM stations)
-SELECT s.stn_no, count(*) AS strokes, count(DISTINCT date_trunc('hour', dt_utc)) AS hours FROM s JOIN p ON """ + hav("s.lat", "s.lon", "p.lat", "p.lon") + " <= 100 GROUP BY s.stn_no")
+_STROKES = ctes("stations", "obs") + """, p AS (SELECT rid, dt_utc, lat, lon FROM obs JOIN stations ON stn_no = stn_id WHERE gust >= 60), s AS (SELECT stn_no, lat, lon FROM stations),
+m AS (SELECT s.stn_no, date_trunc('hour', dt_utc) AS slot, count(*) AS n, count(DISTINCT (p.lat, p.lon)) AS places FROM s JOIN p ON """ + hav("s.lat", "s.lon", "p.lat", "p.lon") + " <= 100 GROUP BY ALL)"
+
+
+@query(_STROKES + " SELECT stn_no, sum(n)::BIGINT AS strokes, count(*) AS hours, sum(places)::BIGINT AS locations FROM m GROUP BY stn_no")
 def strokes_near_station(spark, sf_dir):
+    """Strokes around a station, the slots that have any, and the distinct places of each slot, added up."""
     stations = view(spark, sf_dir, "stations")
     strokes = view(spark, sf_dir, "obs").where("gust >= 60").join(stations.select(F.col("stn_no").alias("stn_id"), F.col("lat").alias("plat"), F.col("lon").alias("plon")), "stn_id").select("dt_utc", "plat", "plon")
     near = S.radius_join(stations.select("stn_no", "lat", "lon"), strokes, 100, inclusive=True, right_at=("plat", "plon"))
-    return near.groupBy("stn_no").agg(F.count("*").alias("strokes"), F.count_distinct(F.date_trunc("hour", "dt_utc")).alias("hours"))
+    slots = near.groupBy("stn_no", F.date_trunc("hour", "dt_utc").alias("slot")).agg(F.count("*").alias("n"), F.count_distinct(F.struct("plat", "plon")).alias("places"))
+    return slots.groupBy("stn_no").agg(F.sum("n").alias("strokes"), F.count("*").alias("hours"), F.sum("places").alias("locations"))
+
+
+@query(ctes("stations", "env") + f""", near AS (SELECT s.stn_no, c.h, s06, {hav('s.lat', 's.lon', 'c.lat', 'c.lon')} AS d FROM stations s JOIN env c ON {hav('s.lat', 's.lon', 'c.lat', 'c.lon')} < 1000)
+SELECT stn_no, h, round(max(s06), 6) AS most_1000, round(min(s06), 6) AS least_1000, round(max(abs(s06 - 20)), 6) AS size_1000, round(max(s06) FILTER (WHERE d < 500), 6) AS most_500, round(min(s06) FILTER (WHERE d < 500), 6) AS least_500, round(max(abs(s06 - 20)) FILTER (WHERE d < 500), 6) AS size_500 FROM near GROUP BY stn_no, h""")
+def radius_extreme(spark, sf_dir):
+    """Largest, least and largest absolute departure within 1000 km and 500 km, by hour: cells meet stations once, then their hours."""
+    env = view(spark, sf_dir, "env")
+    stations = view(spark, sf_dir, "stations").select("stn_no", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
+    near = S.radius_join(stations, env.select("i", "j", "lat", "lon").distinct(), 1000, left_at=("slat", "slon")).select("stn_no", "i", "j", "distance").join(env, ["i", "j"])
+    inside, x = F.col("distance") < 500, F.col("s06")
+    sums = [f.alias(n) for n, f in (("most_1000", F.max(x)), ("least_1000", F.min(x)), ("size_1000", F.max(F.abs(x - 20))), ("most_500", F.max(F.when(inside, x))), ("least_500", F.min(F.when(inside, x))), ("size_500", F.max(F.when(inside, F.abs(x - 20)))))]
+    return rounded(near.groupBy("stn_no", "h").agg(*sums))
 
 
 _MASK = ctes("mask", "stations") + ", pts AS (SELECT stn_no, (stn_no * 37) % 190 AS pi, (stn_no * 53) % 190 AS pj FROM stations)"
@@ -90,10 +121,27 @@ def storm_within(spark, sf_dir):
     return rounded(near.groupBy("stn_no").agg(F.count("*").alias("storms"), F.sum("in0").alias("inside"), F.sum("in2").alias("close_by"), F.min("near").alias("nearest")))
 
 
-@query(ctes("scan_at_station") + ", k AS (SELECT *, row_number() OVER (PARTITION BY stn_no, date_trunc('hour', scan_time) ORDER BY in10km DESC, field_max DESC, scan) AS n FROM scan_at_station) SELECT stn_no, scan, uid10, field_max FROM k WHERE n = 1")
+_RADII = {"0": 6, "10": 3, "20": 2}
+_BEST = ", ".join(f"k{r} AS (SELECT stn_no, hour, arg_max(scan, struct_pack(a := scan % {m} <> 0, b := field_max, c := -scan)) AS scan{r}, max(CASE WHEN scan % {m} <> 0 THEN 1 ELSE 0 END) AS in{r}km FROM (SELECT *, date_trunc('hour', scan_time)::TIMESTAMP AS hour FROM scan_at_station) GROUP BY stn_no, hour)" for r, m in _RADII.items())
+
+
+@query(ctes("scan_at_station") + f", {_BEST} SELECT stn_no, hour, scan0, scan10, scan20, in0km, in10km, in20km FROM k0 JOIN k10 USING (stn_no, hour) JOIN k20 USING (stn_no, hour)")
 def best_storm_per_scan(spark, sf_dir):
-    scans = view(spark, sf_dir, "scan_at_station").withColumn("hour", F.date_trunc("hour", "scan_time"))
-    return E.top1(scans, ["stn_no", "hour"], [F.desc("in10km"), F.desc("field_max"), F.asc("scan")]).select("stn_no", "scan", "uid10", "field_max")
+    """For each of three radii a station's best storm of an hour: one in range first, then the strongest, then the first. One aggregate gives all three."""
+    scans = view(spark, sf_dir, "scan_at_station").withColumn("hour", F.date_trunc("hour", "scan_time").cast("timestamp_ntz"))
+    near = {r: F.col("scan") % m != 0 for r, m in _RADII.items()}
+    best = [F.max_by("scan", F.struct(c, "field_max", -F.col("scan"))).alias(f"scan{r}") for r, c in near.items()]
+    return scans.groupBy("stn_no", "hour").agg(*best, *[F.max(c.cast("int")).alias(f"in{r}km") for r, c in near.items()])
+
+
+_AREA = "-44 + i * 34.0 / 190 AS lat, 113 + j * 40.0 / 190 AS lon"
+
+
+@query(ctes("mask", "stations") + f", c AS (SELECT scan, uid, {_AREA} FROM mask) SELECT scan, uid, stn_no, round(min({hav('s.lat', 's.lon', 'c.lat', 'c.lon')}), 3) AS distance FROM c JOIN stations s ON s.lat BETWEEN c.lat - 0.2 AND c.lat + 0.2 AND s.lon BETWEEN c.lon - 0.3 AND c.lon + 0.3 WHERE {hav('s.lat', 's.lon', 'c.lat', 'c.lon')} < 20 GROUP BY scan, uid, stn_no")
+def storm_distance(spark, sf_dir):
+    """Distance from a station to the nearest cell of a storm's mask, in km."""
+    cells = view(spark, sf_dir, "mask").selectExpr("scan", "uid", "double(-44 + i * 34.0D / 190) AS lat", "double(113 + j * 40.0D / 190) AS lon")
+    return S.storm_distance(cells, view(spark, sf_dir, "stations"), ["scan", "uid"], "stn_no", 20)
 
 
 _OPEN = ctes("stations", "radars") + f", open AS (SELECT rid, region, stn_no, y1, y2, qc_pct, {hav('lat0', 'lon0', 'lat', 'lon')} AS d FROM radars JOIN stations ON {hav('lat0', 'lon0', 'lat', 'lon')} <= 200 WHERE y1 <= 2010 AND stn_no % 50 <> 7)"
@@ -120,10 +168,12 @@ def station_stats(spark, sf_dir):
     return rounded(open_stations(spark, sf_dir).groupBy("rid").agg(F.count("*").alias("stations"), F.avg("qc_pct").alias("qc"), F.sum(span * F.col("qc_pct") / 100).alias("years")))
 
 
-@query(ctes("obs", "radars") + " SELECT o.rid, any_value(region) AS region, count(DISTINCT stn_id) AS stations, round(count(*) / 525960.0, 8) AS years, sum(CASE WHEN gust >= 100 THEN 1 ELSE 0 END)::BIGINT AS n_events FROM obs o JOIN radars r ON r.rid = o.rid GROUP BY o.rid")
+@query(ctes("obs", "radars") + " SELECT o.rid, any_value(region) AS region, count(DISTINCT stn_id) AS stations, round(count(*) / 525960.0, 8) AS years, sum(CASE WHEN gust >= 100 THEN 1 ELSE 0 END)::BIGINT AS n_events, round(count_if(gust >= 100) / (count(*) / 525960.0), 4) AS per_year FROM obs o JOIN radars r ON r.rid = o.rid GROUP BY o.rid")
 def radar_summary(spark, sf_dir):
     joined = view(spark, sf_dir, "obs").join(view(spark, sf_dir, "radars"), "rid")
-    return rounded(joined.groupBy("rid").agg(F.first("region").alias("region"), F.count_distinct("stn_id").alias("stations"), (F.count("*") / 525960).alias("years"), F.count_if(F.col("gust") >= 100).alias("n_events")), 8)
+    years, events = F.count("*") / 525960, F.count_if(F.col("gust") >= 100)
+    out = joined.groupBy("rid").agg(F.first("region").alias("region"), F.count_distinct("stn_id").alias("stations"), years.alias("years"), events.alias("n_events"), F.round(events / years, 4).alias("per_year"))
+    return rounded(out, 8)
 
 
 @query(ctes("env") + " SELECT i, j, h, lsm >= 0.5 AS land, CASE WHEN lsm >= 0.5 THEN s06 END AS s06 FROM env")
@@ -156,6 +206,42 @@ def storm_lifetime(spark, sf_dir):
     return rounded(view(spark, sf_dir, "tracks").groupBy("uid").agg(F.avg("max_alt").alias("max_alt"), F.avg("azi_shear").alias("azi_shear"), F.min("time").alias("first_time"), F.median("speed").alias("speed_mid"), F.max("local_max").alias("cells"), F.count("*").alias("scans")))
 
 
-@query(ctes("scan_at_station", "tracks") + " SELECT s.scan, s.stn_no, t.max_alt, t.speed FROM scan_at_station s JOIN tracks t ON t.scan = s.scan")
+@query(ctes("scan_at_station", "tracks") + ", t AS (SELECT *, uid % 97 AS uid10 FROM tracks) SELECT s.scan, s.uid10, s.stn_no, t.max_alt, t.speed FROM scan_at_station s JOIN t ON t.scan = s.scan AND t.uid10 = s.uid10")
 def attach_storm_stats(spark, sf_dir):
-    return view(spark, sf_dir, "scan_at_station").join(view(spark, sf_dir, "tracks"), "scan").select("scan", "stn_no", "max_alt", "speed")
+    """Storm statistics of a scan's own storm: ids repeat, so they meet by id and scan."""
+    storms = view(spark, sf_dir, "tracks").withColumn("uid10", F.col("uid") % 97)
+    return view(spark, sf_dir, "scan_at_station").join(storms, ["uid10", "scan"]).select("scan", "uid10", "stn_no", "max_alt", "speed")
+
+
+@query(_AT + ", o AS (SELECT event_id, user_id AS stn_no, hour(ts) AS h, value AS gust FROM events), a AS (SELECT stn_no, h, max(s06) AS s06, avg(lr13) AS lr13 FROM at_hour WHERE lsm >= 0.5 GROUP BY stn_no, h) SELECT event_id, round(gust, 6) AS gust, round(s06, 6) AS s06, round(lr13, 6) AS lr13 FROM o JOIN a ON a.stn_no = o.stn_no AND a.h = o.h")
+def attach_hourly_env(spark, sf_dir):
+    """Every gust with the summary of its station's surroundings at its hour."""
+    around = S.radius_summary(hourly(spark, sf_dir).where("lsm >= 0.5"), ["stn_no", "h"], {"s06": ["max"], "lr13": ["mean"]})
+    gusts = view(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("stn_no"), F.hour("ts").cast("long").alias("h"), F.col("value").alias("gust"))
+    joined = gusts.join(around.withColumn("h", F.col("h").cast("long")), ["stn_no", "h"])
+    return rounded(joined.select("event_id", "gust", F.col("s06_max").alias("s06"), F.col("lr13_mean").alias("lr13")))
+
+
+@query(ctes("env") + ", f AS (SELECT o_orderkey % 16 AS i, o_custkey % 18 AS j, o_orderkey % 7 AS h, count(*) AS strokes FROM orders GROUP BY ALL) SELECT i, j, h::BIGINT AS h, strokes::BIGINT AS strokes, round(s06, 6) AS s06 FROM f JOIN env USING (i, j, h)")
+def clim_join(spark, sf_dir):
+    """Lightning and environment of the same time and place."""
+    strokes = view(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 16).alias("i"), (F.col("o_custkey") % 18).alias("j"), (F.col("o_orderkey") % 7).alias("h")).agg(F.count("*").alias("strokes"))
+    env = view(spark, sf_dir, "env").select("i", "j", F.col("h").cast("long").alias("h"), "s06")
+    return rounded(strokes.join(env, ["i", "j", "h"]).select("i", "j", "h", "strokes", "s06"))
+
+
+_STORMS = ctes("scan_at_station") + ", near AS (SELECT DISTINCT stn_no, uid10 FROM scan_at_station WHERE in10km = 1), hit AS (SELECT DISTINCT stn_no, uid10 FROM scan_at_station WHERE in10km = 1 AND field_max >= 100)"
+
+
+@query(_STORMS + " SELECT * FROM near EXCEPT SELECT * FROM hit")
+def except_keys(spark, sf_dir):
+    """Storms near a station that brought it no event."""
+    near = view(spark, sf_dir, "scan_at_station").where("in10km = 1")
+    hit = near.where("field_max >= 100").select("stn_no", "uid10")
+    return near.select("stn_no", "uid10").distinct().join(hit, ["stn_no", "uid10"], "left_anti")
+
+
+@query(ctes("scan_at_station") + " SELECT scan, stn_no, CASE WHEN in10km = 1 THEN uid10 END AS uid10, CASE WHEN in10km = 1 THEN field_max END AS field_max FROM scan_at_station")
+def null_storm_stats(spark, sf_dir):
+    """Storm columns are null where no storm is in range."""
+    return view(spark, sf_dir, "scan_at_station").select("scan", "stn_no", "in10km", "uid10", "field_max").withColumns(X.only_where(F.col("in10km") == 1, ["uid10", "field_max"])).drop("in10km")

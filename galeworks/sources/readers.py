@@ -9,12 +9,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galeworks.functions.exprs import group_id
+
 # The columns of the station and gust files.
 STATION = ["id", "stn_no", "district", "stn_name", "site_open", "site_close", "lat", "lon", "latlon_method", "state", "hgt_asl", "hgt_asl_baro", "wmo_idx", "y1", "y2", "comp", "y_pct", "n_pct", "w_pct", "s_pct", "i_pct", "end"]
 ONE_STAMP = ["hd", "stn_id", "dt_lt", "dt_utc", "gust", "q", "end"]
 SPLIT_STAMP = ["hd", "stn_id", "ly", "lm", "ld", "lh", "lmin", "uy", "um", "ud", "uh", "umin", "gust", "q", "end"]
 STROKE_6 = ["date", "time", "lat", "lon", "c5", "c6"]
 STROKE_9 = [*STROKE_6, "c7", "c8", "c9"]
+MULTISENSOR = ["hd", "stn_no", "dt_lt", "dt_utc", "p", "p_q", "p_p", "t", "t1", "dp", "dp_q", "rh", "rh_q", "ws", "ws_q", "min_ws", "min_ws_q", "wd", "wd_q", "std_wd", "std_wd_q", "wg", "wg_q", "mslp", "mslp_q", "pres", "pres_q", "qnh", "qnh_q", "end"]
 
 #: Form of times in published text.
 MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -24,6 +27,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one of spark.checkpoint.dir; a local one only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -63,9 +68,33 @@ def read_strokes(spark: SparkSession, six: Sequence[str], nine: Sequence[str]) -
     return raw.select(when.alias("time"), F.col("lat").try_cast("double").alias("lat"), F.col("lon").try_cast("double").alias("lon"))
 
 
-def read_numeric(spark: SparkSession, paths: Sequence[str] | str, names: Sequence[str], numeric: Sequence[str], header: bool = True) -> DataFrame:
-    """A wide one-minute file: the named columns become numbers, the others stay text."""
-    return text_table(spark, paths, names, header).withColumns({n: F.col(n).try_cast("double") for n in numeric})
+def read_multisensor(spark: SparkSession, paths: Sequence[str] | str, header: bool = True) -> DataFrame:
+    """One-minute files of all sensors: times, and every measured column a number; quality marks (`_q`, `_p`) stay text."""
+    marks = {"hd", "end", "dt_lt", "dt_utc", *[n for n in MULTISENSOR if n.endswith(("_q", "_p"))]}
+    raw = text_table(spark, paths, MULTISENSOR, header)
+    numbers = {n: F.col(n).try_cast("long" if n == "stn_no" else "double") for n in MULTISENSOR if n not in marks}
+    return raw.withColumns({**numbers, "dt_utc": stamp(F.col("dt_utc")), "dt_lt": stamp(F.col("dt_lt"))}).drop("hd", "end")
+
+
+def read_tracks(spark: SparkSession, paths: Sequence[str] | str, schema: str) -> DataFrame:
+    """Storm tracks of any number of files with a header, and group_id, which names a storm's scan."""
+    t = spark.read.schema(schema).option("timestampNTZFormat", MICROS).csv(paths, header=True)
+    return t.withColumn("group_id", group_id(F.col("time"), F.col("uid")))
+
+
+def grid_slice(grid: DataFrame, place: Sequence[str], time: str, variables: Sequence[str], first: Column, last: Column, hours: Sequence[int] | None = None) -> DataFrame:
+    """Some variables of a grid between two times, at some hours of the day (the synoptic ones, say). The time range reaches the scan."""
+    cut = grid.where(F.col(time).between(first, last))
+    return (cut.where(F.hour(time).isin(*hours)) if hours is not None else cut).select(*place, time, *variables)
+
+
+def load_grid(spark: SparkSession, paths: Mapping[str, str], place: Sequence[str], time: str, first: Column, last: Column, hours: Sequence[int] | None = None) -> DataFrame:
+    """grid_slice of one table a variable, as {variable: path}, joined on time and place."""
+    parts = [grid_slice(spark.read.parquet(path), place, time, [name], first, last, hours) for name, path in paths.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, [*place, time])
+    return out
 
 
 def read_fixed_width(spark: SparkSession, paths: Sequence[str] | str, places: Mapping[str, tuple[int, int]]) -> DataFrame:
@@ -106,6 +135,32 @@ def write_partitioned(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     df.hint("rebalance", *keys).write.mode("error").partitionBy(*keys).parquet(path)
 
 
+def restructure_by_year(gusts: DataFrame, path: str, state: str, time: str, years: Sequence[int]) -> None:
+    """Gusts of all stations in folders by state and year; rows outside the years go."""
+    df = gusts.withColumn("year", F.year(time)).where(F.col("year").isin(*years))
+    write_partitioned(df, path, [state, "year"])
+
+
+def write_merged(df: DataFrame, path: str, time: str) -> None:
+    """The merged table in folders by radar, year and month."""
+    write_partitioned(df.withColumns({"year": F.year(time), "month": F.month(time)}), path, ["rid", "year", "month"])
+
+
+def write_event_tables(tables: Mapping[str, DataFrame], path: str) -> None:
+    """Events, non-events and the storms of both, each a table in folders by radar."""
+    for name, df in tables.items():
+        write_partitioned(df, f"{path}/{name}", ["rid"])
+
+
+def union_radars(spark: SparkSession, path: str, names: Mapping[str, int]) -> DataFrame:
+    """Tables of all radars below path as one, as {name: scw}; rid comes from the folders, scw tells events from non-events."""
+    parts = [spark.read.parquet(f"{path}/{name}").withColumn("scw", F.lit(scw)) for name, scw in names.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def publish(df: DataFrame, names: Mapping[str, str], order: Sequence[str], path: str) -> None:
     """Selected columns under their public names, in a whole order, as comma-separated text with a header; times keep their microseconds."""
     df.select(*[F.col(a).alias(b) for a, b in names.items()]).orderBy(*order).write.option("timestampNTZFormat", MICROS).mode("error").csv(path, header=True, timestampFormat=MICROS)
