@@ -531,6 +531,90 @@ def test_quality(spark):
     assert score_quality(frame(spark, []), model).count() == 0
 
 
+def test_ftrl_steps():
+    """Weights of plain per-coordinate updates, written out one number at a time."""
+    from galeworks.llm.quality import train_ftrl
+
+    r = np.random.default_rng(21)
+    rows = [(np.sort(r.choice(15, 5, replace=False)).astype(np.int32), r.uniform(0.1, 1, 5), int(r.integers(0, 2))) for _ in range(40)]
+    alpha, beta, l1, l2 = 0.7, 1.0, 0.1, 0.2
+    z, n = {}, {}
+
+    def weight(i):
+        free = 0.0 if i == 16 else l1
+        if abs(z.get(i, 0.0)) <= free:
+            return 0.0
+        return -(z[i] - math.copysign(free, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(3):
+        for slots, values, label in rows:
+            x = {**dict(zip(slots.tolist(), values.tolist(), strict=True)), 16: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items())))
+            for i, v in x.items():
+                g, old = (p - label) * v, n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(old + g * g) - math.sqrt(old)) / alpha * w[i]
+                n[i] = old + g * g
+    model = train_ftrl(rows, 4, epochs=3, alpha=alpha, beta=beta, l1=l1, l2=l2)
+    assert np.allclose(model.weights, [weight(i) for i in range(16)]) and math.isclose(model.bias, weight(16))
+
+
+def test_quality_of_given_documents(spark):
+    """Held-out labels of the given table are told apart, by the text alone."""
+    from pyspark.sql import functions as F
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = fit_quality(docs, labels)
+    got = score_quality(docs, model).join(labels, "doc_id").where("held_out").select("score", "quality").collect()
+    up, down = (np.array([r["score"] for r in got if r["quality"] == k]) for k in (1, 0))
+    assert len(up) > 50 and len(down) > 20
+    assert ((up[:, None] > down[None, :]).mean() + (up[:, None] == down[None, :]).mean() / 2) > 0.9
+    other = docs.select((F.col("doc_id") + 3_000_000).alias("doc_id"), "text", F.lit("xx").alias("lang"), F.lit("nowhere").alias("source"))
+    plain, moved = ({r["doc_id"] % 3_000_000: r["score"] for r in score_quality(d, model).collect()} for d in (docs, other))
+    assert plain == moved
+
+
+def brute_lines(rows, short=True, long_docs=2, min_docs=5, constant=0.7):
+    """Texts left by templates found one line at a time; rows are (id, text) with different ids."""
+    mask = lambda t: tuple("<*>" if re.search("[0-9]", x) else x for x in t)
+    split = lambda line: tuple(re.findall("[^\x20\x09-\x0d]+", line))
+    lines = {i: [(split(x), x) for x in t.split("\n")] for i, t in rows if t is not None}
+    counted = lambda raw: len(raw) > 3 or short and any(x != "<*>" for x in mask(raw))
+    leaf = lambda raw: (len(raw), mask(raw)[:3])
+    holders, wholes, fields, once = {}, {}, {}, set()
+    for i, t in rows:
+        for raw, _ in lines.get(i, ()):
+            if counted(raw):
+                holders.setdefault(leaf(raw), set()).add(i)
+                once.add((i, mask(raw)))
+            if len(raw) >= 50:
+                wholes.setdefault(raw, set()).add(t)
+    for _, m in once:
+        for k, x in enumerate(m[3:], 3):
+            if x != "<*>":
+                fields[len(m), m[:3], k, x] = fields.get((len(m), m[:3], k, x), 0) + 1
+    template = lambda m: tuple(x if k < 3 or fields.get((len(m), m[:3], k, x), 0) >= min_docs else "<*>" for k, x in enumerate(m))
+    found = {}
+    for i, m in once:
+        t = template(m)
+        if len(holders[len(m), m[:3]]) >= min_docs and (len(m) <= 3 or sum(x != "<*>" for x in t) / len(t) >= constant):
+            found.setdefault(t, set()).add(i)
+    gone = lambda raw: counted(raw) and len(found.get(template(mask(raw)), ())) >= min_docs or len(raw) >= 50 and len(wholes[raw]) >= long_docs
+    return {i: t if t is None else "\n".join(x for raw, x in lines[i] if not gone(raw)) for i, t in rows}
+
+
+def test_lines_against_brute_force(spark):
+    r = np.random.default_rng(31)
+    words = ["all", "rights", "reserved", "page", "of", "click", "here", "12", "7x", "now", "site"]
+    pool = [" ".join(words[k] for k in r.integers(0, len(words), int(r.integers(1, 9)))) for _ in range(60)]
+    long = [" ".join(f"{words[k]}{'abc'[k % 3]}" for k in r.integers(0, len(words), n)) for n in (49, 50, 80, 300)]
+    rows = [(i, "\n".join([pool[k] for k in r.integers(0, len(pool), int(r.integers(1, 8)))] + [long[k] for k in np.flatnonzero(r.random(4) < 0.05)])) for i in range(150)]
+    rows += [(500, None), (501, ""), (502, "\n \n"), (503, rows[0][1]), (504, long[3] + "\nx"), (505, long[3] + "\nx")]
+    got = {x["doc_id"]: x["text"] for x in drop_recurring_lines(frame(spark, rows), short=True, long_docs=2).collect()}
+    want = brute_lines(rows)
+    assert got == want and want[500] is None and 100 < sum(want[i] != t for i, t in rows)
+
+
 def test_lines(spark):
     plate = ["Copyright 2{0} held by site number {0} all rights", "Click here to share this page with {1} friends today"]
     names = ["amy", "bob", "cat", "dan", "eve", "fay", "gus"]
