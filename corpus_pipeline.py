@@ -1,4 +1,9 @@
-"""Five stages that clean and pack the documents table; each one's rows are written and read again by the next."""
+"""Five stages that clean and pack the documents table; each one's rows are written and read again by the next.
+
+All stages but the last return COLUMNS, those of the documents table; other columns of their input are left out, so none can
+clash with names that operators use. Rows with null or empty texts, equal and repeated rows are judged like any other; rows without a
+doc_id pass the deduplicating stages, as no other row can stand for them. An empty table gives none.
+"""
 
 from __future__ import annotations
 
