@@ -70,11 +70,7 @@ def test_radius_join_far_from_the_equator(spark):
     assert got == sorted((x[0], y[0]) for x in pts for y in pts if km(x, y) < 400)
 
 
-NEWER = {f"galeworks.plans.{m}" for m in ("cases", "climate", "grid", "files", "models", "more")}
-OLDER = ["severe_events", "gust_ratios", "asof_gust_to_scan", "decluster_group", "storm_classes", "bootstrap_scores"]
-
-
-@pytest.mark.parametrize("name", OLDER + [n for n, q in catalog.queries().items() if q.__module__ in NEWER and n in catalog.oracle_sql()])
+@pytest.mark.parametrize("name", list(catalog.oracle_sql()))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -106,6 +102,114 @@ def test_readers_take_bad_text(spark, tmp_path):
     assert [r["path"].rpartition("/")[2] for r in found.collect()] == ["50_20240101_0000.zip"]
 
 
+def test_multisensor_and_fixed_width(spark, tmp_path):
+    line = ["HD01D", "1234", "202401010000", "202401010001", "0.2"] + ["x"] * 16 + ["25.5", "Y"] + ["none"] * 6 + ["#"]
+    (tmp_path / "s.txt").write_text(",".join(R.MULTISENSOR) + "\n" + ",".join(line) + "\n")
+    r = R.read_multisensor(spark, str(tmp_path / "s.txt")).first()
+    assert (r["stn_no"], r["dt_utc"], r["p"], r["wg"], r["wg_q"], r["mslp"], r["t"]) == (1234, dt.datetime(2024, 1, 1, 0, 1), 0.2, 25.5, "Y", None, None)
+
+
+def test_published_rows_are_in_order(spark, tmp_path):
+    rows = [(k % 7, dt.datetime(2024, 1, 1) + dt.timedelta(hours=(k * 37) % 400), float(k)) for k in range(200)]
+    df = spark.createDataFrame(rows, "stn_id long, dt_utc timestamp_ntz, gust double").repartition(5)
+    R.publish(df, {"stn_id": "station", "dt_utc": "time", "gust": "wind"}, ["time", "station"], str(tmp_path / "out"))
+    lines = [x for f in sorted((tmp_path / "out").glob("part-*.csv")) for x in f.read_text().splitlines()[1:]]
+    keys = [(x.split(",")[1], int(x.split(",")[0])) for x in lines]
+    assert len(keys) == 200 and keys == sorted(keys)
+
+
+def test_one_row_and_zero_top(spark):
+    one = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert [r["ari"] for r in M.adjusted_rand(one, "a", "b").collect()] == [None]
+    flat = spark.createDataFrame([(1, 0.0), (0, 0.0), (0, -1.0), (0, 3.0)], "scw int, x double")
+    for top in (0.0, None):
+        got = {tuple(r[c] for c in ("threshold", "hits", "misses", "false_alarms", "correct_nulls")) for r in K.threshold_sweep(flat, [], "scw", "x", 5, top).collect()}
+        assert got == {(0.0, 0, 1, 1, 2)}
+    assert K.threshold_sweep(flat.where("scw = 0"), [], "scw", "x", 5).count() == 0
+
+
+def test_best_threshold_is_the_first(spark):
+    rows = [(1, x) for x in (6.0, 7.0, 10.0)] + [(0, x) for x in (1.0, 2.0, 3.0, 6.5)]
+    swept = K.scores(K.threshold_sweep(spark.createDataFrame(rows, "scw int, x double"), [], "scw", "x", 11))
+    best = {r["score"]: (r["step"], round(r["best"], 6)) for r in K.best_threshold(swept, [], ["tss", "csi"]).collect()}
+    assert best == {"tss": (3, 0.75), "csi": (3, 0.75)}
+
+
+def test_auc_turns_round(spark):
+    rows = [(1, float(x)) for x in (1, 2, 3)] + [(0, float(x)) for x in (2, 5, 6)]
+    df = spark.createDataFrame(rows, "scw int, x double")
+    plain, mean, most = (K.auc(df, [], "scw", "x", orient=o).first()["auc"] for o in (None, "mean", "max"))
+    assert math.isclose(plain, 1.5 / 9) and math.isclose(mean, 1 - 1.5 / 9) and mean == most
+
+
+def test_running_totals_over_ranges(spark):
+    from galeworks.operators.ordered import exact_quantiles, running_totals
+
+    r = np.random.default_rng(2)
+    rows = [(None if k % 11 == 0 else int(k % 3), float(x), 1) for k, x in enumerate(r.integers(0, 60, 500))]
+    df = spark.createDataFrame(rows, "k int, x double, n int")
+    got = running_totals(df.groupBy("k", "x").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n"), ["k"], ["x"], ["n"]).collect()
+    for g in got:
+        own = [x for k, x, _ in rows if k == g["k"]]
+        assert (g["before_n"], g["all_n"], g["n"]) == (sum(x < g["x"] for x in own), len(own), own.count(g["x"]))
+    for q in exact_quantiles(df, ["k"], "x", {"a": 0.1, "b": 0.5, "c": 1.0}).collect():
+        own = [x for k, x, _ in rows if k == q["k"]]
+        assert np.allclose([q["a"], q["b"], q["c"]], np.quantile(own, [0.1, 0.5, 1.0]))
+    assert running_totals(df.where("false"), ["k"], ["x"], ["n"]).count() == 0 and exact_quantiles(df.where("false"), [], "x", {"a": 0.5}).count() == 0
+
+
+def test_events_without_series_stay(spark):
+    from galeworks.operators import temporal as T
+
+    base = dt.datetime(2024, 1, 1)
+    events = spark.createDataFrame([(1, 7, base), (2, 7, base), (3, 8, base)], "id long, stn long, t timestamp_ntz")
+    series = spark.createDataFrame([(7, base + dt.timedelta(minutes=m), v) for m, v in ((-30, 1.0), (0, None), (20, 3.0), (61, 9.0))], "stn long, t timestamp_ntz, v double")
+    got = {r["id"]: (r["n"], r["missing"], r["total"], r["mean"]) for r in T.window_sums(events, series, ["stn"], "id", "t", "t", "v", 1800, 3600).collect()}
+    assert got == {1: (2, 1, 4.0, 2.0), 2: (2, 1, 4.0, 2.0), 3: (0, 0, None, None)}
+
+
+def test_leading_mean_needs_its_end(spark):
+    from galeworks.operators import temporal as T
+
+    base = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(1, base + dt.timedelta(minutes=m), float(m)) for m in (0, 60, 120, 150)], "stn long, t timestamp_ntz, v double")
+    got = [r["a"] for r in T.rolling_mean(df, ["stn"], "t", "v", 0, 7200, 2, "a", require_end=True).orderBy("t").collect()]
+    assert got == [60.0, None, None, None]
+
+
+def test_nearest_on_axis_ties_and_limits(spark):
+    points = spark.createDataFrame([(0, -9.0), (1, 1.0), (2, 2.5), (3, 99.0), (4, None), (5, 7.0)], "p int, v double")
+    axis = spark.createDataFrame([(0.0,), (2.0,), (3.0,), (11.0,), (None,)], "a double")
+    assert {r["p"]: r["a"] for r in S.nearest_on_axis(points, axis, "v", "a").collect()} == {0: 0.0, 1: 0.0, 2: 2.0, 3: 11.0, 4: None, 5: 3.0}
+    assert {r["a"] for r in S.nearest_on_axis(points, axis.where("false"), "v", "a").collect()} == {None}
+    assert {r["a"] for r in S.nearest_on_axis(points.where("v is not null"), axis.where("a = 2"), "v", "a").collect()} == {2.0}
+
+
+def test_nearest_in_box_looks_further(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 5.0, 5.0), (3, 80.0, 0.0)], "s int, la double, lo double")
+    cells = spark.createDataFrame([(1, 0.0, 1.0), (2, 0.0, 20.0)], "c int, lat double, lon double")
+    got = S.nearest_in_box(points, cells, "s", ("la", "lo"), ["c"], 50, (-10, -10, 10, 10)).collect()
+    assert sorted((r["s"], r["c"]) for r in got) == [(1, 1), (2, 1)]
+
+
+def test_radius_summary_refuses_unknown_names(spark):
+    df = spark.createDataFrame([(1, 2.0)], "s int, x double")
+    for how in ({"x": ["mode"]}, {"y": ["max"]}):
+        with pytest.raises(ValueError):
+            S.radius_summary(df, ["s"], how)
+
+
+def test_fallback_station_fills_up(spark):
+    from pyspark.sql import functions as F
+
+    from galeworks.operators.events import pick_cases
+
+    rows = [(i, 1 if i < 2 else 2, 100.0 - i, False, False) for i in range(8)] + [(20, 1, 5.0, True, False), (21, 1, 5.0, False, True)]
+    df = spark.createDataFrame(rows, "event_id int, loc int, gust double, stormless boolean, radarless boolean")
+    got = sorted((r["loc"], r["label"], r["event_id"]) for r in pick_cases(df, "loc", F.col("loc") - 1, [F.desc("gust")], 3).collect())
+    assert got == [(1, 1, 0), (1, 1, 1), (1, 3, 20), (1, 4, 21), (1, 5, 2), (2, 1, 2), (2, 1, 3), (2, 1, 4), (2, 2, 5), (2, 2, 6), (2, 2, 7)]
+
+
 def test_gradient_of_a_plane(spark):
     rows = [(0, i, j, -30.0 + i, 140.0 + j, 2.0 * math.radians(-30.0 + i) * 6373.0) for i in range(5) for j in range(5)]
     df = spark.createDataFrame(rows, "h int, i int, j int, lat double, lon double, x double")
