@@ -56,7 +56,7 @@ def marked_slots(keys: DataFrame, column: str) -> tuple[DataFrame, int]:
     """
     keys = keys.select(column)
     k = min(SLOT_BITS, max(10, math.ceil(math.log2(keys.count() + 1)) + 5))
-    slot = F.pmod(F.xxhash64(column), F.lit(1 << k))
+    slot = F.xxhash64(column).bitwiseAND(F.lit((1 << k) - 1))
     bit = F.expr("shiftleft(1L, cast(slot & 63 as int))")
     return keys.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("__word")).agg(F.bit_or(bit).alias("__bits")), k
 
@@ -64,15 +64,16 @@ def marked_slots(keys: DataFrame, column: str) -> tuple[DataFrame, int]:
 def slot_filter(rows: DataFrame, marked: tuple[DataFrame, int], column: str) -> DataFrame:
     """The rows whose key's slot is set: all rows with one of the keys, and few others. No row is sent anywhere for it."""
     words, k = marked
-    slot = F.pmod(F.xxhash64(column), F.lit(1 << k))
+    slot = F.xxhash64(column).bitwiseAND(F.lit((1 << k) - 1))  # never null, so no check for nulls computes the key anew
     looked = rows.withColumns({"__word": F.shiftright(slot, 6), "__bit": (slot.bitwiseAND(F.lit(63))).cast("int")})
     found = looked.join(F.broadcast(words), "__word").where("(shiftright(__bits, __bit) & 1L) = 1L")
     return found.drop("__word", "__bits", "__bit")
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z only; other letters stay as they are."""
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    """Lower-cases A-Z only; other letters stay as they are. Texts of ASCII alone take the faster way."""
+    plain = F.octet_length(text) == F.length(text)
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
