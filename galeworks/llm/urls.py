@@ -31,6 +31,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     Null urls, urls without '://' and empty hosts fit no rule: rule null, verdict `default`. Rules with a null part are
     ignored. Every input row gives one output row; rows that repeat are judged alike. Columns of pages named like
     the added ones are replaced.
+
+    A place is expanded into as many expressions as the rules have label counts times path lengths: some hundreds where
+    thousands of rules have paths of any length, a few where they end at the same depths. Places are judged once each; pages meet
+    their place again by a join that adaptive execution splits where one place is very common.
     """
     host, path = url_parts(F.col(url_col))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
