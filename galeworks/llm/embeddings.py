@@ -18,6 +18,8 @@ from galeworks.llm.common import connected_components, discard, written
 MISS = 1e-6
 #: Vectors in a block; a bucket with more is compared in pairs of blocks.
 BLOCK = 1024
+#: Rows of a group up to which its pairs are compared together with those of the other groups of a batch.
+SMALL = 16
 KINDS = {"float": np.dtype("<f4"), "double": np.dtype("<f8")}
 
 
@@ -144,56 +146,75 @@ def near_rows(codes: DataFrame, dim: int, least: float, number: str) -> DataFram
     dealt = dealt.repartition(parts, "bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
     kind, reach = KINDS[number], math.sqrt(1 - least * least) * confidence(dim)
 
-    def compare(mat: np.ndarray, bucket: int, apart: bool, rows: pa.Table) -> pa.RecordBatch | None:
-        ids, own, weight, f = (rows.column(c).to_numpy() for c in ("rep", "own", "weight", "factor"))
+    def compare(mat: np.ndarray, rows: pa.Table) -> pa.RecordBatch:
+        """Links of whole groups (bucket, low, high), in their order."""
+        bucket, low, high, own, ids, weight, f = (rows.column(c).to_numpy() for c in ("bucket", "low", "high", "own", "rep", "weight", "factor"))
         x = units(rows.column("vector"), kind, dim)
         keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         code = np.unpackbits(np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(ids), -1), axis=1)[:, :dim]
-        code = (code.astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
-        least_of = (least - reach * np.sqrt(np.maximum(0, 1 - f * f)) / f - 1e-4).astype(np.float32)
-        near = (x @ mat.T).astype(np.float32) @ code.T / f[None, :] >= least_of[None, :]
-        near &= near.T
-        near &= own[:, None] < own[None, :] if apart else np.triu(np.ones(near.shape, bool), 1)
-        i, j = np.nonzero(near)
+        code = (code.astype(np.float32) * 2 - 1) / (np.float32(math.sqrt(dim)) * f[:, None])
+        turned = (x @ mat.T).astype(np.float32)
+        floor = (least - reach * np.sqrt(np.maximum(0, 1 - f * f)) / f - 1e-4).astype(np.float32)
+        starts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        sizes = np.diff(np.append(starts, len(ids)))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        small = np.repeat(sizes <= SMALL, sizes)
+
+        def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Of pairs that pass their estimates: those that meet here first and are linked."""
+            apart = (low[i] == high[i]) | (own[i] != own[j])
+            i, j = i[apart], j[apart]
+            fresh = ~((keys[i] == keys[j]) & (np.arange(keys.shape[1])[None, :] < (bucket[i] >> 32)[:, None])).any(axis=1)
+            i, j = i[fresh], j[fresh]
+            exact = (x[i] * x[j]).sum(axis=1) / np.sqrt((x[i] * x[i]).sum(axis=1) * (x[j] * x[j]).sum(axis=1)) >= least
+            return i[exact], j[exact]
+
         linked = []
-        for at in range(0, len(i), 1 << 16):
-            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-            fresh = ~(keys[a, : bucket >> 32] == keys[b, : bucket >> 32]).any(axis=1)
-            a, b = a[fresh], b[fresh]
-            exact = (x[a] * x[b]).sum(axis=1) / np.sqrt((x[a] * x[a]).sum(axis=1) * (x[b] * x[b]).sum(axis=1)) >= least
-            linked.append((a[exact], b[exact]))
-        a, b = (np.concatenate(c) for c in zip(*linked, strict=True)) if linked else (i, j)
-        if not len(a):
-            return None
+        for o in range(1, min(SMALL, len(ids))):  # pairs of small groups, all groups at once
+            i = np.flatnonzero((group[o:] == group[:-o]) & small[o:])
+            if not len(i):
+                break
+            j = i + o
+            near = ((turned[i] * code[j]).sum(axis=1) >= floor[j]) & ((turned[j] * code[i]).sum(axis=1) >= floor[i])
+            linked.append(kept(i[near], j[near]))
+        for k in np.flatnonzero(sizes > SMALL):
+            at = slice(starts[k], starts[k] + sizes[k])
+            near = turned[at] @ code[at].T >= floor[None, at]
+            i, j = np.nonzero(np.triu(near & near.T, 1))
+            for c in range(0, len(i), 1 << 16):
+                linked.append(kept(i[c : c + (1 << 16)] + starts[k], j[c : c + (1 << 16)] + starts[k]))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*linked, strict=True)) if linked else (np.zeros(0, np.int64),) * 2
         total = np.zeros(len(ids), np.int64)
         np.add.at(total, a, weight[b])
         np.add.at(total, b, weight[a])
         root, before = ids.copy(), None
         while before is None or (root != before).any():
-            before, low = root.copy(), np.minimum(root[a], root[b])
-            np.minimum.at(root, a, low)
-            np.minimum.at(root, b, low)
+            before, less = root.copy(), np.minimum(root[a], root[b])
+            np.minimum.at(root, a, less)
+            np.minimum.at(root, b, less)
         some = np.flatnonzero(total)
         return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[some]), pa.array(root[some])], names=["rep", "linked", "root"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mat = rotations(dim, 1)[0].astype(np.float64)
-        held: list[pa.RecordBatch] = []
-        name = None
+        held: list[pa.RecordBatch] = []  # rows of groups that may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bucket, low, high = (batch.column(c).to_numpy() for c in ("bucket", "low", "high"))
-            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-                now = (int(bucket[s]), low[s] != high[s], low[s], high[s])
-                if now != name:
-                    if held and (out := compare(mat, name[0], name[1], pa.Table.from_batches(held))) is not None:
-                        yield out
-                    held, name = [], now
-                held.append(batch.slice(s, e - s))
-        if held and (out := compare(mat, name[0], name[1], pa.Table.from_batches(held))) is not None:
-            yield out
+            last = [batch.column(c).to_numpy() for c in ("bucket", "low", "high")]
+            cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in last], axis=0)) + 1
+            if held:
+                before = [held[-1].column(c)[held[-1].num_rows - 1].as_py() for c in ("bucket", "low", "high")]
+                if any(c[0] != v for c, v in zip(last, before, strict=True)):
+                    yield compare(mat, pa.Table.from_batches(held))
+                    held = []
+            if len(cut):
+                yield compare(mat, pa.Table.from_batches([*held, batch.slice(0, cut[-1])]))
+                held = [batch.slice(cut[-1])]
+            else:
+                held.append(batch)
+        if held:
+            yield compare(mat, pa.Table.from_batches(held))
 
     return dealt.mapInArrow(scan, "rep long, linked long, root long")
 
