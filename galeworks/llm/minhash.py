@@ -260,9 +260,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """rep, shingles (sorted 64-bit hashes as bytes) of the documents of docs whose id is among `wanted` (rep).
+    """rep, shingles (sorted 64-bit hashes as bytes) of the documents of docs whose id is among `wanted` (rep, each once).
 
-    A table of bits of the wanted ids, of bounded size, keeps nearly all other texts from being sent anywhere.
+    A table of bits of the wanted ids, of bounded size, keeps nearly all other texts from being sent anywhere. The join is an
+    inner one, since Spark would move a semi join below that filter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +275,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("rep"), "text")
     texts = slot_filter(texts, marked_slots(wanted, "rep"), "rep")
-    return texts.join(wanted.hint("shuffle_hash"), "rep", "left_semi").mapInArrow(run, "rep long, shingles binary")
+    return texts.join(wanted.hint("shuffle_hash"), "rep").mapInArrow(run, "rep long, shingles binary")
 
 
 def crowded_pairs(crowded: DataFrame, groups: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
