@@ -20,9 +20,10 @@ WILD = "<*>"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _masked(tokens: Column) -> Column:
-    """Tokens with a digit made wild."""
-    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(WILD)).otherwise(t))
+def _masked(tokens: Column, line: Column | None = None) -> Column:
+    """Tokens with a digit made wild; those of a line without any are not looked at one by one."""
+    masked = F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(WILD)).otherwise(t))
+    return masked if line is None else F.when(line.rlike("[0-9]"), masked).otherwise(tokens)
 
 
 def _tokens(line: Column) -> Column:
@@ -43,8 +44,14 @@ def _counted(tokens: Column, short: bool) -> Column:
 def _long_lines(lined: DataFrame, least: int) -> DataFrame:
     """doc_id, mark and place of the lines of LONG tokens or more whose tokens, as they are, stand in `least` different texts."""
     lines = lined.select("doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).where(F.length("line") >= 2 * LONG - 1)
-    tokens = lines.select("doc_id", "mark", "at", _tokens(F.col("line")).alias("raw")).where(F.size("raw") >= LONG)
-    lines = written(tokens.select("doc_id", "mark", "at", F.unhex(F.md5(F.concat_ws("\x1f", "raw"))).alias("whole")), "long")
+    line = F.trim("line")
+    plain = ~F.contains("line", F.lit("  "))  # words one space apart and no other sign between them: no pattern is needed
+    for sign in "\t\x0b\x0c\r":
+        plain = plain & ~F.contains("line", F.lit(sign))
+    raw = _tokens(F.col("line"))
+    n = F.when(plain, F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).otherwise(F.size(raw))
+    tokens = lines.where(n >= LONG).select("doc_id", "mark", "at", F.unhex(F.md5(F.when(plain, line).otherwise(F.array_join(raw, " ")))).alias("whole"))
+    lines = written(tokens, "long")
     shared = lines.select("mark", "whole").distinct().groupBy("whole").count().where(F.col("count") >= least)
     return lines.join(shared, "whole", "left_semi").select("doc_id", "mark", "at")
 
@@ -69,8 +76,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant
     leaves = lined.select(F.explode(F.array_distinct(F.transform(each, _leaf))).alias("leaf"))
     hot = written(leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
     lines = lined.select("doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("raw", _tokens(F.col("line"))).where(_counted(F.col("raw"), short))
-    lines = lines.select("doc_id", "mark", "at", "raw", _leaf(F.col("raw")).alias("leaf")).join(hot, "leaf")
-    tokens = lines.select("doc_id", "mark", "at", "leaf", _masked(F.col("raw")).alias("tokens"))
+    lines = lines.select("doc_id", "mark", "at", "line", "raw", _leaf(F.col("raw")).alias("leaf")).join(hot, "leaf")
+    tokens = lines.select("doc_id", "mark", "at", "leaf", _masked(F.col("raw"), F.col("line")).alias("tokens"))
     # From here on a line is the name of its masked tokens, and a token a hash: rows stay short whatever the line's length.
     name = F.unhex(F.md5(F.concat_ws("\x1f", "tokens")))
     lead = F.size(F.filter(F.slice("tokens", 1, LEADING), lambda t: t != WILD))
