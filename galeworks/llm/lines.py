@@ -75,8 +75,10 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant
     each = F.filter(F.transform(F.split("text", "\n", -1), _tokens), lambda t: _counted(t, short))
     leaves = lined.select(F.explode(F.array_distinct(F.transform(each, _leaf))).alias("leaf"))
     hot = written(leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
-    lines = lined.select("doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("raw", _tokens(F.col("line"))).where(_counted(F.col("raw"), short))
-    lines = lines.select("doc_id", "mark", "at", "line", "raw", _leaf(F.col("raw")).alias("leaf")).join(hot, "leaf")
+    lines = lined.select("doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("raw", _tokens(F.col("line")))
+    # A line without a leaf has an empty one, which is never hot: no filter, and no check for nulls, works out the tokens anew.
+    leaf = F.coalesce(F.when(_counted(F.col("raw"), short), _leaf(F.col("raw"))), F.expr("x''"))
+    lines = lines.select("doc_id", "mark", "at", "line", "raw", leaf.alias("leaf")).join(hot, "leaf")
     tokens = lines.select("doc_id", "mark", "at", "leaf", _masked(F.col("raw"), F.col("line")).alias("tokens"))
     # From here on a line is the name of its masked tokens, and a token a hash: rows stay short whatever the line's length.
     name = F.unhex(F.md5(F.concat_ws("\x1f", "tokens")))
