@@ -49,7 +49,7 @@ def threshold_sweep(df: DataFrame, keys: Sequence[str], event: str, value: str,
     Without a top, it is the events' largest value, for each key; keys without events go. A top of 0 makes all thresholds 0.
     """
     if top is None:
-        tops = df.where(F.col(event) == 1).groupBy(*keys).agg(F.max(value).cast("double").alias("__top"))
+        tops = df.where(F.col(event) == 1).groupBy(*keys).agg(F.max(value).cast("double").alias("__top")).where("__top is not null")
         df = df.join(tops, list(keys)) if keys else df.join(F.broadcast(tops))  # one row without keys
         keys = [*keys, "__top"]
     else:
