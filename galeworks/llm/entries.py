@@ -14,6 +14,7 @@ from galeworks.llm.exact import dedup_exact
 from galeworks.llm.lines import drop_recurring_lines
 from galeworks.llm.minhash import near_duplicates
 from galeworks.llm.packing import pack_documents
+from galeworks.llm.periodic import longest_run, periodic_runs, repeat_tails
 from galeworks.llm.pieces import encode_pieces
 from galeworks.llm.quality import fit_quality, score_quality
 from galeworks.llm.secrets import KINDS, scan_secrets, span_text
@@ -97,8 +98,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(repeat_tails(table(spark, sf_dir, "documents")), least=12).withColumn("most", longest_run())
+    start, length, period = -F.col("most.start"), F.col("most.length"), -F.col("most.period")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+                        F.expr("(1000 * most.length) div -most.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op4_url_filter, op5_quality_classifier, op6_exact_dedup, op7_secret_scan, op8_line_dedup, op9_sentencepiece, op10_sharding]
+    ops = [op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op4_url_filter, op5_quality_classifier, op6_exact_dedup, op7_secret_scan, op8_line_dedup, op9_sentencepiece, op10_sharding, op11_periodic_runs]
     return {f.__name__: f for f in ops}
 
 
