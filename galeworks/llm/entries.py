@@ -12,6 +12,7 @@ from galeworks.llm.common import table
 from galeworks.llm.embeddings import near_vectors
 from galeworks.llm.exact import dedup_exact
 from galeworks.llm.lines import drop_recurring_lines
+from galeworks.llm.mainpage import extract_main, fit_extractor, labelled_pages
 from galeworks.llm.minhash import near_duplicates
 from galeworks.llm.packing import pack_documents
 from galeworks.llm.periodic import longest_run, periodic_runs, repeat_tails
@@ -20,6 +21,7 @@ from galeworks.llm.quality import fit_quality, score_quality
 from galeworks.llm.secrets import KINDS, scan_secrets, span_text
 from galeworks.llm.shards import assign_shards
 from galeworks.llm.urls import judge_urls, rule_table
+from galeworks.llm.whitening import whiten
 
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -106,8 +108,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.expr("(1000 * most.length) div -most.period").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract_main(pages, fit_extractor(labelled_pages(pages)))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100_000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op4_url_filter, op5_quality_classifier, op6_exact_dedup, op7_secret_scan, op8_line_dedup, op9_sentencepiece, op10_sharding, op11_periodic_runs]
+    ops = [op1_embedding_near_dedup, op2_minhash_near_dedup, op3_best_fit_packing, op4_url_filter, op5_quality_classifier, op6_exact_dedup, op7_secret_scan, op8_line_dedup, op9_sentencepiece, op10_sharding, op11_periodic_runs, op12_html_extraction, op13_embedding_whitening]
     return {f.__name__: f for f in ops}
 
 
@@ -161,6 +172,11 @@ kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped, coales
  FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.pos = l.pos GROUP BY l.doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, sha256(coalesce(body, '')) AS text_sha256
 FROM documents d LEFT JOIN kept USING (doc_id)""",
+    "op12_html_extraction": r"""WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS t FROM pages),
+b AS (SELECT page_id, unnest(range(len(p))) AS k, unnest(p) AS line FROM (SELECT page_id, string_split_regex(regexp_replace(t, '</?(b|br)>', ' ', 'g'), '</?(?:p|h1)>') AS p FROM a)),
+c AS (SELECT page_id, k, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS line FROM b),
+d AS (SELECT page_id, string_agg(line, chr(10) ORDER BY k) AS body FROM c WHERE line <> '' GROUP BY page_id)
+SELECT page_id, url, coalesce(body, '') AS text, length(coalesce(body, '')) AS n_chars FROM a LEFT JOIN d USING (page_id)""",
 }
 
 
