@@ -429,6 +429,8 @@ def labelled_pages(pages: DataFrame, n_pages: int = 400) -> DataFrame:
                     rows.append(_Layout(zlib.crc32(text.encode("utf-8", "replace")), sentences).page())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], names=["html", "main"])
 
-    order = F.crc32(F.concat_ws(" ", F.lit("labelled"), F.col("page_id").cast("string"), F.length("html").cast("string")).cast("binary"))
-    sample = pages.where("html is not null").select("html", order.alias("turn")).orderBy("turn", F.length("html"), "html").limit(n_pages)
+    turn = F.crc32(F.concat_ws(" ", F.lit("labelled"), F.col("page_id").cast("string"), F.length("html").cast("string")).cast("binary"))
+    turned = pages.where("html is not null").select("html", turn.alias("turn"))
+    last = turned.select("turn").orderBy("turn").limit(n_pages).agg(F.max("turn")).first()[0]  # numbers meet first, and pages up to the last one then
+    sample = turned.where(F.col("turn") <= F.lit(-1 if last is None else last)).orderBy("turn", F.length("html"), "html").limit(n_pages)
     return sample.select("html").mapInArrow(made, "html string, main string")
