@@ -52,7 +52,7 @@ def hist2d(df: DataFrame, x: Column, y: Column, nx: int, ny: int) -> DataFrame:
 def mid_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """Ranks with ties at their middle; rows meet by value first, so only distinct values are ordered."""
     by = df.groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    ran = running_totals(by, keys, [value], ["__n"])
+    ran = running_totals(by, keys, [value], ["__n"], sketch=df)
     return df.join(ran.select(*keys, value, (F.col("before___n") + (F.col("__n") + 1) / 2).alias(name)), [*keys, value])
 
 

@@ -33,7 +33,7 @@ def auc(df: DataFrame, keys: Sequence[str], event: str, value: str, weight: str
     """
     w = F.col(weight) if weight else F.lit(1)
     by = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.when(F.col(event) == 1, w).otherwise(0)).alias("__p"), F.sum(F.when(F.col(event) == 0, w).otherwise(0)).alias("__n"))
-    ranked = running_totals(by, keys, [value], ["__n"]).withColumn("__u", F.col("__p") * (F.col("before___n") + F.col("__n") / 2))
+    ranked = running_totals(by, keys, [value], ["__n"], sketch=df).withColumn("__u", F.col("__p") * (F.col("before___n") + F.col("__n") / 2))
     p, n, x = F.sum("__p"), F.sum("__n"), F.col(value)
     area = F.when((p > 0) & (n > 0), F.sum("__u") / (p * n))
     if orient == "mean":
@@ -84,7 +84,7 @@ def ks_two_sample(df: DataFrame, keys: Sequence[str], group: Column, value: str)
     """Largest difference of the two groups' distribution functions, and its asymptotic p; rows meet by value first."""
     by = df.groupBy(*keys, value).agg(F.count_if(group).alias("__a"), F.count_if(~group).alias("__b"))
     share = lambda c: (F.col(f"before_{c}") + F.col(c)) / F.nullif(F.col(f"all_{c}"), F.lit(0))
-    ran = running_totals(by.where(F.col(value).isNotNull()), keys, [value], ["__a", "__b"])
+    ran = running_totals(by.where(F.col(value).isNotNull()), keys, [value], ["__a", "__b"], sketch=df)
     found = ran.groupBy(*keys, "all___a", "all___b").agg(F.max(F.abs(share("__a") - share("__b"))).alias("distance"))
     a, b = F.col("all___a"), F.col("all___b")
     return found.select(*keys, "distance", kolmogorov_p(F.col("distance"), a * b / F.nullif(a + b, F.lit(0))).alias("p"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galeworks.functions.exprs import micros
+from galeworks.operators.ordered import RANGE, carried, running_totals, with_ranges
 
 SECOND = 1_000_000
 
@@ -34,35 +35,32 @@ def rolling_median(df: DataFrame, keys: Sequence[str], time: str, value: str, be
     return df.withColumn("__values", values).withColumn(name, F.when(n >= least, middle)).drop("__values")
 
 
+def _meeting(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, fields: Sequence[str]) -> DataFrame:
+    """Both sides as rows of (keys, __t, __side, __right, __left) in one time order; at one time the right rows come first."""
+    struct = F.struct(F.col(right_time), *[F.col(c) for c in fields])
+    r = right.select(*keys, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), struct.alias("__right"))
+    l = left.select(*keys, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in left.columns]).alias("__left"))
+    return r.unionByName(l, allowMissingColumns=True)
+
+
 def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, fields: Sequence[str], tolerance: float, clip_to_last: bool = False) -> DataFrame:
     """Each left row with the fields and time of the latest right row of its keys at or before it and within tolerance.
 
-    Union and a running last value: one shuffle, no pairs. Rows without a match go. With clip_to_last, left rows after
-    the last right row of their keys go as well. Of right rows at one time the one with the largest fields is taken.
+    Union and a carried last row over ranges of time: one shuffle, no pairs, and a key of any size. Rows without a match go. With
+    clip_to_last, left rows after the last right row of their keys go as well. Of right rows at one time the one with the largest fields is taken.
     """
-    struct = F.struct(F.col(right_time), *[F.col(c) for c in fields])
-    r = right.select(*keys, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), struct.alias("__right"))
-    l = left.select(*keys, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in left.columns]).alias("__left"))
-    both = r.unionByName(l, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__t", "__side", "__right").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("__found", F.last("__right", ignorenulls=True).over(w))
+    both = _meeting(left, right, keys, left_time, right_time, fields)
+    ahead = {"__ahead": F.when(F.col("__side") == 0, F.col("__t"))} if clip_to_last else {}
+    both = carried(both, keys, ["__t", "__side", "__right"], {"__found": F.col("__right")}, ahead)
     fits = (F.col("__side") == 1) & (micros(F.col("__t")) - micros(F.col(f"__found.{right_time}")) <= int(tolerance * SECOND))
     if clip_to_last:
-        last = F.max(F.when(F.col("__side") == 0, F.col("__t"))).over(Window.partitionBy(*keys))
-        both = both.withColumn("__last", last)
-        fits = fits & (F.col("__t") <= F.col("__last"))
+        fits = fits & (F.col("__ahead").isNotNull() | (F.col(f"__found.{right_time}") == F.col("__t")))
     return both.where(fits).select("__left.*", "__found.*")
 
 
 def nearest_time(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, field: str, tolerance: float) -> DataFrame:
-    """Each left row with the time and field of the right row of its keys closest in time (ties: the earlier)."""
-    r = right.select(*keys, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), F.struct(right_time, field).alias("__right"))
-    l = left.select(*keys, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in left.columns]).alias("__left"))
-    both = r.unionByName(l, allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("__t", "__side", "__right")
-    back = F.last("__right", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("__right", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    both = both.withColumns({"__back": back, "__ahead": ahead}).where("__side = 1")
+    """Each left row with the time and field of the right row of its keys closest in time (ties: the earlier); a key may be of any size."""
+    both = carried(_meeting(left, right, keys, left_time, right_time, [field]), keys, ["__t", "__side", "__right"], {"__back": F.col("__right")}, {"__ahead": F.col("__right")}).where("__side = 1")
     gap = lambda c: F.abs(micros(F.col("__t")) - micros(F.col(f"{c}.{right_time}")))
     pick = F.when(F.col("__ahead").isNull() | (gap("__back") <= gap("__ahead")), F.col("__back")).otherwise(F.col("__ahead"))
     both = both.withColumn("__found", pick)
@@ -73,51 +71,72 @@ def regular_fill(df: DataFrame, keys: Sequence[str], time: str, value: str, step
     """A regular grid of steps from each key's first to its last row, forward filled for at most `limit` steps."""
     floored = df.groupBy(*keys, F.date_trunc(unit, time).alias("slot")).agg(F.max_by(value, time).alias(value))
     spine = floored.groupBy(*keys).agg(F.min("slot").alias("a"), F.max("slot").alias("b")).select(*keys, F.explode(F.expr(f"sequence(a, b, interval {step})")).alias("slot"))
-    joined = spine.join(floored, [*keys, "slot"], "left")
-    w = Window.partitionBy(*keys).orderBy("slot").rowsBetween(-limit, 0)
-    return joined.withColumn(value, F.last(value, ignorenulls=True).over(w))
+    known = F.when(F.col(value).isNotNull(), F.struct("slot", value))
+    filled = carried(spine.join(floored, [*keys, "slot"], "left"), keys, ["slot"], {"__known": known}, sketch=spine)
+    return filled.withColumn(value, F.when(F.expr(f"__known.slot + {limit} * interval {step} >= slot"), F.col(f"__known.{value}"))).drop("__known")
 
 
 def interpolate_linear(df: DataFrame, keys: Sequence[str], order: str, value: str) -> DataFrame:
-    """Nulls replaced on the line between their neighbours by row count; a trailing gap holds the last value."""
-    by = Window.partitionBy(*keys).orderBy(order)
-    df = df.withColumn("__n", F.row_number().over(by))
+    """Nulls replaced on the line between their neighbours by row count; a trailing gap holds the last value. A key may be of any size."""
+    counted = running_totals(with_ranges(df.withColumn("__one", F.lit(1)), order), keys, [order], ["__one"]).withColumn("__n", F.col("before___one"))
     known = F.when(F.col(value).isNotNull(), F.struct("__n", value))
-    back, ahead = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(0, Window.unboundedFollowing)
-    df = df.withColumns({"__a": F.last(known, ignorenulls=True).over(back), "__b": F.first(known, ignorenulls=True).over(ahead)})
+    df = carried(counted, keys, ["__n"], {"__a": known}, {"__b": known})
     a, b = F.col(f"__a.{value}"), F.col(f"__b.{value}")
     line = a + (b - a) * (F.col("__n") - F.col("__a.__n")) / (F.col("__b.__n") - F.col("__a.__n"))
-    return df.withColumn(value, F.when(F.col(value).isNotNull(), F.col(value)).when(b.isNull(), a).otherwise(line)).drop("__n", "__a", "__b")
+    return df.withColumn(value, F.when(F.col(value).isNotNull(), F.col(value)).when(b.isNull(), a).otherwise(line)).drop("__n", "__a", "__b", "__one", "before___one", "all___one", RANGE)
+
+
+def pad_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str | Column, name: str) -> DataFrame:
+    """df with `name`: the value's last one that is not null, at the row or earlier."""
+    return carried(df, keys, order, {name: F.col(value) if isinstance(value, str) else value})
+
+
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """df with `name`: the sum of the value up to and with the row; null until the first value."""
+    ran = running_totals(df.withColumns({"__v": F.coalesce(F.col(value).cast("double"), F.lit(0.0)), "__c": F.col(value).isNotNull().cast("long")}), keys, order, ["__v", "__c"])
+    total = F.when(F.col("before___c") + F.col("__c") > 0, F.col("before___v") + F.col("__v"))
+    return ran.withColumn(name, total).drop(*[f"{p}__{c}" for p in ("", "before_", "all_") for c in "vc"])
 
 
 def shift_hour(df: DataFrame, keys: Sequence[str], hour: str, value: str) -> DataFrame:
     """Value of the next hour of the same keys; where none follows, the last known one."""
     ahead = df.select(*keys, (F.col(hour) - 1).alias(hour), F.col(value).alias("__next"))
-    w = Window.partitionBy(*keys).orderBy(hour).rowsBetween(Window.unboundedPreceding, 0)
-    return df.join(ahead, [*keys, hour], "left").withColumn(value, F.last("__next", ignorenulls=True).over(w)).drop("__next")
+    joined = df.join(ahead, [*keys, hour], "left")
+    return carried(joined, keys, [hour], {"__known": F.col("__next")}, sketch=df).withColumn(value, F.col("__known")).drop("__next", "__known")
+
+
+#: Sums of windows are exact to 16 decimal places, so that neither their order nor what stands outside a window shows in them.
+_EXACT = "decimal(38,16)"
 
 
 def windows_sums(events: DataFrame, series: DataFrame, keys: Sequence[str], row: str, event_time: str, series_time: str, value: str, windows: Mapping[str, tuple[float, float]]) -> DataFrame:
     """Every event with, for each window {name: (before, after)} in seconds around it, both ends closed: n_, missing_, total_ and mean_<name> of
     the series of its keys (values that are there, nulls, their sum and mean). `row` is a column that names each event.
 
-    One band join for all windows: both sides carry the number of the slot as long as the widest window, and an event looks
-    into its own and the adjacent slots only. Events without series stay, with counts of 0; events alike in all but `row` stay apart.
+    Differences of running sums: a window's two ends meet the series in one time order, over ranges of time, so rows are those of the series and
+    two for an event and window, however long the windows. Events without series stay, with counts of 0; events alike in all
+    but `row` stay apart. A window that holds NaN or an infinity sums to NaN. Values must lie below 1e22.
     """
-    width = max(int((b + a) * SECOND) for b, a in windows.values())
-    slot = lambda t: F.floor(micros(F.col(t)) / width)
-    e = events.select(row, *keys, micros(F.col(event_time)).alias("__at"), F.explode(F.array(slot(event_time) - 1, slot(event_time), slot(event_time) + 1)).alias("__slot"))
-    s = series.select(*keys, slot(series_time).alias("__slot"), micros(F.col(series_time)).alias("__st"), F.col(value).alias("__v"))
-    gap = F.col("__st") - F.col("__at")
-    widest = max(b for b, _ in windows.values()), max(a for _, a in windows.values())
-    joined = e.join(s, [*keys, "__slot"]).where((gap >= int(-widest[0] * SECOND)) & (gap <= int(widest[1] * SECOND)))
-    sums = []
-    for name, (before, after) in windows.items():
-        inside = (gap >= int(-before * SECOND)) & (gap <= int(after * SECOND))
-        v = F.when(inside, F.col("__v"))
-        sums += [F.count(v).alias(f"n_{name}"), F.count_if(inside & F.col("__v").isNull()).alias(f"missing_{name}"), F.sum(v).alias(f"total_{name}"), F.avg(v).alias(f"mean_{name}")]
-    found = events.join(joined.groupBy(row).agg(*sums), row, "left")
-    return found.fillna(0, [f"{c}_{name}" for name in windows for c in ("n", "missing")])
+    at = micros(F.col(event_time))
+    ends = [F.struct(F.lit(k).alias("w"), F.lit(sign).alias("sign"), (at + F.lit(int(sign * (a if sign > 0 else b) * SECOND))).alias("t"), F.lit(sign).alias("side")) for k, (b, a) in enumerate(windows.values()) for sign in (-1, 1)]
+    looks = events.where(F.col(event_time).isNotNull()).select(row, *keys, F.explode(F.array(*ends)).alias("e")).select(row, *keys, F.col("e.w").alias("__w"), F.col("e.t").alias("__t"), F.col("e.side").alias("__side"))
+    v = F.col(value).cast("double")
+    odd = F.isnan(v) | (F.abs(v) == float("inf"))
+    rows = series.where(F.col(series_time).isNotNull()).select(
+        *keys, micros(F.col(series_time)).alias("__t"), F.lit(0).alias("__side"), v.isNotNull().cast("long").alias("__n"), v.isNull().cast("long").alias("__m"), F.coalesce(odd, F.lit(False)).cast("long").alias("__o"), F.when(~odd, v).cast(_EXACT).alias("__s")
+    )
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    sums = ["__n", "__m", "__o", "__s"]
+    both = rows.unionByName(looks, allowMissingColumns=True).fillna(0, sums[:3]).withColumn("__s", F.coalesce("__s", F.lit(0).cast(_EXACT)))
+    ran = running_totals(both, keys, ["__t", "__side"], sums, sketch=rows).where("__side <> 0")
+    of = lambda c, k: F.sum(F.when(F.col("__w") == k, F.col("__side") * F.col(f"before_{c}")))
+    found = ran.groupBy(row).agg(*[of(c, k).alias(f"{c}{k}") for k in range(len(windows)) for c in sums])
+    out = []
+    for k, name in enumerate(windows):
+        n, total = F.col(f"__n{k}"), F.when(F.col(f"__o{k}") > 0, F.lit(float("nan"))).when(F.col(f"__n{k}") > 0, F.col(f"__s{k}").cast("double"))
+        out += [n.alias(f"n_{name}"), F.col(f"__m{k}").alias(f"missing_{name}"), total.alias(f"total_{name}"), (total / n).alias(f"mean_{name}")]
+    return events.join(found.select(row, *out), row, "left").fillna(0, [f"{c}_{name}" for name in windows for c in ("n", "missing")])
 
 
 def window_sums(events: DataFrame, series: DataFrame, keys: Sequence[str], row: str, event_time: str, series_time: str, value: str, before: float, after: float) -> DataFrame:

@@ -176,14 +176,13 @@ def interpolate_linear(spark, sf_dir):
 
 @query(ctes("obs") + " SELECT event_id, round(sum(gust) OVER (PARTITION BY stn_id ORDER BY dt_utc ROWS UNBOUNDED PRECEDING), 4) AS running FROM obs")
 def running_total(spark, sf_dir):
-    w = Window.partitionBy("stn_id").orderBy("dt_utc").rowsBetween(Window.unboundedPreceding, 0)
-    return rounded(view(spark, sf_dir, "obs").select("event_id", F.sum("gust").over(w).alias("running")), 4)
+    return rounded(T.running_total(view(spark, sf_dir, "obs"), ["stn_id"], ["dt_utc"], "gust", "running").select("event_id", "running"), 4)
 
 
 @query(ctes("obs") + " SELECT event_id, last_value(CASE WHEN event_id % 3 = 0 THEN gust END IGNORE NULLS) OVER (PARTITION BY stn_id ORDER BY dt_utc ROWS UNBOUNDED PRECEDING) AS carried FROM obs")
 def pad_fill(spark, sf_dir):
-    w = Window.partitionBy("stn_id").orderBy("dt_utc").rowsBetween(Window.unboundedPreceding, 0)
-    return view(spark, sf_dir, "obs").select("event_id", F.last(F.when(F.col("event_id") % 3 == 0, F.col("gust")), ignorenulls=True).over(w).alias("carried"))
+    known = F.when(F.col("event_id") % 3 == 0, F.col("gust"))
+    return T.pad_fill(view(spark, sf_dir, "obs"), ["stn_id"], ["dt_utc"], known, "carried").select("event_id", "carried")
 
 
 @query(ctes("obs") + """, s AS (SELECT rid, unnest(generate_series(min(date_trunc('hour', dt_utc)), max(date_trunc('hour', dt_utc)), INTERVAL 1 HOUR)) AS slot FROM obs GROUP BY rid)
@@ -200,7 +199,7 @@ def rank_nonexceed(spark, sf_dir):
     """Ranks within radars, by running counts over ranges of gusts; equal gusts are ranked by id."""
     obs = view(spark, sf_dir, "obs").select("event_id", "rid", "gust", F.lit(1).cast("long").alias("n"))
     by = obs.groupBy("rid", "gust").agg(F.sum("n").alias("n"))
-    ran = O.running_totals(by, ["rid"], ["gust"], ["n"]).withColumnRenamed("n", "same")
+    ran = O.running_totals(by, ["rid"], ["gust"], ["n"], sketch=obs).withColumnRenamed("n", "same")
     place = F.row_number().over(Window.partitionBy("rid", "gust").orderBy("event_id")).cast("long")
     at = obs.withColumn("place", place).join(ran, ["rid", "gust"])
     down = F.col("all_n") - F.col("before_n") - F.col("same") + F.col("place")
