@@ -85,8 +85,7 @@ def _of_kind(kind: str):
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short lines count as well, and lines of 50 words or more recur from two different texts on."""
-    return drop_recurring_lines(table(spark, sf_dir, "documents"), short=True, long_docs=2).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    return drop_recurring_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,21 +150,21 @@ SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u
     "op6_exact_dedup": f"""WITH d AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
 doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d""",
-    "op8_line_dedup": """WITH l AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+    "op8_line_dedup": """WITH l AS (SELECT doc_id, md5(text) AS text, unnest(range(len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
 r AS (SELECT *, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS raw FROM l),
 whole AS (SELECT doc_id, pos, text, array_to_string(raw, chr(31)) AS words FROM r WHERE len(raw) >= 50),
-t AS (SELECT doc_id, pos, line, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens FROM r),
+t AS (SELECT doc_id, pos, line, text, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens FROM r),
 f AS (SELECT *, len(tokens) || chr(31) || array_to_string(tokens[1:3], chr(31)) AS leaf FROM t WHERE len(tokens) > 3 OR len(list_filter(tokens, lambda x: x <> '<*>')) > 0),
-hot AS (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT doc_id) >= 5),
-h AS (SELECT f.* FROM f JOIN hot USING (leaf)), once AS (SELECT DISTINCT doc_id, leaf, tokens FROM h),
-e AS (SELECT doc_id, leaf, tokens, unnest(range(len(tokens))) AS place, unnest(tokens) AS token FROM once),
+hot AS (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT text) >= 5),
+h AS (SELECT f.* FROM f JOIN hot USING (leaf)), once AS (SELECT DISTINCT text, leaf, tokens FROM h),
+e AS (SELECT text, leaf, tokens, unnest(range(len(tokens))) AS place, unnest(tokens) AS token FROM once),
 fixed AS (SELECT leaf, place, token FROM e WHERE place >= 3 AND token <> '<*>' GROUP BY ALL HAVING count(*) >= 5),
 shape AS (SELECT leaf, tokens, list_transform(range(len(tokens)), lambda i: CASE WHEN i < 3 OR len(list_filter(p, lambda q: q = i)) > 0 THEN tokens[i + 1] ELSE '<*>' END) AS tpl
  FROM (SELECT o.leaf, o.tokens, coalesce(p, []) AS p FROM (SELECT DISTINCT leaf, tokens FROM once) o LEFT JOIN
  (SELECT leaf, tokens, list(DISTINCT place) AS p FROM e JOIN fixed USING (leaf, place, token) GROUP BY ALL) k ON k.leaf = o.leaf AND k.tokens = o.tokens)),
 good AS (SELECT leaf, tokens, array_to_string(tpl, chr(31)) AS tpl FROM shape WHERE len(list_filter(tpl, lambda x: x <> '<*>')) / len(tpl) >= 0.7 OR len(tpl) <= 3),
-lined AS (SELECT h.doc_id, h.pos, g.tpl FROM h JOIN good g ON g.leaf = h.leaf AND g.tokens = h.tokens),
-bad AS (SELECT tpl FROM lined GROUP BY tpl HAVING count(DISTINCT doc_id) >= 5),
+lined AS (SELECT h.doc_id, h.pos, h.text, g.tpl FROM h JOIN good g ON g.leaf = h.leaf AND g.tokens = h.tokens),
+bad AS (SELECT tpl FROM lined GROUP BY tpl HAVING count(DISTINCT text) >= 5),
 gone AS (SELECT doc_id, pos FROM lined WHERE tpl IN (SELECT tpl FROM bad)
  UNION SELECT doc_id, pos FROM whole WHERE words IN (SELECT words FROM whole GROUP BY words HAVING count(DISTINCT text) >= 2)),
 kept AS (SELECT l.doc_id, count(*) AS n_lines, count(g.pos) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS body

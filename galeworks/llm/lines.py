@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeworks.llm.common import written
+from galeworks.llm.common import marked_slots, slot_filter, written
 
 #: Leading tokens that are levels of the tree, after the level of the token count.
 LEADING = 3
-#: A template recurs when this many rows hold it.
+#: A template recurs when this many different texts hold it.
 MIN_DOCS = 5
 #: Tokens from which on a line is long.
 LONG = 50
@@ -56,36 +56,37 @@ def _long_lines(lined: DataFrame, least: int) -> DataFrame:
     return lines.join(shared, "whole", "left_semi").select("doc_id", "mark", "at")
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, short: bool = False, long_docs: int | None = None) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant: float = MIN_CONSTANT, short: bool = True, long_docs: int | None = 2) -> DataFrame:
     """doc_id, text without recurring lines, n_lines and n_dropped for every row of docs (doc_id, text).
 
     Lines are what stands between line ends. A line's leaf is its token count and its first LEADING tokens, tokens with a
-    digit being wild. In leaves that `min_docs` rows hold, a later token is constant if `min_docs` of the rows' distinct
+    digit being wild. In leaves that `min_docs` different texts hold, a later token is constant if `min_docs` of the texts' distinct
     lines have it at its place, else wild. Lines whose template has a constant share of `min_constant` and stands in
-    `min_docs` rows are dropped from all of them, whole; the others stay as they are. Null texts have no
-    line and stay null; empty texts have one. Rows that repeat both id and text count as one.
+    `min_docs` different texts are dropped from all of them, whole; the others stay as they are. Equal texts count as one, so a document
+    and its copies alone keep all lines, however many copies there are. Null texts have no line and stay null; empty texts have one.
+    Texts of any length are rows of tasks, never held together; other columns of docs are left out, so none can clash.
 
-    Lines of up to LEADING tokens are never dropped unless `short` is set: then all of a short line's tokens are levels of the
-    tree, and it is a template of its own if one of them is constant, whatever the share. Lines without a token always stay.
-    With `long_docs`, lines of LONG tokens or more are also dropped where that many different texts hold the same tokens, digits
-    included; equal texts count as one there, so a document and its copies alone keep their long lines up to `min_docs` rows.
+    All of a short line's tokens (LEADING at most) are levels of the tree, and it is a template of its own if one of them is constant,
+    whatever the share; without `short` such lines are never dropped. Lines without a token always stay. Lines of LONG
+    tokens or more are also dropped where `long_docs` different texts hold the same tokens, digits included; None leaves that out.
     """
     own = docs.select("doc_id", "text").withColumn("mark", F.xxhash64("text"))
     lined = own.where("text is not null")
     each = F.filter(F.transform(F.split("text", "\n", -1), _tokens), lambda t: _counted(t, short))
     leaves = lined.select(F.explode(F.array_distinct(F.transform(each, _leaf))).alias("leaf"))
-    hot = written(leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves")
+    # Leaves of fewer rows have no recurring template. What the table of bits lets pass besides has none either, and is counted for nothing.
+    hot = marked_slots(written(leaves.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"), "leaves"), "leaf")
     lines = lined.select("doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("raw", _tokens(F.col("line")))
-    # A line without a leaf has an empty one, which is never hot: no filter, and no check for nulls, works out the tokens anew.
+    # A line without a leaf has an empty one: no filter, and no check for nulls, works out the tokens anew.
     leaf = F.coalesce(F.when(_counted(F.col("raw"), short), _leaf(F.col("raw"))), F.expr("x''"))
-    lines = lines.select("doc_id", "mark", "at", "line", "raw", leaf.alias("leaf")).join(hot, "leaf")
+    lines = slot_filter(lines.select("doc_id", "mark", "at", "line", "raw", leaf.alias("leaf")), hot, "leaf").where("leaf <> x''")
     tokens = lines.select("doc_id", "mark", "at", "leaf", _masked(F.col("raw"), F.col("line")).alias("tokens"))
     # From here on a line is the name of its masked tokens, and a token a hash: rows stay short whatever the line's length.
     name = F.unhex(F.md5(F.concat_ws("\x1f", "tokens")))
     lead = F.size(F.filter(F.slice("tokens", 1, LEADING), lambda t: t != WILD))
     later = F.transform(F.slice("tokens", LEADING + 1, F.greatest(F.size("tokens") - LEADING, F.lit(1))), lambda t: F.when(t != WILD, F.xxhash64(t)))
     lines = written(tokens.select("doc_id", "mark", "at", "leaf", name.alias("shape"), F.size("tokens").alias("n"), lead.alias("lead"), later.alias("later")), "lines")
-    once = lines.groupBy("doc_id", "mark", "leaf", "shape").agg(F.lit(1).alias("one"))
+    once = lines.groupBy("mark", "leaf", "shape").agg(F.lit(1).alias("one"))
     shapes = written(lines.groupBy("leaf", "shape").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("later").alias("later")), "shapes")
     spread = once.groupBy("leaf", "shape").count().join(shapes, ["leaf", "shape"])
     fields = spread.select("leaf", "count", F.posexplode("later").alias("place", "token")).where("token is not null")
@@ -97,7 +98,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant
     template = F.xxhash64("leaf", F.coalesce(F.to_json("spots"), F.lit("[]")))
     known = known.where((share >= min_constant) | (F.col("n") <= LEADING)).select("leaf", "shape", template.alias("template"))
     shaped = written(lines.select("doc_id", "mark", "at", "leaf", "shape").join(known, ["leaf", "shape"]).select("doc_id", "mark", "at", F.struct("leaf", "template").alias("template")), "templates")
-    recurring = shaped.select("doc_id", "mark", "template").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
+    recurring = shaped.select("mark", "template").distinct().groupBy("template").count().where(F.col("count") >= min_docs).select("template")
     bad = shaped.join(recurring, "template", "left_semi").select("doc_id", "mark", "at")
     if long_docs is not None:
         bad = bad.unionByName(_long_lines(lined, long_docs))

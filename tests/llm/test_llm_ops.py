@@ -585,8 +585,8 @@ def brute_lines(rows, short=True, long_docs=2, min_docs=5, constant=0.7):
     for i, t in rows:
         for raw, _ in lines.get(i, ()):
             if counted(raw):
-                holders.setdefault(leaf(raw), set()).add(i)
-                once.add((i, mask(raw)))
+                holders.setdefault(leaf(raw), set()).add(t)
+                once.add((t, mask(raw)))
             if len(raw) >= 50:
                 wholes.setdefault(raw, set()).add(t)
     for _, m in once:
@@ -610,8 +610,10 @@ def test_lines_against_brute_force(spark):
     long = [" ".join(f"{words[k]}{'abc'[k % 3]}" for k in r.integers(0, len(words), n)) for n in (49, 50, 80, 300)]
     rows = [(i, "\n".join([pool[k] for k in r.integers(0, len(pool), int(r.integers(1, 8)))] + [long[k] for k in np.flatnonzero(r.random(4) < 0.05)])) for i in range(150)]
     rows += [(500, None), (501, ""), (502, "\n \n"), (503, rows[0][1]), (504, long[3] + "\nx"), (505, long[3] + "\nx")]
-    got = {x["doc_id"]: x["text"] for x in drop_recurring_lines(frame(spark, rows), short=True, long_docs=2).collect()}
+    rows += [(600 + i, pool[0] + " 1\nother words that stand nowhere else\n" + long[2] + " x") for i in range(9)]  # copies of one text keep their lines
+    got = {x["doc_id"]: x["text"] for x in drop_recurring_lines(frame(spark, rows)).collect()}
     want = brute_lines(rows)
+    assert {want[600 + i] for i in range(9)} == {rows[-1][1]}
     assert got == want and want[500] is None and 100 < sum(want[i] != t for i, t in rows)
 
 
@@ -620,7 +622,7 @@ def test_lines(spark):
     names = ["amy", "bob", "cat", "dan", "eve", "fay", "gus"]
     rows = [(i, f"unique line {i} alpha {names[i]}\n" + plate[0].format(i) + "\nshort one\n" + plate[1].format(i, names[i])) for i in range(7)]
     rows += [(50, None), (51, ""), (52, "\n\n"), (53, "Click here to share quite another thing that is long"), (None, plate[0].format(9)), (3, rows[3][1])]
-    got = {r["doc_id"]: r for r in drop_recurring_lines(clashing(frame(spark, rows))).collect()}
+    got = {r["doc_id"]: r for r in drop_recurring_lines(clashing(frame(spark, rows)), short=False, long_docs=None).collect()}
     for i in range(7):
         assert got[i]["text"] == f"unique line {i} alpha {names[i]}\nshort one" and (got[i]["n_lines"], got[i]["n_dropped"]) == (4, 2)
     assert got[50]["text"] is None and got[50]["n_lines"] == 0
@@ -636,7 +638,7 @@ def test_short_lines(spark):
     for i in range(7):
         assert got[i]["text"] == f"{i} {i}\n\nSingle{'abcdefg'[i]}" + ("\nfew rows" if i < 4 else "") and got[i]["n_dropped"] == (4 if i < 4 else 5)
     assert got[7]["text"] == "all rights reserved." and got[8]["text"] == "" and got[None]["n_dropped"] == 0
-    assert {r["n_dropped"] for r in drop_recurring_lines(frame(spark, rows)).collect()} == {0}
+    assert {r["n_dropped"] for r in drop_recurring_lines(frame(spark, rows), short=False, long_docs=None).collect()} == {0}
 
 
 def test_long_lines(spark):
@@ -646,7 +648,7 @@ def test_long_lines(spark):
     rows = [(1, f"a\n{two}\n{digits}\n{less}"), (2, f"{two}  \nb"), (3, f"{digits}\n{less}\n{own}\n{own}"), (4, digits.replace("1999", "2000")), (4, digits.replace("1999", "2000")), (None, two)]
     got = sorted(((r["doc_id"] or 0, r["text"], r["n_dropped"]) for r in drop_recurring_lines(clashing(frame(spark, rows)), long_docs=2).collect()), key=str)
     assert got == [(0, "", 1), (1, f"a\n{less}", 2), (2, "b", 1), (3, f"{less}\n{own}\n{own}", 1), (4, rows[3][1], 0), (4, rows[3][1], 0)]
-    assert {r["n_dropped"] for r in drop_recurring_lines(frame(spark, rows)).collect()} == {0}
+    assert {r["n_dropped"] for r in drop_recurring_lines(frame(spark, rows), short=False, long_docs=None).collect()} == {0}
 
 
 def jump(key, n):
