@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galeworks.functions.exprs import micros
-from galeworks.operators.temporal import SECOND
+from galeworks.operators.chains import BLOCK_ROWS, first_beyond, reached, strongest_ahead
+from galeworks.operators.ordered import carried
 
 
 def top1(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -42,59 +42,22 @@ def non_events(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return top1(df, keys, order).where("scw = 0")
 
 
-def _sessions(df: DataFrame, keys: Sequence[str], time: str, window: float) -> DataFrame:
-    """Numbers runs of rows whose neighbours are less than `window` seconds apart: no window reaches across two runs."""
-    by = Window.partitionBy(*keys).orderBy(time)
-    gap = micros(F.col(time)) - micros(F.lag(time).over(by))
-    fresh = F.when(gap < int(window * SECOND), 0).otherwise(1)
-    return df.withColumn("__fresh", fresh).withColumn("__run", F.sum("__fresh").over(by.rangeBetween(Window.unboundedPreceding, 0)))
+def decluster_forward(df: DataFrame, keys: Sequence[str], time: str, strength: str, tie: str, window: float = 3600, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(keys, time, strength, tie) of events that stay: from each survivor the strongest within `window` ahead remains.
+
+    From a row the strongest of the window ahead comes next, if it is stronger (of equals the first one); if none is, the row stays, and the
+    first row beyond its window comes next. So each row has one next row, and what stays is what the first row of its keys leads to:
+    chains.reached follows it over blocks of time, and a series without gaps is no longer an array than others. Rows at one
+    time are ordered by tie, a number.
+    """
+    return reached(df, keys, time, strength, tie, window, strongest_ahead, block_rows)
 
 
-def decluster_forward(df: DataFrame, keys: Sequence[str], time: str, strength: str, tie: str, window: float = 3600) -> DataFrame:
-    """(keys, time, strength, tie) of events that stay: from each survivor the strongest within `window` ahead remains.
+def decluster_group(df: DataFrame, keys: Sequence[str], time: str, strength: str, tie: str, window: float = 3600, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """df with `seed`, the time of the first row of its greedy group: rows less than `window` after the group's first row.
 
-    Rows in time order meet a state of (anchor, strongest of its window). A row inside the anchor's window replaces the
-    strongest if stronger; a row beyond it settles the window: the anchor stays if nothing was stronger, else the strongest
-    becomes the anchor. Only rows of one run without a gap of `window` are folded together, so arrays stay short.
+    Groups' first rows follow from one another as in decluster_forward; each row then takes the last one at or before it, carried over ranges of time.
     """
-    width = int(window * SECOND)
-    row = F.struct(micros(F.col(time)).alias("m"), F.col(tie).alias("tie"), F.col(strength).alias("x"), F.col(time).alias("t"))
-    runs = _sessions(df, keys, time, window).groupBy(*keys, "__run").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    kind = runs.schema["rows"].dataType.elementType.simpleString()
-    none = F.lit(None).cast(kind)
-    start = F.struct(none.alias("anchor"), none.alias("best"), F.array().cast(f"array<{kind}>").alias("out"))
-
-    def state(anchor, best, out):
-        return F.struct(anchor.alias("anchor"), best.alias("best"), out.alias("out"))
-
-    def inside(s, r):
-        return state(s["anchor"], F.when(r["x"] > s["best"]["x"], r).otherwise(s["best"]), s["out"])
-
-    def anew(s, r):
-        return state(r, r, F.concat(s["out"], F.array(s["anchor"])))
-
-    def step(s, r):
-        moved = state(s["best"], s["best"], s["out"])
-        beyond = F.when(s["best"]["tie"] == s["anchor"]["tie"], anew(s, r)).when(r["m"] < s["best"]["m"] + width, inside(moved, r)).otherwise(anew(moved, r))
-        return F.when(s["anchor"].isNull(), state(r, r, s["out"])).when(r["m"] < s["anchor"]["m"] + width, inside(s, r)).otherwise(beyond)
-
-    kept = F.aggregate("rows", start, step, lambda s: F.concat(s["out"], F.array(s["best"])))
-    out = runs.select(*keys, F.explode(kept).alias("e"))
-    return out.select(*keys, F.col("e.t").alias(time), F.col("e.x").alias(strength), F.col("e.tie").alias(tie))
-
-
-def decluster_group(df: DataFrame, keys: Sequence[str], time: str, strength: str, tie: str, window: float = 3600) -> DataFrame:
-    """df with `seed`, the time of the first row of its greedy group: rows less than `window` after the group's first row."""
-    width = int(window * SECOND)
-    row = F.struct(micros(F.col(time)).alias("m"), F.col(time).alias("t"))
-    runs = _sessions(df, keys, time, window)
-    times = runs.groupBy(*keys, "__run").agg(F.array_sort(F.collect_set(row)).alias("rows"))
-    kind = times.schema["rows"].dataType.elementType.simpleString()
-    seeds = F.aggregate(
-        "rows",
-        F.array().cast(f"array<{kind}>"),
-        lambda s, r: F.when((F.size(s) == 0) | (r["m"] >= F.element_at(s, -1)["m"] + width), F.concat(s, F.array(r))).otherwise(s),
-    )
-    found = runs.join(times.select(*keys, "__run", seeds.alias("__seeds")), [*keys, "__run"])
-    own = F.element_at(F.filter("__seeds", lambda s: s["m"] <= micros(F.col(time))), -1)["t"]
-    return found.withColumn("seed", own).drop("__fresh", "__run", "__seeds")
+    seeds = reached(df, keys, time, strength, tie, window, first_beyond, block_rows).select(*keys, time).distinct()
+    both = df.withColumn("__side", F.lit(1)).unionByName(seeds.withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    return carried(both, keys, [time, "__side"], {"seed": F.when(F.col("__side") == 0, F.col(time))}, sketch=df).where("__side = 1").drop("__side")
