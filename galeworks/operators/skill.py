@@ -46,6 +46,9 @@ def auc(df: DataFrame, keys: Sequence[str], event: str, value: str, weight: str
 def threshold_sweep(df: DataFrame, keys: Sequence[str], event: str, value: str, steps: int, top: float | None = None) -> DataFrame:
     """Contingency at `steps` even thresholds 0 ... top for '>': each row is binned once, then counts run downwards.
 
+    Threshold k is k * top / (steps - 1) as the machine works it out; a division finds a row's place to within one, and the thresholds at and
+    above it settle it, so values equal to a threshold never exceed it.
+
     Without a top, it is the events' largest value, for each key; keys without events go. A top of 0 makes all thresholds 0.
     """
     if top is None:
@@ -55,7 +58,10 @@ def threshold_sweep(df: DataFrame, keys: Sequence[str], event: str, value: str,
     else:
         df, keys = df.withColumn("__top", F.lit(float(top))), [*keys, "__top"]
     x, limit = F.col(value), F.col("__top")
-    slot = F.when(limit > 0, F.least(F.greatest(F.ceil(x * (steps - 1) / F.nullif(limit, F.lit(0.0))) - 1, F.lit(-1)), F.lit(steps - 1))).otherwise(F.when(x > 0, steps - 1).otherwise(-1)).cast("int")
+    at = lambda k: k * limit / (steps - 1)
+    near = F.least(F.greatest(F.floor(x * (steps - 1) / F.nullif(limit, F.lit(0.0))), F.lit(0)), F.lit(steps - 1))
+    above = F.when(x > at(near + 1), near + 1).when(x > at(near), near).when(x > at(near - 1), near - 1).otherwise(near - 2)  # the last threshold below x
+    slot = F.when(limit > 0, F.least(F.greatest(above, F.lit(-1)), F.lit(steps - 1))).otherwise(F.when(x > 0, steps - 1).otherwise(-1)).cast("int")
     binned = df.groupBy(*keys, slot.alias("__slot")).agg(F.count_if(F.col(event) == 1).alias("__p"), F.count_if(F.col(event) == 0).alias("__n"))
     spine = binned.select(*keys).distinct().withColumn("__slot", F.explode(F.sequence(F.lit(-1), F.lit(steps - 1))))
     full = spine.join(binned, [*keys, "__slot"], "left").fillna(0, ["__p", "__n"])

@@ -1,43 +1,51 @@
-"""Joins in space: radius, nearest cell, storm masks. Distances in km; degree bins make them equi-joins."""
+"""Joins in space: radius, nearest cell, storm masks. Distances in km; bins on the unit sphere make them equi-joins."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galeworks.functions.exprs import haversine_km
+from galeworks.functions.exprs import EARTH_KM, haversine_km
+from galeworks.operators.ordered import carried
 
-#: Least length of a degree of latitude on the sphere used, in km.
-DEGREE_KM = 111.2
-#: Side of the bins, in cells, in which points meet the boxes of storms.
-BIN = 16
+#: Points up to this number, checked by a count, are sent to all executors when they meet storms.
+FEW_POINTS = 200_000
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius: float, inclusive: bool = False, left_at=("lat", "lon"), right_at=("lat", "lon"), name: str = "distance") -> DataFrame:
-    """Pairs of rows less than (or up to) `radius` apart, with their distance.
+def _on_sphere(lat: Column, lon: Column) -> list[Column]:
+    """The point's three coordinates on the unit sphere."""
+    la, lo = F.radians(lat), F.radians(lon)
+    return [F.cos(la) * F.cos(lo), F.cos(la) * F.sin(lo), F.sin(la)]
 
-    Latitude bins are `radius` wide; longitude bins grow with the cosine at the row band's far edge, so only adjacent
-    bins can hold partners. Left rows are copied to the neighbouring bins and joined on the bin; bins are
-    those of the right row's latitude band.
-    """
-    width = radius / DEGREE_KM
-    right = right.withColumns({"__lat": F.col(right_at[0]), "__lon": F.col(right_at[1])})
-    row = lambda lat: F.floor(lat / width)
 
-    def column(lon: Column, band: Column) -> Column:
-        far = F.radians(F.least(F.greatest(F.abs(band * width), F.abs((band + 1) * width)) + width, F.lit(89.0)))
-        return F.floor(lon / (width / F.cos(far)))
+def radius_join(left: DataFrame, right: DataFrame, radius: float, inclusive: bool = False, left_at=("lat", "lon"), right_at=("lat", "lon"), name: str = "distance") -> DataFrame:
+    """Pairs of rows less than (or up to) `radius` apart, with their distance; right columns that left has too end in _r.
 
-    r = right.withColumn("__row", row(F.col("__lat"))).withColumn("__col", column(F.col("__lon"), F.col("__row")))
-    band = left.withColumn("__row", F.explode(F.sequence(row(F.col(left_at[0])) - 1, row(F.col(left_at[0])) + 1)))
-    own = column(F.col(left_at[1]), F.col("__row"))
-    l = band.withColumn("__col", F.explode(F.sequence(own - 1, own + 1)))
-    joined = l.join(r, ["__row", "__col"]) if not set(left.columns) & set(right.columns) else l.join(r.select(*[F.col(c).alias(c if c.startswith("__") or c not in left.columns else f"{c}_r") for c in r.columns]), ["__row", "__col"])
-    d = haversine_km(F.col(left_at[0]), F.col(left_at[1]), F.col("__lat"), F.col("__lon"))
-    near = joined.withColumn(name, d)
-    return near.where(F.col(name) <= radius if inclusive else F.col(name) < radius).drop("__row", "__col", "__lat", "__lon")
+    Points are binned by their three coordinates on the unit sphere, in cubes of twice the chord of `radius`: so nothing is special at the
+    poles or at 180 degrees, and longitudes may be given from -180 or from 0. A left row is copied to those cubes that its ball reaches
+    and that the sphere passes through, some four on average. Rows without a position meet nothing.
+    """
+    chord = 2 * math.sin(min(radius / EARTH_KM, math.pi) / 2) * (1 + 1e-9) + 1e-12
+    side = 2 * chord
+    clashing = set(left.columns)
+    right = right.select(*[F.col(c).alias(f"{c}_r" if c in clashing else c) for c in right.columns], F.col(right_at[0]).alias("__lat"), F.col(right_at[1]).alias("__lon"))
+    bin_of = lambda x: F.floor(x / side).cast("int")
+    r = right.where("__lat is not null and __lon is not null")
+    r = r.withColumns({f"__{n}": bin_of(x) for n, x in zip("xyz", _on_sphere(F.col("__lat"), F.col("__lon")), strict=True)})
+    places = left.where(F.col(left_at[0]).isNotNull() & F.col(left_at[1]).isNotNull()).withColumn("__p", F.array(*_on_sphere(F.col(left_at[0]), F.col(left_at[1]))))
+    reach = lambda k: F.sequence(bin_of(F.get("__p", F.lit(k)) - chord), bin_of(F.get("__p", F.lit(k)) + chord))
+    l = places
+    for k, n in enumerate("xyz"):
+        l = l.withColumn(f"__{n}", F.explode(reach(k)))
+    low = [F.greatest(F.col(f"__{n}") * side, -(F.col(f"__{n}") + 1) * side, F.lit(0.0)) for n in "xyz"]  # a cube's least and largest distance from the centre, by axis
+    high = [F.greatest(F.abs(F.col(f"__{n}") * side), F.abs((F.col(f"__{n}") + 1) * side)) for n in "xyz"]
+    square = lambda xs: sum((x * x for x in xs[1:]), xs[0] * xs[0])
+    l = l.where((square(low) <= 1 + 1e-9) & (square(high) >= 1 - 1e-9)).drop("__p")
+    near = l.join(r, ["__x", "__y", "__z"]).withColumn(name, haversine_km(F.col(left_at[0]), F.col(left_at[1]), F.col("__lat"), F.col("__lon")))
+    return near.where(F.col(name) <= radius if inclusive else F.col(name) < radius).drop("__x", "__y", "__z", "__lat", "__lon")
 
 
 def nearest(pairs: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -46,30 +54,19 @@ def nearest(pairs: DataFrame, keys: Sequence[str], order: Sequence[str], fields:
     return best.select(*keys, *[F.col(f"best.{f}").alias(f) for f in fields])
 
 
-#: Most values that an axis of a grid may have.
-MAX_AXIS = 100_000
-
-
 def nearest_on_axis(points: DataFrame, axis: DataFrame, value: str, name: str) -> DataFrame:
-    """Points with the axis value closest to theirs (ties: the lower). Null or missing axes give null.
+    """Points with the axis value closest to theirs (ties: the lower). Null values and empty axes give null.
 
-    An axis is the side of a grid, up to MAX_AXIS values, which is checked; each value stands for the interval between the
-    middles to its neighbours, intervals are listed in even bins, and a point looks into its own bin alone.
+    Points and the axis' values meet in one order, over ranges of it; each point takes the nearer of the last value at or below it and the
+    first above it. So an axis may have any number of values.
     """
-    found = axis.agg(F.count_distinct(name).alias("n"), F.min(name).alias("lo"), F.max(name).alias("hi")).first()
-    if not found.n:
-        return points.withColumn(name, F.lit(None).cast("double"))
-    if found.n > MAX_AXIS:
-        raise ValueError(f"an axis has up to {MAX_AXIS} values, not {found.n}")
-    lo, step = float(found.lo), (float(found.hi) - float(found.lo)) / found.n or 1.0
-    bin_of = lambda x: F.least(F.greatest(F.floor((x - lo) / step), F.lit(-1)), F.lit(found.n)).cast("int")
-    order = Window.orderBy(name)  # at most MAX_AXIS rows
-    middle = lambda other: (F.col(name) + other) / 2
-    sides = axis.select(name).where(F.col(name).isNotNull()).distinct().select(name, middle(F.lag(name).over(order)).alias("__from"), middle(F.lead(name).over(order)).alias("__to"))
-    first, last = F.when(F.col("__from").isNull(), -1).otherwise(bin_of(F.col("__from"))), F.when(F.col("__to").isNull(), found.n).otherwise(bin_of(F.col("__to")))
-    listed = sides.withColumn("__bin", F.explode(F.sequence(first, last)))
-    inside = (F.col("__from").isNull() | (F.col(value) > F.col("__from"))) & (F.col("__to").isNull() | (F.col(value) <= F.col("__to")))
-    return points.withColumn("__bin", bin_of(F.col(value))).join(listed.withColumnRenamed("__bin", "__b"), (F.col("__bin") == F.col("__b")) & inside, "left").drop("__bin", "__b", "__from", "__to")
+    sides = axis.select(F.col(name).cast("double").alias("__at")).where("__at is not null").distinct().select("__at", F.lit(0).alias("__side"))
+    both = points.withColumns({"__at": F.col(value).cast("double"), "__side": F.lit(1)}).unionByName(sides, allowMissingColumns=True)
+    own = F.when((F.col("__side") == 0), F.col("__at"))
+    met = carried(both, [], ["__at", "__side"], {"__below": own}, {"__above": own}).where("__side = 1")
+    lower = F.col("__above").isNull() | (F.col("__at") - F.col("__below") <= F.col("__above") - F.col("__at"))
+    nearer = F.when(F.col("__at").isNotNull(), F.when(F.col("__below").isNotNull() & lower, F.col("__below")).otherwise(F.col("__above")))
+    return met.withColumn(name, nearer).drop("__at", "__side", "__below", "__above")
 
 
 def nearest_in_box(points: DataFrame, cells: DataFrame, key: str, at: tuple[str, str], order: Sequence[str], radius: float, box: tuple[float, float, float, float]) -> DataFrame:
@@ -97,24 +94,84 @@ def radius_summary(df: DataFrame, keys: Sequence[str], how: Mapping[str, Sequenc
     return df.groupBy(*keys).agg(*[known[n](v).alias(f"{v}_{n}") for v, names in how.items() for n in names])
 
 
-def storm_within(cells: DataFrame, points: DataFrame, radii: Sequence[int], keys: Sequence[str] = ("scan", "uid"), point: str = "stn_no") -> DataFrame:
+def mask_runs(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, i0, i1, j0, j1, runs): a storm's box and its cells as runs (i, a, b) along rows, in one pass over its cells."""
+    storms = cells.groupBy(*keys).agg(*[f(c).alias(f"{c}{k}") for c in "ij" for k, f in ((0, F.min), (1, F.max))], F.array_sort(F.collect_set(F.struct("i", "j"))).alias("__c"))
+    before, after = (lambda k: F.get("__c", k - 1)), (lambda k: F.get("__c", k + 1))
+    begins = F.filter("__c", lambda c, k: (k == 0) | (before(k)["i"] != c["i"]) | (before(k)["j"] != c["j"] - 1))
+    ends = F.filter("__c", lambda c, k: (k == F.size("__c") - 1) | (after(k)["i"] != c["i"]) | (after(k)["j"] != c["j"] + 1))
+    runs = F.zip_with(begins, ends, lambda a, b: F.struct(a["i"].alias("i"), a["j"].alias("a"), b["j"].alias("b")))
+    return storms.withColumn("runs", runs).drop("__c")
+
+
+def storm_within(cells: DataFrame, points: DataFrame, radii: Sequence[int], keys: Sequence[str] = ("scan", "uid"), point: str = "stn_no", grid: Sequence[str] = ()) -> DataFrame:
     """(keys, point, near, in<r>...) for points within the largest radius (in cells) of a mask: the distance to its nearest cell.
 
-    A storm is one row, with its box and the array of its cells: points meet the boxes they may lie near to by bins of
-    BIN cells, and only what lies in a widened box looks for its least distance in the array. A storm is a radar object, whose
-    cells are those of one scan.
+    Cells and points count i and j on the grid that the columns `grid` (the radar, say) name on both sides: storms meet points of their own grid
+    only. With keys that lack a grid column, it is added to the result. A storm is one row: its box and its runs of cells. Points
+    meet the boxes they may lie near to by bins of twice the largest radius, and the distance to a run follows from its ends. Few points,
+    by a count, are sent to all executors; others are shuffled by grid and bin.
     """
     most = max(radii)
-    storms = cells.groupBy(*keys).agg(*[f(c).alias(f"__{c}{k}") for c in "ij" for k, f in ((0, F.min), (1, F.max))], F.collect_list(F.struct("i", "j")).alias("__cells"))
-    bins = lambda c, more=0: F.floor((F.col(c) + more) / BIN)
-    reach = storms.withColumn("__a", F.explode(F.sequence(bins("__i0", -most), bins("__i1", most)))).withColumn("__b", F.explode(F.sequence(bins("__j0", -most), bins("__j1", most))))
-    in_box = F.col("pi").between(F.col("__i0") - most, F.col("__i1") + most) & F.col("pj").between(F.col("__j0") - most, F.col("__j1") + most)
-    met = reach.join(points.select(point, "pi", "pj", bins("pi").alias("__a"), bins("pj").alias("__b")), ["__a", "__b"]).where(in_box)
-    squared = F.array_min(F.transform("__cells", lambda c: (c["i"] - F.col("pi")) * (c["i"] - F.col("pi")) + (c["j"] - F.col("pj")) * (c["j"] - F.col("pj"))))
+    side = max(2 * most, 8)
+    keys = [*keys, *[g for g in grid if g not in keys]]
+    bins = lambda c, more=0: F.floor((F.col(c) + more) / side)
+    reach = mask_runs(cells, keys).withColumn("__a", F.explode(F.sequence(bins("i0", -most), bins("i1", most)))).withColumn("__b", F.explode(F.sequence(bins("j0", -most), bins("j1", most))))
+    own = points.select(*grid, point, "pi", "pj", bins("pi").alias("__a"), bins("pj").alias("__b"))
+    if not own.select("pi").offset(FEW_POINTS).take(1):
+        own = F.broadcast(own)
+    in_box = F.col("pi").between(F.col("i0") - most, F.col("i1") + most) & F.col("pj").between(F.col("j0") - most, F.col("j1") + most)
+    met = reach.join(own, [*grid, "__a", "__b"]).where(in_box)
+    aside = lambda r: F.greatest(r["a"] - F.col("pj"), F.col("pj") - r["b"], F.lit(0))
+    squared = F.array_min(F.transform("runs", lambda r: (r["i"] - F.col("pi")) * (r["i"] - F.col("pi")) + aside(r) * aside(r)))
     near = met.select(*keys, point, squared.alias("__d")).where(F.col("__d") <= most * most)
     return near.select(*keys, point, F.sqrt("__d").alias("near"), *[(F.col("__d") <= r * r).cast("int").alias(f"in{r}") for r in radii])
 
 
+def best_storm(near: DataFrame, keys: Sequence[str], inside: Mapping[str, Column], strength: str, uid: str, fields: Sequence[str] = ()) -> DataFrame:
+    """For each keys (a scan and a station) and each radius {name: whether a storm is inside it}: the storm's uid and fields, as <c><name>, and in<name>.
+
+    A storm inside the radius comes first, then the strongest (nulls last), then the lowest uid; in<name> is 1 if any storm is inside. One
+    aggregate gives all radii.
+    """
+    columns = []
+    for name, c in inside.items():
+        order = F.struct(F.coalesce(c, F.lit(False)), F.col(strength), -F.col(uid))
+        columns += [F.max_by(f, order).alias(f"{f}{name}") for f in [uid, *fields]] + [F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(f"in{name}")]
+    return near.groupBy(*keys).agg(*columns)
+
+
+def select_stations(stations: DataFrame, radars: DataFrame, radius: float, year: int | None = None, exclude: Column | None = None, wanted: Sequence[int] | None = None, station: str = "stn_no") -> DataFrame:
+    """Stations up to `radius` km from a radar (lat0, lon0), with the radar's columns and the distance.
+
+    With a year, those open in it: y1 <= year <= y2, so one whose years are unknown is left out. exclude leaves rows out; wanted, a short
+    list, keeps those stations alone. No station at all is an error.
+    """
+    chosen = stations if year is None else stations.where((F.col("y1") <= year) & (F.col("y2") >= year))
+    chosen = chosen if exclude is None else chosen.where(~F.coalesce(exclude, F.lit(False)))
+    chosen = chosen if wanted is None else chosen.where(F.col(station).isin(list(wanted)))
+    found = radius_join(chosen, radars, radius, inclusive=True, right_at=("lat0", "lon0"))
+    if found.isEmpty():
+        raise ValueError("no station is left")
+    return found
+
+
+def extreme_point(df: DataFrame, keys: Sequence[str], value: Column, order: Sequence[str], fields: Sequence[str], size: bool = False, name: str = "extreme") -> DataFrame:
+    """(keys, name, fields): the row of each key with the largest value, or the value of largest size; of equals the first by `order`, numbers."""
+    rank = F.abs(value) if size else value
+    best = df.where(value.isNotNull()).groupBy(*keys).agg(F.max(F.struct(rank.alias("r"), *[(-F.col(c)).alias(f"o{k}") for k, c in enumerate(order)], value.alias("v"), *[F.col(c).alias(f"f{k}") for k, c in enumerate(fields)])).alias("m"))
+    return best.select(*keys, F.col("m.v").alias(name), *[F.col(f"m.f{k}").alias(c) for k, c in enumerate(fields)])
+
+
+def radius_extremes(pairs: DataFrame, keys: Sequence[str], value: Column, radii: Sequence[float], size: Column | None = None, distance: str = "distance") -> DataFrame:
+    """most_<r>, least_<r> and size_<r> (largest size of `size`, or of the value) of the rows less than each radius away, in one aggregate."""
+    columns = []
+    for r in radii:
+        inside = F.col(distance) < r
+        columns += [F.max(F.when(inside, value)).alias(f"most_{r}"), F.min(F.when(inside, value)).alias(f"least_{r}"), F.max(F.when(inside, F.abs(value if size is None else size))).alias(f"size_{r}")]
+    return pairs.groupBy(*keys).agg(*columns)
+
+
 def storm_distance(cells: DataFrame, points: DataFrame, keys: Sequence[str], point: str, radius: float) -> DataFrame:
     """(keys, point, distance): km from a point to the nearest cell (lat, lon) of a storm less than `radius` away, to three digits."""
     near = radius_join(points.select(point, F.col("lat").alias("__plat"), F.col("lon").alias("__plon")), cells.select(*keys, "lat", "lon"), radius, left_at=("__plat", "__plon"))

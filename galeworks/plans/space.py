@@ -76,10 +76,10 @@ def radius_summary(spark, sf_dir):
 
 @query(_AT + ", k AS (SELECT stn_no, h, s06 - 20 AS a, qmean01, lr13, row_number() OVER (PARTITION BY stn_no, h ORDER BY abs(s06 - 20) DESC, i, j) AS n, row_number() OVER (PARTITION BY stn_no, h ORDER BY s06 DESC, i, j) AS m FROM at_hour WHERE lsm >= 0.5) SELECT stn_no, h, round(max(CASE WHEN n = 1 THEN a END), 6) AS extreme, round(max(CASE WHEN m = 1 THEN qmean01 END), 6) AS q_there, round(max(CASE WHEN m = 1 THEN lr13 END), 6) AS lr_there FROM k GROUP BY stn_no, h")
 def extreme_point(spark, sf_dir):
-    a = F.col("s06") - 20
-    tie = [(-F.col("i")).alias("ti"), (-F.col("j")).alias("tj")]
-    best = hourly(spark, sf_dir).where("lsm >= 0.5").groupBy("stn_no", "h").agg(F.max(F.struct(F.abs(a).alias("x"), *tie, a.alias("a"))).alias("e"), F.max(F.struct("s06", *tie, "qmean01", "lr13")).alias("m"))
-    return rounded(best.select("stn_no", "h", F.col("e.a").alias("extreme"), F.col("m.qmean01").alias("q_there"), F.col("m.lr13").alias("lr_there")))
+    land = hourly(spark, sf_dir).where("lsm >= 0.5")
+    size = S.extreme_point(land, ["stn_no", "h"], F.col("s06") - 20, ["i", "j"], [], size=True)
+    most = S.extreme_point(land, ["stn_no", "h"], F.col("s06"), ["i", "j"], ["qmean01", "lr13"], name="most")
+    return rounded(size.join(most, ["stn_no", "h"]).select("stn_no", "h", "extreme", F.col("qmean01").alias("q_there"), F.col("lr13").alias("lr_there")))
 
 
 _STROKES = ctes("stations", "obs") + """, p AS (SELECT rid, dt_utc, lat, lon FROM obs JOIN stations ON stn_no = stn_id WHERE gust >= 60), s AS (SELECT stn_no, lat, lon FROM stations),
@@ -103,9 +103,7 @@ def radius_extreme(spark, sf_dir):
     env = view(spark, sf_dir, "env")
     stations = view(spark, sf_dir, "stations").select("stn_no", F.col("lat").alias("slat"), F.col("lon").alias("slon"))
     near = S.radius_join(stations, env.select("i", "j", "lat", "lon").distinct(), 1000, left_at=("slat", "slon")).select("stn_no", "i", "j", "distance").join(env, ["i", "j"])
-    inside, x = F.col("distance") < 500, F.col("s06")
-    sums = [f.alias(n) for n, f in (("most_1000", F.max(x)), ("least_1000", F.min(x)), ("size_1000", F.max(F.abs(x - 20))), ("most_500", F.max(F.when(inside, x))), ("least_500", F.min(F.when(inside, x))), ("size_500", F.max(F.when(inside, F.abs(x - 20)))))]
-    return rounded(near.groupBy("stn_no", "h").agg(*sums))
+    return rounded(S.radius_extremes(near, ["stn_no", "h"], F.col("s06"), [1000, 500], size=F.col("s06") - 20))
 
 
 _MASK = ctes("mask", "stations") + ", pts AS (SELECT stn_no, (stn_no * 37) % 190 AS pi, (stn_no * 53) % 190 AS pj FROM stations)"
@@ -129,9 +127,8 @@ _BEST = ", ".join(f"k{r} AS (SELECT stn_no, hour, arg_max(scan, struct_pack(a :=
 def best_storm_per_scan(spark, sf_dir):
     """For each of three radii a station's best storm of an hour: one in range first, then the strongest, then the first. One aggregate gives all three."""
     scans = view(spark, sf_dir, "scan_at_station").withColumn("hour", F.date_trunc("hour", "scan_time").cast("timestamp_ntz"))
-    near = {r: F.col("scan") % m != 0 for r, m in _RADII.items()}
-    best = [F.max_by("scan", F.struct(c, "field_max", -F.col("scan"))).alias(f"scan{r}") for r, c in near.items()]
-    return scans.groupBy("stn_no", "hour").agg(*best, *[F.max(c.cast("int")).alias(f"in{r}km") for r, c in near.items()])
+    best = S.best_storm(scans, ["stn_no", "hour"], {r: F.col("scan") % m != 0 for r, m in _RADII.items()}, "field_max", "scan")
+    return best.withColumnsRenamed({f"in{r}": f"in{r}km" for r in _RADII})
 
 
 _AREA = "-44 + i * 34.0 / 190 AS lat, 113 + j * 40.0 / 190 AS lon"
@@ -144,12 +141,12 @@ def storm_distance(spark, sf_dir):
     return S.storm_distance(cells, view(spark, sf_dir, "stations"), ["scan", "uid"], "stn_no", 20)
 
 
-_OPEN = ctes("stations", "radars") + f", open AS (SELECT rid, region, stn_no, y1, y2, qc_pct, {hav('lat0', 'lon0', 'lat', 'lon')} AS d FROM radars JOIN stations ON {hav('lat0', 'lon0', 'lat', 'lon')} <= 200 WHERE y1 <= 2010 AND stn_no % 50 <> 7)"
+_OPEN = ctes("stations", "radars") + f", open AS (SELECT rid, region, stn_no, y1, y2, qc_pct, {hav('lat0', 'lon0', 'lat', 'lon')} AS d FROM radars JOIN stations ON {hav('lat0', 'lon0', 'lat', 'lon')} <= 200 WHERE y1 <= 2010 AND y2 >= 2010 AND stn_no % 50 <> 7)"
 
 
 def open_stations(spark, sf_dir):
-    stations = view(spark, sf_dir, "stations").where("y1 <= 2010 and stn_no % 50 <> 7")
-    return S.radius_join(stations, view(spark, sf_dir, "radars"), 200, inclusive=True, right_at=("lat0", "lon0"))
+    """Stations open in 2010, but for a list of bad ones."""
+    return S.select_stations(view(spark, sf_dir, "stations"), view(spark, sf_dir, "radars"), 200, 2010, exclude=F.col("stn_no") % 50 == 7)
 
 
 @query(_OPEN + " SELECT rid, stn_no, round(d, 4) AS distance FROM open")
