@@ -79,13 +79,13 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_constant
     lines = lined.select("doc_id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("raw", _tokens(F.col("line")))
     # A line without a leaf has an empty one: no filter, and no check for nulls, works out the tokens anew.
     leaf = F.coalesce(F.when(_counted(F.col("raw"), short), _leaf(F.col("raw"))), F.expr("x''"))
-    lines = slot_filter(lines.select("doc_id", "mark", "at", "line", "raw", leaf.alias("leaf")), hot, "leaf").where("leaf <> x''")
+    lines = slot_filter(lines.select("doc_id", "mark", "at", "line", "raw", leaf.alias("leaf")), hot, "leaf")
     tokens = lines.select("doc_id", "mark", "at", "leaf", _masked(F.col("raw"), F.col("line")).alias("tokens"))
     # From here on a line is the name of its masked tokens, and a token a hash: rows stay short whatever the line's length.
     name = F.unhex(F.md5(F.concat_ws("\x1f", "tokens")))
     lead = F.size(F.filter(F.slice("tokens", 1, LEADING), lambda t: t != WILD))
     later = F.transform(F.slice("tokens", LEADING + 1, F.greatest(F.size("tokens") - LEADING, F.lit(1))), lambda t: F.when(t != WILD, F.xxhash64(t)))
-    lines = written(tokens.select("doc_id", "mark", "at", "leaf", name.alias("shape"), F.size("tokens").alias("n"), lead.alias("lead"), later.alias("later")), "lines")
+    lines = written(tokens.select("doc_id", "mark", "at", "leaf", name.alias("shape"), F.size("tokens").alias("n"), lead.alias("lead"), later.alias("later")), "lines").where("leaf <> x''")  # asked of the written rows, so that no leaf is worked out for it
     once = lines.groupBy("mark", "leaf", "shape").agg(F.lit(1).alias("one"))
     shapes = written(lines.groupBy("leaf", "shape").agg(F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("later").alias("later")), "shapes")
     spread = once.groupBy("leaf", "shape").count().join(shapes, ["leaf", "shape"])
