@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from galeworks.plans import cases, climate, events, files, grid, models, more, skill, space  # noqa: F401  each registers its queries
+from galeworks.plans import cases, chain, climate, events, files, grid, models, more, skill, space  # noqa: F401  each registers its queries
 from galeworks.plans.registry import QUERIES, SQL
 
 

@@ -1 +1,8 @@
-"""DataFrame operators."""
+"""Operators on DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that tasks run travel with their code, so executors need no copy of the library.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -26,14 +26,15 @@ def scores(table: DataFrame, least_hit_rate: float = 0.66) -> DataFrame:
     return table.withColumns({"pod": pod, "far": over(f, h + f), "bias": over(h + f, h + m), "csi": over(h, h + m + f), "tss": pod - over(f, f + c), "hss": F.when(pod > least_hit_rate, hss).otherwise(0.0)})
 
 
-def auc(df: DataFrame, keys: Sequence[str], event: str, value: str, weight: str | None = None, orient: str | None = None) -> DataFrame:
+def auc(df: DataFrame, keys: Sequence[str], event: str, value: str, weight: str | None = None, orient: str | None = None, sketch: DataFrame | None = None) -> DataFrame:
     """Area under the ROC curve by mid-ranks: rows meet by value first, so only distinct values are ordered. Nulls go.
 
-    orient "mean" turns a predictor round whose mean is lower in events than in non-events; "max" takes the larger area.
+    orient "mean" turns a predictor round whose mean is lower in events than in non-events; "max" takes the larger area. sketch: rows with
+    the value that are cheaper to read than df.
     """
     w = F.col(weight) if weight else F.lit(1)
     by = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.when(F.col(event) == 1, w).otherwise(0)).alias("__p"), F.sum(F.when(F.col(event) == 0, w).otherwise(0)).alias("__n"))
-    ranked = running_totals(by, keys, [value], ["__n"], sketch=df).withColumn("__u", F.col("__p") * (F.col("before___n") + F.col("__n") / 2))
+    ranked = running_totals(by, keys, [value], ["__n"], sketch=df if sketch is None else sketch).withColumn("__u", F.col("__p") * (F.col("before___n") + F.col("__n") / 2))
     p, n, x = F.sum("__p"), F.sum("__n"), F.col(value)
     area = F.when((p > 0) & (n > 0), F.sum("__u") / (p * n))
     if orient == "mean":
@@ -43,7 +44,7 @@ def auc(df: DataFrame, keys: Sequence[str], event: str, value: str, weight: str
     return ranked.groupBy(*keys).agg(area.alias("auc"), p.alias("events"), n.alias("nulls"))
 
 
-def threshold_sweep(df: DataFrame, keys: Sequence[str], event: str, value: str, steps: int, top: float | None = None) -> DataFrame:
+def threshold_sweep(df: DataFrame, keys: Sequence[str], event: str, value: str, steps: int, top: float | None = None, weight: str | None = None) -> DataFrame:
     """Contingency at `steps` even thresholds 0 ... top for '>': each row is binned once, then counts run downwards.
 
     Threshold k is k * top / (steps - 1) as the machine works it out; a division finds a row's place to within one, and the thresholds at and
@@ -58,11 +59,12 @@ def threshold_sweep(df: DataFrame, keys: Sequence[str], event: str, value: str,
     else:
         df, keys = df.withColumn("__top", F.lit(float(top))), [*keys, "__top"]
     x, limit = F.col(value), F.col("__top")
+    w = F.col(weight) if weight else F.lit(1)
     at = lambda k: k * limit / (steps - 1)
     near = F.least(F.greatest(F.floor(x * (steps - 1) / F.nullif(limit, F.lit(0.0))), F.lit(0)), F.lit(steps - 1))
     above = F.when(x > at(near + 1), near + 1).when(x > at(near), near).when(x > at(near - 1), near - 1).otherwise(near - 2)  # the last threshold below x
     slot = F.when(limit > 0, F.least(F.greatest(above, F.lit(-1)), F.lit(steps - 1))).otherwise(F.when(x > 0, steps - 1).otherwise(-1)).cast("int")
-    binned = df.groupBy(*keys, slot.alias("__slot")).agg(F.count_if(F.col(event) == 1).alias("__p"), F.count_if(F.col(event) == 0).alias("__n"))
+    binned = df.groupBy(*keys, slot.alias("__slot")).agg(F.sum(F.when(F.col(event) == 1, w).otherwise(0)).alias("__p"), F.sum(F.when(F.col(event) == 0, w).otherwise(0)).alias("__n"))
     spine = binned.select(*keys).distinct().withColumn("__slot", F.explode(F.sequence(F.lit(-1), F.lit(steps - 1))))
     full = spine.join(binned, [*keys, "__slot"], "left").fillna(0, ["__p", "__n"])
     down = Window.partitionBy(*keys).orderBy(F.desc("__slot")).rowsBetween(Window.unboundedPreceding, 0)
@@ -78,14 +80,6 @@ def best_threshold(swept: DataFrame, keys: Sequence[str], names: Sequence[str])
     return first.select(*keys, "score", F.col("x.best").alias("best"), (-F.col("x.back")).alias("step"), F.col("x.threshold").alias("threshold"))
 
 
-def bootstrap_rows(df: DataFrame, row: str, replicates: int) -> DataFrame:
-    """df once per replicate with a weight of 0 to 6 (Poisson-like, mean 0.999) from integer arithmetic on row and replicate; weight 0 goes at once."""
-    spread = df.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draw = F.pmod((F.pmod(F.col(row), F.lit(1_000_003)) * 7919 + F.col("replicate") * 104_729) * 31 + F.pmod(F.col(row), F.lit(977)) * F.col("replicate"), F.lit(1000))
-    weight = F.when(draw < 368, 0).when(draw < 736, 1).when(draw < 920, 2).when(draw < 981, 3).when(draw < 996, 4).when(draw < 999, 5).otherwise(6)
-    return spread.withColumn("weight", weight).where("weight > 0")
-
-
 def ks_two_sample(df: DataFrame, keys: Sequence[str], group: Column, value: str) -> DataFrame:
     """Largest difference of the two groups' distribution functions, and its asymptotic p; rows meet by value first."""
     by = df.groupBy(*keys, value).agg(F.count_if(group).alias("__a"), F.count_if(~group).alias("__b"))

@@ -9,7 +9,7 @@ from galeworks.functions import exprs as X
 from galeworks.operators import events as E
 from galeworks.operators import ordered as O
 from galeworks.operators import temporal as T
-from galeworks.operators.skill import bootstrap_rows
+from galeworks.operators.resampling import bootstrap_rows, sql_drawn
 from galeworks.plans.registry import query
 from galeworks.plans.views import ctes, rounded, view
 
@@ -315,11 +315,8 @@ def stations_per_event(spark, sf_dir):
     return obs.join(own(["rid", "hour"], "stations"), ["rid", "hour"]).join(own(["uid"], "of_storm"), "uid").select("event_id", "stations", "of_storm")
 
 
-_WEIGHT = "CASE WHEN draw < 368 THEN 0 WHEN draw < 736 THEN 1 WHEN draw < 920 THEN 2 WHEN draw < 981 THEN 3 WHEN draw < 996 THEN 4 WHEN draw < 999 THEN 5 ELSE 6 END"
-
-
-@query(ctes("obs") + f""", w AS (SELECT rid, gust, replicate, (((event_id % 1000003) * 7919 + replicate * 104729) * 31 + (event_id % 977) * replicate) % 1000 AS draw FROM obs, range(50) AS r(replicate)),
-b AS (SELECT rid, replicate, min(gust) AS loc, sum(gust * wt) / sum(wt) - min(gust) AS scale FROM (SELECT *, {_WEIGHT} AS wt FROM w) WHERE wt > 0 GROUP BY ALL),
+@query(ctes("obs") + ", " + sql_drawn("obs", {"wt": ("1", 1.0)}, ["event_id"], 50, "w") + """,
+b AS (SELECT rid, replicate, min(gust) AS loc, sum(gust * wt) / sum(wt) - min(gust) AS scale FROM w GROUP BY ALL),
 q AS (SELECT rid, round(quantile_cont(loc - scale * ln(0.01), 0.05), 6) AS low, round(quantile_cont(loc - scale * ln(0.01), 0.95), 6) AS high FROM b GROUP BY rid),
 f AS (SELECT rid, round(min(gust), 6) AS loc, round(avg(gust) - min(gust), 6) AS scale, round(min(gust) - (avg(gust) - min(gust)) * ln(0.01), 6) AS level_100 FROM obs GROUP BY rid) SELECT * FROM f JOIN q USING (rid)""")
 def expon_fit(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from galeworks.operators import resampling as B
 from galeworks.operators import skill as K
 from galeworks.operators.ordered import exact_quantiles
 from galeworks.plans.registry import query
@@ -59,14 +60,44 @@ def best_threshold(spark, sf_dir):
     return best.select("cluster", "score", F.round("best", 6).alias("best"), F.col("step").cast("long").alias("step"), F.round("threshold", 4).alias("threshold"))
 
 
-@query(ctes("skill") + """, w AS (SELECT s.*, replicate, (((row_id % 1000003) * 7919 + replicate * 104729) * 31 + (row_id % 977) * replicate) % 1000 AS draw FROM skill s, range(100) AS r(replicate)),
-g AS (SELECT *, CASE WHEN draw < 368 THEN 0 WHEN draw < 736 THEN 1 WHEN draw < 920 THEN 2 WHEN draw < 981 THEN 3 WHEN draw < 996 THEN 4 WHEN draw < 999 THEN 5 ELSE 6 END AS weight FROM w),
-b AS (SELECT replicate, l_discount AS x, sum(scw * weight) AS p, sum((1 - scw) * weight) AS n FROM g WHERE weight > 0 GROUP BY ALL),
-u AS (SELECT *, p * (coalesce(sum(n) OVER (PARTITION BY replicate ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2) AS v FROM b)
-SELECT replicate::INTEGER AS replicate, round(sum(v) / (sum(p) * sum(n)), 6) AS auc FROM u GROUP BY replicate""")
+#: Predictors with few values, whose hundredfold is whole, so that it names a value.
+FEW = ["l_quantity", "l_discount", "l_tax"]
+_MET = ctes("skill") + f""", tall AS (SELECT scw, unnest([0, cluster + 1]) AS stratum, 0 AS one, l_quantity, l_discount, l_tax FROM skill),
+each AS (SELECT scw, stratum, unnest(range({len(FEW)})) AS predictor, unnest([{", ".join(FEW)}]) AS x FROM tall),
+met AS (SELECT stratum, predictor, x, CAST(round(x * 100) AS BIGINT) AS spot, sum(scw) AS p, sum(1 - scw) AS n FROM each GROUP BY ALL), """
+_HALF = {"dp": ("p", 1.0), "dn": ("n", 0.5)}
+
+
+def predictors(spark, sf_dir):
+    """(scw, stratum, predictor, x): every row under all rows (0) and its cluster (from 1 on), once for each of the FEW predictors, which are numbered."""
+    s = view(spark, sf_dir, "skill").select("scw", F.explode(F.array(F.lit(0).cast("long"), (F.col("cluster") + 1).cast("long"))).alias("stratum"), *FEW)
+    numbered = F.array(*[F.struct(F.lit(k).cast("long").alias("predictor"), F.col(n).cast("double").alias("x")) for k, n in enumerate(FEW)])
+    return s.select("scw", "stratum", F.explode(numbered).alias("v")).select("scw", "stratum", "v.*")
+
+
+#: What names a value of a predictor in a stratum.
+SEEDS = ["stratum", "predictor", "round(x * 100)"]
+
+
+@query(_MET + B.sql_drawn("met", _HALF, ["stratum", "predictor", "spot"], 1000, "drawn") + """,
+u AS (SELECT *, dp * (coalesce(sum(dn) OVER (PARTITION BY stratum, predictor, replicate ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + dn / 2) AS v FROM drawn),
+a AS (SELECT stratum, predictor, replicate, sum(v) / (sum(dp) * sum(dn)) AS auc, sum(x * dp) / sum(dp) AS me, sum(x * dn) / sum(dn) AS mn FROM u GROUP BY ALL)
+SELECT stratum::BIGINT AS stratum, predictor::BIGINT AS predictor, replicate::INTEGER AS replicate, round(CASE WHEN me < mn THEN 1 - auc ELSE auc END, 6) AS auc FROM a""")
 def bootstrap_scores(spark, sf_dir):
-    drawn = K.bootstrap_rows(view(spark, sf_dir, "skill"), "row_id", 100)
-    return rounded(K.auc(drawn, ["replicate"], "scw", "l_discount", "weight").select("replicate", "auc"))
+    """AUC of each predictor over a thousand replicates, for all rows and each cluster, with half as many non-events; turned round where events have the lower mean."""
+    found = B.bootstrap_skill(predictors(spark, sf_dir), ["stratum", "predictor"], "scw", "x", SEEDS, 1000, 0.5)
+    return rounded(found.select("stratum", "predictor", "replicate", F.col("score").alias("auc")))
+
+
+@query(_MET + "those AS (SELECT * FROM met WHERE predictor = 0), " + B.sql_drawn("those", _HALF, ["stratum", "predictor", "spot"], 1000, "drawn") + """,
+m AS (SELECT stratum, replicate, max(x) FILTER (WHERE dp > 0) AS top, sum(dp) AS ap, sum(dn) AS an FROM drawn GROUP BY ALL), t AS (SELECT unnest(range(100)) AS step),
+c AS (SELECT stratum, replicate, step, any_value(step * top / 99) AS threshold, sum(CASE WHEN x > step * top / 99 THEN dp ELSE 0 END) / any_value(ap) - sum(CASE WHEN x > step * top / 99 THEN dn ELSE 0 END) / any_value(an) AS tss FROM drawn JOIN m USING (stratum, replicate) JOIN t ON true GROUP BY ALL),
+b AS (SELECT stratum, replicate, max(struct_pack(a := round(tss, 10), b := -step, t := threshold)) AS x FROM c WHERE tss IS NOT NULL GROUP BY ALL)
+SELECT stratum::BIGINT AS stratum, replicate::INTEGER AS replicate, round(x.a, 6) AS tss, round(x.t, 6) AS threshold FROM b""")
+def bootstrap_thresholds(spark, sf_dir):
+    """The best TSS and its threshold over a thousand replicates, for all rows and each cluster, with half as many non-events."""
+    found = B.bootstrap_skill(predictors(spark, sf_dir).where("predictor = 0"), ["stratum", "predictor"], "scw", "x", SEEDS, 1000, 0.5, "tss")
+    return rounded(found.select("stratum", "replicate", F.col("score").alias("tss"), "threshold"))
 
 
 _KS = "sum(a) OVER w / sum(a) OVER e - sum(c) OVER w / sum(c) OVER e"

@@ -39,6 +39,11 @@ VIEWS = {
     "mask": """SELECT scan, uid, (scan * 17) % 180 + di + 5 AS i, (scan * 29) % 180 + dj + 5 AS j FROM
  (SELECT o_orderkey AS scan, o_custkey % 500 AS uid FROM {orders}) AS s
  CROSS JOIN range(-2, 3) AS a(di) CROSS JOIN range(-2, 3) AS b(dj) WHERE di * di + dj * dj <= 1 + (scan % 4)""",
+    "scan_storms": """SELECT CAST(floor(o_orderkey / 4.0) AS BIGINT) % 25 AS rid, CAST(floor(o_orderkey / 4.0) AS BIGINT) AS scan, o_orderkey AS uid, o_totalprice AS field_max, o_totalprice / (1 + o_orderkey % 7) AS vol,
+ make_timestamp(2024, 1, CAST(1 + (CAST(floor(o_orderkey / 100.0) AS BIGINT) * 97) % 30 AS INT), CAST((CAST(floor(o_orderkey / 100.0) AS BIGINT) * 7) % 24 AS INT), CAST((CAST(floor(o_orderkey / 100.0) AS BIGINT) * 13) % 60 AS INT), 0) AS scan_time FROM {orders}""",
+    "scan_masks": """SELECT rid, scan, uid, (uid * 17) % 180 + di + 5 AS i, (uid * 29) % 180 + dj + 5 AS j FROM {scan_storms}
+ CROSS JOIN range(-2, 3) AS a(di) CROSS JOIN range(-2, 3) AS b(dj) WHERE di * di + dj * dj <= 1 + (uid % 4) OR di = 2 AND dj = uid % 2""",
+    "grid_points": """SELECT c_custkey % 25 AS rid, c_custkey AS stn_id, (c_custkey * 37) % 190 AS pi, (c_custkey * 53) % 190 AS pj FROM {customer}""",
     "levels": """SELECT l_orderkey AS profile_id, min(l_partkey) % 3 AS cluster, l_linenumber AS level, CAST(1000 - 90 * l_linenumber AS DOUBLE) AS p,
  CAST(250 * l_linenumber + min(l_partkey) % 50 AS DOUBLE) AS z, CAST(20 - 5 * l_linenumber AS DOUBLE) + max(l_tax) * 50 AS t, CAST(max(l_quantity) AS DOUBLE) AS u,
  CAST(max(l_discount) AS DOUBLE) * 100 AS v FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
