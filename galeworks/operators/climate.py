@@ -69,3 +69,78 @@ def filter_small_objects(cells: DataFrame, keys: Sequence[str], label: str, valu
     good = good.where((F.col("__c") >= least_cells) & (F.col("__s") >= least_strong) & (F.col("__d") >= least_depth))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(label))
     return cells.join(good.select(*keys, label, number.alias("object")), [*keys, label])
+
+
+def conditional_shares(df: DataFrame, sets: Sequence[Sequence[str]], shares: Mapping[str, tuple[Column, Column | None]], scale: float = 1.0) -> DataFrame:
+    """For each grouping of `sets` the share of rows that fulfil the first condition among those that fulfil the second (all, if None), times scale.
+
+    All groupings and shares come from one aggregate; a share of no rows is null.
+    """
+    names = list(dict.fromkeys(c for own in sets for c in own))
+    share = lambda hit, of: scale * F.count_if(hit) / F.count("*") if of is None else scale * F.count_if(of & hit) / F.nullif(F.count_if(of), F.lit(0))
+    return df.groupingSets([list(own) for own in sets], *names).agg(*[share(hit, of).alias(n) for n, (hit, of) in shares.items()])
+
+
+def class_frequency(df: DataFrame, keys: Sequence[str], kind: str, event: str) -> DataFrame:
+    """(keys, kind, events, share, rate, odds) of each class in each of keys, and over all rows (keys null): its part of the events there, its
+    percentage of events, and events over non-events."""
+    c = df.groupingSets([[kind], [*keys, kind]], *keys, kind).agg(F.sum(event).alias("events"), F.count("*").alias("n"))
+    e, n = F.col("events"), F.col("n")
+    every = F.sum("events").over(Window.partitionBy(*keys))  # classes are few
+    return c.select(*keys, kind, "events", (e / F.nullif(every, F.lit(0))).alias("share"), (100.0 * e / n).alias("rate"), (e / F.nullif(n - e, F.lit(0))).alias("odds"))
+
+
+def station_years(df: DataFrame, keys: Sequence[str], first: Column, last: Column, quality: Column, closed: bool = True) -> DataFrame:
+    """(keys, stations, qc, years): stations, their mean quality in percent, and their years from first to last, weighted by it. `closed` counts both ends."""
+    span = last - first + (1 if closed else 0)
+    return df.groupBy(*keys).agg(F.count("*").alias("stations"), F.avg(quality).alias("qc"), F.sum(F.when(last >= first, span).otherwise(0) * quality / 100).alias("years"))
+
+
+def radar_summary(df: DataFrame, radar: str, fields: Sequence[str], station: str, event: Column, rows_a_year: float) -> DataFrame:
+    """(radar, fields, stations, years, n_events, per_year) of a radar's rows, of which a full station-year has rows_a_year; fields are those of the radar."""
+    years, events = F.count("*") / rows_a_year, F.count_if(event)
+    return df.groupBy(radar).agg(*[F.first(f).alias(f) for f in fields], F.count_distinct(station).alias("stations"), years.alias("years"), events.alias("n_events"), (events / years).alias("per_year"))
+
+
+def yearly_mean(df: DataFrame, keys: Sequence[str], year: str, value: str, name: str) -> DataFrame:
+    """Sum of the value over the years that have rows, for each key."""
+    return df.groupBy(*keys).agg((F.sum(value) / F.count_distinct(year)).alias(name))
+
+
+def season(month: Column) -> Column:
+    """0 for December to February, then by threes."""
+    return F.floor(month % 12 / 3).cast("int")
+
+
+def ensemble_median(df: DataFrame, model: str, keys: Sequence[str], year: str, value: str, name: str) -> DataFrame:
+    """Median over models of each model's yearly mean, for each key."""
+    return yearly_mean(df, [model, *keys], year, value, "__d").groupBy(*keys).agg(F.median("__d").alias(name))
+
+
+def ensemble_change(df: DataFrame, model: str, period: str, keys: Sequence[str], year: str, value: str, agree: int, least: float) -> DataFrame:
+    """(keys, change, same_sign, past_mean, agreed): median over models of the change of the yearly mean from past to future; agreed, where `agree` models
+    share its sign and the past mean is `least` or more. One aggregate of each model's two periods, and one over models."""
+    s = yearly_mean(df, [model, period, *keys], year, value, "__d").groupBy(model, *keys).pivot(period, ["past", "future"]).agg(F.first("__d")).where("past is not null and future is not null")
+    d = F.col("future") - F.col("past")
+    out = s.groupBy(*keys).agg(F.median(d).alias("change"), F.greatest(F.count_if(d > 0), F.count_if(d < 0)).alias("same_sign"), F.avg("past").alias("past_mean"))
+    return out.withColumn("agreed", (F.col("same_sign") >= agree) & (F.col("past_mean") >= least))
+
+
+def circular_smooth(df: DataFrame, keys: Sequence[str], place: str, value: str, n: int, name: str) -> DataFrame:
+    """(keys, place, name): mean of each place of a circle of n (numbered from 1) with its two neighbours, of those that have rows."""
+    spread = df.withColumn(place, F.explode(F.array(F.col(place), F.col(place) % n + 1, (F.col(place) + n - 2) % n + 1)))
+    return spread.groupBy(*keys, place).agg(F.avg(value).alias(name))
+
+
+def attach_counts(df: DataFrame, what: str, counts: Mapping[str, Sequence[str]]) -> DataFrame:
+    """df with, for each name, the number of different `what` among the rows that agree with the row in the named keys."""
+    out = df
+    for name, keys in counts.items():
+        out = out.join(df.groupBy(*keys).agg(F.count_distinct(what).alias(name)), list(keys))
+    return out
+
+
+def attach_covered(df: DataFrame, values: DataFrame, keys: Sequence[str], value: str, covered: Column) -> DataFrame:
+    """df with the joined value where it is covered, which then must be there; other rows are kept with null."""
+    joined = df.join(values.select(*keys, value), list(keys), "left").where(~covered | F.col(value).isNotNull())
+    return joined.withColumn(value, F.when(covered, F.col(value)))

@@ -81,11 +81,11 @@ def sql_drawn(source: str, columns: Mapping[str, tuple[str, float]], seeds: Sequ
     )
 
 
-def bootstrap_skill(df: DataFrame, keys: Sequence[str], event: str, value: str, seeds: Sequence[str], replicates: int = 1000, null_share: float = 1.0, metric: str = "auc", steps: int = 100) -> DataFrame:
+def bootstrap_skill(df: DataFrame, keys: Sequence[str], event: str, value: str, seeds: Sequence[str], replicates: int = 1000, null_share: float = 1.0, metric: str = "auc", steps: int = 100, orient: str | None = "mean") -> DataFrame:
     """(keys, replicate, score, threshold): a predictor's skill over bootstrap replicates of events and non-events, drawn apart within each key.
 
     Rows meet by value first; counts are then drawn (drawn_counts), non-events with null_share of their number. "auc" is the area under the curve,
-    turned round in replicates whose events have the lower mean, and has no threshold; "tss", "csi" and "hss" are the best over `steps`
+    turned round in replicates whose events have the lower mean (by orient), and has no threshold; "tss", "csi" and "hss" are the best over `steps`
     even thresholds from 0 to the replicate's largest event, with the first threshold that attains it. The seeds, whole
     numbers from 0 on, name a row of keys and value. Replicates without events or non-events have no score.
     """
@@ -95,7 +95,7 @@ def bootstrap_skill(df: DataFrame, keys: Sequence[str], event: str, value: str,
     each = drawn.select(*keys, "replicate", value, sides.alias("s")).select(*keys, "replicate", value, F.col("s.e").alias("__event"), F.col("s.w").alias("__weight")).where("__weight > 0")
     by = [*keys, "replicate"]
     if metric == "auc":
-        return K.auc(each, by, "__event", value, "__weight", orient="mean", sketch=met).select(*by, F.col("auc").alias("score"), F.lit(None).cast("double").alias("threshold"))
+        return K.auc(each, by, "__event", value, "__weight", orient=orient, sketch=met).select(*by, F.col("auc").alias("score"), F.lit(None).cast("double").alias("threshold"))
     swept = K.scores(K.threshold_sweep(each, by, "__event", value, steps, weight="__weight"))
     return K.best_threshold(swept, by, [metric]).select(*by, F.col("best").alias("score"), "threshold")
 
@@ -126,3 +126,25 @@ def resample_events(df: DataFrame, row: Sequence[str], event: str, replicates: i
 def bootstrap_rows(df: DataFrame, row: str, replicates: int) -> DataFrame:
     """df once per replicate with `weight`, a Poisson number of mean 1 that follows from row, a whole number, and replicate; rows of weight 0 go."""
     return drawn_counts(df.withColumn("__one", F.lit(1)), {"weight": ("__one", 1.0)}, [row], replicates).drop("__one")
+
+
+def undersample(df: DataFrame, row: Sequence[str], event: str, ratio: float) -> DataFrame:
+    """Events, and of the non-events a share that gives `ratio` for each event on average (all of them, if there are fewer).
+
+    Whether a row is drawn follows from `row`, whole numbers from 0 on that name it.
+    """
+    n = df.agg(F.count_if(F.col(event) == 1).alias("p"), F.count_if(F.col(event) == 0).alias("n")).first()
+    share = min(1.0, ratio * n.p / max(n.n, 1))
+    return df.where((F.col(event) == 1) | ((F.col(event) == 0) & (F.expr(hashed(*row)) < share * PRIME)))
+
+
+def holdout_by_year(df: DataFrame, keys: Sequence[str], event: str, value: str, test: Column, seeds: Sequence[str], replicates: int = 1000) -> DataFrame:
+    """(keys, trained, auc, low, high): area on the tested rows, turned as the others ask, with its 5 and 95 % over bootstrap replicates of the
+    tested rows; trained is the area on the other rows."""
+    tested = df.where(test)
+    base = K.auc(df.where(~F.coalesce(test, F.lit(False))), keys, event, value)
+    turn = lambda c: F.when(F.col("trained") < 0.5, 1 - F.col(c)).otherwise(F.col(c))
+    found = K.auc(tested, keys, event, value).select(*keys, "auc").join(base.select(*keys, F.col("auc").alias("trained")), list(keys))
+    drawn = bootstrap_skill(tested, keys, event, value, seeds, replicates, orient=None).groupBy(*keys).agg(F.percentile("score", 0.05).alias("__a"), F.percentile("score", 0.95).alias("__b"))
+    both = found.join(drawn, list(keys))
+    return both.select(*keys, "trained", turn("auc").alias("auc"), F.least(turn("__a"), turn("__b")).alias("low"), F.greatest(turn("__a"), turn("__b")).alias("high"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,11 +44,11 @@ def auc(df: DataFrame, keys: Sequence[str], event: str, value: str, weight: str
     return ranked.groupBy(*keys).agg(area.alias("auc"), p.alias("events"), n.alias("nulls"))
 
 
-def threshold_sweep(df: DataFrame, keys: Sequence[str], event: str, value: str, steps: int, top: float | None = None, weight: str | None = None) -> DataFrame:
+def threshold_sweep(df: DataFrame, keys: Sequence[str], event: str, value: str, steps: int, top: float | None = None, weight: str | None = None, at_least: bool = False) -> DataFrame:
     """Contingency at `steps` even thresholds 0 ... top for '>': each row is binned once, then counts run downwards.
 
     Threshold k is k * top / (steps - 1) as the machine works it out; a division finds a row's place to within one, and the thresholds at and
-    above it settle it, so values equal to a threshold never exceed it.
+    above it settle it, so values equal to a threshold never exceed it; with at_least they reach it, and '>=' counts.
 
     Without a top, it is the events' largest value, for each key; keys without events go. A top of 0 makes all thresholds 0.
     """
@@ -62,8 +62,9 @@ def threshold_sweep(df: DataFrame, keys: Sequence[str], event: str, value: str,
     w = F.col(weight) if weight else F.lit(1)
     at = lambda k: k * limit / (steps - 1)
     near = F.least(F.greatest(F.floor(x * (steps - 1) / F.nullif(limit, F.lit(0.0))), F.lit(0)), F.lit(steps - 1))
-    above = F.when(x > at(near + 1), near + 1).when(x > at(near), near).when(x > at(near - 1), near - 1).otherwise(near - 2)  # the last threshold below x
-    slot = F.when(limit > 0, F.least(F.greatest(above, F.lit(-1)), F.lit(steps - 1))).otherwise(F.when(x > 0, steps - 1).otherwise(-1)).cast("int")
+    over = lambda t: x >= t if at_least else x > t
+    above = F.when(over(at(near + 1)), near + 1).when(over(at(near)), near).when(over(at(near - 1)), near - 1).otherwise(near - 2)  # the last threshold below x
+    slot = F.when(limit > 0, F.least(F.greatest(above, F.lit(-1)), F.lit(steps - 1))).otherwise(F.when(over(F.lit(0.0)), steps - 1).otherwise(-1)).cast("int")
     binned = df.groupBy(*keys, slot.alias("__slot")).agg(F.sum(F.when(F.col(event) == 1, w).otherwise(0)).alias("__p"), F.sum(F.when(F.col(event) == 0, w).otherwise(0)).alias("__n"))
     spine = binned.select(*keys).distinct().withColumn("__slot", F.explode(F.sequence(F.lit(-1), F.lit(steps - 1))))
     full = spine.join(binned, [*keys, "__slot"], "left").fillna(0, ["__p", "__n"])
@@ -95,3 +96,62 @@ def kolmogorov_p(distance: Column, size: Column, terms: int = 100) -> Column:
     z = distance * F.sqrt(size)
     total = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0), lambda s, k: s + 2 * F.when(k % 2 == 1, 1.0).otherwise(-1.0) * F.exp(-2.0 * k * k * z * z))
     return F.when(z < 0.2, 1.0).otherwise(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)))
+
+
+def auc_many(df: DataFrame, names: Sequence[str], event: str, strata: Sequence[Column], null_sets: Mapping[str, Column], orient: str | None = "mean") -> DataFrame:
+    """(stratum, null_set, predictor, auc, events, nulls) of all predictors in all strata against all sets of non-events, in one pass.
+
+    A row stands in each of its strata (names; null: in none there) and its event in every null set, a non-event in those whose condition it
+    fulfils. Equal values meet before they are copied to strata and sets.
+    """
+    marks = [*[c.alias(f"__s{k}") for k, c in enumerate(strata)], *[F.coalesce(c, F.lit(False)).alias(f"__m{k}") for k, c in enumerate(null_sets.values())]]
+    own = df.select(event, *marks, *[F.col(n).cast("double").alias(n) for n in names])
+    held = [event, *[f"__s{k}" for k in range(len(strata))], *[f"__m{k}" for k in range(len(null_sets))]]
+    by = own.unpivot(held, list(names), "predictor", "x").groupBy(*held, "predictor", "x").agg(F.count("*").alias("n"))
+    sets = F.array_compact(F.array(*[F.when((F.col(event) == 1) | F.col(f"__m{k}"), F.lit(n)) for k, n in enumerate(null_sets)]))
+    each = by.withColumn("stratum", F.explode(F.array_compact(F.array(*[F.col(f"__s{k}") for k in range(len(strata))])))).withColumn("null_set", F.explode(sets))
+    return auc(each, ["stratum", "null_set", "predictor"], event, "x", "n", orient, sketch=by)
+
+
+def auc_ovr_weighted(df: DataFrame, label: str, value: str, labels: Sequence[int]) -> DataFrame:
+    """(auc): the mean area of each label against all others, weighted by the label's rows."""
+    each = df.where(F.col(label).isNotNull()).select(F.explode(F.array(*map(F.lit, labels))).alias("__k"), label, value).withColumn("__y", (F.col(label) == F.col("__k")).cast("int"))
+    a = auc(each, ["__k"], "__y", value, sketch=df)
+    return a.agg((F.sum(F.col("auc") * F.col("events")) / F.sum("events")).alias("auc"))
+
+
+def ranks(df: DataFrame, keys: Sequence[str], value: str, tie: str) -> DataFrame:
+    """df with rank_desc, the row's place from the largest value, and p, the empirical chance of non-exceedance, among the rows of its keys (none: all
+    rows). Equal values are ordered by tie, upwards in both. Ranks are running counts over ranges of values; nulls have none."""
+    own = df.where(F.col(value).isNotNull())
+    by = own.groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    ran = running_totals(by, keys, [value], ["__n"], sketch=df)
+    met = ran.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(value).alias("__v"), "__n", "before___n", "all___n")
+    same = F.col(value) == F.col("__v")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    place = F.row_number().over(Window.partitionBy(*keys, value).orderBy(tie)).cast("long")
+    at = own.withColumn("__place", place).join(met, same)
+    down = F.col("all___n") - F.col("before___n") - F.col("__n") + F.col("__place")
+    return at.withColumns({"rank_desc": down, "p": (F.col("before___n") + F.col("__place")) / (F.col("all___n") + 1)}).drop("__place", "__n", "before___n", "all___n", "__v", *[f"__k{i}" for i in range(len(keys))])
+
+
+def expon_fit(df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None) -> DataFrame:
+    """(keys, loc, scale): the exponential distribution of each key's values, its least one and their mean above it; rows may have a weight."""
+    x = F.col(value)
+    mean = F.sum(x * F.col(weight)) / F.sum(F.when(x.isNotNull(), F.col(weight))) if weight else F.avg(x)
+    return df.groupBy(*keys).agg(F.min(x).alias("loc"), (mean - F.min(x)).alias("scale"))
+
+
+def expon_level(loc: Column, scale: Column, chance: float) -> Column:
+    """The value that an exponential distribution exceeds with the given chance."""
+    return loc - scale * F.log(F.lit(chance))
+
+
+def ks_one_sample(df: DataFrame, keys: Sequence[str], value: str, fit: DataFrame, cdf: Column) -> DataFrame:
+    """(keys, distance): largest gap between each key's values and the distribution function `cdf`, of the value and the columns of fit (a row a key)."""
+    by = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    ran = running_totals(by, keys, [value], ["__c"], sketch=df)
+    e = ran.join(fit, list(keys)) if keys else ran.join(F.broadcast(fit))  # one row without keys
+    upto = lambda more: (F.col("before___c") + more) / F.col("all___c")
+    return e.groupBy(*keys).agg(F.max(F.greatest(F.abs(upto(F.col("__c")) - cdf), F.abs(upto(F.lit(0)) - cdf))).alias("distance"))

@@ -157,5 +157,18 @@ def lookup_with_gap(left: DataFrame, right: DataFrame, keys: Sequence[str], row:
     return left.join(best, row)
 
 
+def upsample_nearest(df: DataFrame, keys: Sequence[str], hour: str, step: int, name: str = "target") -> DataFrame:
+    """The rows of df at multiples of step, at every whole hour up to each key's last row, by the nearest of them (ties: the later)."""
+    hours = df.groupBy(*keys).agg(F.max(hour).alias("__top")).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__top").cast("long"))).alias(name))
+    return hours.withColumn(hour, F.floor((F.col(name) + step // 2) / step) * step).join(df, [*keys, hour])
+
+
+def resample_count_distinct(df: DataFrame, keys: Sequence[str], time: str, what: str, unit: str, name: str = "n") -> DataFrame:
+    """(keys, slot, name): different values of `what` in each unit of time between each key's first and last row, 0 where there is none."""
+    slots = df.withColumn("slot", F.date_trunc(unit, time))
+    spine = slots.groupBy(*keys).agg(F.min("slot").alias("__a"), F.max("slot").alias("__b")).select(*keys, F.explode(F.expr(f"sequence(__a, __b, interval 1 {unit})")).alias("slot"))
+    return spine.join(slots.groupBy(*keys, "slot").agg(F.count_distinct(what).alias(name)), [*keys, "slot"], "left").fillna(0, [name])
+
+
 def completeness(df: DataFrame, keys: Sequence[str], time: str, before: float, after: float, expected: int) -> Column:
     return F.count(F.lit(1)).over(frame(keys, time, before, after)) / expected

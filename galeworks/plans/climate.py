@@ -52,8 +52,7 @@ def count_by(spark, sf_dir):
 @query(SKILL + " SELECT cluster, round(count_if(scw = 1 AND l_discount > 0.05) / nullif(count_if(scw = 1), 0), 6) AS events, round(count_if(scw = 0 AND in10km = 1 AND l_discount > 0.05) / nullif(count_if(scw = 0 AND in10km = 1), 0), 6) AS storms, round(count_if(scw = 0 AND l_discount > 0.05) / nullif(count_if(scw = 0), 0), 6) AS nulls FROM skill GROUP BY GROUPING SETS ((), (cluster))")
 def lightning_probability(spark, sf_dir):
     hit, near, flash = F.col("scw") == 1, F.col("in10km") == 1, F.col("l_discount") > 0.05
-    share = lambda c: F.count_if(c & flash) / F.nullif(F.count_if(c), F.lit(0))
-    return rounded(view(spark, sf_dir, "skill").groupingSets([[], ["cluster"]], "cluster").agg(share(hit).alias("events"), share(~hit & near).alias("storms"), share(~hit).alias("nulls")))
+    return rounded(C.conditional_shares(view(spark, sf_dir, "skill"), [[], ["cluster"]], {"events": (flash, hit), "storms": (flash, ~hit & near), "nulls": (flash, ~hit)}))
 
 
 @query(SKILL + ", c AS (SELECT scw, cluster, mon, count(*) AS n FROM skill GROUP BY ALL) SELECT scw::INTEGER AS scw, cluster, mon::INTEGER AS mon, n::BIGINT AS n, round(n / sum(n) OVER (), 8) AS frequency FROM c")
@@ -81,10 +80,7 @@ def typed(spark, sf_dir):
 @query(_TYPED + ", c AS (SELECT cluster, class, sum(scw)::BIGINT AS events, count(*) AS n FROM typed GROUP BY GROUPING SETS ((class), (cluster, class))) SELECT cluster, class, events, round(events / nullif(sum(events) OVER (PARTITION BY cluster), 0), 6) AS share, round(100.0 * events / n, 6) AS rate, round(events / nullif(n - events, 0), 6) AS odds FROM c")
 def class_frequency(spark, sf_dir):
     """Of each storm class, over all rows (cluster null) and in each cluster: its share of the events, its event rate, and events over non-events."""
-    c = typed(spark, sf_dir).groupingSets([["class"], ["cluster", "class"]], "cluster", "class").agg(F.sum("scw").alias("events"), F.count("*").alias("n"))
-    e, n = F.col("events"), F.col("n")
-    share = e / F.nullif(F.expr("sum(events) over (partition by cluster)"), F.lit(0))
-    return rounded(c.select("cluster", "class", "events", share.alias("share"), (100.0 * e / n).alias("rate"), (e / F.nullif(n - e, F.lit(0))).alias("odds")))
+    return rounded(C.class_frequency(typed(spark, sf_dir), ["cluster"], "class", "scw"))
 
 
 NAMES = ["Embedded supercell", "Supercellular", "Cell cluster", "Cellular", "Non-linear", "Linear"]
@@ -111,14 +107,14 @@ def station_years(spark, sf_dir):
     radars = view(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("rid"), (1995 + F.col("n_nationkey") % 10).alias("r1"), (2012 + F.col("n_nationkey") % 8).alias("r2"))
     both = view(spark, sf_dir, "stations").withColumn("rid", F.col("stn_no") % 25).join(radars, "rid")
     first, last = F.greatest("y1", "r1"), F.least("y2", "r2")
-    return rounded(both.where(last >= first).groupBy("rid").agg(F.sum((last - first + 1) * F.col("qc_pct") / 100).alias("years")))
+    return rounded(C.station_years(both.where(last >= first), ["rid"], first, last, F.col("qc_pct")).select("rid", "years"))
 
 
 @query(_TYPED + " SELECT cluster, scw::INTEGER AS scw, round(100.0 * count_if(nullif(azi_shear, 0) IS NULL) / count(*), 6) AS missing FROM typed GROUP BY cluster, scw")
 def missing_share(spark, sf_dir):
     """Percent of the events and of the non-events of each cluster that have no shear."""
     none = F.nullif(F.col("azi_shear"), F.lit(0.0)).isNull()
-    return rounded(typed(spark, sf_dir).groupBy("cluster", "scw").agg((100.0 * F.count_if(none) / F.count("*")).alias("missing")))
+    return rounded(C.conditional_shares(typed(spark, sf_dir), [["cluster", "scw"]], {"missing": (none, None)}, 100.0))
 
 
 _RANK = "rank() OVER (PARTITION BY cluster ORDER BY {0}) + (count(*) OVER (PARTITION BY cluster, {0}) - 1) / 2"
@@ -126,15 +122,14 @@ _RANK = "rank() OVER (PARTITION BY cluster ORDER BY {0}) + (count(*) OVER (PARTI
 
 @query(SKILL + f", r AS (SELECT cluster, {_RANK.format('l_quantity')} AS a, {_RANK.format('l_extendedprice')} AS b FROM skill) SELECT cluster, round(corr(a, b), 6) AS spearman FROM r GROUP BY cluster")
 def spearman(spark, sf_dir):
-    ranked = C.mid_rank(C.mid_rank(view(spark, sf_dir, "skill"), ["cluster"], "l_quantity", "a"), ["cluster"], "l_extendedprice", "b")
+    ranked = C.mid_rank(C.mid_rank(view(spark, sf_dir, "skill").select("cluster", "l_quantity", "l_extendedprice"), ["cluster"], "l_quantity", "a"), ["cluster"], "l_extendedprice", "b")
     return rounded(ranked.groupBy("cluster").agg(F.corr("a", "b").alias("spearman")))
 
 
 @query(ENSEMBLE + ", s AS (SELECT model, point, (mon % 12) // 3 AS season, sum(days) / count(DISTINCT yr) AS d FROM ensemble WHERE experiment = 'past' GROUP BY ALL) SELECT point, season::INTEGER AS season, round(median(d), 6) AS days FROM s GROUP BY point, season")
 def seasonal_ensemble(spark, sf_dir):
-    past = view(spark, sf_dir, "ensemble").where("experiment = 'past'").withColumn("season", F.floor(F.col("mon") % 12 / 3).cast("int"))
-    own = past.groupBy("model", "point", "season").agg((F.sum("days") / F.count_distinct("yr")).alias("d"))
-    return rounded(own.groupBy("point", "season").agg(F.median("d").alias("days")))
+    past = view(spark, sf_dir, "ensemble").where("experiment = 'past'").withColumn("season", C.season(F.col("mon")))
+    return rounded(C.ensemble_median(past, "model", ["point", "season"], "yr", "days", "days"))
 
 
 @query(ENSEMBLE + ", s AS (SELECT model, point, experiment, count_if(days > 10 AND days > 30) / nullif(count_if(days > 10), 0) AS f FROM ensemble GROUP BY ALL), d AS (SELECT p.point, f.f - p.f AS d FROM s p JOIN s f USING (model, point) WHERE p.experiment = 'past' AND f.experiment = 'future') SELECT point, round(median(d), 6) AS change, greatest(count_if(d > 0), count_if(d < 0))::BIGINT AS same_sign FROM d GROUP BY point")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galeworks.functions import exprs as X
+from galeworks.operators import climate as C
 from galeworks.operators import events as E
-from galeworks.operators import ordered as O
+from galeworks.operators import skill as K
 from galeworks.operators import temporal as T
 from galeworks.operators.resampling import bootstrap_rows, sql_drawn
 from galeworks.plans.registry import query
@@ -188,22 +189,20 @@ def pad_fill(spark, sf_dir):
 @query(ctes("obs") + """, s AS (SELECT rid, unnest(generate_series(min(date_trunc('hour', dt_utc)), max(date_trunc('hour', dt_utc)), INTERVAL 1 HOUR)) AS slot FROM obs GROUP BY rid)
 SELECT s.rid, s.slot, count(DISTINCT stn_id) AS n FROM s LEFT JOIN obs o ON o.rid = s.rid AND date_trunc('hour', o.dt_utc) = s.slot GROUP BY ALL""")
 def resample_count_distinct(spark, sf_dir):
-    obs = view(spark, sf_dir, "obs").withColumn("slot", F.date_trunc("hour", "dt_utc"))
-    spine = obs.groupBy("rid").agg(F.min("slot").alias("a"), F.max("slot").alias("b")).select("rid", F.explode(F.expr("sequence(a, b, interval 1 hour)")).alias("slot"))
-    counted = obs.groupBy("rid", "slot").agg(F.count_distinct("stn_id").alias("n"))
-    return spine.join(counted, ["rid", "slot"], "left").select("rid", F.col("slot").cast("timestamp_ntz").alias("slot"), F.coalesce("n", F.lit(0)).alias("n"))
+    counted = T.resample_count_distinct(view(spark, sf_dir, "obs"), ["rid"], "dt_utc", "stn_id", "hour")
+    return counted.withColumn("slot", F.col("slot").cast("timestamp_ntz"))
 
 
-@query(ctes("obs") + " SELECT event_id, row_number() OVER (PARTITION BY rid ORDER BY gust DESC, event_id) AS rank_desc, round(row_number() OVER (PARTITION BY rid ORDER BY gust, event_id) / (count(*) OVER (PARTITION BY rid) + 1), 6) AS p FROM obs")
+#: Ranks within radars, regions, storm classes and overall.
+_GROUPS = {"radar": ("rid", "rid"), "region": ("rid % 5", "rid % 5"), "class": ("event_id % 6", "event_id % 6"), "all": ("0", "0")}
+
+
+@query(ctes("obs") + " " + " UNION ALL ".join(f"SELECT '{n}' AS kind, event_id, row_number() OVER (PARTITION BY {sql} ORDER BY gust DESC, event_id) AS rank_desc, round(row_number() OVER (PARTITION BY {sql} ORDER BY gust, event_id) / (count(*) OVER (PARTITION BY {sql}) + 1), 6) AS p FROM obs" for n, (sql, _) in _GROUPS.items()))
 def rank_nonexceed(spark, sf_dir):
-    """Ranks within radars, by running counts over ranges of gusts; equal gusts are ranked by id."""
-    obs = view(spark, sf_dir, "obs").select("event_id", "rid", "gust", F.lit(1).cast("long").alias("n"))
-    by = obs.groupBy("rid", "gust").agg(F.sum("n").alias("n"))
-    ran = O.running_totals(by, ["rid"], ["gust"], ["n"], sketch=obs).withColumnRenamed("n", "same")
-    place = F.row_number().over(Window.partitionBy("rid", "gust").orderBy("event_id")).cast("long")
-    at = obs.withColumn("place", place).join(ran, ["rid", "gust"])
-    down = F.col("all_n") - F.col("before_n") - F.col("same") + F.col("place")
-    return rounded(at.select("event_id", down.alias("rank_desc"), ((F.col("before_n") + F.col("place")) / (F.col("all_n") + 1)).alias("p")))
+    """Ranks of gusts and their chance of non-exceedance, in each radar, region and class and overall; equal gusts are ranked by id."""
+    groups = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.expr(text).cast("long").alias("of")) for n, (_, text) in _GROUPS.items()]))
+    each = view(spark, sf_dir, "obs").select("event_id", "gust", groups.alias("g")).select("event_id", "gust", "g.kind", "g.of")
+    return rounded(K.ranks(each, ["kind", "of"], "gust", "event_id").select("kind", "event_id", "rank_desc", "p"))
 
 
 _FLAG = ctes("obs") + ", f AS (SELECT *, CASE WHEN gust >= 100 THEN 1 ELSE 0 END AS scw FROM obs)"
@@ -311,8 +310,7 @@ def semi_anti(spark, sf_dir):
 def stations_per_event(spark, sf_dir):
     """Stations that measured something in the event's hour and radar, and in the event's storm."""
     obs = view(spark, sf_dir, "obs").withColumns({"hour": F.date_trunc("hour", "dt_utc"), "uid": F.col("event_id") % 97})
-    own = lambda keys, name: obs.groupBy(*keys).agg(F.count_distinct("stn_id").alias(name))
-    return obs.join(own(["rid", "hour"], "stations"), ["rid", "hour"]).join(own(["uid"], "of_storm"), "uid").select("event_id", "stations", "of_storm")
+    return C.attach_counts(obs, "stn_id", {"stations": ["rid", "hour"], "of_storm": ["uid"]}).select("event_id", "stations", "of_storm")
 
 
 @query(ctes("obs") + ", " + sql_drawn("obs", {"wt": ("1", 1.0)}, ["event_id"], 50, "w") + """,
@@ -322,8 +320,7 @@ f AS (SELECT rid, round(min(gust), 6) AS loc, round(avg(gust) - min(gust), 6) AS
 def expon_fit(spark, sf_dir):
     """Exponential fits of each radar's gusts, their level of one in a hundred, and its 5 and 95 % over fifty bootstrap replicates."""
     obs = view(spark, sf_dir, "obs")
-    level = (F.col("loc") - F.col("scale") * F.log(F.lit(0.01))).alias("level_100")
-    fit = obs.groupBy("rid").agg(F.min("gust").alias("loc"), (F.avg("gust") - F.min("gust")).alias("scale"))
-    drawn = bootstrap_rows(obs, "event_id", 50).groupBy("rid", "replicate").agg(F.min("gust").alias("loc"), (F.sum(F.col("gust") * F.col("weight")) / F.sum("weight") - F.min("gust")).alias("scale"))
-    band = drawn.select("rid", level).groupBy("rid").agg(F.percentile("level_100", 0.05).alias("low"), F.percentile("level_100", 0.95).alias("high"))
-    return rounded(fit.select("*", level).join(band, "rid"))
+    level = K.expon_level(F.col("loc"), F.col("scale"), 0.01).alias("level_100")
+    drawn = K.expon_fit(bootstrap_rows(obs, "event_id", 50), ["rid", "replicate"], "gust", "weight").select("rid", level)
+    band = drawn.groupBy("rid").agg(F.percentile("level_100", 0.05).alias("low"), F.percentile("level_100", 0.95).alias("high"))
+    return rounded(K.expon_fit(obs, ["rid"], "gust").select("*", level).join(band, "rid"))

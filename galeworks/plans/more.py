@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galeworks.functions import exprs as X
+from galeworks.operators import climate as C
+from galeworks.operators import resampling as B
+from galeworks.operators import skill as K
+from galeworks.operators import spatial as P
 from galeworks.operators import temporal as T
 from galeworks.operators.ordered import exact_quantiles
 from galeworks.plans.registry import query
@@ -23,10 +27,7 @@ def shift_hour(spark, sf_dir):
 @query(ENV + ", t AS (SELECT i, j, unnest(range(max(h) + 1)) AS target FROM env GROUP BY i, j) SELECT t.i, t.j, target::BIGINT AS target, round(s06, 6) AS s06 FROM t JOIN env e ON e.i = t.i AND e.j = t.j AND e.h = (target + 1) // 3 * 3")
 def upsample_nearest(spark, sf_dir):
     """Each third hour's field at every hour, by the nearest of these hours."""
-    env = view(spark, sf_dir, "env").select("i", "j", "h", "s06")
-    hours = env.groupBy("i", "j").agg(F.max("h").alias("top")).select("i", "j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top").cast("long"))).alias("target"))
-    source = hours.withColumn("h", (F.floor((F.col("target") + 1) / 3) * 3))
-    return rounded(source.join(env, ["i", "j", "h"]).select("i", "j", "target", "s06"))
+    return rounded(T.upsample_nearest(view(spark, sf_dir, "env").select("i", "j", "h", "s06"), ["i", "j"], "h", 3).select("i", "j", "target", "s06"))
 
 
 @query(OBS + ", s AS (SELECT user_id % 25 AS rid, date_trunc('hour', ts) AS slot, arg_max(value, struct_pack(t := ts, v := value)) AS other FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT event_id, round(coalesce(a.other, b.other), 6) AS other FROM obs LEFT JOIN s a ON a.rid = obs.rid AND a.slot = date_trunc('hour', dt_utc) LEFT JOIN s b ON b.rid = obs.rid AND b.slot = date_trunc('hour', dt_utc) - INTERVAL 1 HOUR WHERE a.rid IS NOT NULL OR b.rid IS NOT NULL")
@@ -53,8 +54,8 @@ def hourly_sequence(spark, sf_dir):
 
 @query(_AT + ", r AS (SELECT *, row_number() OVER (PARTITION BY stn_no, h ORDER BY s06 DESC, i DESC, j DESC) AS n FROM at_hour) SELECT stn_no, h, round(s06, 6) AS s06, round(lr13, 6) AS lr13, round(qmean01, 6) AS qmean01 FROM r WHERE n = 1")
 def value_at_argmax(spark, sf_dir):
-    best = hourly(spark, sf_dir).groupBy("stn_no", "h").agg(F.max(F.struct("s06", "i", "j", "lr13", "qmean01")).alias("x"))
-    return rounded(best.select("stn_no", "h", "x.s06", "x.lr13", "x.qmean01"))
+    turned = hourly(spark, sf_dir).withColumns({"di": -F.col("i"), "dj": -F.col("j")})  # of equals the last cell
+    return rounded(P.extreme_point(turned, ["stn_no", "h"], F.col("s06"), ["di", "dj"], ["lr13", "qmean01"], name="s06"))
 
 
 @query(SKILL + ", f AS (SELECT cluster, mon, sum(l_tax) AS strokes FROM skill WHERE yr < 1998 GROUP BY ALL) SELECT row_id, round(CASE WHEN yr < 1998 THEN strokes END, 4) AS strokes FROM skill LEFT JOIN f USING (cluster, mon) WHERE yr >= 1998 OR strokes IS NOT NULL")
@@ -62,9 +63,7 @@ def attach_lightning(spark, sf_dir):
     """Covered years take the joined value and need one; the others are kept with null."""
     s = view(spark, sf_dir, "skill")
     flashes = s.where("yr < 1998").groupBy("cluster", "mon").agg(F.sum("l_tax").alias("strokes"))
-    covered = F.col("yr") < 1998
-    joined = s.join(flashes, ["cluster", "mon"], "left").where(~covered | F.col("strokes").isNotNull())
-    return rounded(joined.select("row_id", F.when(covered, F.col("strokes")).alias("strokes")), 4)
+    return rounded(C.attach_covered(s, flashes, ["cluster", "mon"], "strokes", F.col("yr") < 1998).select("row_id", "strokes"), 4)
 
 
 @query("SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS hour, max(value) AS peak, round(avg(value), 6) AS mean, count(value)::BIGINT AS n FROM events GROUP BY ALL")
@@ -84,11 +83,7 @@ def threshold_sweep_v0(spark, sf_dir):
     """Fifty thresholds up to the 97.5th percentile of the non-events, '>=': rows are binned once, by whole steps."""
     s = view(spark, sf_dir, "skill")
     top = exact_quantiles(s.where("scw = 0"), [], "l_quantity", {"top": 0.975}).first()["top"]
-    marks = F.array(*[F.lit(k * top / 49) for k in range(50)])
-    slot = F.size(F.filter(marks, lambda m: m <= F.col("l_quantity"))) - 1
-    binned = s.groupBy(slot.alias("slot")).agg(F.count_if(F.col("scw") == 1).alias("p"), F.count_if(F.col("scw") == 0).alias("n"))
-    steps = spark.range(50).select(F.col("id").cast("int").alias("step"))
-    return steps.join(F.broadcast(binned), F.col("slot") >= F.col("step"), "left").groupBy("step").agg(F.coalesce(F.sum("p"), F.lit(0)).alias("hits"), F.coalesce(F.sum("n"), F.lit(0)).alias("false_alarms"))
+    return K.threshold_sweep(s, [], "scw", "l_quantity", 50, top, at_least=True).select("step", "hits", "false_alarms")
 
 
 @query(TRACKS + " SELECT uid, scan, round(azi_shear / nullif(speed, 0), 6) AS ratio, strftime(time + INTERVAL 10 HOUR, '%Y-%m-%d %H') AS local_hour, CASE uid % 3 WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END::BIGINT AS cluster FROM tracks")
@@ -98,11 +93,8 @@ def track_expressions(spark, sf_dir):
     return rounded(t.select("uid", "scan", X.ratio(F.col("azi_shear"), F.col("speed")).alias("ratio"), F.date_format(local, "yyyy-MM-dd HH").alias("local_hour"), X.relabel(F.col("uid") % 3, {0: 2, 1: 0, 2: 1}).alias("cluster")))
 
 
-@query(SKILL + ", n AS (SELECT *, count_if(scw = 1) OVER () AS events, count_if(scw = 0) OVER () AS nulls FROM skill) SELECT scw::INTEGER AS scw, count(*)::BIGINT AS n, round(sum(l_quantity), 4) AS total FROM n WHERE scw = 1 OR (row_id * 7919) % 1000003 < 1000003 * least(1.0, 0.5 * events / nulls) GROUP BY scw")
+@query(SKILL + ", n AS (SELECT *, count_if(scw = 1) OVER () AS events, count_if(scw = 0) OVER () AS nulls FROM skill) SELECT scw::INTEGER AS scw, count(*)::BIGINT AS n, round(sum(l_quantity), 4) AS total FROM n WHERE scw = 1 OR " + B.sql_hashed("row_id") + f" < least(1.0, 0.5 * events / nulls) * {B.PRIME} GROUP BY scw")
 def undersample_nulls(spark, sf_dir):
-    """Events, and of the non-events a share that gives half as many, drawn by integer arithmetic on the row."""
-    s = view(spark, sf_dir, "skill")
-    k = s.agg(F.count_if(F.col("scw") == 1).alias("p"), F.count_if(F.col("scw") == 0).alias("n")).first()
-    share = min(1.0, 0.5 * k.p / max(k.n, 1))
-    drawn = s.where((F.col("scw") == 1) | (F.col("row_id") * 7919 % 1000003 < 1000003 * share))
+    """Events, and of the non-events a share that gives half as many, drawn by numbers that follow from the row."""
+    drawn = B.undersample(view(spark, sf_dir, "skill"), ["row_id"], "scw", 0.5)
     return rounded(drawn.groupBy(F.col("scw").cast("int").alias("scw")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("total")), 4)

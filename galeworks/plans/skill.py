@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from galeworks.operators import climate as C
 from galeworks.operators import resampling as B
 from galeworks.operators import skill as K
 from galeworks.operators.ordered import exact_quantiles
@@ -28,12 +29,10 @@ SELECT stratum, null_set, predictor, round(CASE WHEN me < mn THEN 1 - auc ELSE a
 def auc_many(spark, sf_dir):
     """AUC of each predictor over all rows, each cluster and each class, against all non-events and those with a storm near; predictors
     that are lower in events are turned round. Equal values meet before they are copied to their strata."""
-    s = view(spark, sf_dir, "skill").withColumn("class", F.col("mon") % 6)
-    by = s.unpivot(["scw", "in10km", "cluster", "class"], ["l_quantity", "l_extendedprice", "l_discount"], "predictor", "x").groupBy("scw", "in10km", "cluster", "class", "predictor", "x").agg(F.count("*").alias("n"))
-    strata = F.array(F.lit("all"), F.concat(F.lit("cluster "), F.col("cluster").cast("string")), F.concat(F.lit("class "), F.col("class").cast("string")))
-    nulls = F.when((F.col("scw") == 1) | (F.col("in10km") == 1), F.array(F.lit("all"), F.lit("storms"))).otherwise(F.array(F.lit("all")))
-    each = by.withColumn("stratum", F.explode(strata)).withColumn("null_set", F.explode(nulls))
-    return rounded(K.auc(each, ["stratum", "null_set", "predictor"], "scw", "x", "n", orient="mean").select("stratum", "null_set", "predictor", "auc", "events"))
+    s = view(spark, sf_dir, "skill")
+    strata = [F.lit("all"), F.concat(F.lit("cluster "), F.col("cluster").cast("string")), F.concat(F.lit("class "), (F.col("mon") % 6).cast("string"))]
+    found = K.auc_many(s, ["l_quantity", "l_extendedprice", "l_discount"], "scw", strata, {"all": F.lit(True), "storms": F.col("in10km") == 1})
+    return rounded(found.select("stratum", "null_set", "predictor", "auc", "events"))
 
 
 @query(ctes("skill") + ", c AS (SELECT cluster, count_if(scw = 1 AND l_quantity > 25) AS hits, count_if(scw = 1 AND l_quantity <= 25) AS misses, count_if(scw = 0 AND l_quantity > 25) AS false_alarms, count_if(scw = 0 AND l_quantity <= 25) AS correct_nulls FROM skill GROUP BY cluster) SELECT cluster, hits::BIGINT AS hits, misses::BIGINT AS misses, round(hits / (hits + misses), 6) AS pod, round(false_alarms / (hits + false_alarms), 6) AS far, round((hits + false_alarms) / (hits + misses), 6) AS bias, round(hits / (hits + misses) - false_alarms / (false_alarms + correct_nulls), 6) AS tss, round(hits / (hits + misses + false_alarms), 6) AS csi, round(CASE WHEN hits / (hits + misses) > 0.4 THEN 2 * (hits * correct_nulls - misses * false_alarms) / ((hits + misses) * (misses + correct_nulls) + (hits + false_alarms) * (false_alarms + correct_nulls)) ELSE 0 END, 6) AS hss FROM c")
@@ -120,10 +119,8 @@ def ks_two_sample(spark, sf_dir):
 
 @query(ctes("skill") + " SELECT cluster, mon, round(100.0 * count_if(scw = 1) / count(*), 6) AS event_share, round(100.0 * count_if(scw = 1 AND in10km = 1) / count_if(in10km = 1), 6) AS near_share FROM skill GROUP BY GROUPING SETS ((), (cluster), (cluster, mon))")
 def event_probability(spark, sf_dir):
-    skill = view(spark, sf_dir, "skill").groupingSets([[], ["cluster"], ["cluster", "mon"]], "cluster", "mon")
     hit, near = F.col("scw") == 1, F.col("in10km") == 1
-    near_share = F.when(F.count_if(near) > 0, 100.0 * F.count_if(hit & near) / F.count_if(near))
-    return rounded(skill.agg((100.0 * F.count_if(hit) / F.count("*")).alias("event_share"), near_share.alias("near_share")))
+    return rounded(C.conditional_shares(view(spark, sf_dir, "skill"), [[], ["cluster"], ["cluster", "mon"]], {"event_share": (hit, None), "near_share": (hit, near)}, 100.0))
 
 
 @query(ctes("skill") + " SELECT cluster, round(quantile_cont(l_extendedprice, 0.25), 4) AS q25, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50, round(quantile_cont(l_extendedprice, 0.75), 4) AS q75, round(corr(l_quantity, l_extendedprice), 6) AS pearson, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM skill GROUP BY cluster")
@@ -137,15 +134,10 @@ def quantiles_and_fits(spark, sf_dir):
 
 @query(ctes("ensemble") + ", s AS (SELECT model, experiment, point, sum(days) / count(DISTINCT yr) AS d FROM ensemble GROUP BY ALL), c AS (SELECT p.point, p.d AS past, f.d - p.d AS diff FROM s p JOIN s f ON f.model = p.model AND f.point = p.point AND p.experiment = 'past' AND f.experiment = 'future') SELECT point, round(median(diff), 6) AS change, greatest(count_if(diff > 0), count_if(diff < 0))::BIGINT AS same_sign, round(avg(past), 6) AS past_mean, greatest(count_if(diff > 0), count_if(diff < 0)) >= 10 AND avg(past) >= 1 AS agreed FROM c GROUP BY point")
 def ensemble_change(spark, sf_dir):
-    s = view(spark, sf_dir, "ensemble").groupBy("model", "experiment", "point").agg((F.sum("days") / F.count_distinct("yr")).alias("d"))
-    past = s.where("experiment = 'past'").select("model", "point", F.col("d").alias("past"))
-    both = past.join(s.where("experiment = 'future'").select("model", "point", F.col("d").alias("future")), ["model", "point"]).withColumn("diff", F.col("future") - F.col("past"))
-    out = both.groupBy("point").agg(F.median("diff").alias("change"), F.greatest(F.count_if(F.col("diff") > 0), F.count_if(F.col("diff") < 0)).alias("same_sign"), F.avg("past").alias("past_mean"))
-    return rounded(out.withColumn("agreed", (F.col("same_sign") >= 10) & (F.col("past_mean") >= 1)))
+    return rounded(C.ensemble_change(view(spark, sf_dir, "ensemble"), "model", "experiment", ["point"], "yr", "days", 10, 1.0))
 
 
 @query(ctes("ensemble") + ", m AS (SELECT mon, sum(days) AS d FROM ensemble GROUP BY mon) SELECT a.mon, round(avg(b.d), 6) AS smooth FROM m a JOIN m b ON b.mon IN (a.mon, a.mon % 12 + 1, (a.mon + 10) % 12 + 1) GROUP BY a.mon")
 def circular_smooth_3(spark, sf_dir):
     m = view(spark, sf_dir, "ensemble").groupBy("mon").agg(F.sum("days").alias("d"))
-    spread = m.withColumn("mon", F.explode(F.array("mon", F.col("mon") % 12 + 1, (F.col("mon") + 10) % 12 + 1)))
-    return rounded(spread.groupBy("mon").agg(F.avg("d").alias("smooth")))
+    return rounded(C.circular_smooth(m, [], "mon", "d", 12, "smooth"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from galeworks.functions import exprs as X
-from galeworks.operators import events as E
+from galeworks.operators import climate as C
 from galeworks.operators import spatial as S
 from galeworks.plans.registry import query
 from galeworks.plans.views import ctes, rounded, view
@@ -161,16 +161,13 @@ def publish_stations(spark, sf_dir):
 
 @query(_OPEN + " SELECT rid, count(*) AS stations, round(avg(qc_pct), 6) AS qc, round(sum(greatest(least(y2, 2020) - greatest(y1, 2000), 0) * qc_pct / 100), 6) AS years FROM open GROUP BY rid")
 def station_stats(spark, sf_dir):
-    span = F.greatest(F.least("y2", F.lit(2020)) - F.greatest("y1", F.lit(2000)), F.lit(0))
-    return rounded(open_stations(spark, sf_dir).groupBy("rid").agg(F.count("*").alias("stations"), F.avg("qc_pct").alias("qc"), F.sum(span * F.col("qc_pct") / 100).alias("years")))
+    return rounded(C.station_years(open_stations(spark, sf_dir), ["rid"], F.greatest("y1", F.lit(2000)), F.least("y2", F.lit(2020)), F.col("qc_pct"), closed=False))
 
 
 @query(ctes("obs", "radars") + " SELECT o.rid, any_value(region) AS region, count(DISTINCT stn_id) AS stations, round(count(*) / 525960.0, 8) AS years, sum(CASE WHEN gust >= 100 THEN 1 ELSE 0 END)::BIGINT AS n_events, round(count_if(gust >= 100) / (count(*) / 525960.0), 4) AS per_year FROM obs o JOIN radars r ON r.rid = o.rid GROUP BY o.rid")
 def radar_summary(spark, sf_dir):
     joined = view(spark, sf_dir, "obs").join(view(spark, sf_dir, "radars"), "rid")
-    years, events = F.count("*") / 525960, F.count_if(F.col("gust") >= 100)
-    out = joined.groupBy("rid").agg(F.first("region").alias("region"), F.count_distinct("stn_id").alias("stations"), years.alias("years"), events.alias("n_events"), F.round(events / years, 4).alias("per_year"))
-    return rounded(out, 8)
+    return rounded(C.radar_summary(joined, "rid", ["region"], "stn_id", F.col("gust") >= 100, 525_960).withColumn("per_year", F.round("per_year", 4)), 8)
 
 
 @query(ctes("env") + " SELECT i, j, h, lsm >= 0.5 AS land, CASE WHEN lsm >= 0.5 THEN s06 END AS s06 FROM env")

@@ -131,8 +131,12 @@ def hour_index(year: Column, hours: Column) -> Column:
 
 
 def write_partitioned(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Parquet in folders by key; rows meet by key first, so that a folder holds few files; AQE splits large ones."""
-    df.hint("rebalance", *keys).write.mode("error").partitionBy(*keys).parquet(path)
+    """Parquet in folders by key; rows meet by key first, so that a folder holds few files; AQE splits large ones.
+
+    A rerun replaces the folders that it has rows for, and leaves all others: new files are staged below path and folders change only when
+    all tasks are done, so a job that fails midway leaves the old rows. Keys that a rerun has no row for keep what they had.
+    """
+    df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def restructure_by_year(gusts: DataFrame, path: str, state: str, time: str, years: Sequence[int]) -> None:
@@ -162,5 +166,8 @@ def union_radars(spark: SparkSession, path: str, names: Mapping[str, int]) -> Da
 
 
 def publish(df: DataFrame, names: Mapping[str, str], order: Sequence[str], path: str) -> None:
-    """Selected columns under their public names, in a whole order, as comma-separated text with a header; times keep their microseconds."""
-    df.select(*[F.col(a).alias(b) for a, b in names.items()]).orderBy(*order).write.option("timestampNTZFormat", MICROS).mode("error").csv(path, header=True, timestampFormat=MICROS)
+    """Selected columns under their public names, in a whole order, as comma-separated text with a header; times keep their microseconds.
+
+    A rerun replaces the table.
+    """
+    df.select(*[F.col(a).alias(b) for a, b in names.items()]).orderBy(*order).write.option("timestampNTZFormat", MICROS).mode("overwrite").csv(path, header=True, timestampFormat=MICROS)
