@@ -140,3 +140,19 @@ def test_chain_follows_each_gust(spark):
     gusts = spark.createDataFrame([(1, 7, at(1), 30.0, "Y"), (2, 7, at(6), 30.0, "Y"), (3, 7, at(7), 30.0, "Y"), (4, 8, at(3), 30.0, "Y"), (5, 7, at(2), 30.0, "N"), (6, 9, at(2), 30.0, "Y")], "event_id long, stn_id long, dt_utc timestamp_ntz, gust double, q string")
     got = {r["event_id"]: (r["scan"], r["uid10"], r["in10"], r["dist10"], r["uid0"], r["in0"]) for r in H.storms_of_gusts(masks, storms, points, gusts, H.ChainRules()).collect()}
     assert got == {1: (10, 1, 1, 0.0, 1, 1), 2: (11, 1, 1, 9.0, 1, 0), 4: (10, 1, 0, None, 1, 0)}
+
+
+def test_a_rerun_replaces_its_own_month_only(spark, tmp_path):
+    from galeworks.sources import readers as R
+
+    path = str(tmp_path / "merged")
+    frame = lambda rows: spark.createDataFrame([(rid, dt.datetime(2024, m, 3), x) for rid, m, x in rows], "rid int, t timestamp_ntz, x double")
+    R.write_merged(frame([(1, 1, 1.0), (1, 1, 2.0), (1, 2, 3.0), (2, 1, 4.0)]), path, "t")
+    R.write_merged(frame([(1, 1, 9.0)]), path, "t")
+    assert sorted((r["rid"], r["month"], r["x"]) for r in spark.read.parquet(path).collect()) == [(1, 1, 9.0), (1, 2, 3.0), (2, 1, 4.0)]
+    for value in (5.0, 6.0):
+        R.write_event_tables({"scw_envs": frame([(1, 1, value)])}, str(tmp_path / "events"))
+        R.publish(frame([(1, 1, value)]), {"rid": "radar", "x": "gust"}, ["radar"], str(tmp_path / "public"))
+        R.restructure_by_year(frame([(1, 1, value)]).withColumn("state", F.lit("a")), str(tmp_path / "years"), "state", "t", [2024])
+    assert [r["x"] for r in spark.read.parquet(str(tmp_path / "events" / "scw_envs")).collect()] == [6.0] == [r["x"] for r in spark.read.parquet(str(tmp_path / "years")).collect()]
+    assert spark.read.csv(str(tmp_path / "public"), header=True).count() == 1
