@@ -16,6 +16,14 @@ def days_per_month(df: DataFrame, keys: Sequence[str], day: Column, flags: Mappi
     return daily.groupBy(*keys, F.year("__day").alias("yr"), F.month("__day").alias("mon")).agg(*[F.count_if(n).alias(n) for n in flags])
 
 
+def cluster_climatology(grid: DataFrame, keys: Sequence[str], time: str, cluster: Column, clusters: int, score: Column, least: float) -> DataFrame:
+    """Days of each month, for each of keys (a place; a model and period as well), on which it lies in each cluster (c0, c1, ...), scores above `least`
+    (severe), and does both (severe0, severe1, ...). One pass over the grid, whatever the models and periods."""
+    marked = grid.withColumns({"__c": cluster, "__s": score > least})
+    flags = {f"c{k}": F.col("__c") == k for k in range(clusters)} | {"severe": F.col("__s")} | {f"severe{k}": F.col("__s") & (F.col("__c") == k) for k in range(clusters)}
+    return days_per_month(marked, keys, F.col(time), flags)
+
+
 def mask_missing_points(df: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:
     """`value` null at every step of a point whose first step lacks it."""
     first = df.groupBy(*keys).agg(F.min_by(F.col(value).isNull(), time).alias("__gone"))

@@ -150,6 +150,20 @@ def load_grid(spark, sf_dir):
     return out.select("i", "j", "time", F.round("s06", 6).alias("s06"), F.round("lr13", 6).alias("lr13"))
 
 
+@query("WITH g AS (SELECT l_partkey % 16 AS i, l_orderkey % 18 AS j, CAST(l_shipdate AS TIMESTAMP) + to_hours(l_linenumber * 3) AS time, avg(l_quantity) AS s06, avg(l_tax) AS lr13, avg(l_discount) AS qmean01, avg(l_extendedprice) AS umean06 FROM lineitem GROUP BY ALL) SELECT i, j, time, round(s06, 6) AS s06, round(lr13, 6) AS lr13, round(qmean01, 6) AS qmean01, round(umean06, 4) AS umean06 FROM g WHERE hour(time) IN (0, 6, 12, 18)")
+def load_grid_tables(spark, sf_dir):
+    """Four fields, each in its own bucketed table, at the synoptic hours of all years: joined without an exchange."""
+    time = (F.col("l_shipdate").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("l_linenumber") * 3).cast("int"))).alias("time")
+    grid = view(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 16).alias("i"), (F.col("l_orderkey") % 18).alias("j"), time)
+    fields = {"s06": "l_quantity", "lr13": "l_tax", "qmean01": "l_discount", "umean06": "l_extendedprice"}
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = R.write_grid_tables({v: grid.agg(F.avg(c).alias(v)) for v, c in fields.items()}, R.scratch(spark, "grid"), ["i", "j"], "time", buckets)
+    at = lambda *t: F.make_timestamp_ntz(*map(F.lit, (*t, 0, 0)))
+    out = R.load_grid_tables(spark, names, ["i", "j"], "time", at(1900, 1, 1, 0), at(2100, 1, 1, 0), [0, 6, 12, 18])
+    return out.select("i", "j", "time", *[F.round(v, 4 if v == "umean06" else 6).alias(v) for v in fields])
+
+
+
 @query(ctes("obs", "stations") + " SELECT date_trunc('second', dt_utc)::TIMESTAMP AS time, round(lat, 6) AS lat, round(lon, 6) AS lon FROM obs JOIN stations ON stn_no = stn_id WHERE gust >= 60")
 def load_strokes(spark, sf_dir):
     """Strokes of both layouts as one table."""

@@ -172,6 +172,22 @@ def gridded_cluster_climatology(spark, sf_dir):
     return C.days_per_month(fields, ["i", "j"], F.col("time"), flags)
 
 
+_MODELS = _DAILY.replace("SELECT l_partkey", "SELECT l_suppkey % 12 AS model, CASE WHEN year(l_shipdate) < 1995 THEN 'past' ELSE 'future' END AS period, l_partkey").replace("WHERE year(l_shipdate) BETWEEN 1995 AND 1996 ", "")
+
+
+@query(_MODELS + f""", s AS (SELECT model, period, i, j, day, 1 / (1 + exp(-({_LOGIT} + {X.BDSD["const"]}))) AS score, {_S} FROM d), k AS (SELECT *, {_D} FROM s), a AS (SELECT *, CASE least(d0, d1, d2) WHEN d0 THEN 0 WHEN d1 THEN 1 ELSE 2 END AS cluster FROM k)
+SELECT model, period, i, j, year(day)::INTEGER AS yr, month(day)::INTEGER AS mon, """ + ", ".join(f"count(DISTINCT day) FILTER (WHERE {c})::BIGINT AS {n}" for n, c in {**{f"c{k}": f"cluster = {k}" for k in range(3)}, "severe": "score > 0.5", **{f"severe{k}": f"score > 0.5 AND cluster = {k}" for k in range(3)}}.items()) + " FROM a GROUP BY ALL")
+def ensemble_cluster_climatology(spark, sf_dir):
+    """The gridded job for twelve models and two periods, over all years of the table."""
+    period = F.when(F.year("l_shipdate") < 1995, "past").otherwise("future").alias("period")
+    grid = view(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 12).alias("model"), period, (F.col("l_partkey") % 16).alias("i"), (F.col("l_orderkey") % 18).alias("j"), F.col("l_shipdate").alias("time")).agg(
+        F.avg("l_quantity").alias("s06"), (100 * F.avg("l_discount")).alias("qmean01"), (5 + 50 * F.avg("l_tax")).alias("lr13"), (F.avg("l_extendedprice") / 5000).alias("umean06")
+    )
+    score = X.logit_score({**{c: X.BDSD[t] for t, c in X.BDSD_STAND_IN.items()}, "const": X.BDSD["const"]})
+    fields = grid.withColumn("score", score).withColumns({n: X.minmax_scale(F.col(n), F.lit(a), F.lit(b)) for n, (a, b) in BOUNDS.items()})
+    return C.cluster_climatology(fields, ["model", "period", "i", "j"], "time", kmeans_assign(list(BOUNDS), CENTRES), 3, F.col("score"), 0.5)
+
+
 _SEVEN = {"ebwd": "s06", "Umean800_600": "umean06", "lr13": "lr13", "rhmin13": "50 * lsm", "srhe_left": "-lat", "q_melting": "qmean01", "eff_lcl": "10 * lon"}
 
 

@@ -97,6 +97,27 @@ def load_grid(spark: SparkSession, paths: Mapping[str, str], place: Sequence[str
     return out
 
 
+def write_grid_tables(tables: Mapping[str, DataFrame], path: str, place: Sequence[str], time: str, buckets: int) -> dict[str, str]:
+    """One table a variable below path, all dealt into the same buckets of place and time and sorted in them: {variable: its name in the session's catalogue}.
+
+    load_grid_tables then joins any number of them without sending a row. `buckets` should leave a few hundred MB of the largest table in each.
+    """
+    names = {v: f"grid_{v}_{uuid.uuid4().hex}" for v in tables}
+    for v, df in tables.items():
+        dealt = df.repartition(buckets, *place, time)  # a bucket is one file
+        dealt.write.bucketBy(buckets, *place, time).sortBy(*place, time).option("path", f"{path}/{v}").mode("overwrite").saveAsTable(names[v])
+    return names
+
+
+def load_grid_tables(spark: SparkSession, names: Mapping[str, str], place: Sequence[str], time: str, first: Column, last: Column, hours: Sequence[int] | None = None) -> DataFrame:
+    """load_grid of tables that write_grid_tables wrote: {variable: name}. Equal buckets meet where they lie."""
+    parts = [grid_slice(spark.table(name), place, time, [v], first, last, hours).hint("merge") for v, name in names.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, [*place, time])
+    return out
+
+
 def read_fixed_width(spark: SparkSession, paths: Sequence[str] | str, places: Mapping[str, tuple[int, int]]) -> DataFrame:
     """Trimmed fields of lines, each at (first place from 1, length); empty ones are null."""
     return spark.read.text(paths).select(*[F.nullif(F.trim(F.substring("value", at, n)), F.lit("")).alias(name) for name, (at, n) in places.items()])

@@ -156,3 +156,18 @@ def test_a_rerun_replaces_its_own_month_only(spark, tmp_path):
         R.restructure_by_year(frame([(1, 1, value)]).withColumn("state", F.lit("a")), str(tmp_path / "years"), "state", "t", [2024])
     assert [r["x"] for r in spark.read.parquet(str(tmp_path / "events" / "scw_envs")).collect()] == [6.0] == [r["x"] for r in spark.read.parquet(str(tmp_path / "years")).collect()]
     assert spark.read.csv(str(tmp_path / "public"), header=True).count() == 1
+
+
+def test_bucketed_grids_join_where_they_lie(spark, tmp_path):
+    from galeworks.sources import readers as R
+
+    base = spark.range(600).select((F.col("id") % 5).alias("i"), (F.col("id") % 4).alias("j"), F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(0, cast(id as int))").alias("time"), "id")
+    names = R.write_grid_tables({f"v{k}": base.select("i", "j", "time", (F.col("id") * k).cast("double").alias(f"v{k}")) for k in range(7)}, str(tmp_path / "grid"), ["i", "j"], "time", 3)
+    at = lambda *t: F.make_timestamp_ntz(*map(F.lit, (*t, 0, 0)))
+    found = R.load_grid_tables(spark, names, ["i", "j"], "time", at(2024, 1, 2, 0), at(2024, 1, 20, 0), [0, 12])
+    rows = found.collect()
+    assert len(rows) == 37 and all(r["v6"] == 2 * r["v3"] == 6 * r["v1"] for r in rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    for name in names.values():
+        spark.sql(f"DROP TABLE {name}")
