@@ -62,7 +62,7 @@ def reached(df: DataFrame, keys: Sequence[str], time: str, strength: str, tie: s
     own_tie = F.col(tie).cast("long")
     rows = df.select(*keys, F.col(time).alias("__time"), micros(F.col(time)).alias("__m"), F.col(strength).cast("double").alias("__x"), own_tie.alias("__tie"), F.coalesce(own_tie, F.lit(-(1 << 63))).alias("__name"))
     rows = _stored(rows.where("__m is not null"), "events")
-    whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__m").alias("low"), F.max("__m").alias("high")).agg(F.max("n").alias("most"), F.min("low").alias("low"), F.max("high").alias("high")).first()
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__m").alias("low"), F.max("__m").alias("high")).agg(F.sum("n").alias("rows"), F.max("n").alias("most"), F.min("low").alias("low"), F.max("high").alias("high")).first()
     out = lambda found: found.select(*keys, F.col("__time").alias(time), F.col("__x").cast(kinds[strength]).alias(strength), F.col("__tie").cast(kinds[tie]).alias(tie))
     if whole.low is None:
         return out(rows)
@@ -73,12 +73,14 @@ def reached(df: DataFrame, keys: Sequence[str], time: str, strength: str, tie: s
     own = rows.withColumns({"__block": block, "__own": F.lit(True)})
     halo = own.where((F.col("__block") > 0) & ((F.col("__m") - whole.low) % length < width)).withColumns({"__block": F.col("__block") - 1, "__own": F.lit(False)})
     dealt = (own.unionByName(halo) if blocks > 1 else own).select(*keys, "__time", "__m", "__x", "__tie", "__name", "__block", "__own")
-    if blocks == 1:
-        kept = dealt.groupBy(*keys).applyInPandas(_walker(rule, width, False), dealt.schema)
-        return out(kept)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # groups are dealt to so many tasks, however small they are
+    if blocks == 1:  # no key needs parting: keys share groups of about block_rows rows, so that many small ones cost little
+        groups = max(parts, math.ceil(whole.rows / block_rows))
+        shared = dealt.withColumn("__block", F.pmod(F.xxhash64(*keys) if keys else F.lit(0), F.lit(groups)).cast("long"))
+        return out(shared.repartition(parts, "__block").groupBy("__block").applyInPandas(_many_walker(rule, width, list(keys)), shared.schema))
 
     # Entries of blocks and where the walks from them leave to. A row is named by its time, its tie and its number among rows alike in both.
-    entries = dealt.groupBy(*keys, "__block").applyInPandas(_exits(rule, width, whole.low, length, len(keys)), _entry_schema(dealt, keys))
+    entries = dealt.repartition(parts, *keys, "__block").groupBy(*keys, "__block").applyInPandas(_exits(rule, width, whole.low, length, len(keys)), _entry_schema(dealt, keys))
     table = _stored(entries, "entries")
     firsts = table.where("first").select(*keys, "block", "m", "tie", "nth")
     lates = table.where("late").select(*keys, "block", "m", "tie", "nth")
@@ -100,7 +102,7 @@ def reached(df: DataFrame, keys: Sequence[str], time: str, strength: str, tie: s
         found = _stored(found.unionByName(found.join(jump, [*keys, "at"]).select(*keys, F.col("to").alias("at"))), "reached")
     enter = found.groupBy(*keys, F.col("at.block").alias("__block")).agg(F.min(F.struct("at.m", "at.tie", "at.nth")).alias("e"))
     entered = dealt.join(enter.select(*keys, "__block", F.col("e.m").alias("__em"), F.col("e.tie").alias("__et"), F.col("e.nth").alias("__en")), [*keys, "__block"])
-    kept = entered.groupBy(*keys, "__block").applyInPandas(_walker(rule, width, True), dealt.schema)
+    kept = entered.repartition(parts, *keys, "__block").groupBy(*keys, "__block").applyInPandas(_walker(rule, width), dealt.schema)
     return out(kept)
 
 
@@ -116,26 +118,52 @@ def _entry_schema(dealt: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "block long, m long, tie long, nth long, first boolean, late boolean, to_m long, to_tie long, to_nth long"])
 
 
-def _in_order(group: pd.DataFrame) -> pd.DataFrame:
-    """Rows by time, tie and strength, with __nth, the number among rows alike in time and tie."""
-    group = group.sort_values(["__m", "__name", "__x"], kind="stable", na_position="first").reset_index(drop=True)
-    return group.assign(__nth=group.groupby(["__m", "__name"]).cumcount())
+def _in_order(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by time, tie and strength: their places in group, times, strengths, ties and their numbers among rows alike in time and tie."""
+    m, name, x = (group[c].to_numpy() for c in ("__m", "__name", "__x"))
+    order = np.lexsort((np.where(np.isnan(x), -np.inf, x), name, m))
+    m, name, x = m[order], name[order], x[order]
+    fresh = np.concatenate([[True], (np.diff(m) != 0) | (np.diff(name) != 0)])
+    nth = np.arange(len(m)) - np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    return order, m, x, name, nth
 
 
-def _walker(rule: Rule, width: int, entered: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Of the rows of one block of one key those that are reached from its entry (or its first row), and stay."""
+def _many_walker(rule: Rule, width: int, keys: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of the rows of several whole keys those that are reached from the first row of their key, and stay."""
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
-        own = _in_order(group)
-        times, n = own["__m"].to_numpy("i8"), int(own["__own"].sum())  # the block's own rows come before those of the window after it
-        ahead, stays = rule(times, own["__x"].to_numpy("f8"), width)
-        at = int(np.flatnonzero((times == own["__em"].iloc[0]) & (own["__name"] == own["__et"].iloc[0]) & (own["__nth"] == own["__en"].iloc[0]))[0]) if entered else 0
+        own = group.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(group), np.int64)
+        m, name, x = (group[c].to_numpy() for c in ("__m", "__name", "__x"))
+        order = np.lexsort((np.where(np.isnan(x), -np.inf, x), name, m, own))
+        m, x, ends = m[order], x[order], [*np.flatnonzero(np.diff(own[order])) + 1, len(order)]
+        kept, begin = [], 0
+        for end in ends:
+            ahead, stays = rule(m[begin:end], x[begin:end], width)
+            ahead, at = ahead.tolist(), 0
+            while at < end - begin:
+                if stays[at]:
+                    kept.append(begin + at)
+                at = ahead[at]
+            begin = end
+        return group.iloc[order[kept]]
+
+    return walk
+
+
+def _walker(rule: Rule, width: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of the rows of one block of one key those that are reached from its entry, and stay."""
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        order, times, x, names, nth = _in_order(group)
+        n = int(group["__own"].sum())  # the block's own rows come before those of the window after it
+        ahead, stays = rule(times, x, width)
+        at = int(np.flatnonzero((times == group["__em"].iloc[0]) & (names == group["__et"].iloc[0]) & (nth == group["__en"].iloc[0]))[0])
         kept, ahead = [], ahead.tolist()
         while at < n:
             if stays[at]:
                 kept.append(at)
             at = ahead[at]
-        return own.iloc[kept].drop(columns=["__nth", *(["__em", "__et", "__en"] if entered else [])])
+        return group.iloc[order[kept]].drop(columns=["__em", "__et", "__en"])
 
     return walk
 
@@ -147,17 +175,16 @@ def _exits(rule: Rule, width: int, low: int, length: int, keys: int) -> Callable
     """
 
     def exits(group: pd.DataFrame) -> pd.DataFrame:
-        own = _in_order(group)
-        times, n, block = own["__m"].to_numpy("i8"), int(own["__own"].sum()), int(own["__block"].iloc[0])
-        ahead = rule(times, own["__x"].to_numpy("f8"), width)[0].tolist()
+        order, times, x, names, nth = _in_order(group)
+        n, block = int(group["__own"].sum()), int(group["__block"].iloc[0])
+        ahead = rule(times, x, width)[0].tolist()
         leaves = [*range(len(times)), len(times)]
         for i in range(n - 1, -1, -1):
             leaves[i] = leaves[ahead[i]]
         late = int(np.searchsorted(times[:n], low + block * length + width, "left"))
         rows = list(range(min(late + 1, n)))
         to = [leaves[i] for i in rows]
-        names, nth = own["__name"].to_numpy("i8"), own["__nth"].to_numpy("i8")
-        out = own.iloc[rows, :keys].copy()
+        out = group.iloc[order[rows], :keys].copy()
         out["block"], out["m"], out["tie"], out["nth"] = block, times[rows], names[rows], nth[rows]
         out["first"], out["late"] = [i == 0 for i in rows], [i == late for i in rows]
         for name, values in (("to_m", times), ("to_tie", names), ("to_nth", nth)):

@@ -107,10 +107,11 @@ def auc_many(df: DataFrame, names: Sequence[str], event: str, strata: Sequence[C
     marks = [*[c.alias(f"__s{k}") for k, c in enumerate(strata)], *[F.coalesce(c, F.lit(False)).alias(f"__m{k}") for k, c in enumerate(null_sets.values())]]
     own = df.select(event, *marks, *[F.col(n).cast("double").alias(n) for n in names])
     held = [event, *[f"__s{k}" for k in range(len(strata))], *[f"__m{k}" for k in range(len(null_sets))]]
-    by = own.unpivot(held, list(names), "predictor", "x").groupBy(*held, "predictor", "x").agg(F.count("*").alias("n"))
+    tall = own.unpivot(held, list(names), "predictor", "x")
+    by = tall.groupBy(*held, "predictor", "x").agg(F.count("*").alias("n"))
     sets = F.array_compact(F.array(*[F.when((F.col(event) == 1) | F.col(f"__m{k}"), F.lit(n)) for k, n in enumerate(null_sets)]))
     each = by.withColumn("stratum", F.explode(F.array_compact(F.array(*[F.col(f"__s{k}") for k in range(len(strata))])))).withColumn("null_set", F.explode(sets))
-    return auc(each, ["stratum", "null_set", "predictor"], event, "x", "n", orient, sketch=by)
+    return auc(each, ["stratum", "null_set", "predictor"], event, "x", "n", orient, sketch=tall)
 
 
 def auc_ovr_weighted(df: DataFrame, label: str, value: str, labels: Sequence[int]) -> DataFrame:
