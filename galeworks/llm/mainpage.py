@@ -291,10 +291,12 @@ def extract_main(pages: DataFrame, model: Extractor) -> DataFrame:
     results; null ids and urls pass through; other columns are left out, so none can clash. A page is parsed whole, in linear
     time and memory. The model, of bounded size, travels with the task.
     """
-    shipped = pages.sparkSession.sparkContext.broadcast(model)  # features of a bounded sample of pages
+    plain = (model.weights, model.ends.tolist(), model.steps.tolist())  # no class of the library, which executors may lack
+    shipped = pages.sparkSession.sparkContext.broadcast(plain)  # features of a bounded sample of pages
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shipped.value
+        weights, ends, steps = shipped.value
+        own = Extractor(weights, np.array(ends), np.array(steps))
         for batch in batches:
             texts = []
             for html in batch.column(2):
