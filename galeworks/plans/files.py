@@ -98,7 +98,7 @@ def write_event_tables(spark, sf_dir):
     out = None
     for name, df in kinds.items():
         value = "gust" if "gust" in df.columns else "max_alt"
-        part = spark.read.parquet(f"{path}/{name}").groupBy(F.lit(name).alias("name"), F.col("rid").cast("long").alias("rid")).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"))
+        part = R.read_partitioned(spark, f"{path}/{name}", df.schema).groupBy(F.lit(name).alias("name"), F.col("rid").cast("long").alias("rid")).agg(F.count("*").alias("n"), F.round(F.sum(value), 4).alias("total"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -108,7 +108,7 @@ def multi_radar_union(spark, sf_dir):
     """The written event and non-event tables of all radars as one, with rid and scw."""
     path, kinds = R.scratch(spark, "events"), _kinds(spark, sf_dir)
     R.write_event_tables({n: kinds[n] for n in ("scw_envs", "null_envs")}, path)
-    both = R.union_radars(spark, path, {"scw_envs": 1, "null_envs": 0})
+    both = R.union_radars(spark, path, {"scw_envs": 1, "null_envs": 0}, {n: df.schema for n, df in kinds.items()})
     return both.select(F.col("rid").cast("long").alias("rid"), "scw", "event_id", F.round("gust", 6).alias("gust"))
 
 

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from galeworks.functions.exprs import group_id
 
@@ -160,6 +161,11 @@ def write_partitioned(df: DataFrame, path: str, keys: Sequence[str]) -> None:
     df.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
+def read_partitioned(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What write_partitioned wrote, by the schema it was written with: a table without any row has no file to take one from."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def restructure_by_year(gusts: DataFrame, path: str, state: str, time: str, years: Sequence[int]) -> None:
     """Gusts of all stations in folders by state and year; rows outside the years go."""
     df = gusts.withColumn("year", F.year(time)).where(F.col("year").isin(*years))
@@ -177,9 +183,11 @@ def write_event_tables(tables: Mapping[str, DataFrame], path: str) -> None:
         write_partitioned(df, f"{path}/{name}", ["rid"])
 
 
-def union_radars(spark: SparkSession, path: str, names: Mapping[str, int]) -> DataFrame:
-    """Tables of all radars below path as one, as {name: scw}; rid comes from the folders, scw tells events from non-events."""
-    parts = [spark.read.parquet(f"{path}/{name}").withColumn("scw", F.lit(scw)) for name, scw in names.items()]
+def union_radars(spark: SparkSession, path: str, names: Mapping[str, int], schemas: Mapping[str, StructType] | None = None) -> DataFrame:
+    """Tables of all radars below path as one, as {name: scw}; rid comes from the folders, scw tells events from non-events. With schemas, by name,
+    a table may be without rows."""
+    read = lambda name: read_partitioned(spark, f"{path}/{name}", schemas[name]) if schemas and name in schemas else spark.read.parquet(f"{path}/{name}")
+    parts = [read(name).withColumn("scw", F.lit(scw)) for name, scw in names.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
