@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from galeworks.functions.exprs import micros, scw_flag
 from galeworks.operators.events import decluster_forward
-from galeworks.operators.spatial import best_storm, storm_within
+from galeworks.operators.spatial import best_storm, storm_within_asked
 from galeworks.operators.temporal import asof_join, rolling_mean
 
 
@@ -35,13 +35,15 @@ def storms_of_gusts(masks: DataFrame, storms: DataFrame, points: DataFrame, gust
     masks (rid, scan, uid, i, j), storms (rid, scan, scan_time, uid, field_max: one row a storm and scan), points (rid, stn_id, pi, pj: a station on its
     radar's grid). A gust takes the latest scan of its station's radar that is `holds` old at most, and none after the radar's last scan. Of
     that scan's storms the one inside the radius counts, then the strongest; where none is inside, the scan's strongest with in<r> = 0 and no distance.
-    Scans meet gusts, and storms the stations near them: no table of all scans and stations is made.
+    Scans meet gusts first; storms then meet the stations that a gust asks for in their own scan. So no table of all scans and stations is made,
+    and none of all storms and the stations near them.
     """
-    near = storm_within(masks, points, rules.radii, ("rid", "scan", "uid"), "stn_id", ("rid",)).join(storms.select("rid", "scan", "uid", "field_max"), ["rid", "scan", "uid"])
-    best = best_storm(near, ["rid", "scan", "stn_id"], {str(r): F.col(f"in{r}") == 1 for r in rules.radii}, "field_max", "uid", ["near"])
     scans = storms.groupBy("rid", "scan").agg(F.min("scan_time").alias("scan_time"), F.max_by("uid", F.struct("field_max", -F.col("uid"))).alias("__uid"))
     own = gusts.where("q = 'Y'").join(points.select("rid", "stn_id").distinct(), "stn_id")
     at = asof_join(own, scans, ["rid"], "dt_utc", "scan_time", ["scan", "__uid"], rules.holds, clip_to_last=True)
+    asked = at.select("rid", "scan", "stn_id").distinct().join(points.select("rid", "stn_id", "pi", "pj"), ["rid", "stn_id"])
+    near = storm_within_asked(masks, asked, rules.radii, ("rid", "scan", "uid"), ("rid", "scan"), "stn_id").join(storms.select("rid", "scan", "uid", "field_max"), ["rid", "scan", "uid"])
+    best = best_storm(near, ["rid", "scan", "stn_id"], {str(r): F.col(f"in{r}") == 1 for r in rules.radii}, "field_max", "uid", ["near"])
     out = at.join(best, ["rid", "scan", "stn_id"], "left")
     for r in rules.radii:
         inside = F.coalesce(F.col(f"in{r}"), F.lit(0)) == 1

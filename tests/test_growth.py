@@ -40,6 +40,18 @@ def seen(monkeypatch, name, argument=0):
     return counts
 
 
+def test_gusts_ask_for_storms_of_their_own_scan_alone(spark, monkeypatch):
+    counts = seen(monkeypatch, "mask_runs")
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    storms = spark.createDataFrame([(1, s, at(s), u, float(u)) for s in range(20) for u in (1, 2)], "rid long, scan long, scan_time timestamp_ntz, uid long, field_max double")
+    masks = spark.createDataFrame([(1, s, u, 10 * u, 0) for s in range(20) for u in (1, 2)], "rid long, scan long, uid long, i long, j long")
+    points = spark.createDataFrame([(1, 5, 10, 3), (1, 6, 90, 0)], "rid long, stn_id long, pi long, pj long")
+    gusts = spark.createDataFrame([(0, 5, at(4), 30.0, "Y"), (1, 6, at(4), 31.0, "Y"), (2, 5, at(9), 9.0, "N")], "event_id long, stn_id long, dt_utc timestamp_ntz, gust double, q string")
+    got = {r["event_id"]: (r["scan"], r["uid5"], r["in5"], r["dist5"]) for r in H.storms_of_gusts(masks, storms, points, gusts, H.ChainRules(radii=(5,), near=5)).collect()}
+    assert got == {0: (4, 1, 1, 3.0), 1: (4, 2, 0, None)}
+    assert counts == [2]
+
+
 def test_written_tables_may_be_without_rows(spark, tmp_path):
     some, path = spark.createDataFrame([(1, 2, 5.0)], "rid long, event_id long, gust double"), str(tmp_path / "events")
     tables = {"scw_envs": some, "null_envs": some.where("gust < 0")}
