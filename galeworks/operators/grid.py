@@ -91,19 +91,28 @@ def interp_profile(df: DataFrame, keys: Sequence[str], axis: str, values: Sequen
     """
     asked = targets if isinstance(targets, Column) else F.array(*[F.lit(float(t)) for t in targets])
     w = Window.partitionBy(*keys).orderBy(axis)
-    at = df.withColumn("__targets", asked).select(*keys, axis, "__targets", *values, F.lead(axis).over(w).alias("__next"), F.row_number().over(w).alias("__first"), *[F.lead(v).over(w).alias(f"__next_{v}") for v in values])
-    inside = lambda t: (t == F.col(axis)) | ((t > F.col(axis)) & (t < F.col("__next")))
-    part = (F.col("target") - F.col(axis)) / (F.col("__next") - F.col(axis))
-    # The first level lists all targets, so that those outside the profile have a row; of a target's rows, the one with a value counts.
-    out = at.withColumn("target", F.explode(F.filter("__targets", lambda t: inside(t) | (F.col("__first") == 1)))).withColumn("__in", inside(F.col("target")))
-    found = [F.when(F.col("__in"), F.when(F.col("target") == F.col(axis), F.col(v)).otherwise(F.col(v) + part * (F.col(f"__next_{v}") - F.col(v)))).alias(v) for v in values]
-    return out.select(*keys, "target", "__in", *found).groupBy(*keys, "target").agg(F.max_by(F.struct(*values), F.coalesce("__in", F.lit(False))).alias("__found")).select(*keys, "target", *[F.col(f"__found.{v}").alias(v) for v in values])
+    here, after = F.col(axis), F.col("__next")
+    at = df.withColumn("__targets", asked).select(*keys, axis, "__targets", *values, F.lead(axis).over(w).alias("__next"), F.lead(F.lit(1)).over(w).isNull().alias("__last"), (F.row_number().over(w) == 1).alias("__first"), *[F.lead(v).over(w).alias(f"__next_{v}") for v in values])
+    # Each target belongs to one level: the last one at or below it, or the first one where none is. So every target has one row without a further meeting.
+    own = lambda t: (F.col("__first") | here.isNull() | (t >= here)) & (F.col("__last") | F.coalesce(t < after, F.lit(False)))
+    out = at.withColumn("target", F.explode(F.filter("__targets", own)))
+    t = F.col("target")
+    part = (t - here) / (after - here)
+    return out.select(*keys, "target", *[F.when(t == here, F.col(v)).when((t > here) & (t < after), F.col(v) + part * (F.col(f"__next_{v}") - F.col(v))).alias(v) for v in values])
+
+
+def exact_mean(value: str) -> Column:
+    """The mean by sums exact to 16 decimal places, so that it is the same whatever the order of rows; values must lie below 1e22."""
+    x = F.col(value)
+    odd = F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.when(F.count_if(odd) > 0, F.avg(x)).otherwise(F.sum(F.when(~odd, x).cast("decimal(38,16)")).cast("double") / F.nullif(F.count(x), F.lit(0)))
 
 
 def composite_profile(df: DataFrame, keys: Sequence[str], cluster: str, height: str, pressure: str, values: Sequence[str], targets: Sequence[float]) -> DataFrame:
     """(cluster, target, pressure, values): mean profiles at fixed heights. A height's pressure is the mean of the cluster's profiles there,
     and the other values are taken at that pressure and averaged; nulls are left out. A cluster's pressures are as many as targets."""
-    mean = interp_profile(df, [*keys, cluster], height, [pressure], targets).groupBy(cluster, "target").agg(F.avg(pressure).alias(pressure)).where(F.col(pressure).isNotNull())
+    at_height = interp_profile(df, [*keys, cluster], height, [pressure], targets)
+    mean = at_height.groupBy(cluster, "target").agg(exact_mean(pressure).alias(pressure)).where(F.col(pressure).isNotNull())  # worked out twice, and joined on
     asked = mean.groupBy(cluster).agg(F.collect_set(pressure).alias("__p"))
     at = interp_profile(df.join(asked, cluster), [*keys, cluster], pressure, values, F.col("__p"))
     own = at.groupBy(cluster, F.col("target").alias(pressure)).agg(*[F.avg(v).alias(v) for v in values])

@@ -4,11 +4,13 @@ import datetime as dt
 import itertools
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from galeworks import catalog
 from galeworks.operators import grid as G
+from galeworks.operators import models as M
 from galeworks.operators import spatial as S
 from galeworks.operators import stormchain as H
 from galeworks.sources import readers as R
@@ -58,3 +60,9 @@ def test_written_tables_may_be_without_rows(spark, tmp_path):
     R.write_event_tables(tables, path)
     assert R.read_partitioned(spark, f"{path}/null_envs", some.schema).collect() == []
     assert [tuple(r) for r in R.union_radars(spark, path, {"scw_envs": 1, "null_envs": 0}, {n: t.schema for n, t in tables.items()}).select("rid", "event_id", "gust", "scw").collect()] == [(1, 2, 5.0, 1)]
+
+
+def test_means_that_are_joined_on_do_not_follow_the_order(spark):
+    means = {spark.createDataFrame([(x,) for x in own], "x double").coalesce(1).agg(G.exact_mean("x").alias("m")).first()["m"] for own in itertools.permutations((0.1, 0.2, 0.3, 1000.7))}
+    assert len(means) == 1 and abs(means.pop() - 250.325) < 1e-12
+    assert spark.createDataFrame([(None,)], "x double").agg(G.exact_mean("x").alias("m")).first()["m"] is None
