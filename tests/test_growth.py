@@ -42,6 +42,15 @@ def seen(monkeypatch, name, argument=0):
     return counts
 
 
+def test_storm_distance_by_shape_and_place(spark, monkeypatch):
+    counts, stations = seen(monkeypatch, "radius_join"), spark.createDataFrame([(n, 0.0, 0.1 * (n % 2)) for n in range(40)], "stn long, lat double, lon double")
+    cells = spark.createDataFrame([(s, 7, 0.0, x) for s in range(30) for x in (0.0, 0.05)] + [(99, 7, 0.0, 0.05), (99, 7, None, 1.0)], "scan long, uid long, lat double, lon double")
+    got = {(r["scan"], r["stn"]): r["distance"] for r in S.storm_distance(cells, stations, ["scan", "uid"], "stn", 9.0).collect()}
+    half = round(6373.0 * 0.05 * 3.141592653589793 / 180, 3)
+    assert got == {(s, n): (half if s == 99 or n % 2 else 0.0) for s in [*range(30), 99] for n in range(40)}
+    assert counts == [2]
+
+
 def test_gusts_ask_for_storms_of_their_own_scan_alone(spark, monkeypatch):
     counts = seen(monkeypatch, "mask_runs")
     at = lambda h: dt.datetime(2024, 1, 1, h)
