@@ -12,7 +12,7 @@ from galeworks.operators import spatial as P
 from galeworks.operators import temporal as T
 from galeworks.operators.ordered import exact_quantiles
 from galeworks.plans.registry import query
-from galeworks.plans.space import _AT, hourly
+from galeworks.plans.space import _AT, PLACE, hourly, of_stations
 from galeworks.plans.views import ctes, rounded, view
 from galeworks.streaming import gusts as S
 
@@ -55,7 +55,7 @@ def hourly_sequence(spark, sf_dir):
 @query(_AT + ", r AS (SELECT *, row_number() OVER (PARTITION BY stn_no, h ORDER BY s06 DESC, i DESC, j DESC) AS n FROM at_hour) SELECT stn_no, h, round(s06, 6) AS s06, round(lr13, 6) AS lr13, round(qmean01, 6) AS qmean01 FROM r WHERE n = 1")
 def value_at_argmax(spark, sf_dir):
     turned = hourly(spark, sf_dir).withColumns({"di": -F.col("i"), "dj": -F.col("j")})  # of equals the last cell
-    return rounded(P.extreme_point(turned, ["stn_no", "h"], F.col("s06"), ["di", "dj"], ["lr13", "qmean01"], name="s06"))
+    return rounded(of_stations(spark, sf_dir, P.extreme_point(turned, [*PLACE, "h"], F.col("s06"), ["di", "dj"], ["lr13", "qmean01"], name="s06")).select("stn_no", "h", "s06", "lr13", "qmean01"))
 
 
 @query(SKILL + ", f AS (SELECT cluster, mon, sum(l_tax) AS strokes FROM skill WHERE yr < 1998 GROUP BY ALL) SELECT row_id, round(CASE WHEN yr < 1998 THEN strokes END, 4) AS strokes FROM skill LEFT JOIN f USING (cluster, mon) WHERE yr >= 1998 OR strokes IS NOT NULL")

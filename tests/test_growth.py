@@ -51,6 +51,17 @@ def test_storm_distance_by_shape_and_place(spark, monkeypatch):
     assert counts == [2]
 
 
+@pytest.mark.parametrize(("query", "function", "argument"), [("storm_within", "storm_within", 1), *[(q, "radius_join", 0) for q in ("strokes_near_station", "value_at_argmax", "radius_summary", "radius_extreme", "lightning_sum", "extreme_point", "attach_hourly_env", "radius_join", "nearest_land_cell")]])
+def test_stations_of_one_place_share_its_surroundings(spark, monkeypatch, twice, query, function, argument):
+    path, stations = twice
+    one = catalog.queries()[query](spark, SF).count()
+    counts = seen(monkeypatch, function, argument)
+    found = catalog.queries()[query](spark, path)
+    rows = found.count()
+    assert 0 < max(counts) <= stations
+    assert rows == (one if query == "attach_hourly_env" else 2 * one) > 0
+
+
 def test_gusts_ask_for_storms_of_their_own_scan_alone(spark, monkeypatch):
     counts = seen(monkeypatch, "mask_runs")
     at = lambda h: dt.datetime(2024, 1, 1, h)
@@ -75,3 +86,11 @@ def test_means_that_are_joined_on_do_not_follow_the_order(spark):
     means = {spark.createDataFrame([(x,) for x in own], "x double").coalesce(1).agg(G.exact_mean("x").alias("m")).first()["m"] for own in itertools.permutations((0.1, 0.2, 0.3, 1000.7))}
     assert len(means) == 1 and abs(means.pop() - 250.325) < 1e-12
     assert spark.createDataFrame([(None,)], "x double").agg(G.exact_mean("x").alias("m")).first()["m"] is None
+
+
+def test_profiles_list_each_target_once_without_an_aggregate(spark):
+    rows = [(1, 100.0, 1.0), (1, 200.0, 3.0), (1, 200.0, 5.0), (1, 300.0, None), (2, None, 9.0), (2, 50.0, 2.0), (3, None, 4.0)]
+    found = G.interp_profile(spark.createDataFrame(rows, "k long, z double, v double"), ["k"], "z", ["v"], [50, 150, 250, 300, 400, 150])
+    got = {(r["k"], r["target"]): r["v"] for r in found.collect()}
+    assert found.count() == len(got) == 15 and {k: v for k, v in got.items() if v is not None} == {(1, 150.0): 2.0, (2, 50.0): 2.0}
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
