@@ -89,7 +89,7 @@ def interp_profile(df: DataFrame, keys: Sequence[str], axis: str, values: Sequen
 
     Targets are the same for all profiles, or a column with an array of them.
     """
-    asked = targets if isinstance(targets, Column) else F.array(*[F.lit(float(t)) for t in targets])
+    asked = F.array_distinct(targets if isinstance(targets, Column) else F.array(*[F.lit(float(t)) for t in targets]))
     w = Window.partitionBy(*keys).orderBy(axis)
     here, after = F.col(axis), F.col("__next")
     at = df.withColumn("__targets", asked).select(*keys, axis, "__targets", *values, F.lead(axis).over(w).alias("__next"), F.lead(F.lit(1)).over(w).isNull().alias("__last"), (F.row_number().over(w) == 1).alias("__first"), *[F.lead(v).over(w).alias(f"__next_{v}") for v in values])
