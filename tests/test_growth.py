@@ -94,3 +94,14 @@ def test_profiles_list_each_target_once_without_an_aggregate(spark):
     got = {(r["k"], r["target"]): r["v"] for r in found.collect()}
     assert found.count() == len(got) == 15 and {k: v for k, v in got.items() if v is not None} == {(1, 150.0): 2.0, (2, 50.0): 2.0}
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_nearest_centres_of_many_runs(spark):
+    x = np.random.default_rng(1).normal(size=(500, 3))
+    centres = [np.random.default_rng(k).normal(size=(2 + k % 3, 3)) for k in range(9)]
+    centres[4][1] = centres[4][0]  # equal distances: the first counts
+    for runs, every in M._groups(centres):
+        own, d = M._nearest(x, every, len(runs))
+        for r, mine, least in zip(runs, own, d, strict=True):
+            far = ((x[:, None] - centres[r]) ** 2).sum(2)
+            assert (mine.argmax(0) == far.argmin(1)).all() and (mine.sum(0) == 1).all() and np.allclose(least, far.min(1))
