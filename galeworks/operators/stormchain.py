@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galeworks.functions.exprs import micros, scw_flag
+from galeworks.functions.exprs import micros, quotient, scw_flag
 from galeworks.operators.events import decluster_forward
 from galeworks.operators.spatial import best_storm, storm_within_asked
 from galeworks.operators.temporal import asof_join, rolling_mean
@@ -62,7 +62,7 @@ def severe_storm_events(masks: DataFrame, storms: DataFrame, points: DataFrame,
     gusty = storms_of_gusts(masks, storms, points, gusts, rules)
     of_storm = storms.select("rid", "scan", F.col("uid").alias(f"uid{rules.near}"), *[F.col(c).alias(n) for c, n in stats.items()])
     merged = gusty.join(of_storm, ["rid", "scan", f"uid{rules.near}"]).withColumn("hour", F.date_trunc("hour", "dt_utc").cast("timestamp_ntz")).join(environment, ["stn_id", "hour"])
-    meant = rolling_mean(merged, ["stn_id"], "dt_utc", "gust", rules.around, rules.around, rules.least, "rolling").withColumn("ratio", F.col("gust") / F.col("rolling"))
+    meant = rolling_mean(merged, ["stn_id"], "dt_utc", "gust", rules.around, rules.around, rules.least, "rolling").withColumn("ratio", quotient(F.col("gust"), F.col("rolling")))
     severe = meant.where(scw_flag(F.col("gust"), F.col("ratio"), F.col(f"in{rules.near}"), rules.gust, rules.ratio))
     kept = decluster_forward(severe, ["rid"], "dt_utc", "gust", "event_id", rules.apart).select("event_id")
     return severe.join(kept, "event_id")
