@@ -5,9 +5,10 @@ Numbers come from integer arithmetic below 2**63, so every engine finds the same
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galeworks.operators import skill as K
@@ -31,6 +32,29 @@ def hashed(*seeds: str) -> str:
     return f"aggregate(array({each}), CAST(0 AS BIGINT), (x, s) -> {_mixed('x', 's')})"
 
 
+def with_round(df: DataFrame, name: str, seed: Column) -> DataFrame:
+    """df with column `name` after one round of `hashed` with the seed. A step a column, so that none is worked out more than once."""
+    x = F.col(name)
+    df = df.withColumn(name, (x + seed.cast("long") % PRIME + 1) % PRIME).withColumn("__x2", x * x % PRIME).withColumn("__x4", F.col("__x2") * F.col("__x2") % PRIME)
+    return df.withColumn(name, F.col("__x4") * x % PRIME).drop("__x2", "__x4")
+
+
+def poisson_bounds(mean: float) -> list[int]:
+    """The hashes from which on a Poisson number of a mean up to EXACT_MEAN is at least 1, 2, ..., as `_poisson` draws it."""
+    found = []
+    for k in range(TERMS):
+        total = 1.0
+        for j in range(k, 0, -1):
+            total = 1.0 + mean / j * total
+        low, high = 0, PRIME  # u * exp(mean) rises with the hash
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if (middle + 0.5) / PRIME * math.exp(mean) >= total else (middle + 1, high)
+        if low < PRIME:
+            found.append(low)
+    return found
+
+
 def sql_hashed(*seeds: str) -> str:
     """The same for DuckDB."""
     each = ", ".join(f"CAST({s} AS BIGINT)" for s in ["0", *seeds, len(seeds)])
@@ -124,8 +148,20 @@ def resample_events(df: DataFrame, row: Sequence[str], event: str, replicates: i
 
 
 def bootstrap_rows(df: DataFrame, row: str, replicates: int) -> DataFrame:
-    """df once per replicate with `weight`, a Poisson number of mean 1 that follows from row, a whole number, and replicate; rows of weight 0 go."""
-    return drawn_counts(df.withColumn("__one", F.lit(1)), {"weight": ("__one", 1.0)}, [row], replicates).drop("__one")
+    """df once per replicate with `weight`, a Poisson number of mean 1 that follows from row, a whole number, and replicate; rows of weight 0 go.
+
+    The same numbers as drawn_counts of counts of one: as the mean is fixed, a weight follows from how many of a few whole numbers the hash reaches. A row's
+    own round is done once for all its replicates, and rounds are plain columns, which Spark compiles.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = with_round(df.repartition(parts).withColumn("__h", F.lit(0).cast("long")), "__h", F.col(row))
+    each = own.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    for seed in (F.col("replicate"), F.lit(0), F.lit(3)):  # as hashed(row, replicate, 0)
+        each = with_round(each, "__h", seed)
+    least = poisson_bounds(1.0)
+    weight = sum(((F.col("__h") >= b).cast("long") for b in least[1:]), F.lit(1).cast("long"))
+    # No filter: Spark would push it through the rounds and write each of them out five times over.
+    return each.withColumn("weight", F.explode(F.when(F.col("__h") >= least[0], F.array(weight)))).drop("__h")
 
 
 def undersample(df: DataFrame, row: Sequence[str], event: str, ratio: float) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 from pyspark.sql import functions as F
 
 from galeworks import catalog
+from galeworks.operators import resampling as B
 from galeworks.operators import temporal as T
 
 BASE = dt.datetime(2024, 1, 1)
@@ -27,3 +28,12 @@ def test_window_sums_keep_more_than_six_places(spark):
     series = spark.createDataFrame(rows, "k long, t timestamp_ntz, x double")
     events = series.select("k", "t").limit(1).withColumn("n", F.lit(1))
     assert T.window_sums(events, series, ["k"], "n", "t", "t", "x", 0, 5).first()["total"] == 0.00000046
+
+
+def test_drawn_rows_are_as_drawn_counts_of_one_and_compiled(spark):
+    rows = spark.range(3000).select(F.col("id").alias("n")).union(spark.createDataFrame([(None,)], "n long"))
+    own = B.bootstrap_rows(rows, "n", 20)
+    want = B.drawn_counts(rows.withColumn("__one", F.lit(1)), {"weight": ("__one", 1.0)}, ["n"], 20).drop("__one")
+    assert own.dtypes == want.dtypes and sorted(map(tuple, own.collect())) == sorted(map(tuple, want.collect()))
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan and len(plan) < 20_000  # rounds are written once each
