@@ -3,9 +3,11 @@
 import datetime as dt
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from galeworks import catalog
+from galeworks.operators import cases as C
 from galeworks.operators import resampling as B
 from galeworks.operators import temporal as T
 
@@ -37,3 +39,19 @@ def test_drawn_rows_are_as_drawn_counts_of_one_and_compiled(spark):
     assert own.dtypes == want.dtypes and sorted(map(tuple, own.collect())) == sorted(map(tuple, want.collect()))
     plan = own._jdf.queryExecution().optimizedPlan().toString()
     assert "lambdafunction" not in plan and len(plan) < 20_000  # rounds are written once each
+
+
+def test_bands_of_ranks_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(C, "RANKS", 8)
+    draw = np.random.default_rng(5)
+    rows = [(k, r, float(draw.integers(9)), int(draw.integers(1, 6))) for k in (1, None) for r in range(4) for _ in range(3 + 4 * r)]
+    drawn = spark.createDataFrame([*rows, (1, 0, None, 3)], "k long, replicate int, v double, weight long")
+    lists = {}
+    for k, r, v, w in rows:
+        lists.setdefault((k, r), []).extend([v] * w)
+    ranked = {key: sorted(v, reverse=True) for key, v in lists.items()}
+    want = {(k, n + 1): np.quantile([v[n] for (own, _), v in ranked.items() if own == k and len(v) > n], [0.05, 0.95]) for k in (1, None) for n in range(max(len(v) for (own, _), v in ranked.items() if own == k))}
+    found = C.rank_bootstrap_band(drawn, ["k"], "v")
+    got = {(r["k"], r["rank"]): (r["low"], r["high"]) for r in found.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[key], want[key]) for key in want)
+    assert "percentile(" not in found._jdf.queryExecution().optimizedPlan().toString()  # no aggregate over replicates times ranks
