@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galeworks.operators.ordered import running_totals
+from galeworks.operators.ordered import RANGE, running_totals, with_ranges
 
 
 def contingency(df: DataFrame, keys: Sequence[str], event: str, forecast: Column) -> DataFrame:
@@ -34,14 +34,32 @@ def auc(df: DataFrame, keys: Sequence[str], event: str, value: str, weight: str
     """
     w = F.col(weight) if weight else F.lit(1)
     by = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(F.when(F.col(event) == 1, w).otherwise(0)).alias("__p"), F.sum(F.when(F.col(event) == 0, w).otherwise(0)).alias("__n"))
-    ranked = running_totals(by, keys, [value], ["__n"], sketch=df if sketch is None else sketch).withColumn("__u", F.col("__p") * (F.col("before___n") + F.col("__n") / 2))
-    p, n, x = F.sum("__p"), F.sum("__n"), F.col(value)
-    area = F.when((p > 0) & (n > 0), F.sum("__u") / (p * n))
-    if orient == "mean":
-        area = F.when(F.sum(x * F.col("__p")) / F.nullif(p, F.lit(0)) < F.sum(x * F.col("__n")) / F.nullif(n, F.lit(0)), 1 - area).otherwise(area)
-    elif orient == "max":
-        area = F.greatest(area, 1 - area)
-    return ranked.groupBy(*keys).agg(area.alias("auc"), p.alias("events"), n.alias("nulls"))
+    return _areas(by, keys, value, {"": "__n"}, orient, df if sketch is None else sketch).select(*keys, F.col("s.auc").alias("auc"), F.col("s.events").alias("events"), F.col("s.nulls").alias("nulls"))
+
+
+def _areas(by: DataFrame, keys: Sequence[str], value: str, sets: Mapping[str, str], orient: str | None, sketch: DataFrame) -> DataFrame:
+    """(keys, s), s being (null_set, auc, events, nulls) of each of sets {name: its column of counts of non-events}, from rows of keys and value with
+    their events __p.
+
+    Each range adds up what it holds; then only ranges' totals, as many as keys and ranges, are carried on, and no row is read again.
+    """
+    dealt, x, counts = with_ranges(by, value, sketch), F.col(value).cast("double"), list(sets.values())
+    within = Window.partitionBy(*keys, RANGE).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    pairs = dealt.withColumns({f"__u{n}": F.col("__p") * (F.coalesce(F.sum(n).over(within), F.lit(0)) + F.col(n) / 2) for n in counts})
+    sums = [F.sum(c).alias(c) for c in ["__p", *counts, *[f"__u{n}" for n in counts]]] + [F.sum(x * F.col(c)).alias(f"__x{c}") for c in ["__p", *counts]]
+    totals = pairs.groupBy(*keys, RANGE).agg(*sums)
+    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    whole = totals.withColumns({f"__u{n}": F.col(f"__u{n}") + F.col("__p") * F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in counts})
+    p, found = F.sum("__p"), []
+    for name, column in sets.items():
+        n = F.sum(column)
+        area = F.when((p > 0) & (n > 0), F.sum(f"__u{column}") / (p * n))
+        if orient == "mean":
+            area = F.when(F.sum("__x__p") / F.nullif(p, F.lit(0)) < F.sum(f"__x{column}") / F.nullif(n, F.lit(0)), 1 - area).otherwise(area)
+        elif orient == "max":
+            area = F.greatest(area, 1 - area)
+        found.append(F.struct(F.lit(name).alias("null_set"), area.alias("auc"), p.alias("events"), n.alias("nulls")))
+    return whole.groupBy(*keys).agg(F.array(*found).alias("s")).select(*keys, F.explode("s").alias("s"))
 
 
 def threshold_sweep(df: DataFrame, keys: Sequence[str], event: str, value: str, steps: int, top: float | None = None, weight: str | None = None, at_least: bool = False) -> DataFrame:
@@ -102,16 +120,18 @@ def auc_many(df: DataFrame, names: Sequence[str], event: str, strata: Sequence[C
     """(stratum, null_set, predictor, auc, events, nulls) of all predictors in all strata against all sets of non-events, in one pass.
 
     A row stands in each of its strata (names; null: in none there) and its event in every null set, a non-event in those whose condition it
-    fulfils. Equal values meet before they are copied to strata and sets.
+    fulfils. Equal values meet before they are copied to strata; sets are columns of counts. Sets that nothing of a stratum stands in have no row.
     """
     marks = [*[c.alias(f"__s{k}") for k, c in enumerate(strata)], *[F.coalesce(c, F.lit(False)).alias(f"__m{k}") for k, c in enumerate(null_sets.values())]]
     own = df.select(event, *marks, *[F.col(n).cast("double").alias(n) for n in names])
     held = [event, *[f"__s{k}" for k in range(len(strata))], *[f"__m{k}" for k in range(len(null_sets))]]
     tall = own.unpivot(held, list(names), "predictor", "x")
     by = tall.groupBy(*held, "predictor", "x").agg(F.count("*").alias("n"))
-    sets = F.array_compact(F.array(*[F.when((F.col(event) == 1) | F.col(f"__m{k}"), F.lit(n)) for k, n in enumerate(null_sets)]))
-    each = by.withColumn("stratum", F.explode(F.array_compact(F.array(*[F.col(f"__s{k}") for k in range(len(strata))])))).withColumn("null_set", F.explode(sets))
-    return auc(each, ["stratum", "null_set", "predictor"], event, "x", "n", orient, sketch=tall)
+    each = by.withColumn("stratum", F.explode(F.array_compact(F.array(*[F.col(f"__s{k}") for k in range(len(strata))])))).where("x is not null")
+    of = {name: (f"__n{k}", (F.col(event) == 0) & F.col(f"__m{k}")) for k, name in enumerate(null_sets)}
+    met = each.groupBy("stratum", "predictor", "x").agg(F.sum(F.when(F.col(event) == 1, F.col("n")).otherwise(0)).alias("__p"), *[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(n) for n, c in of.values()])
+    found = _areas(met, ["stratum", "predictor"], "x", {name: n for name, (n, _) in of.items()}, orient, tall)
+    return found.where("s.events + s.nulls > 0").select("stratum", "s.null_set", "predictor", "s.auc", "s.events", "s.nulls")
 
 
 def auc_ovr_weighted(df: DataFrame, label: str, value: str, labels: Sequence[int]) -> DataFrame:

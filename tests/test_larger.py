@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from galeworks import catalog
 from galeworks.operators import cases as C
 from galeworks.operators import resampling as B
+from galeworks.operators import skill as K
 from galeworks.operators import temporal as T
 
 BASE = dt.datetime(2024, 1, 1)
@@ -55,3 +56,17 @@ def test_bands_of_ranks_by_blocks(spark, monkeypatch):
     got = {(r["k"], r["rank"]): (r["low"], r["high"]) for r in found.collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[key], want[key]) for key in want)
     assert "percentile(" not in found._jdf.queryExecution().optimizedPlan().toString()  # no aggregate over replicates times ranks
+
+
+def test_areas_carry_totals_of_ranges_alone(spark):
+    draw = np.random.default_rng(3)
+    rows = [(int(draw.integers(2)), int(draw.integers(2)), f"c{draw.integers(2)}", float(draw.integers(40))) for _ in range(600)]
+    df = spark.createDataFrame([*rows, (1, 0, None, 7.0), (1, 1, "c0", None)], "e int, near int, c string, x double")
+    found = K.auc_many(df, ["x"], "e", [F.lit("all"), F.col("c")], {"all": F.lit(True), "near": F.col("near") == 1}, None)
+    got = {(r["stratum"], r["null_set"]): r["auc"] for r in found.collect()}
+    assert len(got) == 6
+    for stratum, null_set in got:
+        own = [r for r in [*rows, (1, 0, None, 7.0)] if stratum in ("all", r[2])]
+        events, nulls = [r[3] for r in own if r[0] == 1], [r[3] for r in own if r[0] == 0 and (null_set == "all" or r[1] == 1)]
+        assert abs(got[stratum, null_set] - sum((a > b) + (a == b) / 2 for a in events for b in nulls) / len(events) / len(nulls)) < 1e-12
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
