@@ -70,3 +70,15 @@ def test_areas_carry_totals_of_ranges_alone(spark):
         events, nulls = [r[3] for r in own if r[0] == 1], [r[3] for r in own if r[0] == 0 and (null_set == "all" or r[1] == 1)]
         assert abs(got[stratum, null_set] - sum((a > b) + (a == b) / 2 for a in events for b in nulls) / len(events) / len(nulls)) < 1e-12
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_grid_arises_after_the_shuffles(spark):
+    hour = lambda h: BASE + dt.timedelta(hours=h)
+    rows = [(k, hour(h), x) for k in (1, 2, None) for h, x in ((0, 1.0), (2, None), (9, 5.0), (9.5, 6.0), (10, None))] + [(3, None, 1.0)]
+    found = T.regular_fill(spark.createDataFrame(rows, "k long, t timestamp_ntz, v double"), ["k"], "t", "v", "1 hour", "hour", 3)
+    own = [1.0] * 4 + [None] * 5 + [6.0] * 2
+    assert sorted(map(tuple, found.select("k", "slot", "v").collect()), key=repr) == sorted(((k, hour(h), x if k else None) for k in (1, 2, None) for h, x in enumerate(own)), key=repr)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # nothing is joined or ordered after the steps are made
+    two = T.regular_fill(spark.createDataFrame(rows[:5], "k long, t timestamp_ntz, v double"), ["k"], "t", "v", "2 hours", "hour", 1)
+    assert [r["v"] for r in two.orderBy("slot").collect()] == [1.0, 1.0, None, None, None, None]
