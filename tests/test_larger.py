@@ -10,6 +10,7 @@ from galeworks import catalog
 from galeworks.operators import cases as C
 from galeworks.operators import resampling as B
 from galeworks.operators import skill as K
+from galeworks.operators import spatial as S
 from galeworks.operators import temporal as T
 
 BASE = dt.datetime(2024, 1, 1)
@@ -82,3 +83,15 @@ def test_a_grid_arises_after_the_shuffles(spark):
     assert plan.index("Generate") < plan.index("Join")  # nothing is joined or ordered after the steps are made
     two = T.regular_fill(spark.createDataFrame(rows[:5], "k long, t timestamp_ntz, v double"), ["k"], "t", "v", "2 hours", "hour", 1)
     assert [r["v"] for r in two.orderBy("slot").collect()] == [1.0, 1.0, None, None, None, None]
+
+
+def test_pairs_of_places_and_cells_are_dealt_out(spark, monkeypatch):
+    parts, real = [], S.radius_extremes
+
+    def spy(pairs, *args, **more):
+        parts.append(pairs.rdd.getNumPartitions())
+        return real(pairs, *args, **more)
+
+    monkeypatch.setattr(S, "radius_extremes", spy)
+    catalog.queries()["radius_extreme"](spark, "/root/testdata/sf0.001")
+    assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
