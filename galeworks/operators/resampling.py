@@ -139,8 +139,11 @@ def resample_events(df: DataFrame, row: Sequence[str], event: str, replicates: i
     for side, turns, have in ((1, size, n.p), (0, nulls, n.n)):
         if not (turns and have):
             continue
-        of = df.sparkSession.range(replicates * turns).select(F.lit(side).alias("__side"), F.floor(F.col("id") / turns).cast("int").alias("replicate"), (F.col("id") % turns).alias("__turn"))
-        one = of.select("__side", "replicate", (F.expr(hashed(str(side), "replicate", "__turn")) % have).alias("__of"))
+        of = df.sparkSession.range(replicates * turns).select(F.lit(side).alias("__side"), F.floor(F.col("id") / turns).cast("int").alias("replicate"), (F.col("id") % turns).alias("__turn"), F.lit(0).cast("long").alias("__h"))
+        for seed in (F.lit(side), F.col("replicate"), F.col("__turn"), F.lit(3)):  # as hashed(side, replicate, __turn)
+            of = with_round(of, "__h", seed)
+        # Exploded, as the join asks for known numbers, and Spark would push that through the rounds and write each of them out five times over.
+        one = of.select("__side", "replicate", F.explode(F.array(F.col("__h") % have)).alias("__of"))
         drawn = one if drawn is None else drawn.unionByName(one)
     if drawn is None:
         return df.where("false").withColumn("replicate", F.lit(0))

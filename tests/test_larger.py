@@ -85,6 +85,15 @@ def test_a_grid_arises_after_the_shuffles(spark):
     assert [r["v"] for r in two.orderBy("slot").collect()] == [1.0, 1.0, None, None, None, None]
 
 
+def test_draws_are_compiled_and_the_same(spark):
+    df = spark.createDataFrame([(i, int(i < 20)) for i in range(220)], "id long, e int")
+    drawn = B.resample_events(df, ["id"], "e", 3, 20)
+    assert "lambda" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+    turns = [(1, r, t, 20) for r in range(3) for t in range(20)] + [(0, r, t, 200) for r in range(3) for t in range(220)]
+    asked = spark.createDataFrame(turns, "side int, replicate int, turn int, have int").select("replicate", (F.expr(B.hashed("side", "replicate", "turn")) % F.col("have") + F.when(F.col("side") == 1, 0).otherwise(20)).alias("id"))
+    assert sorted(map(tuple, drawn.select("replicate", "id").collect())) == sorted(map(tuple, asked.collect()))
+
+
 def test_pairs_of_places_and_cells_are_dealt_out(spark, monkeypatch):
     parts, real = [], S.radius_extremes
 
