@@ -4,10 +4,12 @@ import datetime as dt
 import math
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from galeworks import catalog
 from galeworks.operators import cases as C
+from galeworks.operators import models as M
 from galeworks.operators import resampling as B
 from galeworks.operators import skill as K
 from galeworks.operators import spatial as S
@@ -104,3 +106,23 @@ def test_pairs_of_places_and_cells_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(S, "radius_extremes", spy)
     catalog.queries()["radius_extreme"](spark, "/root/testdata/sf0.001")
     assert parts == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+
+
+def test_splits_are_marked_in_one_shuffle_and_fitted_together(spark, monkeypatch):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(1500, 2))
+    y = r.random(1500) < 1 / (1 + np.exp(-(x @ [1.0, -0.5] - 1)))
+    df = spark.createDataFrame([(i, *map(float, v), int(e)) for i, (v, e) in enumerate(zip(x, y, strict=True))] + [(2000, None, 0.0, 1)], "id long, a double, b double, e int")
+    marked = C.split_marks(df, "id", "e", 3, 0.25)
+    strata = Window.partitionBy("split", "e", "b3")
+    spread = df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("b3", F.pmod(F.xxhash64("id"), F.lit(3)))
+    one = spread.withColumn("test", F.row_number().over(strata.orderBy(C._draw("id", F.col("split"), 17), "id")) <= F.round(0.25 * F.count("*").over(strata)))
+    want = sorted(map(tuple, one.select("id", "split", "test").collect()))
+    assert want == sorted(map(tuple, C.stratified_splits(df, "id", "e", 3, 0.25).select("id", "split", "test").collect()))
+    assert marked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    for k, terms in enumerate(M.logit_splits(marked, ["a", "b"], "e", 3)):
+        alone = M.logit_fit(marked.where(~F.get("tests", F.lit(k))), ["a", "b"], "e")
+        assert all(math.isclose(terms[n], alone[n], rel_tol=1e-9) for n in alone)
+    scans, real = [], M.summed
+    monkeypatch.setattr(M, "summed", lambda *args: scans.append(1) or real(*args))
+    assert catalog.queries()["stratified_split_cv"](spark, "/root/testdata/sf0.001").count() == 3 and len(scans) <= 5
