@@ -126,3 +126,26 @@ def test_splits_are_marked_in_one_shuffle_and_fitted_together(spark, monkeypatch
     scans, real = [], M.summed
     monkeypatch.setattr(M, "summed", lambda *args: scans.append(1) or real(*args))
     assert catalog.queries()["stratified_split_cv"](spark, "/root/testdata/sf0.001").count() == 3 and len(scans) <= 5
+
+
+def test_forward_selection_keeps_its_rows_once(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(500, 3))
+    y = r.random(500) < 1 / (1 + np.exp(-(x @ [3.0, 0.0, 1.5])))
+    df = spark.createDataFrame([(i, *map(float, v), int(e)) for i, (v, e) in enumerate(zip(x, y, strict=True))] + [(600, None, 0.0, 1.0, 1)], "id long, a double, b double, c double, e int")
+    kept, real = [], M._held
+    monkeypatch.setattr(M, "_held", lambda d: kept.append(1) or real(d))
+    draws = F.filter(F.sequence(F.lit(0), F.lit(4)), lambda k: F.pmod(F.xxhash64("id", k), F.lit(10)) < 6)
+    first = M.forward_selection(df, ["a", "b", "c"], "e", draws).orderBy("step").first()
+    assert len(kept) == 1 and first["predictor"] == "a"
+    terms = M._terms(["a"], M.logit_many(M.balanced(df, "e").where("a is not null"), [["a"]], "e", "weight")[0][0])
+    swept = K.scores(K.threshold_sweep(df.withColumn("p", M.score(terms)), [], "e", "p", 100, 1.0))
+    assert math.isclose(first["hss"], swept.agg(F.max("hss")).first()[0], rel_tol=1e-9)
+
+
+def test_a_sweep_reads_its_rows_once(spark):
+    df = spark.createDataFrame([(k, e, x) for k in (1, None) for e, x in ((1, 0.35), (0, 0.35), (1, 0.9), (0, -1.0), (1, None), (None, 0.5))], "k int, e int, x double")
+    found = K.threshold_sweep(df, ["k"], "e", "x", 11, 1.0)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["k"], r["step"]): (r["hits"], r["misses"], r["false_alarms"], r["correct_nulls"]) for r in found.collect()}
+    assert got == {(k, s): (2, 1, 1, 1) if s < 4 else (1, 2, 0, 2) if s < 9 else (0, 3, 0, 2) for k in (1, None) for s in range(11)}
