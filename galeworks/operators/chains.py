@@ -61,7 +61,7 @@ def reached(df: DataFrame, keys: Sequence[str], time: str, strength: str, tie: s
     # Events are few against the series that they are found in, and are read several times: so they are written once.
     own_tie = F.col(tie).cast("long")
     rows = df.select(*keys, F.col(time).alias("__time"), micros(F.col(time)).alias("__m"), F.col(strength).cast("double").alias("__x"), own_tie.alias("__tie"), F.coalesce(own_tie, F.lit(-(1 << 63))).alias("__name"))
-    rows = _stored(rows.where("__m is not null"), "events")
+    rows = stored(rows.where("__m is not null"), "events")
     whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("__m").alias("low"), F.max("__m").alias("high")).agg(F.sum("n").alias("rows"), F.max("n").alias("most"), F.min("low").alias("low"), F.max("high").alias("high")).first()
     out = lambda found: found.select(*keys, F.col("__time").alias(time), F.col("__x").cast(kinds[strength]).alias(strength), F.col("__tie").cast(kinds[tie]).alias(tie))
     if whole.low is None:
@@ -81,7 +81,7 @@ def reached(df: DataFrame, keys: Sequence[str], time: str, strength: str, tie: s
 
     # Entries of blocks and where the walks from them leave to. A row is named by its time, its tie and its number among rows alike in both.
     entries = dealt.repartition(parts, *keys, "__block").groupBy(*keys, "__block").applyInPandas(_exits(rule, width, whole.low, length, len(keys)), _entry_schema(dealt, keys))
-    table = _stored(entries, "entries")
+    table = stored(entries, "entries")
     firsts = table.where("first").select(*keys, "block", "m", "tie", "nth")
     lates = table.where("late").select(*keys, "block", "m", "tie", "nth")
     # What lies beyond a block and the window after it: the next block's late row, if it has one, else the first row of the blocks after that.
@@ -90,23 +90,23 @@ def reached(df: DataFrame, keys: Sequence[str], time: str, strength: str, tie: s
     after = F.when(F.lead("block").over(by) > F.col("block") + 1, F.lead("f").over(by)).otherwise(F.coalesce(F.lead("l").over(by), F.lead("f", 2).over(by)))
     beyond = known.select(*keys, "block", after.alias("far"))
     to = F.when(F.col("to_m").isNull(), F.col("far")).otherwise(F.struct((F.col("block") + 1).alias("block"), F.col("to_m").alias("m"), F.col("to_tie").alias("tie"), F.col("to_nth").alias("nth")))
-    jumps = _stored(table.join(beyond, [*keys, "block"]).select(*keys, F.struct("block", "m", "tie", "nth").alias("at"), to.alias("to")).where("to is not null"), "jumps")
+    jumps = stored(table.join(beyond, [*keys, "block"]).select(*keys, F.struct("block", "m", "tie", "nth").alias("at"), to.alias("to")).where("to is not null"), "jumps")
 
     steps = [jumps]
     while 1 << len(steps) < blocks:
         last = steps[-1]
         twice = last.join(last.select(*keys, F.col("at").alias("to"), F.col("to").alias("then")), [*keys, "to"]).select(*keys, "at", F.col("then").alias("to"))
-        steps.append(_stored(twice, "jumps"))
+        steps.append(stored(twice, "jumps"))
     found = table.where("first").groupBy(*keys).agg(F.min(F.struct("block", "m", "tie", "nth")).alias("at"))
     for jump in reversed(steps):
-        found = _stored(found.unionByName(found.join(jump, [*keys, "at"]).select(*keys, F.col("to").alias("at"))), "reached")
+        found = stored(found.unionByName(found.join(jump, [*keys, "at"]).select(*keys, F.col("to").alias("at"))), "reached")
     enter = found.groupBy(*keys, F.col("at.block").alias("__block")).agg(F.min(F.struct("at.m", "at.tie", "at.nth")).alias("e"))
     entered = dealt.join(enter.select(*keys, "__block", F.col("e.m").alias("__em"), F.col("e.tie").alias("__et"), F.col("e.nth").alias("__en")), [*keys, "__block"])
     kept = entered.repartition(parts, *keys, "__block").groupBy(*keys, "__block").applyInPandas(_walker(rule, width), dealt.schema)
     return out(kept)
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read again, so that no round repeats those before."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)

@@ -1,8 +1,13 @@
 """What showed on tables of 6 GB: batches sent to Python, rows met by cells and places, jobs that were cut short."""
 
+import datetime as dt
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from galeworks.operators import models as M
+from galeworks.operators import stormchain as H
+from galeworks.operators.ordered import carried
 
 
 def test_scans_send_kept_rows_a_few_at_a_time(spark, monkeypatch):
@@ -28,3 +33,24 @@ def test_scans_send_kept_rows_a_few_at_a_time(spark, monkeypatch):
     data.unpersist()
     assert batches.value == kept > 4  # a matrix at a time, not all of a partition
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_what_lies_ahead_is_carried_without_frames_to_the_end(spark):
+    rows = [(k, t, x) for k in (1, None) for t, x in enumerate((None, 4.0, None, None, 7.0, None))]
+    found = carried(spark.createDataFrame(rows, "k long, t long, x double"), ["k"], ["t"], {"last": F.col("x")}, {"next": F.col("x")}, final={"end": F.col("x")})
+    want = [(None, 4.0), (4.0, 4.0), (4.0, 7.0), (4.0, 7.0), (7.0, 7.0), (7.0, None)]
+    assert sorted(map(tuple, found.select("k", "t", "last", "next", "end").collect()), key=repr) == sorted(((k, t, *w, 7.0) for k in (1, None) for t, w in enumerate(want)), key=repr)
+    assert "currentrow$(), unboundedfollowing$()" not in found._jdf.queryExecution().optimizedPlan().toString()  # read anew for each row: quadratic
+
+
+def test_stations_of_one_place_ask_for_its_storms_once(spark, monkeypatch):
+    counts, real = [], H.storm_within_asked
+    monkeypatch.setattr(H, "storm_within_asked", lambda masks, asked, *more: counts.append(asked.count()) or real(masks, asked, *more))
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    storms = spark.createDataFrame([(1, s, at(s), u, float(u)) for s in range(20) for u in (1, 2)], "rid long, scan long, scan_time timestamp_ntz, uid long, field_max double")
+    masks = spark.createDataFrame([(1, s, u, 10 * u, 0) for s in range(20) for u in (1, 2)], "rid long, scan long, uid long, i long, j long")
+    points = spark.createDataFrame([*[(1, n, 10, 3) for n in range(9)], (1, 9, 90, 0), (1, 9, 10, 4), (1, 8, None, 3)], "rid long, stn_id long, pi long, pj long")
+    gusts = spark.createDataFrame([(n, n, at(4), 30.0 + n, "Y") for n in range(10)] + [(10, 0, at(19), 9.0, "Y"), (11, 0, at(19) + dt.timedelta(seconds=1), 9.0, "Y")], "event_id long, stn_id long, dt_utc timestamp_ntz, gust double, q string")
+    found = {r["event_id"]: (r["scan"], r["uid5"], r["in5"], r["dist5"]) for r in H.storms_of_gusts(masks, storms, points, gusts, H.ChainRules(radii=(5,), near=5)).collect()}
+    assert found == {**{n: (4, 1, 1, 3.0) for n in range(9)}, 9: (4, 1, 1, 4.0), 10: (19, 1, 1, 3.0)}  # the last gust is after the radar's last scan
+    assert counts == [1 + 2 + 2 + 1]
