@@ -5,7 +5,9 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
+from galeworks import catalog
 from galeworks.operators import models as M
+from galeworks.operators import spatial as S
 from galeworks.operators import stormchain as H
 from galeworks.operators.ordered import carried
 
@@ -54,3 +56,15 @@ def test_stations_of_one_place_ask_for_its_storms_once(spark, monkeypatch):
     found = {r["event_id"]: (r["scan"], r["uid5"], r["in5"], r["dist5"]) for r in H.storms_of_gusts(masks, storms, points, gusts, H.ChainRules(radii=(5,), near=5)).collect()}
     assert found == {**{n: (4, 1, 1, 3.0) for n in range(9)}, 9: (4, 1, 1, 4.0), 10: (19, 1, 1, 3.0)}  # the last gust is after the radar's last scan
     assert counts == [1 + 2 + 2 + 1]
+
+
+def test_every_storm_has_its_distance_to_every_station(spark):
+    storms, stations = {1: [(0.0, 0.0), (0.0, 0.05)], 2: [(0.0, 0.0), (0.0, 0.05)], 3: [(-40.0, 140.0)]}, {5: (0.0, 0.1), 6: (60.0, -170.0), 7: (0.0, 0.1)}
+    cells = spark.createDataFrame([(s, 0, *c) for s, own in storms.items() for c in own] + [(1, 0, None, 1.0), (4, 0, None, 2.0)], "scan long, uid long, lat double, lon double")
+    points = spark.createDataFrame([(n, *at) for n, at in stations.items()] + [(8, None, 1.0)], "stn long, lat double, lon double")
+    found = S.storm_distance(cells, points, ["scan", "uid"], "stn").collect()
+    unit = lambda la, lo: np.array([np.cos(np.radians(la)) * np.cos(np.radians(lo)), np.cos(np.radians(la)) * np.sin(np.radians(lo)), np.sin(np.radians(la))])
+    far = lambda a, b: 6373.0 * 2 * np.arcsin(np.linalg.norm(unit(*a) - unit(*b)) / 2)
+    assert {(r["scan"], r["stn"]) for r in found} == {(s, n) for s in storms for n in stations} and len(found) == 9
+    assert all(abs(r["distance"] - min(far(c, stations[r["stn"]]) for c in storms[r["scan"]])) < 0.0006 for r in found)
+    assert catalog.queries()["storm_distance"](spark, "/root/testdata/sf0.001").count() == 1500 * 150
