@@ -68,3 +68,27 @@ def test_every_storm_has_its_distance_to_every_station(spark):
     assert {(r["scan"], r["stn"]) for r in found} == {(s, n) for s in storms for n in stations} and len(found) == 9
     assert all(abs(r["distance"] - min(far(c, stations[r["stn"]]) for c in storms[r["scan"]])) < 0.0006 for r in found)
     assert catalog.queries()["storm_distance"](spark, "/root/testdata/sf0.001").count() == 1500 * 150
+
+
+def test_rows_are_looked_at_for_runs_that_part_them_alone(spark, monkeypatch):
+    draw = np.random.default_rng(7)
+    x = np.round(draw.normal(size=(6000, 2)), 1)
+    x[:, 1] = np.where(draw.random(6000) < 0.5, 3.0, x[:, 1])
+    monkeypatch.setattr(M, "CELL_ROWS", 40)
+    data = M._in_cells(spark.createDataFrame([tuple(map(float, v)) for v in np.concatenate([x, x])], "a double, b double"), ["a", "b"])
+    parts = [np.frombuffer(r["rows"]).reshape(-1, r["width"]) for r in data.collect()]
+    data.unpersist()
+    kept, many = np.concatenate(parts), np.unique(np.concatenate([x, x]), axis=0, return_counts=True)
+    order = np.lexsort((kept[:, 2], kept[:, 1]))
+    assert len(parts) > 10 and (kept[order, 1:] == many[0]).all() and (kept[order, 0] == many[1]).all()  # equal rows once, with their number
+    centres = [draw.normal(size=(2 + k % 3, 2)) for k in range(12)]
+    looked, real = [], M._nearest
+    monkeypatch.setattr(M, "_nearest", lambda rows, every, runs: looked.append(len(rows) * runs) or real(rows, every, runs))
+    sums = [M._clusters(m, np.column_stack([np.ones(len(m)), m[:, 1:]]), M._filled(centres)) for m in parts]
+    totals, far = sum(s[0] for s in sums), sum(s[1] for s in sums)
+    for k, own in enumerate(centres):
+        d = ((np.concatenate([x, x])[:, None] - own) ** 2).sum(2)
+        near = d.argmin(1)
+        assert np.allclose(totals[k, : len(own), 0], np.bincount(near, minlength=len(own))) and np.isclose(far[k, 0], d.min(1).sum())
+        assert np.allclose(totals[k, : len(own), 1:], [np.concatenate([x, x])[near == c].sum(0) for c in range(len(own))]) and not totals[k, len(own) :].any()
+    assert sum(looked) < 0.7 * len(kept) * len(centres)
