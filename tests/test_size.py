@@ -92,3 +92,10 @@ def test_rows_are_looked_at_for_runs_that_part_them_alone(spark, monkeypatch):
         assert np.allclose(totals[k, : len(own), 0], np.bincount(near, minlength=len(own))) and np.isclose(far[k, 0], d.min(1).sum())
         assert np.allclose(totals[k, : len(own), 1:], [np.concatenate([x, x])[near == c].sum(0) for c in range(len(own))]) and not totals[k, len(own) :].any()
     assert sum(looked) < 0.7 * len(kept) * len(centres)
+
+
+def test_gusts_are_filled_by_the_minute(spark, tmp_path):
+    rows = [(n, dt.datetime(2024, 1, 1, 0, m, 30), 7, "view", x) for n, (m, x) in enumerate(((0, 1.0), (30, 2.0), (34, 3.0)))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    found = catalog.queries()["resample_ffill"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in found] == [(7, 35, 11 + 4 + 1, 11 * 1.0 + 4 * 2.0 + 3.0)]
